@@ -6,7 +6,7 @@ import importlib
 
 from txquality.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["mart_queries", "quality_queries", "evaluation_queries"]
+MODULES = ["mart_queries", "quality_queries", "evaluation_queries", "drift_queries"]
 
 for _module in MODULES:
     importlib.import_module(f"txquality.catalog.{_module}")

@@ -49,6 +49,11 @@ def curve(
     return ranks.running_totals(marked, "score", ["pos", "neg"], groups, descending=True, buckets=buckets)
 
 
+def _recall() -> Column:
+    """Recall at a point; one when there is no positive row at all."""
+    return F.when(F.col("total_pos") > 0, F.col("cum_pos") / F.col("total_pos")).otherwise(F.lit(1.0))
+
+
 def pr_points(points: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """Precision and recall at every distinct score."""
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
@@ -58,7 +63,7 @@ def pr_points(points: DataFrame, groups: list[str] | None = None) -> DataFrame:
         tp.alias("tp"),
         fp.alias("fp"),
         C.ratio_or_zero(tp, tp + fp).alias("precision"),
-        C.ratio_or_zero(tp, F.col("total_pos")).alias("recall"),
+        _recall().alias("recall"),
     )
 
 
@@ -76,7 +81,7 @@ def _roc_auc() -> Column:
 
 def _f1_at_point() -> Column:
     p = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    r = F.when(F.col("total_pos") > 0, F.col("cum_pos") / F.col("total_pos")).otherwise(F.lit(1.0))
+    r = _recall()
     return 2 * p * r / (p + r + F.lit(S.F1_EPSILON))
 
 
