@@ -111,7 +111,7 @@ def median_time(spark, sf_dir):
     f"with {_HALVES} select feature, {_PSI9} as psi, {_LEVEL} as level, {_VERDICT} as verdict, 'halves' as mode from indexes",
 )
 def psi_halves(spark, sf_dir):
-    return _psi9(drift.drift_by_feature(_rows(spark, sf_dir)))
+    return _psi9(drift.drift_by_feature(_rows(spark, sf_dir))).drop("reference_rows", "recent_rows")
 
 
 @query(
@@ -119,7 +119,8 @@ def psi_halves(spark, sf_dir):
     f"with {_NEW} select feature, {_PSI9} as psi, {_LEVEL} as level, {_VERDICT} as verdict, 'new_data' as mode from indexes",
 )
 def psi_new_data(spark, sf_dir):
-    return _psi9(drift.drift_by_feature(_rows(spark, sf_dir), new_data_after=NEW_DATA_CUT))
+    indexes = drift.drift_by_feature(_rows(spark, sf_dir), new_data_after=NEW_DATA_CUT)
+    return _psi9(indexes).drop("reference_rows", "recent_rows")
 
 
 @query("drift_distribution", f"with {_HALVES} select feature, bin, reference, recent from both_sides")
@@ -169,7 +170,7 @@ def drift_summary_new_data(spark, sf_dir):
 )
 def live_psi(spark, sf_dir):
     live = st.table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / F.lit(200.0)).alias("amount"))
-    return _psi9(drift.live_drift(_rows(spark, sf_dir), live))
+    return _psi9(drift.live_drift(_rows(spark, sf_dir), live)).drop("reference_rows")
 
 
 _BY_LOAD = f"""{_BASE}, med as (select median(time) as cut from tx), {_edges(_HALF_REF)},
@@ -244,5 +245,4 @@ def drift_history(spark, sf_dir):
       '| ' || feature || ' | ' || printf('%.4f', psi) || ' | ' || {_VERDICT} || ' |' from indexes""",
 )
 def drift_report(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return drift.report_lines(drift.summary(rows), drift.drift_by_feature(rows))
+    return drift.report_lines(drift.drift_by_feature(_rows(spark, sf_dir)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from txquality import schema as S
 from txquality.functions import columns as C
@@ -88,6 +88,33 @@ def compared(reference: DataFrame, recent: DataFrame, edges: Edges, groups: list
     return right.join(F.broadcast(left), ["feature", "bin"])  # as many rows as bins
 
 
+def two_sided(rows: DataFrame, edges: Edges) -> DataFrame:
+    """Counts of both sides per bin in one scan: (feature, bin, reference, recent, reference_rows, recent_rows).
+
+    ``rows`` carries a boolean ``is_recent``. Only bins with rows appear; an empty pair of bins adds nothing to the index.
+    """
+    counts = binned_counts(rows, edges, ["is_recent"])
+    sides = counts.groupBy("feature", "bin").agg(
+        F.sum(F.when(~F.col("is_recent"), F.col("n")).otherwise(0)).alias("n_ref"),
+        F.sum(F.when(F.col("is_recent"), F.col("n")).otherwise(0)).alias("n_cur"),
+    )
+    per_feature = Window.partitionBy("feature")  # a dozen rows each
+    return (
+        sides.withColumns(
+            {"reference_rows": F.sum("n_ref").over(per_feature), "recent_rows": F.sum("n_cur").over(per_feature)}
+        )
+        .filter(F.col("bin").isNotNull())
+        .select(
+            "feature",
+            "bin",
+            (F.col("n_ref") / F.greatest("reference_rows", F.lit(1))).alias("reference"),
+            (F.col("n_cur") / F.greatest("recent_rows", F.lit(1))).alias("recent"),
+            "reference_rows",
+            "recent_rows",
+        )
+    )
+
+
 def psi_of(shares_table: DataFrame, keys: list[str]) -> DataFrame:
     """Index per key set from a table with ``reference`` and ``recent`` shares."""
     c = F.greatest(F.col("recent"), F.lit(S.PSI_FLOOR))

@@ -229,20 +229,31 @@ def exact_quantiles(
 
 def _order_statistics(df, columns, brackets, sizes, probabilities) -> dict[str, dict[int, float]]:
     table = _bracket_table(df, columns, brackets)
-    zones = table.groupBy("feature", "zone").agg(F.sum("n").alias("_total"))
-    before = Window.partitionBy("feature").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = zones.select("feature", "zone", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("feature", "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        table.filter(F.col("value").isNotNull())
-        .join(F.broadcast(offsets), ["feature", "zone"])  # at most two zones per wanted rank and column, plus one
-        .select("feature", "value", "n", (F.sum("n").over(inner) + F.col("_off")).alias("_cum"))
-    )
+    whole_range = [(-math.inf, math.inf)]
+    if all(brackets[c] == whole_range for c in columns):
+        ranked = table.withColumn("_cum", F.sum("n").over(inner))
+    else:
+        zones = table.groupBy("feature", "zone").agg(F.sum("n").alias("_total"))
+        before = Window.partitionBy("feature").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = zones.select("feature", "zone", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_off"))
+        ranked = (
+            table.filter(F.col("value").isNotNull())
+            .join(F.broadcast(offsets), ["feature", "zone"])  # at most two zones per wanted rank and column, plus one
+            .withColumn("_cum", F.sum("n").over(inner) + F.col("_off"))
+        )
     ranks = {c: sorted({r for p in probabilities for r in quantile_ranks(sizes[c], p)[:2]}) for c in columns}
-    aggs = []
+    wanted = F.lit(False)
     for c in columns:
-        for r in ranks[c]:
-            hit = (F.col("feature") == c) & (F.col("_cum") > r) & (F.col("_cum") - F.col("n") <= r)
-            aggs.append(F.max(F.when(hit, F.col("value"))).alias(f"{c}@{r}"))
-    row = ranked.agg(*aggs).first()
-    return {c: {r: row[f"{c}@{r}"] for r in ranks[c]} for c in columns}
+        # Ranks r with cum - n <= r < cum: the distinct value that holds the wanted row.
+        at = F.exists(
+            F.array(*[F.lit(r).cast("long") for r in ranks[c]]),
+            lambda r: (F.col("_cum") > r) & (F.col("_cum") - F.col("n") <= r),
+        )
+        wanted = wanted | ((F.col("feature") == c) & at)
+    found: dict[str, dict[int, float]] = {c: {r: None for r in ranks[c]} for c in columns}
+    for row in ranked.filter(wanted).select("feature", "value", "n", "_cum").collect():  # one row per wanted rank at most
+        for r in ranks[row["feature"]]:
+            if row["_cum"] - row["n"] <= r < row["_cum"]:
+                found[row["feature"]][r] = row["value"]
+    return found

@@ -20,12 +20,15 @@ def drift_features(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Sides:
-    """Reference and recent rows, the mode that split them and the cut between them."""
+    """Rows marked ``is_recent``, the mode that split them and the cut between the sides."""
 
     mode: str
     cut: float | None
-    reference: DataFrame
-    recent: DataFrame
+    rows: DataFrame
+
+    @property
+    def reference(self) -> DataFrame:
+        return self.rows.filter(~F.col("is_recent"))
 
 
 def split_sides(df: DataFrame, new_data_after: float | None = None, min_recent: int = S.MIN_NEW_ROWS) -> Sides:
@@ -34,25 +37,27 @@ def split_sides(df: DataFrame, new_data_after: float | None = None, min_recent:
     if new_data_after is not None:
         newer = df.agg(F.count_if(time > new_data_after)).first()[0]
         if newer >= min_recent:
-            return Sides("new_data", new_data_after, df.filter(time <= new_data_after), df.filter(time > new_data_after))
+            return Sides("new_data", new_data_after, df.withColumn("is_recent", time > new_data_after))
     median = ranks.exact_quantiles(df, ["time_seconds"], [0.5])["time_seconds"]
-    if not median:
-        return Sides("halves", None, df.limit(0), df.limit(0))
-    cut = median[0]
-    return Sides("halves", cut, df.filter(time < cut), df.filter(time >= cut))
+    cut = median[0] if median else None
+    return Sides("halves", cut, df.withColumn("is_recent", time >= F.lit(cut).cast("double")))
 
 
 def index_by_feature(sides: Sides, edges: psi.Edges, features: list[str]) -> DataFrame:
-    """(feature, psi, level, verdict); a feature too uniform to be cut has index zero."""
-    usable = [c for c in features if edges.get(c)]
-    spark = sides.reference.sparkSession
-    frame = spark.createDataFrame([(c,) for c in features], "feature string")
+    """(feature, psi, level, verdict, reference_rows, recent_rows); a feature too uniform to be cut has index zero."""
+    usable = {c: edges[c] for c in features if edges.get(c)}
+    frame = sides.rows.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     if not usable:
-        return psi.with_level(frame.withColumn("psi", F.lit(0.0)))
-    table = psi.compared(sides.reference, sides.recent, {c: edges[c] for c in usable})
-    indexes = psi.psi_of(table, ["feature"])
-    filled = frame.join(indexes, "feature", "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
-    return psi.with_level(filled)
+        sizes = sides.rows.agg(
+            F.count_if(~F.col("is_recent")).alias("reference_rows"), F.count_if(F.col("is_recent")).alias("recent_rows")
+        )
+        return psi.with_level(frame.crossJoin(sizes).withColumn("psi", F.lit(0.0)))
+    indexes = psi.psi_of(psi.two_sided(sides.rows, usable), ["feature", "reference_rows", "recent_rows"])
+    if len(usable) == len(features):
+        return psi.with_level(indexes)
+    sizes = indexes.agg(F.max("reference_rows").alias("reference_rows"), F.max("recent_rows").alias("recent_rows"))
+    flat = frame.filter(~F.col("feature").isin(list(usable))).crossJoin(sizes).withColumn("psi", F.lit(0.0))
+    return psi.with_level(indexes.unionByName(flat))
 
 
 def drift_by_feature(
@@ -69,44 +74,43 @@ def distribution(df: DataFrame, new_data_after: float | None = None, features: l
     features = features or S.MONITORED
     sides = split_sides(drift_features(df), new_data_after)
     edges = psi.bin_edges(sides.reference, features)
-    if not any(edges.get(c) for c in features):
-        return df.sparkSession.createDataFrame(
-            [], "feature string, bin int, bucket string, reference double, recent double"
-        )
-    table = psi.compared(sides.reference, sides.recent, edges)
-    return table.select("feature", "bin", "bucket", "reference", "recent")
+    usable = {c: edges[c] for c in features if edges.get(c)}
+    bins = psi.bin_table(df, usable)
+    if not usable:
+        return bins.withColumns({"reference": F.lit(0.0), "recent": F.lit(0.0)})
+    shares = psi.two_sided(sides.rows, usable).select("feature", "bin", "reference", "recent")
+    return bins.join(shares, ["feature", "bin"], "left").fillna(0.0, ["reference", "recent"])
 
 
 def summary(
     df: DataFrame, new_data_after: float | None = None, psi_threshold: float = S.PSI_HIGH, min_recent: int = S.MIN_NEW_ROWS
 ) -> DataFrame:
     """One row: mode, side sizes, highest index, threshold, alert and the index per feature."""
-    sides = split_sides(drift_features(df), new_data_after, min_recent)
-    edges = psi.bin_edges(sides.reference, S.MONITORED)
-    indexes = index_by_feature(sides, edges, S.MONITORED)
+    return summarised(drift_by_feature(df, new_data_after, S.MONITORED, min_recent), psi_threshold)
+
+
+def summarised(indexes: DataFrame, psi_threshold: float = S.PSI_HIGH) -> DataFrame:
     per_feature = [F.max(F.when(F.col("feature") == c, F.col("psi"))).alias(f"psi_{c}") for c in S.MONITORED]
-    highest = indexes.agg(F.max("psi").alias("max_psi"), *per_feature)
-    sizes = sides.reference.agg(F.count(F.lit(1)).alias("reference_rows")).crossJoin(
-        sides.recent.agg(F.count(F.lit(1)).alias("recent_rows"))
-    )
-    return sizes.crossJoin(highest).select(
-        F.lit(sides.mode).alias("mode"),
-        "reference_rows",
-        "recent_rows",
-        "max_psi",
+    return indexes.agg(
+        F.first("mode").alias("mode"),
+        F.max("reference_rows").alias("reference_rows"),
+        F.max("recent_rows").alias("recent_rows"),
+        F.max("psi").alias("max_psi"),
         F.lit(psi_threshold).alias("psi_threshold"),
-        (F.col("max_psi") >= psi_threshold).alias("alert"),
-        *[f"psi_{c}" for c in S.MONITORED],
+        (F.max("psi") >= psi_threshold).alias("alert"),
+        *per_feature,
     )
 
 
 def live_drift(df: DataFrame, live: DataFrame) -> DataFrame:
     """Index of logged amounts against the reference half, with the number of logged rows."""
     sides = split_sides(drift_features(df))
-    edges = psi.bin_edges(sides.reference, ["amount"])
-    pair = Sides("live", sides.cut, sides.reference, live.select("amount"))
-    recent_rows = live.agg(F.count(F.lit(1)).alias("recent_rows"))
-    return index_by_feature(pair, edges, ["amount"]).crossJoin(recent_rows)
+    reference = sides.reference.select("amount")
+    edges = psi.bin_edges(reference, ["amount"])
+    both = reference.withColumn("is_recent", F.lit(False)).unionByName(
+        live.select("amount").withColumn("is_recent", F.lit(True))
+    )
+    return index_by_feature(Sides("live", sides.cut, both), edges, ["amount"])
 
 
 def drift_by_group(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -130,9 +134,9 @@ def retrain_rule(max_psi: Column, psi_threshold: float = S.PSI_HIGH, enabled: bo
     return F.lit(enabled) & (max_psi >= F.lit(psi_threshold)) & ~busy
 
 
-def report_lines(summary_df: DataFrame, indexes: DataFrame, live: DataFrame | None = None) -> DataFrame:
+def report_lines(indexes: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Drift report as numbered text lines; every input has a few rows."""
-    head = summary_df.select(
+    head = summarised(indexes).select(
         F.inline(
             F.array(
                 F.struct(F.lit(0).alias("line_no"), F.lit("# Drift report").alias("line")),
