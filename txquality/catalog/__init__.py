@@ -6,7 +6,14 @@ import importlib
 
 from txquality.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["mart_queries", "quality_queries", "evaluation_queries", "drift_queries"]
+MODULES = [
+    "mart_queries",
+    "quality_queries",
+    "evaluation_queries",
+    "drift_queries",
+    "search_queries",
+    "run_queries",
+]
 
 for _module in MODULES:
     importlib.import_module(f"txquality.catalog.{_module}")
