@@ -13,6 +13,8 @@ MODULES = [
     "drift_queries",
     "search_queries",
     "run_queries",
+    "version_queries",
+    "metric_queries",
 ]
 
 for _module in MODULES:

@@ -10,7 +10,8 @@ from txquality.plans import runs
 from txquality.sources import star_tables as st
 
 _LOG = """log_ as (
-  select event_id as pos, case when event_type <> 'signup' then 'run-' || user_id else 'legacy-' || event_id end as run_id,
+  select event_id as pos, case when event_type = 'signup' and k < 20 then 'legacy-' || event_id
+                                 else 'run-' || user_id || '-' || cast(cast(ts as date) as varchar) end as run_id,
          strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp,
          case when k < 20 then 'ingest' when k < 40 then 'simulate' when k < 60 then 'manual_retrain'
               when k < 80 then 'dashboard_edit' else 'rollback' end as trigger,
@@ -175,11 +176,7 @@ def version_trigger(spark, sf_dir):
 
 @query(
     "last_run_text",
-    """with days as (
-      select cast(ts as date) as day, arg_max(event_type, event_id) filter (where event_type in ('error', 'purchase')) as last_
-      from events group by 1),
-    users as (select distinct user_id from events),
-    per_user as (
+    """with per_user as (
       select user_id, arg_max(event_type, event_id) filter (where event_type in ('error', 'purchase') and value > 100) as last_
       from events group by 1)
     select user_id, case last_ when 'purchase' then 'SUCCÈS' when 'error' then 'ÉCHEC' else 'AUCUN RUN' end as shown from per_user""",

@@ -45,7 +45,7 @@ INBOUND = f"""inbound as (
   from lineitem)"""
 
 SCORED = f"""scored as (
-  select event_id as id, {LOAD} as load_id, {CLASS} as label,
+  select event_id as id, user_id, {LOAD} as load_id, {CLASS} as label,
          floor((cast(props->>'$.k' as double) / 100.0::double * 0.5::double
                 + least(value / 500.0::double, 1.0::double) * 0.25::double
                 + case when event_type = 'error' then 0.25::double else 0.0::double end) * 2000.0::double)

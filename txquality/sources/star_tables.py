@@ -91,6 +91,7 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.floor((k / F.lit(100.0) * F.lit(0.5) + size * F.lit(0.25) + lift) * F.lit(2000.0)) / F.lit(2000.0)
     return events.select(
         F.col("event_id").alias("id"),
+        "user_id",
         load_of(F.col("ts")).alias("load_id"),
         event_class(F.col("event_type"), F.col("props")).alias("label"),
         score.alias("score"),
@@ -98,7 +99,7 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run log: one record per event, position = event_id; sign-ups carry no run id."""
+    """Run log: one record per event, position = event_id; a run per user and day, some records without run id."""
     events = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     status = (
@@ -118,7 +119,10 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return events.select(
         F.col("event_id").alias("pos"),
-        F.when(kind != "signup", F.concat(F.lit("run-"), F.col("user_id").cast("string"))).alias("run_id"),
+        F.when(
+            ~((kind == "signup") & (k < 20)),
+            F.concat_ws("-", F.lit("run"), F.col("user_id").cast("string"), F.col("ts").cast("date").cast("string")),
+        ).alias("run_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         trigger.alias("trigger"),
         status.alias("status"),
