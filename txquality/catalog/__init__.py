@@ -15,6 +15,8 @@ MODULES = [
     "run_queries",
     "version_queries",
     "metric_queries",
+    "model_queries",
+    "stream_queries",
 ]
 
 for _module in MODULES:

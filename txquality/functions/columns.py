@@ -65,16 +65,20 @@ def micros(ts: Column) -> Column:
     return day + minute + second
 
 
-def hash32(*parts: Column | str | int) -> Column:
-    """32-bit number from md5 of the parts joined with ``:``; a pure function of the parts."""
+def hashed(digits: int, *parts: Column | str | int) -> Column:
+    """Number from the first hexadecimal digits of md5 over the parts joined with ``:``; depends on the parts alone."""
     columns = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in columns]).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+
+
+def hash32(*parts: Column | str | int) -> Column:
+    return hashed(8, *parts)
 
 
 def uniform(*parts: Column | str | int) -> Column:
-    """Uniform number in (0, 1) from :func:`hash32`."""
-    return (hash32(*parts).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    """Uniform number in (0, 1) with 52 random bits."""
+    return (hashed(13, *parts).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def standard_normal(*parts: Column | str | int) -> Column:
