@@ -14,8 +14,8 @@ Edges = dict[str, list[float] | None]
 
 
 def quantile_levels(bins: int = S.PSI_BINS) -> list[float]:
-    """Evenly spaced levels 0..1, computed as step * i like numerical libraries do."""
-    return [i * (1.0 / bins) for i in range(bins)] + [1.0]
+    """Evenly spaced levels 0..1 with the rounding that data-frame libraries give them: step * i, by way of per cent."""
+    return [i * (1.0 / bins) * 100 / 100 for i in range(bins)] + [1.0]
 
 
 def distinct_quantiles(reference: DataFrame, columns: list[str], bins: int = S.PSI_BINS) -> dict[str, list[float]]:
