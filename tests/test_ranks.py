@@ -46,29 +46,24 @@ def test_dense_index_closes_gaps(spark):
     assert [r["n"] for r in got] == list(range(len(got)))
 
 
-@pytest.mark.parametrize("accuracy", [None, 20, 100])
-def test_exact_quantiles_equal_numpy(skewed, accuracy):
-    levels = psi.quantile_levels()
-    df = skewed.withColumn("w", F.ln(F.col("v") + 1))
-    got = ranks.exact_quantiles(df, ["v", "w"], levels, accuracy)
+@pytest.mark.parametrize("order_limit, cells", [(10**6, 4096), (500, 16), (5, 4)])
+def test_exact_quantiles_equal_numpy(skewed, monkeypatch, order_limit, cells):
+    """Same numbers whether the column is ordered at once or narrowed down in several rounds."""
+    monkeypatch.setattr(ranks, "CELLS", cells)
+    df = skewed.withColumn("w", F.ln(F.col("v") + 1)).withColumn("none", F.lit(None).cast("double"))
+    got = ranks.exact_quantiles(df, ["v", "w", "none"], psi.quantile_levels(), order_limit)
     pdf = df.toPandas()
     for c in ("v", "w"):
         assert np.array_equal(got[c], pd.Series(pdf[c]).quantile(np.linspace(0, 1, 11)).values)
+    assert got["none"] == []
 
 
-def test_quantile_search_recovers_from_wrong_brackets(skewed, monkeypatch):
-    """When no bracket holds the wanted rank the search is repeated over the whole column."""
-    real = ranks._bracket_table
-    seen = []
-
-    def wrong_first(df, columns, brackets):
-        seen.append(1)
-        return real(df, columns, brackets if len(seen) > 1 else {c: [(1e9, 2e9)] for c in columns})
-
-    monkeypatch.setattr(ranks, "_bracket_table", wrong_first)
-    got = ranks.exact_quantiles(skewed, ["v"], [0.5], accuracy=50)
-    assert got["v"][0] == skewed.toPandas()["v"].median()
-    assert len(seen) == 2
+def test_cuts_are_balanced_despite_a_hot_value(skewed):
+    df = skewed.filter("v is not null")
+    cuts = ranks.balanced_cuts(df, "v", 10)
+    sizes = ranks.with_key_buckets(df, "v", 10).groupBy("_bucket").count().toPandas()["count"].sort_values()
+    assert cuts == sorted(set(cuts)) and 10.0 in cuts
+    assert sizes.iloc[-1] < 2100 and sizes.iloc[-2] <= 2 * df.count() / 10
 
 
 def test_split_is_exact_disjoint_and_repeatable(spark, skewed):

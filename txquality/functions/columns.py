@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from txquality import schema as S
 
@@ -59,10 +59,13 @@ def day_range(time: Column, first_day: int | None, last_day: int | None) -> Colu
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp as displayed, whatever the session time zone."""
-    day = F.unix_date(ts.cast("date")).cast("long") * F.lit(86_400_000_000)
-    minute = (F.hour(ts) * 60 + F.minute(ts)).cast("long") * F.lit(60_000_000)
-    second = (F.extract(F.lit("SECOND"), ts) * F.lit(1_000_000)).cast("long")
-    return day + minute + second
+    instant = F.unix_micros(ts.cast("timestamp"))
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"):
+        return instant
+    day = F.unix_date(ts.cast("date")).cast("long") * F.lit(86_400)
+    second = (F.hour(ts) * 60 + F.minute(ts)) * 60 + F.second(ts)
+    return (day + second) * F.lit(1_000_000) + F.pmod(instant, F.lit(1_000_000))
 
 
 def hashed(digits: int, *parts: Column | str | int) -> Column:

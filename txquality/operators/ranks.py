@@ -13,22 +13,77 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_ROWS = 1_000_000
 MAX_BUCKETS = 10_000
+CELLS = 4096
+REFINEMENTS = 3
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
     return max(1, min(MAX_BUCKETS, math.ceil(rows / bucket_rows)))
 
 
+def _cell_counts(df: DataFrame, intervals: dict[str, list[tuple[float, float]]], cells: int) -> dict:
+    """Rows per equal-width cell of closed, disjoint value intervals: {(column, interval): [(n, min, max), ...]}.
+
+    One scan for all columns. Counts are combined before the shuffle and at most ``cells`` rows per interval come back,
+    each with the smallest and largest value seen, so later bounds are real values and no rounding is involved.
+    """
+    parts = []
+    for name, spans in intervals.items():
+        value = F.col(name).cast("double")
+        number = F.lit(None).cast("int")
+        cell = F.lit(None).cast("int")
+        for i, (low, high) in enumerate(spans):
+            inside = (value >= F.lit(low)) & (value <= F.lit(high))
+            width = (high - low) / cells or 1.0
+            index = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(cells - 1)).cast("int")
+            number = F.when(inside, F.lit(i)).otherwise(number)
+            cell = F.when(inside, index).otherwise(cell)
+        parts.append(
+            F.struct(F.lit(name).alias("feature"), number.alias("span"), cell.alias("cell"), value.alias("v"))
+        )
+    counted = (
+        df.select(F.inline(F.array(*parts)))
+        .filter(F.col("span").isNotNull())
+        .groupBy("feature", "span", "cell")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
+    found: dict = {}
+    for row in sorted(counted.collect(), key=lambda r: (r["feature"], r["span"], r["cell"])):
+        found.setdefault((row["feature"], row["span"]), []).append((row["n"], row["low"], row["high"]))
+    return found
+
+
+def balanced_cuts(df: DataFrame, key: str, buckets: int) -> list[float]:
+    """Cut points that leave about equally many rows between them; cells with too many rows are looked at again."""
+    span = df.agg(F.min(F.col(key).cast("double")), F.max(F.col(key).cast("double")), F.count(key)).first()
+    if not span[2] or span[0] == span[1]:
+        return []
+    target = span[2] / buckets
+    cells = _cell_counts(df, {key: [(span[0], span[1])]}, CELLS)[(key, 0)]
+    for _ in range(REFINEMENTS):
+        heavy = [(low, high) for n, low, high in cells if n > 2 * target and low < high]
+        if not heavy:
+            break
+        finer = _cell_counts(df, {key: heavy}, CELLS)
+        cells = sorted(
+            [c for c in cells if (c[1], c[2]) not in heavy] + [c for part in finer.values() for c in part],
+            key=lambda c: c[1],
+        )
+    cuts, filled = [], 0
+    for n, low, _ in cells:
+        if filled and filled + n > target:
+            cuts.append(low)
+            filled = 0
+        filled += n
+    return cuts
+
+
 def with_key_buckets(df: DataFrame, key: str, buckets: int, name: str = "_bucket") -> DataFrame:
     """Number rows by the interval of ``key`` they fall in; intervals hold about equally many rows."""
-    if buckets <= 1:
-        return df.withColumn(name, F.lit(0))
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(key, probabilities, 1.0 / (4 * buckets))))
+    cuts = balanced_cuts(df, key, buckets) if buckets > 1 else []
     if not cuts:
         return df.withColumn(name, F.lit(0))
-    splits = [-math.inf, *cuts, math.inf]
-    bucketizer = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep")
+    bucketizer = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol=name, handleInvalid="keep")
     return bucketizer.transform(df).withColumn(name, F.col(name).cast("int"))
 
 
@@ -150,110 +205,86 @@ def lerp(a: float, b: float, t: float) -> float:
     return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
-def _bracket_table(df: DataFrame, columns: list[str], brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    """(feature, zone, value, n): rows inside a bracket keep their value, rows between brackets only their zone."""
-    parts = []
-    for name in columns:
-        value = F.col(name).cast("double")
-        zone = F.lit(2 * len(brackets[name]))
-        inside = F.lit(False)
-        for i in reversed(range(len(brackets[name]))):
-            low, high = brackets[name][i]
-            zone = F.when(value < F.lit(low), F.lit(2 * i)).when(value <= F.lit(high), F.lit(2 * i + 1)).otherwise(zone)
-            inside = inside | ((value >= F.lit(low)) & (value <= F.lit(high)))
-        parts.append(
-            F.struct(F.lit(name).alias("feature"), zone.alias("zone"), F.when(inside, value).alias("value"), value.alias("_v"))
-        )
-    return (
-        df.select(F.inline(F.array(*parts)))
-        .filter(F.col("_v").isNotNull())
-        .groupBy("feature", "zone", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int | None = None
+    df: DataFrame, columns: list[str], probabilities: list[float], order_limit: int = BUCKET_ROWS
 ) -> dict[str, list[float]]:
-    """Exact linear quantiles of several columns in two scans; only the quantiles reach the driver.
+    """Exact linear quantiles of several columns; only counts and the quantiles reach the driver.
 
-    The first scan brackets every wanted rank with approximate quantiles. The second counts rows between brackets and
-    orders only the distinct values inside them, about four rows in ``accuracy`` per rank. A rank that turns out to lie
-    outside its bracket is searched again over the whole column, so the answer is exact in any case.
+    A column is narrowed down to the cells that hold the wanted ranks by counting rows in equal-width cells, again and
+    again while these cells hold more than ``order_limit`` rows. Then only the rows of these cells are collapsed to
+    distinct values and ordered. Cells with one value need no ordering, however many rows share it.
     """
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    sizes = {c: counts[c] for c in columns}
-    wanted_columns = [c for c in columns if sizes[c]]
-    result: dict[str, list[float]] = {c: [] for c in columns if not sizes[c]}
-    if not wanted_columns:
-        return result
-    largest = max(sizes.values())
-    accuracy = accuracy or max(10_000, min(1_000_000, largest // 1_000_000))
-    margin = 2.0 / accuracy
-    if largest <= accuracy:
-        brackets = {c: [(-math.inf, math.inf)] for c in wanted_columns}
-    else:
-        spread = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-margin, margin)})
-        approx = df.agg(
-            *[F.percentile_approx(F.col(c).cast("double"), spread, accuracy).alias(c) for c in wanted_columns]
-        ).first()
-        brackets = {}
-        for c in wanted_columns:
-            at = dict(zip(spread, approx[c]))
-            pairs = sorted(
-                (
-                    -math.inf if p - margin <= 0 else at[p - margin],
-                    math.inf if p + margin >= 1 else at[p + margin],
-                )
-                for p in probabilities
-            )
-            merged = [pairs[0]]
-            for low, high in pairs[1:]:
-                if low <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-                else:
-                    merged.append((low, high))
-            brackets[c] = merged
-    found = _order_statistics(df, wanted_columns, brackets, sizes, probabilities)
-    lost = [c for c in wanted_columns if any(v is None for v in found[c].values())]
-    if lost:
-        found.update(_order_statistics(df, lost, {c: [(-math.inf, math.inf)] for c in lost}, sizes, probabilities))
-    for c in wanted_columns:
-        values = []
+    facts = df.agg(
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in columns],
+        *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in columns],
+    ).first()
+    sizes = {c: facts[f"n_{c}"] for c in columns}
+    ranks = {c: sorted({r for p in probabilities for r in quantile_ranks(sizes[c], p)[:2]}) for c in columns if sizes[c]}
+    # Spans per column: (low, high, rows below, rows inside), the parts of the column that hold wanted ranks.
+    spans = {c: [(facts[f"lo_{c}"], facts[f"hi_{c}"], 0, sizes[c])] for c in ranks}
+    for _ in range(REFINEMENTS):
+        wide = {
+            c: [s for s in parts if s[0] < s[1]]
+            for c, parts in spans.items()
+            if sum(s[3] for s in parts if s[0] < s[1]) > order_limit
+        }
+        if not wide:
+            break
+        counted = _cell_counts(df, {c: [(s[0], s[1]) for s in parts] for c, parts in wide.items()}, CELLS)
+        for c, parts in wide.items():
+            kept = [s for s in spans[c] if s[0] == s[1]]
+            for i, (_, _, below, _) in enumerate(parts):
+                for n, low, high in counted[(c, i)]:
+                    if any(below <= r < below + n for r in ranks[c]):
+                        kept.append((low, high, below, n))
+                    below += n
+            spans[c] = kept
+    found = _order_statistics(df, spans, ranks)
+    result: dict[str, list[float]] = {c: [] for c in columns}
+    for c in ranks:
         for p in probabilities:
             low, high, t = quantile_ranks(sizes[c], p)
-            values.append(lerp(found[c][low], found[c][high], t))
-        result[c] = values
+            result[c].append(lerp(found[c][low], found[c][high], t))
     return result
 
 
-def _order_statistics(df, columns, brackets, sizes, probabilities) -> dict[str, dict[int, float]]:
-    table = _bracket_table(df, columns, brackets)
-    inner = Window.partitionBy("feature", "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole_range = [(-math.inf, math.inf)]
-    if all(brackets[c] == whole_range for c in columns):
-        ranked = table.withColumn("_cum", F.sum("n").over(inner))
-    else:
-        zones = table.groupBy("feature", "zone").agg(F.sum("n").alias("_total"))
-        before = Window.partitionBy("feature").orderBy("zone").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = zones.select("feature", "zone", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_off"))
-        ranked = (
-            table.filter(F.col("value").isNotNull())
-            .join(F.broadcast(offsets), ["feature", "zone"])  # at most two zones per wanted rank and column, plus one
-            .withColumn("_cum", F.sum("n").over(inner) + F.col("_off"))
-        )
-    ranks = {c: sorted({r for p in probabilities for r in quantile_ranks(sizes[c], p)[:2]}) for c in columns}
+def _order_statistics(df: DataFrame, spans: dict, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """Values at the wanted ranks, from the rows inside the spans that hold more than one value."""
+    found: dict[str, dict[int, float]] = {c: {} for c in spans}
+    open_spans: dict[str, list] = {}
+    for c, parts in spans.items():
+        for low, high, below, n in parts:
+            if low == high:
+                found[c].update({r: low for r in ranks[c] if below <= r < below + n})
+            elif any(below <= r < below + n for r in ranks[c]):
+                open_spans.setdefault(c, []).append((low, high, below))
+    if not open_spans:
+        return found
+    parts = []
+    for c, bounds in open_spans.items():
+        value = F.col(c).cast("double")
+        offset = F.lit(None).cast("long")
+        for low, high, below in bounds:
+            offset = F.when((value >= F.lit(low)) & (value <= F.lit(high)), F.lit(below).cast("long")).otherwise(offset)
+        parts.append(F.struct(F.lit(c).alias("feature"), offset.alias("below"), value.alias("value")))
+    table = (
+        df.select(F.inline(F.array(*parts)))
+        .filter(F.col("below").isNotNull())
+        .groupBy("feature", "below", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    inner = Window.partitionBy("feature", "below").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = table.withColumn("cum", F.sum("n").over(inner) + F.col("below"))
     wanted = F.lit(False)
-    for c in columns:
-        # Ranks r with cum - n <= r < cum: the distinct value that holds the wanted row.
+    for c in open_spans:
+        # Wanted ranks r with cum - n <= r < cum: the distinct value that holds the row of that rank.
         at = F.exists(
             F.array(*[F.lit(r).cast("long") for r in ranks[c]]),
-            lambda r: (F.col("_cum") > r) & (F.col("_cum") - F.col("n") <= r),
+            lambda r: (F.col("cum") > r) & (F.col("cum") - F.col("n") <= r),
         )
         wanted = wanted | ((F.col("feature") == c) & at)
-    found: dict[str, dict[int, float]] = {c: {r: None for r in ranks[c]} for c in columns}
-    for row in ranked.filter(wanted).select("feature", "value", "n", "_cum").collect():  # one row per wanted rank at most
-        for r in ranks[row["feature"]]:
-            if row["_cum"] - row["n"] <= r < row["_cum"]:
-                found[row["feature"]][r] = row["value"]
+    for row in ranked.filter(wanted).select("feature", "value", "n", "cum").collect():  # one row per wanted rank at most
+        c = row["feature"]
+        found[c].update({r: row["value"] for r in ranks[c] if row["cum"] - row["n"] <= r < row["cum"]})
     return found
