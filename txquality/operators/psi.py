@@ -93,8 +93,12 @@ def two_sided(rows: DataFrame, edges: Edges) -> DataFrame:
 
     ``rows`` carries a boolean ``is_recent``. Only bins with rows appear; an empty pair of bins adds nothing to the index.
     """
-    counts = binned_counts(rows, edges, ["is_recent"])
-    sides = counts.groupBy("feature", "bin").agg(
+    bins = [bin_of(F.col(c), e).alias(f"_bin_{c}") for c, e in edges.items()]
+    together = rows.select("is_recent", *bins).groupBy("is_recent", *[f"_bin_{c}" for c in edges]).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    long = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_bin_{c}").alias("bin")) for c in edges])
+    sides = together.select("is_recent", "n", F.inline(long)).groupBy("feature", "bin").agg(
         F.sum(F.when(~F.col("is_recent"), F.col("n")).otherwise(0)).alias("n_ref"),
         F.sum(F.when(F.col("is_recent"), F.col("n")).otherwise(0)).alias("n_cur"),
     )
