@@ -58,6 +58,13 @@ def test_exact_quantiles_equal_numpy(skewed, monkeypatch, order_limit, cells):
     assert got["none"] == []
 
 
+def test_close_gaps_equals_dense_index(spark):
+    gone = spark.range(1000).filter("id % 7 = 0 or id between 200 and 420")
+    kept = spark.range(1000).join(gone, "id", "left_anti")
+    got = ranks.close_gaps(kept, gone, "id", "n", 1000, bucket_rows=50).orderBy("id").collect()
+    assert [r["n"] for r in got] == list(range(len(got)))
+
+
 def test_cuts_are_balanced_despite_a_hot_value(skewed):
     df = skewed.filter("v is not null")
     cuts = ranks.balanced_cuts(df, "v", 10)

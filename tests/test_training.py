@@ -73,12 +73,12 @@ def test_stream_restart_counts_a_batch_once(spark, tmp_path):
 
     once()
     once()
-    assert spark.read.parquet(f"{out}/accepted").count() == 60
+    assert jobs.admitted(spark, out).count() == 60
     rows.filter("id >= 60").withColumn("amount", F.when(F.col("id") == 60, -1.0).otherwise(F.col("amount"))).coalesce(
         1
     ).write.mode("append").parquet(source)
     once()
-    assert spark.read.parquet(f"{out}/accepted").count() == 119
-    assert spark.read.parquet(f"{out}/refused").count() == 1
+    assert jobs.admitted(spark, out).count() == 119
+    assert jobs.refused(spark, out).first()["reasons"] == ["amount_negative"]
     states = jobs.pending_state(spark, out, 100).orderBy("batch_id").collect()
     assert [(r["row_count"], r["triggered"]) for r in states] == [(60, False), (59, True)]

@@ -16,7 +16,8 @@ NEW_DATA_CUT = 20.0 * S.SECONDS_PER_DAY
 
 
 def _rows(spark, sf_dir):
-    return st.raw_core(spark, sf_dir).select(F.col("time").alias("time_seconds"), "amount", "load_id")
+    raw = st.raw_core(spark, sf_dir, st.clock_start(spark, sf_dir))
+    return raw.select(F.col("time").alias("time_seconds"), "amount", "load_id")
 
 
 _LEVELS = ", ".join(f"({i}, '{p!r}'::double)" for i, p in enumerate(psi.quantile_levels()))

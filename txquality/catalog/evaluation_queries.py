@@ -9,7 +9,7 @@ from txquality.catalog import sql as Q
 from txquality.catalog.registry import query
 from txquality.functions import columns as C
 from txquality.plans import evaluation, marts, splits
-from txquality.sources import star_tables as st
+from txquality.sources import files, star_tables as st
 
 _SPLIT = f"""{Q.CORE}, sized as (
   select class, count(*) as n from tx group by 1),
@@ -109,6 +109,15 @@ def confusion_at_threshold(spark, sf_dir):
     return evaluation.confusion(st.scored_rows(spark, sf_dir), S.DEFAULT_SCORE_THRESHOLD)
 
 
+@query(
+    "score_decision",
+    f"with {Q.SCORED} select id, {Q.rounded('score', 6)} as fraud_probability, score >= 0.4998 as decision from scored",
+)
+def score_decision(spark, sf_dir):
+    scored = st.scored_rows(spark, sf_dir).select("id", F.col("score").alias("probability_fraud"))
+    return files.rounded_predictions(scored, S.DEFAULT_SCORE_THRESHOLD).drop("probability_fraud")
+
+
 @query("pr_curve", f"with {_CURVE} select score, tp, fp, p as precision, r as recall from rated")
 def pr_curve(spark, sf_dir):
     return evaluation.pr_points(evaluation.curve(st.scored_rows(spark, sf_dir)))

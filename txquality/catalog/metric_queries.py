@@ -25,8 +25,14 @@ def _status(spark, sf_dir):
         F.max((F.col("status") == "completed").cast("int")).alias("last_success"),
         F.max(C.micros(F.col("timestamp").cast("timestamp_ntz")) / F.lit(1e6)).alias("last_epoch"),
     )
-    row = sizes.crossJoin(pending).crossJoin(running).crossJoin(last)  # one row each
-    return row.withColumn("threshold", F.lit(VOLUME_THRESHOLD))
+    return sizes.select(
+        "dataset_rows",
+        pending.scalar().alias("pending"),
+        running.scalar().alias("running"),
+        last.select("last_success").scalar().alias("last_success"),
+        last.select("last_epoch").scalar().alias("last_epoch"),
+        F.lit(VOLUME_THRESHOLD).alias("threshold"),
+    )
 
 
 def _gauges(spark, sf_dir):

@@ -105,10 +105,10 @@ def _loads(spark, sf_dir):
 def _last_load(spark, sf_dir):
     """Last good load with the rows present once it had run."""
     loads = _loads(spark, sf_dir)
-    last = files.last_successful_load(loads)
-    good = last.join(loads.select("load_id", F.col("inserted_at").alias("_at")), "load_id")
-    return good.join(loads.select("inserted_at", "row_count"), F.col("inserted_at") <= F.col("_at")).groupBy("load_id").agg(
-        F.sum("row_count").alias("loaded_rows")
+    last = loads.filter("status = 0").agg(F.max("inserted_at")).scalar()
+    return loads.filter(F.col("inserted_at") <= last).agg(
+        F.max_by("load_id", F.when(F.col("status") == 0, F.col("inserted_at"))).alias("load_id"),
+        F.sum("row_count").alias("loaded_rows"),
     )
 
 

@@ -25,8 +25,7 @@ def _folders(spark, name):
 
 def _event_stream(spark, sf_dir):
     """Events as a stream of contract rows. The start of the clock is a fact of the dataset, read once."""
-    events = st.table(spark, sf_dir, "events")
-    start = events.agg(F.min(C.micros(F.col("ts")))).first()[0]
+    events, start = st.table(spark, sf_dir, "events"), st.clock_start(spark, sf_dir)
     stream = jobs.file_stream(spark, sf_dir, events.schema, "events.parquet")
     return stream.select(
         "ts",
@@ -73,7 +72,7 @@ def stream_windows(spark, sf_dir):
 )
 def stream_psi(spark, sf_dir):
     out, checkpoint = _folders(spark, "psi")
-    batch = st.raw_core(spark, sf_dir).select(F.col("time").alias("time_seconds"), "amount")
+    batch = st.raw_core(spark, sf_dir, st.clock_start(spark, sf_dir)).select(F.col("time").alias("time_seconds"), "amount")
     reference = drift.split_sides(drift.drift_features(batch)).reference
     edges = psi.bin_edges(reference, S.MONITORED)
     jobs.drift_counts(_event_stream(spark, sf_dir), edges, "load_id", out, checkpoint).awaitTermination()
@@ -106,7 +105,7 @@ def _ingested(spark, sf_dir):
     "where l_orderkey >= 3 and l_extendedprice >= 950 and l_linenumber <> 5",
 )
 def stream_ingest(spark, sf_dir):
-    accepted = spark.read.parquet(f"{_ingested(spark, sf_dir)}/accepted")
+    accepted = jobs.admitted(spark, _ingested(spark, sf_dir))
     return accepted.select("l_orderkey", "l_linenumber", "amount")
 
 

@@ -158,6 +158,32 @@ def dense_index(df: DataFrame, key: str, name: str, rows: int | None = None, buc
     )
 
 
+def close_gaps(
+    kept: DataFrame, gone: DataFrame, key: str, name: str, rows: int, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Dense number for the rows left of ids 0..rows-1 after the distinct ids in ``gone`` were taken out.
+
+    Offsets need only the removed ids: a bucket starts at its first id less the ids removed before it.
+    """
+    width = max(bucket_rows, math.ceil(rows / MAX_BUCKETS), 1)
+    bucket = F.floor(F.col(key) / F.lit(width)).cast("int")
+    spark = kept.sparkSession
+    removed = gone.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    every = spark.range(math.ceil(rows / width)).select(F.col("id").cast("int").alias("_bucket"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_BUCKETS rows
+    offsets = every.join(removed, "_bucket", "left").select(
+        "_bucket",
+        (F.col("_bucket").cast("long") * F.lit(width) - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_off"),
+    )
+    inner = Window.partitionBy("_bucket").orderBy(key)
+    return (
+        kept.withColumn("_bucket", bucket)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn(name, F.row_number().over(inner) - 1 + F.col("_off"))
+        .drop("_bucket", "_off")
+    )
+
+
 def smallest_per_class(
     df: DataFrame, class_col: str, hash_col: str, id_col: str, sizes: dict, hash_bits: int = 32, bucket_bits: int = 16
 ) -> Column:

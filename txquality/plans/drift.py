@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from txquality import schema as S
 from txquality.functions import columns as C
 from txquality.operators import psi, ranks, sequences
+from txquality.sources import files
 
 
 def drift_features(df: DataFrame) -> DataFrame:
@@ -46,17 +48,18 @@ def split_sides(df: DataFrame, new_data_after: float | None = None, min_recent:
 def index_by_feature(sides: Sides, edges: psi.Edges, features: list[str]) -> DataFrame:
     """(feature, psi, level, verdict, reference_rows, recent_rows); a feature too uniform to be cut has index zero."""
     usable = {c: edges[c] for c in features if edges.get(c)}
-    frame = sides.rows.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     if not usable:
         sizes = sides.rows.agg(
             F.count_if(~F.col("is_recent")).alias("reference_rows"), F.count_if(F.col("is_recent")).alias("recent_rows")
         )
-        return psi.with_level(frame.crossJoin(sizes).withColumn("psi", F.lit(0.0)))
+        names = F.explode(F.array(*[F.lit(c) for c in features])).alias("feature")
+        return psi.with_level(sizes.select(names, F.lit(0.0).alias("psi"), "reference_rows", "recent_rows"))
     indexes = psi.psi_of(psi.two_sided(sides.rows, usable), ["feature", "reference_rows", "recent_rows"])
     if len(usable) == len(features):
         return psi.with_level(indexes)
     sizes = indexes.agg(F.max("reference_rows").alias("reference_rows"), F.max("recent_rows").alias("recent_rows"))
-    flat = frame.filter(~F.col("feature").isin(list(usable))).crossJoin(sizes).withColumn("psi", F.lit(0.0))
+    names = F.explode(F.array(*[F.lit(c) for c in features if c not in usable])).alias("feature")
+    flat = sizes.select(names, F.lit(0.0).alias("psi"), "reference_rows", "recent_rows")
     return psi.with_level(indexes.unionByName(flat))
 
 
@@ -129,6 +132,32 @@ def history(checks: DataFrame, fingerprint: str, order: list[str], bucket: Colum
     return sequences.changes_only(checks, fingerprint, order, bucket)
 
 
+def record_check(summary_df: DataFrame, fingerprint: str, source: str, path: str) -> bool:
+    """Append a check to the history unless the newest record is of the same dataset version; tells whether it did."""
+    spark = summary_df.sparkSession
+    try:
+        log = files.read_jsonl(spark, path, S.DRIFT_SCHEMA)
+    except AnalysisException:
+        log = spark.createDataFrame([], S.DRIFT_SCHEMA)
+    last = log.agg(F.max_by("fingerprint", "timestamp")).first()[0]
+    if last == fingerprint:
+        return False
+    psi_map = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in S.MONITORED]), F.array(*[F.col(f"psi_{c}") for c in S.MONITORED])
+    )
+    record = summary_df.select(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("timestamp"),
+        F.lit(source).alias("source"),
+        F.lit(fingerprint).alias("fingerprint"),
+        "mode",
+        "recent_rows",
+        "max_psi",
+        psi_map.alias("psi"),
+    )
+    files.append_jsonl(record, path)
+    return True
+
+
 def retrain_rule(max_psi: Column, psi_threshold: float = S.PSI_HIGH, enabled: bool = False, busy: Column | None = None) -> Column:
     busy = F.lit(False) if busy is None else busy
     return F.lit(enabled) & (max_psi >= F.lit(psi_threshold)) & ~busy

@@ -220,15 +220,12 @@ def contract_check(df: DataFrame) -> DataFrame:
         aggs.append(F.count_if(F.col(name).isNull()).alias(f"{name}__null"))
         aggs.append((F.count_if(~F.expr(domain)) if domain else F.lit(0).cast("long")).alias(f"{name}__dom"))
     counts = df.agg(*aggs)
-    unique = [c[0] for c in present if c[3]]
-    for name in unique:
-        counts = counts.crossJoin(duplicate_keys(df, name).agg(F.count(F.lit(1)).alias(f"{name}__dup")))
     rows = []
     for name, kind, nullable, is_unique, _, _ in S.CONTRACT:
         known = name in types
         zero = F.lit(0).cast("long")
         nulls = F.col(f"{name}__null") if known and not nullable else zero
-        dup = F.col(f"{name}__dup") if known and is_unique else zero
+        dup = duplicate_keys(df, name).agg(F.count(F.lit(1))).scalar() if known and is_unique else zero
         dom = F.col(f"{name}__dom") if known else zero
         type_ok = F.lit(types.get(name) == kind)
         rows.append(
@@ -275,7 +272,7 @@ def dimensions(df: DataFrame) -> DataFrame:
         F.count_if(F.col("load_id").isNull()).alias("traceability"),
         F.count_if(F.col("time_seconds") < 0).alias("uniformity"),
     )
-    duplicates = duplicate_keys(df, "transaction_id").agg(F.count(F.lit(1)).alias("uniqueness"))
+    duplicates = duplicate_keys(df, "transaction_id").agg(F.count(F.lit(1))).scalar()
     names = [
         "completeness",
         "validity",
@@ -306,7 +303,7 @@ def dimensions(df: DataFrame) -> DataFrame:
                 status.alias("status"),
             )
         )
-    return counts.crossJoin(duplicates).select(F.inline(F.array(*rows)))
+    return counts.withColumn("uniqueness", duplicates).select(F.inline(F.array(*rows)))
 
 
 def suite_models(raw: DataFrame) -> dict[str, DataFrame]:

@@ -2,10 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from txquality import schema as S
 
+_VERSIONS = (
+    "model string, version int, run_id string, "
+    + ", ".join(f"{k} double" for k in S.METRIC_KEYS)
+    + ", threshold double, production_metric double, promoted boolean"
+)
+
+
+@dataclass(frozen=True)
+class ModelTable:
+    """Training runs and model versions as an append-only table; stages are derived from it, never rewritten."""
+
+    spark: SparkSession
+    path: str
+
+    def versions(self) -> DataFrame:
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], _VERSIONS)
+
+    def register(self, run: DataFrame, model: str, run_id: str, promote: bool = True) -> dict:
+        """Append a one-row run as the next version of ``model``; promoted when it beats production and may."""
+        known = self.versions().filter(F.col("model") == model)
+        state = known.agg(
+            F.coalesce(F.max("version"), F.lit(0)).alias("last"),
+            F.max_by("pr_auc", F.when(F.col("promoted"), F.col("version"))).alias("production"),
+        ).first()
+        production = F.lit(state["production"]).cast("double")
+        row = run.select(
+            F.lit(model).alias("model"),
+            F.lit(state["last"] + 1).cast("int").alias("version"),
+            F.lit(run_id).alias("run_id"),
+            *[F.col(k).cast("double").alias(k) for k in S.METRIC_KEYS],
+            "threshold",
+            production.alias("production_metric"),
+            (promote_rule(F.col("pr_auc"), production) & F.lit(promote)).alias("promoted"),
+        )
+        row.coalesce(1).write.mode("append").parquet(self.path)
+        return self.versions().filter((F.col("model") == model) & (F.col("version") == state["last"] + 1)).first().asDict()
+
+    def staged(self) -> DataFrame:
+        return stages(self.versions())
+
 
 def promote_rule(candidate: Column, production: Column) -> Column:
     """Promote the first candidate, and later ones only when strictly better."""

@@ -79,14 +79,17 @@ def train_and_evaluate(name: str, split: DataFrame, features: list[str] | None =
     train, test = split.filter("fold = 'train'"), split.filter("fold = 'test'")
     model = fit(name, train, features, **params)
     result = evaluation.metrics(score(model, test), score="probability_fraud", label=S.TARGET)
-    sizes = split.agg(
-        F.count_if(F.col("fold") == "train").alias("n_train"), F.count_if(F.col("fold") == "test").alias("n_test")
-    )
+    sizes = split.agg(F.count_if(F.col("fold") == "train"), F.count_if(F.col("fold") == "test")).first()
     logged = {**MODEL_PARAMS[name]}
     text_map = F.create_map(*[F.lit(x) for pair in logged.items() for x in pair])
     tag_map = F.create_map(*[F.lit(x) for pair in (tags or {"trained_by": "txquality"}).items() for x in pair])
-    run = result.crossJoin(sizes).select(  # one row each
-        F.lit(name).alias("model"), "n_train", "n_test", *result.columns, text_map.alias("params"), tag_map.alias("tags")
+    run = result.select(
+        F.lit(name).alias("model"),
+        F.lit(sizes[0]).cast("long").alias("n_train"),
+        F.lit(sizes[1]).cast("long").alias("n_test"),
+        "*",
+        text_map.alias("params"),
+        tag_map.alias("tags"),
     )
     return model, run
 

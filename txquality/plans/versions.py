@@ -52,8 +52,10 @@ def changed_rows(base: DataFrame, updates: DataFrame, deletes: DataFrame, fields
 
 def apply_changes(base: DataFrame, updates: DataFrame, deletes: DataFrame, creates: DataFrame, fields: list[str]) -> DataFrame:
     """Rows after the batch, ids dense again: surviving rows keep their order, created rows follow in batch order."""
-    kept = ranks.dense_index(changed_rows(base, updates, deletes, fields), "id", "new_id")
-    survivors = base.count() - deletes.select("id").distinct().count()
+    rows = base.count()
+    gone = deletes.select("id").distinct()
+    survivors = rows - gone.count()
+    kept = ranks.close_gaps(changed_rows(base, updates, deletes, fields), gone, "id", "new_id", rows)
     added = ranks.dense_index(creates, "pos", "new_id").withColumn("new_id", F.col("new_id") + F.lit(survivors))
     columns = [c for c in base.columns if c != "id"]
     renumbered = [F.col("new_id").alias("id"), *columns]
@@ -63,10 +65,16 @@ def apply_changes(base: DataFrame, updates: DataFrame, deletes: DataFrame, creat
 def change_counts(updates: DataFrame, deletes: DataFrame, creates: DataFrame) -> DataFrame:
     """Rows created, updated and deleted, with the summary text. Updates of deleted rows do not count."""
     distinct_deletes = deletes.select("id").distinct()
-    created = creates.agg(F.count(F.lit(1)).alias("rows_created"))
-    updated = updates.join(distinct_deletes, "id", "left_anti").agg(F.count(F.lit(1)).alias("rows_updated"))
-    deleted = distinct_deletes.agg(F.count(F.lit(1)).alias("rows_deleted"))
-    counts = created.crossJoin(updated).crossJoin(deleted)  # one row each
+    kinds = (
+        creates.select(F.lit("c").alias("kind"))
+        .unionByName(updates.select("id").join(distinct_deletes, "id", "left_anti").select(F.lit("u").alias("kind")))
+        .unionByName(distinct_deletes.select(F.lit("d").alias("kind")))
+    )
+    counts = kinds.agg(
+        F.count_if(F.col("kind") == "c").alias("rows_created"),
+        F.count_if(F.col("kind") == "u").alias("rows_updated"),
+        F.count_if(F.col("kind") == "d").alias("rows_deleted"),
+    )
     return counts.withColumn("message", correction_message())
 
 
@@ -81,9 +89,9 @@ def correction_message() -> Column:
 
 def staged_count(updates: DataFrame, deletes: DataFrame, creates: DataFrame) -> DataFrame:
     """Effective number of staged changes: a row edited several times, or edited and deleted, counts once."""
-    touched = updates.select("id").unionByName(deletes.select("id")).distinct().agg(F.count(F.lit(1)).alias("_t"))
-    created = creates.agg(F.count(F.lit(1)).alias("_c"))
-    return touched.crossJoin(created).select((F.col("_t") + F.col("_c")).alias("staged_changes"))
+    touched = updates.select("id").unionByName(deletes.select("id")).distinct()
+    every = touched.unionByName(creates.select(F.lit(None).cast("long").alias("id")))
+    return every.agg(F.count(F.lit(1)).alias("staged_changes"))
 
 
 def changed_fields(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:

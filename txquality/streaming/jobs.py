@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from txquality.functions import columns as C
 from txquality.operators import admission, psi
-from txquality.plans import drift, marts, runs, training
+from txquality.plans import drift, runs, training
 from txquality.sources import files
 
 
@@ -36,25 +36,31 @@ def _start(df: DataFrame, checkpoint: str, mode: str, handle: Callable[[DataFram
 
 
 def ingest(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Admit rows, keep refused ones apart, and record the size of every batch."""
+    """Write every batch once, admitted and refused rows in folders of their own; both keep their reasons."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         judged = admission.judged(batch)
-        judged.filter("is_valid").drop("reasons", "is_valid").write.mode("overwrite").parquet(
-            f"{target}/accepted/batch_id={batch_id}"
-        )
-        judged.filter(~F.col("is_valid")).write.mode("overwrite").parquet(f"{target}/refused/batch_id={batch_id}")
-        size = batch.sparkSession.read.parquet(f"{target}/accepted/batch_id={batch_id}").agg(
-            F.count(F.lit(1)).alias("row_count")
-        )
-        size.coalesce(1).write.mode("overwrite").parquet(f"{target}/batches/batch_id={batch_id}")
+        judged.write.mode("overwrite").partitionBy("is_valid").parquet(f"{target}/batch_id={batch_id}")
 
     return _start(rows, checkpoint, "append", handle)
 
 
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).withColumn("is_valid", F.col("is_valid").cast("boolean"))
+
+
+def admitted(spark: SparkSession, target: str) -> DataFrame:
+    return ingested(spark, target).filter("is_valid").drop("reasons", "is_valid")
+
+
+def refused(spark: SparkSession, target: str) -> DataFrame:
+    return ingested(spark, target).filter("not is_valid")
+
+
 def pending_state(spark: SparkSession, target: str, threshold: int) -> DataFrame:
-    """Pending counter and trigger decision after every batch, replayed from the recorded batch sizes."""
-    batches = spark.read.parquet(f"{target}/batches").withColumn("dataset", F.lit("transactions"))
+    """Pending counter and trigger decision after every batch, replayed from the admitted rows of each batch."""
+    sizes = ingested(spark, target).groupBy("batch_id").agg(F.count_if(F.col("is_valid")).alias("row_count"))
+    batches = sizes.withColumn("dataset", F.lit("transactions"))
     return runs.volume_trigger(batches, "dataset", "batch_id", "row_count", threshold)
 
 
@@ -133,5 +139,19 @@ def drift_from_counts(counts: DataFrame, reference: DataFrame, edges: psi.Edges,
     return psi.psi_of(right.join(F.broadcast(left), ["feature", "bin"]), [group, "feature"])
 
 
-def features_stream(raw: DataFrame) -> DataFrame:
-    return marts.features_from_raw(raw)
+def metric_samples(rows: DataFrame, series: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Gauge rows of every micro-batch as a long table: rows seen, frauds and largest amount per series.
+
+    The folder of a batch is overwritten when the batch is repeated. Alert rules run over this table.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sizes = batch.groupBy(F.col(series).cast("string").alias("series")).agg(
+            F.count(F.lit(1)).alias("batch_rows"), F.sum("is_fraud").alias("batch_frauds"), F.max("amount").alias("max_amount")
+        )
+        names = ["batch_rows", "batch_frauds", "max_amount"]
+        long = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+        samples = sizes.select(F.current_timestamp().alias("ts"), "series", F.inline(long))
+        samples.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return _start(rows, checkpoint, "append", handle)
