@@ -65,6 +65,14 @@ def test_close_gaps_equals_dense_index(spark):
     assert [r["n"] for r in got] == list(range(len(got)))
 
 
+def test_quantiles_leave_out_nan_and_bear_infinity(spark):
+    values = [float(i) for i in range(40)] + [float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = ranks.exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 1.0], order_limit=5)
+    assert got["v"] == [0.0, 10.0, 20.0, float("inf")]
+    assert ranks.running_totals(df.filter("v is not null").withColumn("n", F.lit(1)), "v", ["n"], buckets=4).count() == 42
+
+
 def test_cuts_are_balanced_despite_a_hot_value(skewed):
     df = skewed.filter("v is not null")
     cuts = ranks.balanced_cuts(df, "v", 10)
@@ -102,8 +110,9 @@ def test_class_sizes_of_the_known_split():
 def test_changes_only_across_buckets(spark):
     rows = [(i, v) for i, v in enumerate("aabbbacc")] + [(30, "c"), (31, None), (50, None), (51, "c")]
     df = spark.createDataFrame(rows, "pos long, f string")
-    kept = sequences.changes_only(df, "f", ["pos"], F.floor(F.col("pos") / 3)).orderBy("pos").collect()
-    assert [r["pos"] for r in kept] == [0, 2, 5, 6, 31, 51]
+    for buckets in (1, 4):
+        kept = sequences.changes_only(df, "f", "pos", buckets).orderBy("pos").collect()
+        assert [r["pos"] for r in kept] == [0, 2, 5, 6, 31, 51]
 
 
 def test_counter_with_reset(spark):

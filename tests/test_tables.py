@@ -64,6 +64,15 @@ def test_checksum_ignores_order_and_sees_changes(spark, tx):
     assert files.checksum(tx.unionByName(tx.limit(1)).unionByName(tx.limit(1)), ["id", "amount"]).first() != a
 
 
+def test_file_fingerprint_follows_the_files(spark, tmp_path):
+    path = str(tmp_path / "f")
+    spark.range(5).coalesce(1).write.parquet(path)
+    first = files.file_fingerprint(spark.read.parquet(path)).first()
+    assert files.file_fingerprint(spark.read.parquet(path)).first() == first and first["file_count"] == 1
+    spark.range(5).coalesce(1).write.mode("append").parquet(path)
+    assert files.file_fingerprint(spark.read.parquet(path)).first()["total_size"] > first["total_size"]
+
+
 def test_json_lines_skip_blanks(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text(json.dumps({"run_id": "a", "rows_added": 3}) + "\n\n" + json.dumps({"run_id": "b"}) + "\n")

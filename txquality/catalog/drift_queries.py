@@ -216,23 +216,22 @@ def retrain_decision(spark, sf_dir):
 
 
 _CHECKS = f"""checks as (
-  select event_id, ts, event_type as source, {Q.LOAD} || ':' || cast(cast(props->>'$.k' as integer) // 50 as varchar) as fingerprint
+  select event_id, event_type as source, {Q.LOAD} || ':' || cast(cast(props->>'$.k' as integer) // 50 as varchar) as fingerprint
   from events)"""
 
 
 @query(
     "drift_history",
-    f"""with {_CHECKS}, lagged as (select *, lag(fingerprint) over (order by ts, event_id) as before from checks)
+    f"""with {_CHECKS}, lagged as (select *, lag(fingerprint) over (order by event_id) as before from checks)
     select event_id, source, fingerprint from lagged where before is distinct from fingerprint""",
 )
 def drift_history(spark, sf_dir):
     events = st.table(spark, sf_dir, "events")
     half = F.floor(F.get_json_object("props", "$.k").cast("int") / F.lit(50)).cast("string")
     checks = events.select(
-        "event_id", "ts", F.col("event_type").alias("source"), F.concat_ws(":", st.load_of(F.col("ts")), half).alias("fingerprint")
+        "event_id", F.col("event_type").alias("source"), F.concat_ws(":", st.load_of(F.col("ts")), half).alias("fingerprint")
     )
-    kept = drift.history(checks, "fingerprint", ["ts", "event_id"], F.date_trunc("hour", F.col("ts")))
-    return kept.select("event_id", "source", "fingerprint")
+    return drift.history(checks, "fingerprint", "event_id")
 
 
 @query(

@@ -25,12 +25,13 @@ def _status(spark, sf_dir):
         F.max((F.col("status") == "completed").cast("int")).alias("last_success"),
         F.max(C.micros(F.col("timestamp").cast("timestamp_ntz")) / F.lit(1e6)).alias("last_epoch"),
     )
+    finished = last.select(F.struct("last_success", "last_epoch")).scalar()
     return sizes.select(
         "dataset_rows",
         pending.scalar().alias("pending"),
         running.scalar().alias("running"),
-        last.select("last_success").scalar().alias("last_success"),
-        last.select("last_epoch").scalar().alias("last_epoch"),
+        finished["last_success"].alias("last_success"),
+        finished["last_epoch"].alias("last_epoch"),
         F.lit(VOLUME_THRESHOLD).alias("threshold"),
     )
 

@@ -283,6 +283,17 @@ def promotion_decision(spark, sf_dir):
     return staged.select("model", "version", "pr_auc", "production_metric", "promoted", "stage")
 
 
+@query(
+    "version_metrics",
+    f"with {_STAGED} select s.run_id, s.model, s.version, s.stage, r.pr_auc, r.f1 from staged s join runs r on r.run_id = s.run_id",
+)
+def version_metrics(spark, sf_dir):
+    """Registered versions with the metrics of their runs."""
+    runs = _runs(spark, sf_dir)
+    versions_ = registry.stages(registry.gate_replay(runs)).select("run_id", "model", "version", "stage")
+    return registry.with_run_metrics(versions_, runs.select("run_id", "pr_auc", "f1"))
+
+
 @query(
     "latest_per_stage",
     f"with {_STAGED} select model, stage, run_id, version, pr_auc from staged "

@@ -20,7 +20,7 @@ def rules(label: str | None = "is_fraud") -> dict[str, Column]:
         "time_negative": F.col("time") < 0,
         "amount_missing": _missing("amount"),
         "amount_negative": F.col("amount") < 0,
-        "component_missing": reduce(lambda a, b: a | b, [_missing(v) for v in S.V_COLUMNS]),
+        "component_missing": F.coalesce(*[F.when(_missing(v), F.lit(True)) for v in S.V_COLUMNS], F.lit(False)),
     }
     if label:
         broken["label_missing"] = F.col(label).isNull()

@@ -55,7 +55,9 @@ def _cell_counts(df: DataFrame, intervals: dict[str, list[tuple[float, float]]],
 
 def balanced_cuts(df: DataFrame, key: str, buckets: int) -> list[float]:
     """Cut points that leave about equally many rows between them; cells with too many rows are looked at again."""
-    span = df.agg(F.min(F.col(key).cast("double")), F.max(F.col(key).cast("double")), F.count(key)).first()
+    value = F.col(key).cast("double")
+    finite = F.when(F.abs(value) < F.lit(math.inf), value)
+    span = df.agg(F.min(finite), F.max(finite), F.count(finite)).first()
     if not span[2] or span[0] == span[1]:
         return []
     target = span[2] / buckets
@@ -240,10 +242,11 @@ def exact_quantiles(
     again while these cells hold more than ``order_limit`` rows. Then only the rows of these cells are collapsed to
     distinct values and ordered. Cells with one value need no ordering, however many rows share it.
     """
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     facts = df.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in columns],
-        *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in columns],
+        *[F.min(c).alias(f"lo_{c}") for c in columns],
+        *[F.max(c).alias(f"hi_{c}") for c in columns],
     ).first()
     sizes = {c: facts[f"n_{c}"] for c in columns}
     ranks = {c: sorted({r for p in probabilities for r in quantile_ranks(sizes[c], p)[:2]}) for c in columns if sizes[c]}
@@ -253,7 +256,7 @@ def exact_quantiles(
         wide = {
             c: [s for s in parts if s[0] < s[1]]
             for c, parts in spans.items()
-            if sum(s[3] for s in parts if s[0] < s[1]) > order_limit
+            if sum(s[3] for s in parts if s[0] < s[1]) > order_limit and all(math.isfinite(s[1] - s[0]) for s in parts)
         }
         if not wide:
             break

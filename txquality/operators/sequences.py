@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from txquality.operators import ranks
+
 
 def latest_per_key(df: DataFrame, keys: list[str], pos: str, first_name: str | None = None) -> DataFrame:
     """Last record of every key by ``pos``. An aggregate, so a hot key is reduced before the shuffle."""
@@ -21,18 +23,24 @@ def tail(df: DataFrame, order: str, count: int) -> DataFrame:
     return df.orderBy(F.col(order).desc()).limit(count).orderBy(order)
 
 
-def changes_only(df: DataFrame, value: str, order: list[str], bucket: Column) -> DataFrame:
-    """Rows whose value differs from the row before them in the whole order.
+def changes_only(df: DataFrame, value: str, pos: str, buckets: int | None = None) -> DataFrame:
+    """Rows whose value differs from the row before them in the order of ``pos``, a unique log position.
 
-    ``bucket`` must be monotone in the order (e.g. the hour). Rows are compared inside buckets; the first row of a
-    bucket is compared with the last value of the bucket before it, taken from one row per bucket.
+    Positions are cut into even buckets, whatever the times at which rows arrived. Rows are compared inside buckets; the
+    first row of a bucket is compared with the last value of the bucket before it, taken from one row per bucket.
     """
-    inner = Window.partitionBy("_b").orderBy(*order)
-    marked = df.withColumn("_b", bucket)
-    last = marked.groupBy("_b").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
-    carried = last.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_carry"))
-    compared = marked.join(carried, "_b").withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(inner))
-    before = F.coalesce(F.col("_before"), F.col("_carry"))
+    if buckets is None:
+        buckets = ranks.bucket_count(df.count())
+    marked = ranks.with_key_buckets(df, pos, buckets, "_b")
+    inner = Window.partitionBy("_b").orderBy(pos)
+    boxed = F.struct(F.col(value).alias("v"))
+    compared = marked.withColumn("_before", F.lag(boxed).over(inner))
+    before = F.col("_before")
+    if buckets > 1:
+        last = marked.groupBy("_b").agg(F.max_by(boxed, pos).alias("_last"))
+        carried = last.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_carry"))
+        compared = compared.join(F.broadcast(carried), "_b")  # at most `buckets` rows
+        before = F.coalesce(before, F.col("_carry"))
     changed = before.isNull() | ~F.col(value).eqNullSafe(before["v"])
     return compared.filter(changed).drop("_b", "_carry", "_before")
 

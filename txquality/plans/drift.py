@@ -127,9 +127,9 @@ def drift_by_group(df: DataFrame, groups: list[str]) -> DataFrame:
     return indexes.groupBy(*groups).agg(F.max("psi").alias("max_psi"), *per_feature)
 
 
-def history(checks: DataFrame, fingerprint: str, order: list[str], bucket: Column) -> DataFrame:
-    """Keep a check only when the dataset changed since the check before it."""
-    return sequences.changes_only(checks, fingerprint, order, bucket)
+def history(checks: DataFrame, fingerprint: str, pos: str) -> DataFrame:
+    """Keep a check only when the dataset changed since the check before it in the log."""
+    return sequences.changes_only(checks, fingerprint, pos)
 
 
 def record_check(summary_df: DataFrame, fingerprint: str, source: str, path: str) -> bool:
