@@ -230,6 +230,8 @@ def quantile_ranks(n: int, p: float) -> tuple[int, int, float]:
 
 def lerp(a: float, b: float, t: float) -> float:
     """Linear interpolation that starts from the nearer end, as numerical libraries do."""
+    if a == b:
+        return a
     return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
