@@ -10,8 +10,11 @@ from txquality.operators import ranks
 
 def latest_per_key(df: DataFrame, keys: list[str], pos: str, first_name: str | None = None) -> DataFrame:
     """Last record of every key by ``pos``. An aggregate, so a hot key is reduced before the shuffle."""
-    others = [c for c in df.columns if c not in keys]
-    aggs = [F.max_by(F.struct(*others), F.col(pos)).alias("_last")]
+    others = [pos, *[c for c in df.columns if c not in keys and c != pos]]
+    sortable = not any("map<" in dtype for _, dtype in df.dtypes)
+    # The maximum of a struct that starts with the position is the cheaper form; maps have no order and need max_by.
+    last = F.max(F.struct(*others)) if sortable else F.max_by(F.struct(*others), F.col(pos))
+    aggs = [last.alias("_last")]
     if first_name:
         aggs.append(F.min(pos).alias(first_name))
     grouped = df.groupBy(*keys).agg(*aggs)
