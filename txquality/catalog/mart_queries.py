@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txquality import schema as S
 from txquality.catalog import sql as Q
 from txquality.catalog.registry import query
 from txquality.functions import columns as C

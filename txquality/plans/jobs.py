@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from txquality import schema as S
 from txquality.operators import admission
 from txquality.plans import drift, marts, quality, registry, training
+from txquality.session import checkpointed
 from txquality.sources import files
 
 
@@ -56,11 +57,11 @@ def train_job(
     tests: str = "unknown",
     names: tuple[str, ...] = ("logreg_baseline", "rf_balanced_v1"),
     promote: bool = True,
-    model_name: str = "fraud-detection-classifier",
+    model_name: str = "fraud-classifier",
     **forest,
 ) -> dict:
     """Train the candidates, keep the better one by PR-AUC, register it and decide on promotion."""
-    split = training.split_features(feats)
+    split = checkpointed(training.split_features(feats))  # read by every fit and evaluation below
     tags = {"data_version": f"{feats.count()}_rows", "trained_by": "txquality", "test_status": tests}
     fitted: dict[str, tuple[PipelineModel, DataFrame, str]] = {}
     for name in names:
