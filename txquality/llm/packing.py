@@ -14,7 +14,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -170,7 +169,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, s
     sharded = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
     names = cut.columns
 
-    def place(key, group: pd.DataFrame) -> pd.DataFrame:
+    def place(key, group):
         group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
         number, offset = best_fit_decreasing(group["length"].to_numpy(np.int64), window)
         group["sequence_id"] = (np.int64(key[0]) << np.int64(32)) + number

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txquality.llm.common import table
+from txquality.llm.common import id_remainder, table
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +17,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(3) == 1
+    model = language_id.train(docs.where(~F.coalesce(held_out, F.lit(False))))
+    return language_id.predict(docs, model, held_out)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import url_filter
+
+    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op9_url_filter": op9_url_filter,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {}
