@@ -33,7 +33,7 @@ SEED_URLS = [(url, 1) for url in (
     "https://ads-server.example/banner", "http://track-clicks.example/pixel", "https://ad-track.example/click?id=1",
     "http://popup-ads.example/en/7", "https://adserver.example/track/9", "https://click-tracker.example/ref",
     "http://cheap-pills.example/buy", "https://pharma-deals.example/pills/", "https://payday-loans.example/apply",
-    "http://quick-loan.example/cash", "https://adult-cams.example/live", "http://xxx-videos.example/hot",
+    "http://quick-loan.example/cash", "https://adult-cams.example/live", "http://adult-dating.example/meet", "http://xxx-videos.example/hot",
     "http://spam-links.example/farm/", "https://link-farm.example/spam/2", "https://free-crack.example/keygen", "http://warez-downloads.example/crack/", "https://replica-watches.example/sale",
 )] + [(url, 0) for url in (
     "https://www.university.example/research/papers", "http://library.example/catalogue/books", "https://blog.writer.example/en/2020",
@@ -41,7 +41,7 @@ SEED_URLS = [(url, 1) for url in (
     "https://www.city.example/services/", "http://weather.example/forecast/today", "https://recipes.example/soup/12",
     "https://m.history.example/en/2331", "https://science.example/journal/issue/3", "http://school.example/lessons/math",
     "https://garden.example/plants/roses", "https://travel-notes.example/fr/paris", "http://music-lessons.example/piano",
-    "https://www.health-service.example/clinics", "https://wiki.example/page?id=7", "http://wind-farm.example/en/energy", "https://winter-sports.example/de/ski", "http://forum.example/thread/88",
+    "https://www.health-service.example/clinics", "https://wiki.example/page?id=7", "https://winter-sports.example/de/ski", "http://forum.example/thread/88",
     "https://code.example/repo/readme", "https://blog.reader.example/de/451", "http://theatre.example/season",
     "https://www.hospital.example/contact.html", "https://photos.example/album/3", "http://english.example/en/grammar",
 )]
