@@ -33,6 +33,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import jaccard_join
+
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txquality.llm import quality
 
@@ -49,6 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op9_url_filter": op9_url_filter,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op8_packing": op8_packing,
     "op10_decontaminate": op10_decontaminate,
