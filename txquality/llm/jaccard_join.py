@@ -154,7 +154,7 @@ def found_links(classes: DataFrame, docs: DataFrame, n: int, threshold: float, b
     """(id, other, n): link counts of representatives (other null), and edges of spanning forests (n null)."""
     placed = classes.where("keys is not null").select("doc_id", F.posexplode("keys").alias("trie", "key"))
     crowded = placed.groupBy("trie", "key").agg(F.count("*").alias("m")).where("m > 1")
-    crowded = crowded.withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    crowded = stored(crowded.select("trie", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "crowded")
     member = placed.join(crowded, ["trie", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("trie", "key", "blocks")).alias("groups"))
     taking = stored(
         member.join(classes.select("doc_id", "keys", "copies"), "doc_id").join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id"), "members"

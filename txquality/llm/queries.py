@@ -17,6 +17,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import line_dedup
+
+    done = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "n_chars", "removed_chunks", "removed_chars")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txquality.llm import language_id
 
@@ -33,6 +40,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import tree_forest
+
+    return tree_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txquality.llm import jaccard_join
 
@@ -53,8 +66,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op9_url_filter": op9_url_filter,
+    "op4_tree_forest": op4_tree_forest,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op8_packing": op8_packing,
