@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from txquality.llm.common import id_remainder, table
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import warc
+
+    captures = warc.archive(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range", "place")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txquality.llm import packing
 
@@ -40,6 +47,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import toxicity
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels, F.coalesce(id_remainder(5) == 0, F.lit(False)))
+
+
 def op4_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txquality.llm import tree_forest
 
@@ -69,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op9_url_filter": op9_url_filter,
+    "op3_toxicity": op3_toxicity,
     "op4_tree_forest": op4_tree_forest,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op10_decontaminate": op10_decontaminate,
 }
