@@ -235,3 +235,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, target
         F.when(single, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"),
         (single | (F.col("doc_id") == F.col("class_id"))).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that a smaller doc_id of their group stands for.
+
+    Of rows that repeat a doc_id with one text one stays. Rows with a null doc_id stay.
+    """
+    dropped = stored(join(docs, threshold, n).where("not kept").select("doc_id"), "dropped")
+    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.where("doc_id is not null").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if ids[0] == ids[1]:
+        return left
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(left.where("doc_id is null"))

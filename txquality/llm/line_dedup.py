@@ -130,3 +130,9 @@ def dedup(docs: DataFrame) -> DataFrame:
         .withColumn("removed_chars", F.coalesce(F.col("_old") - F.col("n_chars"), F.lit(0)))
         .select(*[c for c in docs.columns if c not in ("n_chars", "removed_chunks", "removed_chars")], "n_chars", "removed_chunks", "removed_chars")
     )
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with its own columns and the repeated chunks cut out; rows of which nothing is left are dropped."""
+    done = dedup(docs).where("removed_chunks = 0 or text <> ''")
+    return done.select(*docs.columns)

@@ -190,6 +190,30 @@ def score(stats: DataFrame, model: KernelRidge) -> DataFrame:
     return stats.select("doc_id", "_mark", "stats").mapInArrow(apply, "doc_id bigint, _mark bigint, score double")
 
 
+def train(docs: DataFrame, labels: DataFrame, held_out, column: str = "quality", max_rows: int = TRAIN_ROWS) -> KernelRidge:
+    """Learn from the texts of labelled rows that are not held out; only their texts are read by Python.
+
+    The labels used, about ``max_rows``, are broadcast: at 16 bytes each their size is bounded by that parameter.
+    """
+    wanted = bounded_sample(one_label(labels, column).where(~held_out), "doc_id", max_rows, 3)
+    known = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    return fit(document_statistics(known, F.lit(0)).join(F.broadcast(wanted), "doc_id"), max_rows)
+
+
+def accept(docs: DataFrame, model: KernelRidge, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more; all rows where nothing was learned."""
+    if model.steps is None:
+        return docs
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                stats = np.array([statistics(t) for t in texts_of(batch)], np.float32).astype(np.float64)
+                yield batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out, column: str = "quality", threshold: float = 0.7, max_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``, learned from labelled rows that are not held out.
 
