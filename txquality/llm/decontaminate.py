@@ -122,11 +122,10 @@ class SeedIndex:
             inside = np.cumsum(np.pad(own, ((0, 0), (1, 0))), 1, dtype=np.int32)
             equal, inside = equal[:, w:] - equal[:, :-w], inside[:, w:] - inside[:, :-w]
             equal = np.where(inside >= self.full[item][:, None], equal, -1)
-            best = equal.argmax(1)
-            value = equal[np.arange(len(best)), best]
-            for i in np.flatnonzero(value >= self.needed[item]):
-                first = at[i] + span[best[i]]
-                yield first, min(first + w, len(tokens)) - 1, int(item[i]), int(value[i])
+            enough = equal >= self.needed[item][:, None]
+            for i in np.flatnonzero(enough.any(1)):
+                windows = np.flatnonzero(enough[i])
+                yield at[i] + span[windows[0]], at[i] + span[windows[-1]] + w - 1, int(item[i]), int(equal[i].max())
 
 
 def token_blocks(texts: list[str], vocabulary: dict[str, int], pad: int):

@@ -106,11 +106,11 @@ class Codes:
 
     def __init__(self, counts: np.ndarray, languages: list[str]):
         self.languages, self.code = languages, codewords(len(languages))
-        share = (counts.reshape(len(languages), 2, BUCKETS) + 0.5) / (counts.reshape(len(languages), 2, BUCKETS).sum(2, keepdims=True) + 0.5 * BUCKETS)
-        share = share.reshape(len(languages), -1)
         if len(languages) < 2:
             self.weights, self.bit_weight = np.zeros((1, 2 * BUCKETS), np.float32), np.ones(1)
             return
+        by_order = counts.reshape(len(languages), 2, BUCKETS) + 0.5
+        share = (by_order / by_order.sum(2, keepdims=True)).reshape(len(languages), -1)
         weights, trust = [], []
         for bit in self.code.T:
             w = np.log(share[bit > 0].mean(0)) - np.log(share[bit < 0].mean(0))

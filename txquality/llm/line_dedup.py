@@ -2,7 +2,8 @@
 
 A line ends at a line break or at the end of a sentence followed by white space, so long paragraphs have several. A rolling hash over the
 hashes of ``WIDTH`` consecutive lines closes a chunk where it falls under a threshold; inserting or deleting lines moves no other
-boundary. A line of ``LONG_WORDS`` words or more is a chunk of its own. Chunks whose hash occurs more than once are compared
+boundary. A line of ``LONG_WORDS`` words or more is a chunk of its own, and
+no hash closes a chunk of fewer than ``MIN_WORDS`` words. Chunks whose hash occurs more than once are compared
 byte by byte; of equal ones the first by (doc_id, position) stays and the others are cut out.
 
 Texts are not shuffled by chunk: hashes are counted first, then only chunks with a repeated hash travel with their bytes. A chunk
@@ -53,18 +54,20 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     closes = (rolled >> np.uint64(32)).astype(np.float64) < CUT_SHARE * 2**32
     long = words >= LONG_WORDS
-    closes |= long
-    closes[:-1] |= long[1:]
-    closes[-1] = True
-    out, first = [], 0
-    for last in np.flatnonzero(closes).tolist():
-        if words[first : last + 1].sum() >= MIN_WORDS:
-            a, b = spans[first][0], spans[last][1]
-            part = text[a:b]
-            a += len(part) - len(part.lstrip())
-            part = part.strip()
-            out.append((xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), SEED + 1) - (1 << 63), a, a + len(part)))
-        first = last + 1
+    forced = long.copy()
+    forced[:-1] |= long[1:]
+    forced[-1] = True
+    out, first, n = [], 0, 0
+    for last, (more, by_hash, must) in enumerate(zip(words.tolist(), closes.tolist(), forced.tolist())):
+        n += more
+        if must or by_hash and n >= MIN_WORDS:
+            if n >= MIN_WORDS:
+                a, b = spans[first][0], spans[last][1]
+                part = text[a:b]
+                a += len(part) - len(part.lstrip())
+                part = part.strip()
+                out.append((xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), SEED + 1) - (1 << 63), a, a + len(part)))
+            first, n = last + 1, 0
     return out
 
 
@@ -133,6 +136,6 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with its own columns and the repeated chunks cut out; rows of which nothing is left are dropped."""
-    done = dedup(docs).where("removed_chunks = 0 or text <> ''")
+    """``docs`` with its own columns and the repeated chunks cut out; rows of which fewer than MIN_WORDS words are left are dropped."""
+    done = dedup(docs).where((F.col("removed_chunks") == 0) | (F.size(F.split("text", r"\s+")) >= MIN_WORDS))
     return done.select(*docs.columns)
