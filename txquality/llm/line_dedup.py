@@ -137,5 +137,5 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns and the repeated chunks cut out; rows of which fewer than MIN_WORDS words are left are dropped."""
-    done = dedup(docs).where((F.col("removed_chunks") == 0) | (F.size(F.split("text", r"\s+")) >= MIN_WORDS))
+    done = dedup(docs).where((F.col("removed_chunks") == 0) | (F.regexp_count("text", F.lit(r"\S+")) >= MIN_WORDS))
     return done.select(*docs.columns)
