@@ -1,72 +1,98 @@
 """Exact ranks, running totals and quantiles without a global window.
 
 A window ordered over a whole table runs in one task. These operators order rows inside bounded buckets only and add
-an offset per bucket; bucket totals are few enough to be broadcast, because their number is a parameter.
+an offset per bucket. Values are cut at doubles that lie evenly in the order of their 64-bit forms, so every round of
+counting fixes twelve more bits and six rounds reach single values, whatever the distribution.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_ROWS = 1_000_000
-MAX_BUCKETS = 10_000
 CELLS = 4096
-REFINEMENTS = 3
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
-    return max(1, min(MAX_BUCKETS, math.ceil(rows / bucket_rows)))
+    return max(1, math.ceil(rows / bucket_rows))
+
+
+def _place(value: float) -> int:
+    """Whole number in the order of doubles; both zeros are 0."""
+    bits = struct.unpack("<q", struct.pack("<d", value))[0]
+    return bits if bits >= 0 else -(bits & 0x7FFF_FFFF_FFFF_FFFF)
+
+
+def _double(place: int) -> float:
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(place)))[0], 1 if place >= 0 else -1)
+
+
+def _splits(low: float, high: float) -> bool:
+    """Whether a cut lies between the two: not between the largest finite double and infinity."""
+    return low < min(high, _double(_place(math.inf) - 1))
+
+
+def _cuts(low: float, high: float, cells: int) -> list[float]:
+    """Lower bounds of at most ``cells`` cells of the closed interval, evenly spaced in the order of doubles."""
+    first, last = _place(low), _place(high)
+    return [_double(p) for p in range(first, last + 1, max(1, -(-(last + 1 - first) // cells)))]
 
 
 def _cell_counts(df: DataFrame, intervals: dict[str, list[tuple[float, float]]], cells: int) -> dict:
-    """Rows per equal-width cell of closed, disjoint value intervals: {(column, interval): [(n, min, max), ...]}.
+    """Rows per cell of closed, disjoint value intervals: {(column, interval): [(n, min, max), ...]}.
 
     One scan for all columns. Counts are combined before the shuffle and at most ``cells`` rows per interval come back,
     each with the smallest and largest value seen, so later bounds are real values and no rounding is involved.
     """
-    parts = []
+    splits, owners = [], {}
     for name, spans in intervals.items():
-        value = F.col(name).cast("double")
-        number = F.lit(None).cast("int")
-        cell = F.lit(None).cast("int")
-        for i, (low, high) in enumerate(spans):
-            inside = (value >= F.lit(low)) & (value <= F.lit(high))
-            width = (high - low) / cells or 1.0
-            index = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(cells - 1)).cast("int")
-            number = F.when(inside, F.lit(i)).otherwise(number)
-            cell = F.when(inside, index).otherwise(cell)
-        parts.append(
-            F.struct(F.lit(name).alias("feature"), number.alias("span"), cell.alias("cell"), value.alias("v"))
-        )
+        bounds: list[tuple[float, int]] = [(-math.inf, -1)]
+        for i, (low, high) in sorted(enumerate(spans), key=lambda s: s[1]):
+            bounds += [(cut, i) for cut in _cuts(low, high, cells)]
+            if high < math.inf:
+                bounds.append((math.nextafter(high, math.inf), -1))
+        # A span that starts where another ends takes the cut over. Infinity lies in the cell of the largest finite cut.
+        merged = {cut: i for cut, i in bounds if cut < math.inf}
+        ordered = sorted(merged)
+        splits.append([*ordered, math.inf])
+        owners[name] = [merged[cut] for cut in ordered]
+    names = list(intervals)
+    values = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in names])
+    numbered = Bucketizer(
+        splitsArray=splits, inputCols=names, outputCols=[f"_cell_{c}" for c in names], handleInvalid="keep"
+    ).transform(values.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in names]))
+    parts = [
+        F.struct(F.lit(c).alias("feature"), F.col(f"_cell_{c}").cast("int").alias("cell"), F.col(c).alias("v")) for c in names
+    ]
     counted = (
-        df.select(F.inline(F.array(*parts)))
-        .filter(F.col("span").isNotNull())
-        .groupBy("feature", "span", "cell")
+        numbered.select(F.inline(F.array(*parts)))
+        .filter(F.col("v").isNotNull())
+        .groupBy("feature", "cell")
         .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
     found: dict = {}
-    for row in sorted(counted.collect(), key=lambda r: (r["feature"], r["span"], r["cell"])):
-        found.setdefault((row["feature"], row["span"]), []).append((row["n"], row["low"], row["high"]))
+    for row in sorted(counted.collect(), key=lambda r: (r["feature"], r["cell"])):
+        span = owners[row["feature"]][row["cell"]]
+        if span >= 0:
+            found.setdefault((row["feature"], span), []).append((row["n"], row["low"], row["high"]))
     return found
 
 
 def balanced_cuts(df: DataFrame, key: str, buckets: int) -> list[float]:
     """Cut points that leave about equally many rows between them; cells with too many rows are looked at again."""
-    value = F.col(key).cast("double")
-    finite = F.when(F.abs(value) < F.lit(math.inf), value)
-    span = df.agg(F.min(finite), F.max(finite), F.count(finite)).first()
+    value = F.nanvl(F.col(key).cast("double"), F.lit(None).cast("double"))
+    keyed = df.select(value.alias(key))
+    span = keyed.agg(F.min(key), F.max(key), F.count(key)).first()
     if not span[2] or span[0] == span[1]:
         return []
     target = span[2] / buckets
-    cells = _cell_counts(df, {key: [(span[0], span[1])]}, CELLS)[(key, 0)]
-    for _ in range(REFINEMENTS):
-        heavy = [(low, high) for n, low, high in cells if n > 2 * target and low < high]
-        if not heavy:
-            break
-        finer = _cell_counts(df, {key: heavy}, CELLS)
+    cells = _cell_counts(keyed, {key: [(span[0], span[1])]}, CELLS)[(key, 0)]
+    while heavy := [(low, high) for n, low, high in cells if n > 2 * target and _splits(low, high)]:
+        finer = _cell_counts(keyed, {key: heavy}, CELLS)
         cells = sorted(
             [c for c in cells if (c[1], c[2]) not in heavy] + [c for part in finer.values() for c in part],
             key=lambda c: c[1],
@@ -81,12 +107,25 @@ def balanced_cuts(df: DataFrame, key: str, buckets: int) -> list[float]:
 
 
 def with_key_buckets(df: DataFrame, key: str, buckets: int, name: str = "_bucket") -> DataFrame:
-    """Number rows by the interval of ``key`` they fall in; intervals hold about equally many rows."""
+    """Number rows by the interval of ``key`` they fall in; intervals hold about equally many rows.
+
+    NaN is in the highest bucket. A NULL key has a NULL bucket, which comes last in both directions.
+    """
     cuts = balanced_cuts(df, key, buckets) if buckets > 1 else []
+    value = F.col(key).cast("double")
     if not cuts:
-        return df.withColumn(name, F.lit(0))
-    bucketizer = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol=name, handleInvalid="keep")
-    return bucketizer.transform(df).withColumn(name, F.col(name).cast("int"))
+        return df.withColumn(name, F.when(value.isNotNull(), F.lit(0)))
+    filled = df.withColumn("_key", F.when(F.isnan(value), F.lit(math.inf)).otherwise(value + F.lit(0.0)))
+    bucketizer = Bucketizer(splits=[-math.inf, *[c for c in cuts if c > -math.inf], math.inf], inputCol="_key", outputCol=name, handleInvalid="keep")
+    return bucketizer.transform(filled).withColumn(name, F.when(F.col(key).isNotNull(), F.col(name).cast("int"))).drop("_key")
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Equality of the named columns in which NULL equals NULL; on the right they carry an underscore before."""
+    together = F.lit(True)
+    for name in names:
+        together = together & left[name].eqNullSafe(right[f"_{name}"])
+    return together
 
 
 def running_totals(
@@ -99,38 +138,31 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running totals of ``measures`` over ``key`` (and their totals), one row per group and key.
 
-    Rows with the same key are first added up (combined before the shuffle), so ties share one value. Result columns:
-    groups, key, the measures, ``cum_<m>`` and ``total_<m>``.
+    Rows with the same key are first added up (combined before the shuffle), so ties share one value. A NULL group is a
+    group; a NULL key comes last, and NaN counts as the largest key. Result columns: groups, key, the measures,
+    ``cum_<m>`` and ``total_<m>``.
     """
     groups = groups or []
+    keyed = df.groupBy(*groups, key).agg(*[F.sum(m).alias(m) for m in measures])
     if buckets is None:
-        buckets = bucket_count(df.count())
-    bucketed = with_key_buckets(df, key, buckets)
-    summed = bucketed.groupBy(*groups, "_bucket", key).agg(*[F.sum(m).alias(m) for m in measures])
-    order = F.col(key).desc() if descending else F.col(key).asc()
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    if buckets <= 1:
-        whole = Window.partitionBy(*groups, "_bucket")
-        return summed.select(
-            *groups,
-            key,
-            *measures,
-            *[F.sum(m).over(inner).alias(f"cum_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
-        )
+        keyed = keyed.persist()
+        buckets = bucket_count(keyed.count())
+    summed = with_key_buckets(keyed, key, buckets)
+
+    def ordered(name: str) -> Column:
+        return F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
+
+    inner = Window.partitionBy(*groups, "_bucket").orderBy(ordered(key)).rowsBetween(Window.unboundedPreceding, 0)
     totals = summed.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = Window.partitionBy(*groups).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy(ordered("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     all_buckets = Window.partitionBy(*groups)
     offsets = totals.select(
-        *groups,
-        "_bucket",
+        *[F.col(g).alias(f"_{g}") for g in groups],
+        F.col("_bucket").alias("__bucket"),
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
         *[F.sum(m).over(all_buckets).alias(f"total_{m}") for m in measures],
     )
-    if not groups:
-        offsets = F.broadcast(offsets)  # at most `buckets` rows
-    return summed.join(offsets, [*groups, "_bucket"]).select(
+    return summed.join(offsets, _same(summed, offsets, [*groups, "_bucket"])).select(
         *groups,
         key,
         *measures,
@@ -139,24 +171,18 @@ def running_totals(
     )
 
 
-def dense_index(df: DataFrame, key: str, name: str, rows: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Dense 0-based number in the order of a unique, non-negative integer key that is itself nearly dense.
 
-    The key range is cut into at most ``MAX_BUCKETS`` equal intervals, so buckets are even and their offsets small.
+    The key range is cut into intervals of ``bucket_rows`` keys, so buckets are even and their offsets few.
     """
-    top = df.agg(F.max(key).alias("m"), F.count(F.lit(1)).alias("n")).first()
-    if not top["n"]:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(bucket_rows, math.ceil((top["m"] + 1) / MAX_BUCKETS))
-    bucketed = df.withColumn("_bucket", F.floor(F.col(key) / F.lit(width)).cast("int"))
+    bucketed = df.withColumn("_bucket", F.floor(F.col(key) / F.lit(bucket_rows)).cast("long"))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy("_bucket").orderBy(key)
     return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.row_number().over(inner) - 1 + F.col("_off"))
-        .drop("_bucket", "_off")
+        bucketed.join(offsets, "_bucket").withColumn(name, F.row_number().over(inner) - 1 + F.col("_off")).drop("_bucket", "_off")
     )
 
 
@@ -167,57 +193,60 @@ def close_gaps(
 
     Offsets need only the removed ids: a bucket starts at its first id less the ids removed before it.
     """
-    width = max(bucket_rows, math.ceil(rows / MAX_BUCKETS), 1)
-    bucket = F.floor(F.col(key) / F.lit(width)).cast("int")
+    width = max(bucket_rows, 1)
+    bucket = F.floor(F.col(key) / F.lit(width)).cast("long")
     spark = kept.sparkSession
     removed = gone.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    every = spark.range(math.ceil(rows / width)).select(F.col("id").cast("int").alias("_bucket"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_BUCKETS rows
+    every = spark.range(math.ceil(rows / width)).select(F.col("id").alias("_bucket"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = every.join(removed, "_bucket", "left").select(
         "_bucket",
-        (F.col("_bucket").cast("long") * F.lit(width) - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_off"),
+        (F.col("_bucket") * F.lit(width) - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_off"),
     )
     inner = Window.partitionBy("_bucket").orderBy(key)
     return (
         kept.withColumn("_bucket", bucket)
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(name, F.row_number().over(inner) - 1 + F.col("_off"))
         .drop("_bucket", "_off")
     )
 
 
 def smallest_per_class(
-    df: DataFrame, class_col: str, hash_col: str, id_col: str, sizes: dict, hash_bits: int = 32, bucket_bits: int = 16
+    df: DataFrame, class_col: str, hash_col: str, id_col: str, sizes: dict, hash_bits: int = 32, bits_a_round: int = 16
 ) -> Column:
     """Condition that holds for exactly the ``sizes[c]`` rows of class ``c`` with the smallest (hash, id).
 
-    Counts per class and hash bucket locate the one bucket in which a class reaches its size; only the rows of these
-    buckets are ordered. Each class then needs one limit pair, and choosing rows is a comparison without a shuffle.
+    Counts per class and hash prefix find the one prefix in which a class reaches its size, some bits more in every round, until
+    the whole hash is known; only rows that share that hash are ordered. Each class then needs one limit pair, and
+    choosing rows is a comparison without a shuffle.
     """
-    shift = hash_bits - bucket_bits
-    bucketed = df.select(
-        F.col(class_col).alias("_c"),
-        F.col(hash_col).alias("_h"),
-        F.col(id_col).alias("_i"),
-        F.shiftright(F.col(hash_col), shift).alias("_b"),
-    )
-    wanted = F.lit(None).cast("long")
-    for value, size in sizes.items():
-        wanted = F.when(F.col("_c") == F.lit(value), F.lit(size).cast("long")).otherwise(wanted)
-    counts = bucketed.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    cum = F.sum("_n").over(Window.partitionBy("_c").orderBy("_b"))
-    edge = (
-        counts.select("_c", "_b", cum.alias("_cum"), "_n")
-        .filter((F.col("_cum") >= wanted) & (F.col("_cum") - F.col("_n") < wanted))
-        .select("_c", "_b", (wanted - (F.col("_cum") - F.col("_n"))).alias("_take"))
-    )
-    inside = bucketed.join(F.broadcast(edge), ["_c", "_b"])  # one edge row per class
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy("_h", "_i")))
-    limits = ranked.filter(F.col("_r") == F.col("_take")).select("_c", "_h", "_i").collect()  # one row per class
+    rows = df.select(F.col(class_col).alias("_c"), F.col(hash_col).alias("_h"), F.col(id_col).alias("_i"))
+    take = {c: n for c, n in sizes.items() if n > 0}
+    prefix: dict = {}
+    known = 0
+    while take and known < hash_bits:
+        shift = max(0, hash_bits - known - bits_a_round)
+        inside = F.lit(False)
+        for c in take:
+            own = F.col("_c") == F.lit(c)
+            inside = inside | (own & (F.shiftright("_h", hash_bits - known) == prefix[c]) if known else own)
+        counts = rows.filter(inside).groupBy("_c", F.shiftright("_h", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        reached = F.sum("_n").over(Window.partitionBy("_c").orderBy("_b"))
+        wanted = F.lit(None).cast("long")
+        for c, n in take.items():
+            wanted = F.when(F.col("_c") == F.lit(c), F.lit(n).cast("long")).otherwise(wanted)
+        edge = counts.select("_c", "_b", reached.alias("_cum"), "_n")
+        edge = edge.filter((F.col("_cum") >= wanted) & (F.col("_cum") - F.col("_n") < wanted))
+        found = edge.select("_c", "_b", (wanted - (F.col("_cum") - F.col("_n"))).alias("_take")).collect()  # one row per class
+        prefix, take = {r["_c"]: r["_b"] for r in found}, {r["_c"]: r["_take"] for r in found}
+        known = hash_bits - shift
     condition = F.lit(False)
-    for row in limits:
-        below = (F.col(hash_col) < row["_h"]) | ((F.col(hash_col) == row["_h"]) & (F.col(id_col) <= row["_i"]))
-        condition = condition | ((F.col(class_col) == F.lit(row["_c"])) & below)
+    for c, h in prefix.items():
+        tied = rows.filter((F.col("_c") == F.lit(c)) & (F.col("_h") == F.lit(h))).select("_i").orderBy("_i").limit(take[c])
+        last = tied.agg(F.max("_i")).first()[0]
+        below = (F.col(hash_col) < h) | ((F.col(hash_col) == h) & (F.col(id_col) <= last))
+        condition = condition | ((F.col(class_col) == F.lit(c)) & below)
     return condition
 
 
@@ -235,14 +264,11 @@ def lerp(a: float, b: float, t: float) -> float:
     return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], order_limit: int = BUCKET_ROWS
-) -> dict[str, list[float]]:
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
     """Exact linear quantiles of several columns; only counts and the quantiles reach the driver.
 
-    A column is narrowed down to the cells that hold the wanted ranks by counting rows in equal-width cells, again and
-    again while these cells hold more than ``order_limit`` rows. Then only the rows of these cells are collapsed to
-    distinct values and ordered. Cells with one value need no ordering, however many rows share it.
+    A column is narrowed down to the cells that hold the wanted ranks by counting rows per cell, until each of them holds
+    a single value, however many rows share it. NULL and NaN have no rank; infinities have.
     """
     df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     facts = df.agg(
@@ -254,68 +280,20 @@ def exact_quantiles(
     ranks = {c: sorted({r for p in probabilities for r in quantile_ranks(sizes[c], p)[:2]}) for c in columns if sizes[c]}
     # Spans per column: (low, high, rows below, rows inside), the parts of the column that hold wanted ranks.
     spans = {c: [(facts[f"lo_{c}"], facts[f"hi_{c}"], 0, sizes[c])] for c in ranks}
-    for _ in range(REFINEMENTS):
-        wide = {
-            c: [s for s in parts if s[0] < s[1]]
-            for c, parts in spans.items()
-            if sum(s[3] for s in parts if s[0] < s[1]) > order_limit and all(math.isfinite(s[1] - s[0]) for s in parts)
-        }
-        if not wide:
-            break
+    while wide := {c: found for c, parts in spans.items() if (found := [s for s in parts if _splits(*s[:2])])}:
         counted = _cell_counts(df, {c: [(s[0], s[1]) for s in parts] for c, parts in wide.items()}, CELLS)
         for c, parts in wide.items():
-            kept = [s for s in spans[c] if s[0] == s[1]]
+            kept = [s for s in spans[c] if not _splits(*s[:2])]
             for i, (_, _, below, _) in enumerate(parts):
                 for n, low, high in counted[(c, i)]:
                     if any(below <= r < below + n for r in ranks[c]):
                         kept.append((low, high, below, n))
                     below += n
             spans[c] = kept
-    found = _order_statistics(df, spans, ranks)
     result: dict[str, list[float]] = {c: [] for c in columns}
     for c in ranks:
+        value = {r: low for low, _, below, n in spans[c] for r in ranks[c] if below <= r < below + n}
         for p in probabilities:
             low, high, t = quantile_ranks(sizes[c], p)
-            result[c].append(lerp(found[c][low], found[c][high], t))
+            result[c].append(lerp(value[low], value[high], t))
     return result
-
-
-def _order_statistics(df: DataFrame, spans: dict, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
-    """Values at the wanted ranks, from the rows inside the spans that hold more than one value."""
-    found: dict[str, dict[int, float]] = {c: {} for c in spans}
-    open_spans: dict[str, list] = {}
-    for c, parts in spans.items():
-        for low, high, below, n in parts:
-            if low == high:
-                found[c].update({r: low for r in ranks[c] if below <= r < below + n})
-            elif any(below <= r < below + n for r in ranks[c]):
-                open_spans.setdefault(c, []).append((low, high, below))
-    if not open_spans:
-        return found
-    parts = []
-    for c, bounds in open_spans.items():
-        value = F.col(c).cast("double")
-        offset = F.lit(None).cast("long")
-        for low, high, below in bounds:
-            offset = F.when((value >= F.lit(low)) & (value <= F.lit(high)), F.lit(below).cast("long")).otherwise(offset)
-        parts.append(F.struct(F.lit(c).alias("feature"), offset.alias("below"), value.alias("value")))
-    table = (
-        df.select(F.inline(F.array(*parts)))
-        .filter(F.col("below").isNotNull())
-        .groupBy("feature", "below", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    inner = Window.partitionBy("feature", "below").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = table.withColumn("cum", F.sum("n").over(inner) + F.col("below"))
-    wanted = F.lit(False)
-    for c in open_spans:
-        # Wanted ranks r with cum - n <= r < cum: the distinct value that holds the row of that rank.
-        at = F.exists(
-            F.array(*[F.lit(r).cast("long") for r in ranks[c]]),
-            lambda r: (F.col("cum") > r) & (F.col("cum") - F.col("n") <= r),
-        )
-        wanted = wanted | ((F.col("feature") == c) & at)
-    for row in ranked.filter(wanted).select("feature", "value", "n", "cum").collect():  # one row per wanted rank at most
-        c = row["feature"]
-        found[c].update({r: row["value"] for r in ranks[c] if row["cum"] - row["n"] <= r < row["cum"]})
-    return found

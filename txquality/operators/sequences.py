@@ -30,22 +30,20 @@ def changes_only(df: DataFrame, value: str, pos: str, buckets: int | None = None
     """Rows whose value differs from the row before them in the order of ``pos``, a unique log position.
 
     Positions are cut into even buckets, whatever the times at which rows arrived. Rows are compared inside buckets; the
-    first row of a bucket is compared with the last value of the bucket before it, taken from one row per bucket.
+    first row of a bucket is compared with the last value of the bucket before it, taken from one row per bucket. Rows
+    without a position come last, in no defined order.
     """
     if buckets is None:
         buckets = ranks.bucket_count(df.count())
     marked = ranks.with_key_buckets(df, pos, buckets, "_b")
-    inner = Window.partitionBy("_b").orderBy(pos)
     boxed = F.struct(F.col(value).alias("v"))
-    compared = marked.withColumn("_before", F.lag(boxed).over(inner))
-    before = F.col("_before")
-    if buckets > 1:
-        last = marked.groupBy("_b").agg(F.max_by(boxed, pos).alias("_last"))
-        carried = last.select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_carry"))
-        compared = compared.join(F.broadcast(carried), "_b")  # at most `buckets` rows
-        before = F.coalesce(before, F.col("_carry"))
+    compared = marked.withColumn("_before", F.lag(boxed).over(Window.partitionBy("_b").orderBy(pos)))
+    last = marked.groupBy("_b").agg(F.coalesce(F.max_by(boxed, pos), F.last(boxed)).alias("_last"))
+    carried = last.select(F.col("_b").alias("_of"), F.lag("_last").over(Window.orderBy(F.col("_b").asc_nulls_last())).alias("_carry"))
+    compared = compared.join(carried, F.col("_b").eqNullSafe(F.col("_of")))
+    before = F.coalesce("_before", "_carry")
     changed = before.isNull() | ~F.col(value).eqNullSafe(before["v"])
-    return compared.filter(changed).drop("_b", "_carry", "_before")
+    return compared.filter(changed).drop("_b", "_of", "_carry", "_before")
 
 
 def islands(df: DataFrame, series: list[str], order: str, active: Column) -> DataFrame:
