@@ -79,7 +79,9 @@ def test_strong_drift_is_flagged_in_new_data_mode(spark):
     assert row["mode"] == "new_data" and row["recent_rows"] == 300 and row["alert"]
     levels = {r["feature"]: r["level"] for r in drift.drift_by_feature(both, new_data_after=last).collect()}
     assert levels["amount"] == "red"
-    assert drift.summary(both.limit(1000), new_data_after=last * 100).first()["mode"] == "halves"
+    thin = drift.summary(both.limit(1000), new_data_after=last * 100).first()
+    assert thin["mode"] == "new_data" and thin["recent_rows"] == 0
+    assert drift.summary(both.limit(1000)).first()["mode"] == "halves"
 
 
 def test_grouped_index_equals_single_groups(spark, rows):

@@ -33,7 +33,7 @@ def test_batch_job(spark, built, folder):
 
 def test_gate_stops_the_job(spark, tmp_path):
     spark.createDataFrame([(1.0, 2.0)], "Time double, V1 double").write.option("header", True).csv(str(tmp_path / "c"))
-    with pytest.raises(quality.QualityError, match="missing columns"):
+    with pytest.raises(quality.QualityError, match="required columns are missing"):
         jobs.batch_job(spark, str(tmp_path / "c"), str(tmp_path), "load-1")
 
 

@@ -29,10 +29,10 @@ def test_gate_passes_sound_rows(raw):
 @pytest.mark.parametrize(
     "change, message",
     [
-        (lambda df: df.drop("amount"), r"missing columns: \['amount'\]"),
-        (lambda df: df.withColumn("amount", F.when(F.col("time") > 0, F.col("amount"))), "1 null amounts"),
-        (lambda df: df.withColumn("class", F.lit(2).cast("long")), "10 rows with a class"),
-        (lambda df: df.withColumn("amount", F.lit(-5.0)), "10 rows with a negative amount"),
+        (lambda df: df.drop("amount"), r"required columns are missing: \['amount'\]"),
+        (lambda df: df.withColumn("amount", F.when(F.col("time") > 0, F.col("amount"))), "amount is NULL in 1 of 10"),
+        (lambda df: df.withColumn("class", F.lit(2).cast("long")), "class is neither 0 nor 1 in 10"),
+        (lambda df: df.withColumn("amount", F.lit(-5.0)), "amount is below zero in 10"),
     ],
 )
 def test_gate_blocks(raw, change, message):

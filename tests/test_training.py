@@ -25,7 +25,7 @@ def split(feats):
 def test_logistic_regression_is_the_optimum(split):
     """The gradient of the balanced sum-of-losses objective with C = 1 vanishes at the fitted weights."""
     train = split.filter("fold = 'train'")
-    model = training.fit("logreg_baseline", train)
+    model, _ = training.fit("logreg_baseline", train)
     w, b = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
     pdf = train.select(*S.FEATURES, "is_fraud").toPandas()
     x = pdf[S.FEATURES].to_numpy(float)
@@ -41,7 +41,7 @@ def test_train_evaluate_save_and_load(spark, split, tmp_path):
     model, run = training.train_and_evaluate("logreg_baseline", split)
     row = run.first()
     assert (row["n_train"], row["n_test"]) == (480, 120) and row["pr_auc"] > 0.5
-    assert row["params"]["max_iter"] == "1000"
+    assert row["params"]["maxIter"] == "1000" and len(row["tags"]["code_version"]) == 12
     training.save_model(model, run, str(tmp_path / "m"))
     loaded, threshold = training.load_model(spark, str(tmp_path / "m"))
     assert threshold == row["threshold"]

@@ -20,7 +20,7 @@ def _status(spark, sf_dir):
     sizes = events.agg(F.count(F.lit(1)).alias("dataset_rows"))
     pending = events.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("n", "d").alias("pending"))
     log = st.run_log(spark, sf_dir)
-    running = runs.latest_runs(log, 200).agg(F.max(F.col("status").isin("running", "pipeline_running").cast("int")).alias("running"))
+    running = runs.latest_runs(log).agg(F.max(F.col("status").isin("running", "pipeline_running").cast("int")).alias("running"))
     last = runs.last_finished_run(log).agg(
         F.max((F.col("status") == "completed").cast("int")).alias("last_success"),
         F.max(C.micros(F.col("timestamp").cast("timestamp_ntz")) / F.lit(1e6)).alias("last_epoch"),
@@ -40,12 +40,12 @@ def _gauges(spark, sf_dir):
     return metrics.gauges(_status(spark, sf_dir), drift.summary(_rows(spark, sf_dir)))
 
 
-_GAUGES = f"""{_HALVES}, {_LOG}, recent as (select * from latest order by first_pos desc limit 200),
-finished as (select * from recent where job_kind is not null and status in ('completed', 'failed') order by first_pos desc limit 1),
+_GAUGES = f"""{_HALVES}, {_LOG},
+finished as (select * from latest where job_kind is not null and status in ('completed', 'failed') order by first_pos desc limit 1),
 status_ as (
   select (select count(*) from events) as dataset_rows,
          (select count(*) from events where cast(ts as date) = (select max(cast(ts as date)) from events)) as pending,
-         (select max(case when status in ('running', 'pipeline_running') then 1 else 0 end) from recent) as running,
+         (select max(case when status in ('running', 'pipeline_running') then 1 else 0 end) from latest) as running,
          (select max(case when status = 'completed' then 1 else 0 end) from finished) as last_success,
          (select max(epoch_us(cast(timestamp as timestamp)) / 1e6::double) from finished) as last_epoch,
          (select max(psi) from indexes) as max_psi, (select count(*) from base where {_HALF_CUR}) as recent_rows),

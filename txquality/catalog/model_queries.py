@@ -78,7 +78,7 @@ def _split(spark, sf_dir):
 @query("lr_scores")
 def lr_scores(spark, sf_dir):
     split = _split(spark, sf_dir)
-    model = training.fit("logreg_baseline", split.filter("fold = 'train'"))
+    model, _ = training.fit("logreg_baseline", split.filter("fold = 'train'"))
     scored = training.score(model, split.filter("fold = 'test'"))
     return scored.select("transaction_id", "is_fraud", "probability_fraud")
 
@@ -86,7 +86,7 @@ def lr_scores(spark, sf_dir):
 @query("rf_scores")
 def rf_scores(spark, sf_dir):
     split = _split(spark, sf_dir)
-    model = training.fit("rf_balanced_v1", split.filter("fold = 'train'"))
+    model, _ = training.fit("rf_balanced_v1", split.filter("fold = 'train'"))
     scored = training.score(model, split.filter("fold = 'test'"))
     return scored.select("transaction_id", "is_fraud", "probability_fraud")
 

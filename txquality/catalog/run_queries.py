@@ -35,8 +35,7 @@ def latest_runs(spark, sf_dir):
 def _group_sql(group: str) -> str:
     statuses = ", ".join(f"'{s}'" for s in S.STATUS_GROUPS[group])
     return (
-        f"with {_LOG}, recent as (select * from latest order by first_pos desc limit 500) "
-        f"select {_OUT} from recent where status in ({statuses}) order by first_pos desc limit 50"
+        f"with {_LOG} select {_OUT} from latest where status in ({statuses}) order by first_pos desc limit 50"
     )
 
 
@@ -50,6 +49,11 @@ def runs_completed(spark, sf_dir):
     return runs.runs_by_group(st.run_log(spark, sf_dir), "completed").select(*_FIELDS)
 
 
+@query("runs_running", _group_sql("running"))
+def runs_running(spark, sf_dir):
+    return runs.runs_by_group(st.run_log(spark, sf_dir), "running").select(*_FIELDS)
+
+
 @query(
     "runs_status_counts",
     f"""with {_LOG} select case when status in ('completed', 'versioned') then 'completed'
@@ -62,8 +66,7 @@ def runs_status_counts(spark, sf_dir):
 
 @query(
     "last_finished_run",
-    f"with {_LOG}, recent as (select * from latest order by first_pos desc limit 200) "
-    f"select {_OUT} from recent where job_kind is not null and status in ('completed', 'failed') order by first_pos desc limit 1",
+    f"with {_LOG} select {_OUT} from latest where job_kind is not null and status in ('completed', 'failed') order by first_pos desc limit 1",
 )
 def last_finished_run(spark, sf_dir):
     return runs.last_finished_run(st.run_log(spark, sf_dir)).select(*_FIELDS)
@@ -157,7 +160,8 @@ def volume_trigger(spark, sf_dir):
       select event_type as dataset, date_trunc('hour', ts) as hour_, md5(event_type || ':' || cast(max(cast(props->>'$.k' as integer)) // 10 as varchar)) as md5
       from events group by 1, 2),
     seen as (select *, lag(md5) over (partition by dataset order by hour_) as cursor_ from versions),
-    processed as (select distinct md5('view:' || cast(cast(props->>'$.k' as integer) // 10 as varchar)) as md5 from events where value > 400)
+    processed as (select distinct md5('view:' || cast(cast(props->>'$.k' as integer) // 10 as varchar)) as md5 from events
+                  where event_type = 'purchase' and cast(props->>'$.k' as integer) % 3 <> 0)
     select dataset, strftime(hour_, '%Y-%m-%d %H') as hour, md5, cursor_ as "cursor" from seen
     where cursor_ is not null and cursor_ <> md5 and md5 not in (select md5 from processed)""",
 )
@@ -168,7 +172,8 @@ def version_trigger(spark, sf_dir):
     versions = events.groupBy(
         F.col("event_type").alias("dataset"), F.date_format(F.date_trunc("hour", F.col("ts")), "yyyy-MM-dd HH").alias("hour")
     ).agg(F.md5(F.concat_ws(":", F.col("event_type"), tens).cast("binary")).alias("md5"))
-    processed = events.filter("value > 400").select(
+    # Versions that a completed run with a job kind has seen.
+    processed = events.filter((F.col("event_type") == "purchase") & (k % 3 != 0)).select(
         F.md5(F.concat_ws(":", F.lit("view"), F.floor(k / F.lit(10)).cast("string")).cast("binary")).alias("md5")
     )
     return runs.version_trigger(versions, processed, "dataset", "hour", "md5")
@@ -177,13 +182,13 @@ def version_trigger(spark, sf_dir):
 @query(
     "last_run_text",
     """with per_user as (
-      select user_id, arg_max(event_type, event_id) filter (where event_type in ('error', 'purchase') and value > 100) as last_
+      select user_id, arg_max(event_type, event_id) filter (where event_type in ('error', 'purchase') and cast(props->>'$.k' as integer) % 3 <> 0) as last_
       from events group by 1)
     select user_id, case last_ when 'purchase' then 'SUCCÈS' when 'error' then 'ÉCHEC' else 'AUCUN RUN' end as shown from per_user""",
 )
 def last_run_text(spark, sf_dir):
     events = st.table(spark, sf_dir, "events")
-    finished = F.col("event_type").isin("error", "purchase") & (F.col("value") > 100)
+    finished = F.col("event_type").isin("error", "purchase") & (F.get_json_object("props", "$.k").cast("int") % 3 != 0)
     outcome = F.when(finished, F.when(F.col("event_type") == "purchase", 1).otherwise(0))
     last = events.groupBy("user_id").agg(F.max_by(outcome, F.when(finished, F.col("event_id"))).alias("success"))
     return last.select("user_id", runs.shown_status(F.col("success")).alias("shown"))

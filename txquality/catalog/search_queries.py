@@ -19,18 +19,18 @@ def _tx(spark, sf_dir):
 
 
 _TX = f"{Q.CORE}, t as (select {_COLS} from tx)"
-_LIMITS = {"amount_min": 5.0, "amount_max": 200.0, "time_min": 86400.0, "time_max": 86400.0 * 25 - 1}
+_LIMITS = {"amount": search.Between(5.0, 200.0), "time": search.Between(86400.0, 86400.0 * 25 - 1)}
 _WHERE = "amount >= 5 and amount <= 200 and time >= 86400 and time <= 2159999"
 
 
 @query("search_page", f"with {_TX} select * from t where {_WHERE} order by amount desc, id limit 50 offset 100")
 def search_page(spark, sf_dir):
-    return search.page(_tx(spark, sf_dir), 3, 50, "amount", "desc", **_LIMITS)
+    return search.page(_tx(spark, sf_dir), 3, 50, "amount", "desc", limits=_LIMITS)
 
 
-@query("search_page_fraud", f"with {_TX} select * from t where is_fraud = 1 order by time, id limit 200")
+@query("search_page_fraud", f"with {_TX} select * from t where is_fraud = 1 order by time, id limit 1000")
 def search_page_fraud(spark, sf_dir):
-    return search.page(_tx(spark, sf_dir), 1, 1000, "time", "asc", is_fraud=1)
+    return search.page(_tx(spark, sf_dir), 1, 1000, "time", "asc", limits={"is_fraud": search.Between(1, 1)})
 
 
 @query("search_page_components", f"with {Q.FULL} select id, time, {', '.join(Q.V)}, amount, class as is_fraud from tx order by v1 desc, id limit 100 offset 100")
@@ -43,13 +43,13 @@ def search_page_components(spark, sf_dir):
 def search_page_after(spark, sf_dir):
     """Third page again, reached from the last row of the second."""
     rows = _tx(spark, sf_dir)
-    last = search.page(rows, 2, 50, "amount", "desc", **_LIMITS).collect()[-1]  # one page
-    return search.page_after(rows, last["amount"], last["id"], 50, "amount", "desc", **_LIMITS)
+    last = search.page(rows, 2, 50, "amount", "desc", limits=_LIMITS).collect()[-1]  # one page
+    return search.page_after(rows, last["amount"], last["id"], 50, "amount", "desc", limits=_LIMITS)
 
 
 @query("search_total", f"with {_TX} select count(*) as total from t where {_WHERE}")
 def search_total(spark, sf_dir):
-    return search.total(_tx(spark, sf_dir), **_LIMITS)
+    return search.total(_tx(spark, sf_dir), limits=_LIMITS)
 
 
 @query(
@@ -58,7 +58,7 @@ def search_total(spark, sf_dir):
     "greatest(1, ceil(total / 50.0))::bigint as page_count, 101 as first_row, least(150, total) as last_row from c",
 )
 def page_info(spark, sf_dir):
-    return search.page_info(_tx(spark, sf_dir), 3, 50, **_LIMITS)
+    return search.page_info(_tx(spark, sf_dir), 3, 50, limits=_LIMITS)
 
 
 @query("lookup", f"with {_TX} select * from t where id = 123")
@@ -82,7 +82,7 @@ def day_filter(spark, sf_dir):
 def export_selection(spark, sf_dir):
     """Export of the rows selected on one page."""
     rows = _tx(spark, sf_dir)
-    return search.selection(rows, search.page(rows, 3, 50, "amount", "desc", **_LIMITS).select("id"))
+    return search.selection(rows, search.page(rows, 3, 50, "amount", "desc", limits=_LIMITS).select("id"))
 
 
 _LOADS = f"""loads as (
@@ -103,13 +103,7 @@ def _loads(spark, sf_dir):
 
 
 def _last_load(spark, sf_dir):
-    """Last good load with the rows present once it had run."""
-    loads = _loads(spark, sf_dir)
-    last = loads.filter("status = 0").agg(F.max("inserted_at")).scalar()
-    return loads.filter(F.col("inserted_at") <= last).agg(
-        F.max_by("load_id", F.when(F.col("status") == 0, F.col("inserted_at"))).alias("load_id"),
-        F.sum("row_count").alias("loaded_rows"),
-    )
+    return files.last_successful_load(_loads(spark, sf_dir))
 
 
 _LAST = f"""{_LOADS}, counted as (

@@ -20,7 +20,7 @@ FULL = f"""core as (
          event_id % (select count(*) from embeddings) as pick
   from events),
 tx as (
-  select id, time, {", ".join(f"embedding[{i}]::double as v{i}" for i in range(1, 29))},
+  select id, time, {", ".join(" + ".join(f"embedding[{k}]::double" for k in range(i, 65, 28)) + f" as v{i}" for i in range(1, 29))},
          amount, class, load_id, row_uid
   from core join embeddings on vec_id = pick)"""
 

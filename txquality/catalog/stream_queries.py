@@ -126,7 +126,7 @@ def stream_scores(spark, sf_dir):
     batch = st.raw_core(spark, sf_dir).select(
         F.col("time").alias("time_seconds"), "amount", F.col("class").alias("is_fraud")
     )
-    model = training.fit("logreg_baseline", drift.drift_features(batch), S.MONITORED)
+    model, _ = training.fit("logreg_baseline", drift.drift_features(batch), S.MONITORED)
     rows = drift.drift_features(_event_stream(spark, sf_dir))
     jobs.score_stream(rows, model, S.DEFAULT_SCORE_THRESHOLD, "v1", out, checkpoint).awaitTermination()
     return spark.read.schema(S.PREDICTION_SCHEMA).json(out).drop("timestamp")

@@ -22,19 +22,22 @@ def _base(spark, sf_dir):
 
 
 def _batch(spark, sf_dir, known_only=True):
-    """Change batch: edits from order lines (several per row), deletions from open orders, new rows from customers."""
+    """Change batch: edits from all order lines (several per row), deletions from open orders, new rows from all customers.
+
+    Keys beyond the rows wrap around, so that every line is an edit; ``known_only=False`` leaves them as they are.
+    """
     item, orders, customer = (st.table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     updates = item.select(
         F.col("l_orderkey").alias("id"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
         F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")).alias("amount"),
         F.when(F.col("l_linestatus") == "O", F.lit(1)).cast("long").alias("is_fraud"),
     )
     deletes = orders.filter(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("id"))
     if known_only:
         rows = st.table(spark, sf_dir, "events").agg(F.count(F.lit(1))).scalar()
-        updates, deletes = updates.filter(F.col("id") < rows), deletes.filter(F.col("id") < rows)
-    creates = customer.filter("c_acctbal >= 0").select(
+        updates, deletes = (t.withColumn("id", F.col("id") % rows) for t in (updates, deletes))
+    creates = customer.select(
         F.col("c_custkey").alias("pos"),
         (F.col("c_custkey") * F.lit(10.0)).alias("time"),
         F.col("c_acctbal").alias("amount"),
@@ -47,13 +50,14 @@ def _batch(spark, sf_dir, known_only=True):
 _TX = f"{Q.CORE}, t as (select id, time, amount, class as is_fraud, row_uid from tx)"
 _BATCH = f"""{_TX},
 updates as (
-  select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos,
+  select l_orderkey % (select count(*) from events) as id,
+         row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as pos,
          case when l_returnflag = 'A' then l_extendedprice end as amount, (case when l_linestatus = 'O' then 1 end)::bigint as is_fraud
-  from lineitem where l_orderkey < (select count(*) from events)),
-deletes as (select o_orderkey as id from orders where o_orderstatus = 'P' and o_orderkey < (select count(*) from events)),
+  from lineitem),
+deletes as (select o_orderkey % (select count(*) from events) as id from orders where o_orderstatus = 'P'),
 creates as (
   select c_custkey as pos, c_custkey * 10.0::double as time, c_acctbal as amount, 0::bigint as is_fraud,
-         sha256('create:' || c_custkey) as row_uid from customer where c_acctbal >= 0),
+         sha256('create:' || c_custkey) as row_uid from customer),
 folded as (
   select id, arg_max(amount, pos) filter (where amount is not null) as amount, arg_max(is_fraud, pos) filter (where is_fraud is not null) as is_fraud
   from updates group by 1),

@@ -53,18 +53,16 @@ def binned_counts(df: DataFrame, edges: Edges, groups: list[str]) -> DataFrame:
     return together.select(*groups, "n", F.inline(rows)).groupBy(*groups, "feature", "bin").agg(F.sum("n").alias("n"))
 
 
-def _label(low: float, high: float) -> str:
-    if math.isinf(low):
-        return f"< {high:.3g}"
-    if math.isinf(high):
-        return f"≥ {low:.3g}"
-    return f"{low:.3g}–{high:.3g}"
+def bin_label(edges: list[float], number: int) -> str:
+    """Text of a bin; the outer bins are open."""
+    place = "first" if number == 0 else "last" if number == len(edges) - 2 else "inner"
+    return S.BIN_LABELS[place].format(low=edges[number], high=edges[number + 1])
 
 
 def bin_table(df: DataFrame, edges: Edges) -> DataFrame:
     """(feature, bin, bucket) for every bin: a few dozen rows."""
     rows = [
-        (c, i, _label(e[i], e[i + 1])) for c, e in edges.items() if e for i in range(len(e) - 1)
+        (c, i, bin_label(e, i)) for c, e in edges.items() if e for i in range(len(e) - 1)
     ]
     return df.sparkSession.createDataFrame(rows, "feature string, bin int, bucket string")
 

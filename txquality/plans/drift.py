@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from txquality import schema as S
 from txquality.functions import columns as C
@@ -33,13 +32,14 @@ class Sides:
         return self.rows.filter(~F.col("is_recent"))
 
 
-def split_sides(df: DataFrame, new_data_after: float | None = None, min_recent: int = S.MIN_NEW_ROWS) -> Sides:
-    """Halves at the median time, or old against new rows when enough rows are newer than ``new_data_after``."""
+def split_sides(df: DataFrame, new_data_after: float | None = None) -> Sides:
+    """Halves at the median time, or old against new rows when ``new_data_after`` is given.
+
+    The mode is the caller's choice at every size; results carry ``recent_rows``, from which to judge a thin new side.
+    """
     time = F.col("time_seconds")
     if new_data_after is not None:
-        newer = df.agg(F.count_if(time > new_data_after)).first()[0]
-        if newer >= min_recent:
-            return Sides("new_data", new_data_after, df.withColumn("is_recent", time > new_data_after))
+        return Sides("new_data", new_data_after, df.withColumn("is_recent", time > new_data_after))
     median = ranks.exact_quantiles(df, ["time_seconds"], [0.5])["time_seconds"]
     cut = median[0] if median else None
     return Sides("halves", cut, df.withColumn("is_recent", time >= F.lit(cut).cast("double")))
@@ -64,10 +64,10 @@ def index_by_feature(sides: Sides, edges: psi.Edges, features: list[str]) -> Dat
 
 
 def drift_by_feature(
-    df: DataFrame, new_data_after: float | None = None, features: list[str] | None = None, min_recent: int = S.MIN_NEW_ROWS
+    df: DataFrame, new_data_after: float | None = None, features: list[str] | None = None
 ) -> DataFrame:
     features = features or S.MONITORED
-    sides = split_sides(drift_features(df), new_data_after, min_recent)
+    sides = split_sides(drift_features(df), new_data_after)
     edges = psi.bin_edges(sides.reference, features)
     return index_by_feature(sides, edges, features).withColumn("mode", F.lit(sides.mode))
 
@@ -86,10 +86,10 @@ def distribution(df: DataFrame, new_data_after: float | None = None, features: l
 
 
 def summary(
-    df: DataFrame, new_data_after: float | None = None, psi_threshold: float = S.PSI_HIGH, min_recent: int = S.MIN_NEW_ROWS
+    df: DataFrame, new_data_after: float | None = None, psi_threshold: float = S.PSI_HIGH
 ) -> DataFrame:
     """One row: mode, side sizes, highest index, threshold, alert and the index per feature."""
-    return summarised(drift_by_feature(df, new_data_after, S.MONITORED, min_recent), psi_threshold)
+    return summarised(drift_by_feature(df, new_data_after, S.MONITORED), psi_threshold)
 
 
 def summarised(indexes: DataFrame, psi_threshold: float = S.PSI_HIGH) -> DataFrame:
@@ -135,10 +135,7 @@ def history(checks: DataFrame, fingerprint: str, pos: str) -> DataFrame:
 def record_check(summary_df: DataFrame, fingerprint: str, source: str, path: str) -> bool:
     """Append a check to the history unless the newest record is of the same dataset version; tells whether it did."""
     spark = summary_df.sparkSession
-    try:
-        log = files.read_jsonl(spark, path, S.DRIFT_SCHEMA)
-    except AnalysisException:
-        log = spark.createDataFrame([], S.DRIFT_SCHEMA)
+    log = files.read_or_empty(spark, "json", path, S.DRIFT_SCHEMA)
     last = log.agg(F.max_by("fingerprint", "timestamp")).first()[0]
     if last == fingerprint:
         return False

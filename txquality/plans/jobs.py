@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txquality import schema as S
@@ -30,21 +32,33 @@ def build_marts(spark: SparkSession, raw: DataFrame, folder: str) -> dict[str, D
     return models
 
 
-def load_raw(spark: SparkSession, csv_path: str, folder: str, load_id: str) -> DataFrame:
-    """Replace-load of the raw table with row numbers and lineage; blocked by the gate."""
-    missing = quality.missing_columns(files.read_csv_as_is(spark, csv_path))
-    if missing:
-        raise quality.QualityError(f"missing columns: {missing}")
-    numbered = files.with_file_position(files.read_raw_csv(spark, csv_path))
-    files.replace_table(files.with_lineage(numbered, load_id), f"{folder}/transactions_raw")
+def load_raw(spark: SparkSession, csv_paths: str | list[str], folder: str, load_id: str) -> DataFrame:
+    """Replace-load of the raw table with row numbers and lineage; blocked by the gate.
+
+    Files are read in the order given, each by its own header; what was no number is counted in ``load_report``.
+    """
+    parts, rows = [], 0
+    for path in [csv_paths] if isinstance(csv_paths, str) else csv_paths:
+        text = files.read_csv_as_is(spark, path)
+        missing = quality.missing_columns(text)
+        if missing:
+            raise quality.QualityError(f"required columns are missing in {path}: {missing}")
+        numbered = files.with_file_position(files.read_raw_csv(spark, path))
+        parts.append(numbered.withColumn("id", F.col("id") + F.lit(rows)))
+        report = files.bad_fields(text).first().asDict()  # one row
+        rows += report.pop("row_count")
+        line = [(load_id, path, sum(report.values()), ",".join(c for c, n in report.items() if n))]
+        files.append_jsonl(spark.createDataFrame(line, "load_id string, path string, bad_fields long, columns string"), f"{folder}/load_report")
+    every = reduce(DataFrame.unionByName, parts)
+    files.replace_table(files.with_lineage(every, load_id), f"{folder}/transactions_raw")
     raw = spark.read.parquet(f"{folder}/transactions_raw")
     quality.enforce_gate(raw)
     return raw
 
 
-def batch_job(spark: SparkSession, csv_path: str, folder: str, load_id: str) -> dict:
+def batch_job(spark: SparkSession, csv_paths: str | list[str], folder: str, load_id: str) -> dict:
     """Raw file to tested marts; the first failing stage raises and stops the job."""
-    raw = load_raw(spark, csv_path, folder, load_id)
+    raw = load_raw(spark, csv_paths, folder, load_id)
     models = build_marts(spark, raw, folder)
     summary = quality.enforce_suite(spark, models)
     return {"models": models, "tests": summary}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from txquality import schema as S
+from txquality.sources import files
 
 _VERSIONS = (
     "model string, version int, run_id string, "
@@ -24,10 +24,7 @@ class ModelTable:
     path: str
 
     def versions(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], _VERSIONS)
+        return files.read_or_empty(self.spark, "parquet", self.path, _VERSIONS)
 
     def register(self, run: DataFrame, model: str, run_id: str, promote: bool = True) -> dict:
         """Append a one-row run as the next version of ``model``; promoted when it beats production and may."""

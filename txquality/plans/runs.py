@@ -7,25 +7,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from txquality import schema as S
 from txquality.operators import sequences
 
-LOG_WINDOW = 500
-
-
 def latest_runs(log: DataFrame, limit: int | None = None) -> DataFrame:
     """Current record of every run, with ``first_pos`` for first-seen order; the last ``limit`` runs when given.
 
-    A record without run id is a run of its own, named after its position.
+    A record without run id, or with an empty one, is a run of its own, named after its position.
     """
-    named = log.withColumn(
-        "run_id", F.coalesce(F.col("run_id"), F.concat(F.lit("legacy-"), F.col("pos").cast("string")))
-    )
+    own = F.concat(F.lit("legacy-"), F.col("pos").cast("string"))
+    named = log.withColumn("run_id", F.coalesce(F.nullif(F.col("run_id"), F.lit("")), own))
     latest = sequences.latest_per_key(named, ["run_id"], "pos", "first_pos")
     return latest if limit is None else sequences.tail(latest, "first_pos", limit)
 
 
 def runs_by_group(log: DataFrame, group: str, limit: int = 50) -> DataFrame:
-    """Last runs of a status group among the last ``LOG_WINDOW`` runs."""
-    recent = latest_runs(log, LOG_WINDOW)
-    return sequences.tail(recent.filter(F.col("status").isin(S.STATUS_GROUPS[group])), "first_pos", limit)
+    """Last ``limit`` runs of a status group, however far back they lie."""
+    return sequences.tail(latest_runs(log).filter(F.col("status").isin(S.STATUS_GROUPS[group])), "first_pos", limit)
 
 
 def status_counts(log: DataFrame) -> DataFrame:
@@ -37,9 +32,8 @@ def status_counts(log: DataFrame) -> DataFrame:
 
 
 def last_finished_run(log: DataFrame) -> DataFrame:
-    """Newest finished run that has a job kind, among the last 200 runs (none: no row)."""
-    recent = latest_runs(log, 200)
-    finished = recent.filter(F.col("job_kind").isNotNull() & F.col("status").isin(S.FINISHED))
+    """Newest finished run that has a job kind (none: no row)."""
+    finished = latest_runs(log).filter(F.col("job_kind").isNotNull() & F.col("status").isin(S.FINISHED))
     return finished.orderBy(F.col("first_pos").desc()).limit(1)
 
 
@@ -72,34 +66,49 @@ def parsed_steps(lines: DataFrame, line: str = "line") -> DataFrame:
 def run_stages(lines: DataFrame, stages: list[str] | None = None) -> DataFrame:
     """(run_id, stage_no, stage, status, started_at, ended_at): every expected stage of every run in the log.
 
-    Events are aggregated per run and step; the expected stages are a short literal list, so no table of pairs is built
-    beyond one row per run and stage.
+    The lines are scanned once and aggregated per run; the expected stages are a short literal list.
     """
     stages = stages or list(S.STAGES)
-    known = parsed_steps(lines).filter(F.col("op").isin(stages))
-    start = F.col("event") == "STEP_START"
-    states = known.groupBy("run_id", "op").agg(
-        F.max_by("event", "pos").alias("last_event"),
-        F.max_by(F.when(start, F.col("ts")), F.when(start, F.col("pos"))).alias("started_at"),
-        F.max_by(F.when(~start, F.col("ts")), F.when(~start, F.col("pos"))).alias("ended_at"),
-    )
-    expected = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i + 1).alias("stage_no"), F.lit(op).alias("op"), F.lit(S.STAGES[op]).alias("stage"))
-                for i, op in enumerate(stages)
-            ]
+    op = F.regexp_extract("line", S.STEP_PATTERN, 1)
+    event = F.regexp_extract("line", S.STEP_PATTERN, 2)
+    steps = lines.select("run_id", "pos", "ts", op.alias("op"), F.when(event != "", event).alias("event"))
+    # Per stage the last event, start and end as positions with a code: one hash aggregate over whole numbers.
+    codes = {"STEP_START": 1, "STEP_SUCCESS": 2, "STEP_FAILURE": 3}
+    code = F.lit(0)
+    for name, number in codes.items():
+        code = F.when(F.col("event") == name, F.lit(number)).otherwise(code)
+    second = F.unix_timestamp(F.try_to_timestamp("ts", F.lit("yyyy-MM-dd HH:mm:ss")))
+    steps = steps.select("run_id", "pos", "op", code.alias("code"), second.alias("second"))
+    known = F.col("code") > 0
+    aggs = []
+    for i, name in enumerate(stages):
+        own = known & (F.col("op") == name)
+        for label, value, here in (
+            ("code", F.col("code"), own),
+            ("start", F.col("second"), own & (F.col("code") == 1)),
+            ("end", F.col("second"), own & (F.col("code") > 1)),
+        ):
+            aggs.append(F.max_by(F.when(here, value), F.when(here, F.col("pos"))).alias(f"_{label}_{i}"))
+    states = steps.groupBy("run_id").agg(*aggs)
+    rows = [
+        F.struct(
+            F.lit(i + 1).alias("stage_no"),
+            F.lit(S.STAGES[name]).alias("stage"),
+            F.col(f"_code_{i}").alias("code"),
+            F.col(f"_start_{i}").alias("start"),
+            F.col(f"_end_{i}").alias("end"),
         )
-    )
-    wanted = lines.select("run_id").distinct().select("run_id", expected.alias("e")).select("run_id", "e.*")
-    status = (
-        F.when(F.col("last_event") == "STEP_START", F.lit("running"))
-        .when(F.col("last_event") == "STEP_SUCCESS", F.lit("completed"))
-        .when(F.col("last_event") == "STEP_FAILURE", F.lit("failed"))
-        .otherwise(F.lit("pending"))
-    )
-    return wanted.join(states, ["run_id", "op"], "left").select(
-        "run_id", "stage_no", "stage", status.alias("status"), "started_at", "ended_at"
+        for i, name in enumerate(stages)
+    ]
+    status = F.lit("pending")
+    for shown, number in (("running", 1), ("completed", 2), ("failed", 3)):
+        status = F.when(F.col("code") == number, F.lit(shown)).otherwise(status)
+
+    def text(seconds: str) -> Column:
+        return F.from_unixtime(F.col(seconds), "yyyy-MM-dd HH:mm:ss")
+
+    return states.select("run_id", F.inline(F.array(*rows))).select(
+        "run_id", "stage_no", "stage", status.alias("status"), text("start").alias("started_at"), text("end").alias("ended_at")
     )
 
 

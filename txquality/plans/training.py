@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import pathlib
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -12,16 +15,20 @@ from pyspark.storagelevel import StorageLevel
 from txquality import schema as S
 from txquality.plans import evaluation, splits
 
-MODEL_PARAMS = {
-    "logreg_baseline": {"model_type": "LogisticRegression", "class_weight": "balanced", "max_iter": "1000", "random_state": "42"},
-    "rf_balanced_v1": {
-        "model_type": "RandomForestClassifier",
-        "n_estimators": "200",
-        "max_depth": "12",
-        "class_weight": "balanced",
-        "random_state": "42",
-    },
-}
+def given_params(estimator) -> dict[str, str]:
+    """Kind of an estimator and the values it was given, as text for the run log."""
+    columns = ("featuresCol", "labelCol", "weightCol")
+    given = {p.name: str(v) for p, v in estimator.extractParamMap().items() if estimator.isSet(p) and p.name not in columns}
+    return {"model_type": type(estimator).__name__, "class_weight": "balanced over all rows", **given}
+
+
+def code_version() -> str:
+    """Digest of the package's source files: changes with the code that trained a model."""
+    digest = hashlib.sha256()
+    for path in sorted(pathlib.Path(__file__).resolve().parent.parent.rglob("*.py")):
+        if "llm" not in path.parts:
+            digest.update(path.read_bytes())
+    return digest.hexdigest()[:12]
 
 
 def with_balanced_weights(df: DataFrame, label: str = S.TARGET) -> DataFrame:
@@ -52,15 +59,16 @@ def estimator(name: str, weight_sum: float, trees: int = 200, depth: int = 12):
     raise ValueError(f"unknown model {name}")
 
 
-def fit(name: str, train: DataFrame, features: list[str] | None = None, **params) -> PipelineModel:
-    """Fit scaler and classifier. The training rows are kept in memory and on disk while MLlib passes over them."""
+def fit(name: str, train: DataFrame, features: list[str] | None = None, **params) -> tuple[PipelineModel, dict[str, str]]:
+    """Fit scaler and classifier: (model, parameters used). The training rows are kept in memory and on disk meanwhile."""
     features = features or S.FEATURES
     kept = with_balanced_weights(train.select(*features, S.TARGET)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scaler = scaler_stage(kept, features)
         assembler = VectorAssembler(inputCols=[f"s_{c}" for c in features], outputCol="features")
         weight_sum = kept.agg(F.sum("weight")).first()[0]
-        return Pipeline(stages=[scaler, assembler, estimator(name, weight_sum, **params)]).fit(kept)
+        chosen = estimator(name, weight_sum, **params)
+        return Pipeline(stages=[scaler, assembler, chosen]).fit(kept), given_params(chosen)
     finally:
         kept.unpersist()
 
@@ -77,12 +85,12 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 def train_and_evaluate(name: str, split: DataFrame, features: list[str] | None = None, tags: dict | None = None, **params):
     """Fit on the train fold, choose the threshold and measure on the test fold: (model, run row as DataFrame)."""
     train, test = split.filter("fold = 'train'"), split.filter("fold = 'test'")
-    model = fit(name, train, features, **params)
+    model, logged = fit(name, train, features, **params)
     result = evaluation.metrics(score(model, test), score="probability_fraud", label=S.TARGET)
     sizes = split.agg(F.count_if(F.col("fold") == "train"), F.count_if(F.col("fold") == "test")).first()
-    logged = {**MODEL_PARAMS[name]}
+    tags = {"trained_by": "txquality", "code_version": code_version(), **(tags or {})}
     text_map = F.create_map(*[F.lit(x) for pair in logged.items() for x in pair])
-    tag_map = F.create_map(*[F.lit(x) for pair in (tags or {"trained_by": "txquality"}).items() for x in pair])
+    tag_map = F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])
     run = result.select(
         F.lit(name).alias("model"),
         F.lit(sizes[0]).cast("long").alias("n_train"),

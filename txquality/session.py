@@ -7,7 +7,6 @@ import tempfile
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, app: str = "txquality") -> SparkSession:
@@ -19,6 +18,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "txquali
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-txquality-"))
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -29,20 +29,9 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "txquali
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of its own; a cluster without the setting is an error, because a
-    machine-local folder would not survive the loss of that machine.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-    if named:
-        return named.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="run-txquality-")
-    return _local_dirs[context.applicationId]
+    """Folder that driver and executors reach: the one named in ``spark.checkpoint.dir``, else one in the warehouse."""
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
 
 
 def checkpointed(df, spark: SparkSession | None = None):

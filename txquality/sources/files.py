@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from txquality import schema as S
 from txquality.functions import columns as C
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw transaction file with header. Types are declared, so quoted numbers and mixed line ends are no matter."""
-    return normalised(spark.read.schema(S.RAW_CSV_SCHEMA).option("header", True).csv(path))
+def read_raw_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Raw transaction files, every one read by its own header, whatever the order of its columns.
+
+    The raw columns come as their types, in contract order; text that is no number is NULL (``bad_fields`` counts it), and
+    so is a column that a file lacks. Paths are read one by one; files of one folder must share a header.
+    """
+    parts = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        text = read_csv_as_is(spark, path)
+        parts.append(text.select(*[F.col(c) if c in text.columns else F.lit(None).cast("string").alias(c) for c in S.RAW_TYPES]))
+    return typed(reduce(DataFrame.unionByName, parts))
+
+
+def bad_fields(text: DataFrame) -> DataFrame:
+    """One row: rows, and per raw column the fields whose text is no number, from a file read as it is."""
+    known = [(c, t) for c, t in S.RAW_TYPES.items() if c in text.columns]
+    lost = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c) for c, t in known]
+    return text.agg(F.count(F.lit(1)).alias("row_count"), *lost)
 
 
 def read_csv_as_is(spark: SparkSession, path: str) -> DataFrame:
@@ -18,14 +36,23 @@ def read_csv_as_is(spark: SparkSession, path: str) -> DataFrame:
     return normalised(spark.read.option("header", True).csv(path))
 
 
+def read_or_empty(spark: SparkSession, kind: str, path: str, schema) -> DataFrame:
+    """A table that may not have been written yet. Only a missing path counts as empty; other errors are raised."""
+    try:
+        return spark.read.schema(schema).format(kind).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def normalised(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
 def typed(df: DataFrame) -> DataFrame:
     """Cast the raw columns to their types; text that is no number becomes NULL instead of failing the job."""
-    kinds = {f.name.lower(): f.dataType for f in S.RAW_CSV_SCHEMA}
-    return df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+    return df.select(*[F.col(c).try_cast(S.RAW_TYPES[c]).alias(c) if c in S.RAW_TYPES else F.col(c) for c in df.columns])
 
 
 def with_file_position(df: DataFrame, name: str = "id") -> DataFrame:
@@ -50,14 +77,10 @@ def with_file_position(df: DataFrame, name: str = "id") -> DataFrame:
     )
 
 
-def with_lineage(df: DataFrame, load_id: str, row_id: str = "id") -> DataFrame:
+def with_lineage(df: DataFrame, load_id: str | Column, row_id: str = "id") -> DataFrame:
     """Stamp load id and a row key that is the same whenever the same load is repeated."""
-    return df.withColumns(
-        {
-            "load_id": F.lit(load_id),
-            "row_uid": F.sha2(F.concat_ws(":", F.lit(load_id), F.col(row_id).cast("string")), 256),
-        }
-    )
+    load = F.lit(load_id) if isinstance(load_id, str) else load_id
+    return df.withColumns({"load_id": load, "row_uid": F.sha2(F.concat_ws(":", load, F.col(row_id).cast("string")), 256)})
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -112,8 +135,12 @@ def checksum(df: DataFrame, columns: list[str], groups: list[str] | None = None)
 
 
 def last_successful_load(loads: DataFrame) -> DataFrame:
-    """One row: the newest load with status 0 (NULL when there is none)."""
-    return loads.filter(F.col("status") == 0).agg(F.max_by("load_id", "inserted_at").alias("load_id"))
+    """One row (load_id, loaded_rows): the newest load with status 0 and the rows of all loads up to it; NULL when there is none."""
+    good = F.col("status") == 0
+    last = loads.agg(F.max(F.when(good, F.col("inserted_at")))).scalar()
+    return loads.filter(F.col("inserted_at") <= last).agg(
+        F.max_by("load_id", F.when(good, F.col("inserted_at"))).alias("load_id"), F.sum("row_count").alias("loaded_rows")
+    )
 
 
 def write_lines(df: DataFrame, path: str, column: str = "line") -> None:

@@ -6,10 +6,13 @@ version history and request logs. Every function returns a lazy DataFrame over w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txquality import schema as S
 from txquality.functions import columns as C
+from txquality.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,26 +42,31 @@ def raw_core(spark: SparkSession, sf_dir: str, start: int | None = None) -> Data
     """
     events = table(spark, sf_dir, "events")
     first = events.agg(F.min(C.micros(F.col("ts")))).scalar() if start is None else F.lit(start)
-    load_id = load_of(F.col("ts"))
-    return events.select(
+    rows = events.select(
         F.col("event_id").alias("id"),
         ((C.micros(F.col("ts")) - first) / F.lit(1e6)).alias("time"),
         F.col("value").alias("amount"),
         event_class(F.col("event_type"), F.col("props")).alias("class"),
-        load_id.alias("load_id"),
-        F.sha2(F.concat_ws(":", load_id, F.col("event_id").cast("string")), 256).alias("row_uid"),
+        load_of(F.col("ts")).alias("_load"),
     )
+    return files.with_lineage(rows, F.col("_load")).drop("_load")
+
+
+def folded(vector: str, place: int, width: int = 64, parts: int = 28) -> Column:
+    """Sum of every ``parts``-th number of a vector from ``place`` on."""
+    numbers = [F.col(vector)[i].cast("double") for i in range(place, width, parts)]
+    return reduce(lambda a, b: a + b, numbers)
 
 
 def raw_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw transactions with v1..v28, the first 28 numbers of the event's vector.
+    """Raw transactions with v1..v28: the 64 numbers of the event's vector folded into 28, each added to the one 28 places before.
 
     The vectors grow with the data, so no broadcast is forced: Spark broadcasts them only under its size threshold
     and otherwise shuffles both sides on the uniform ``vec_id``.
     """
     vectors = table(spark, sf_dir, "embeddings")
     count = vectors.agg(F.count(F.lit(1))).scalar()
-    picked = vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i + 1}") for i in range(28)])
+    picked = vectors.select("vec_id", *[folded("embedding", i).alias(f"v{i + 1}") for i in range(28)])
     core = raw_core(spark, sf_dir).withColumn("vec_id", F.col("id") % count)
     joined = core.join(picked, "vec_id")
     return joined.select("id", "time", *S.V_COLUMNS, "amount", "class", "load_id", "row_uid")
