@@ -17,6 +17,7 @@ MODULES = [
     "metric_queries",
     "model_queries",
     "stream_queries",
+    "source_queries",
 ]
 
 for _module in MODULES:
