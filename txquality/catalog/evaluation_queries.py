@@ -11,18 +11,23 @@ from txquality.functions import columns as C
 from txquality.plans import evaluation, marts, splits
 from txquality.sources import files, star_tables as st
 
-_SPLIT = f"""{Q.CORE}, sized as (
-  select class, count(*) as n from tx group by 1),
+def split_sql(source: str, key: str, label: str) -> str:
+    """The stratified split of a relation as SQL: per class the share of rows with the smallest (hash, key)."""
+    return f"""sized as (
+  select {label} as class, count(*) as n from {source} group by 1),
 quota as (
   select class, n, n * ceil(sum(n) over () * 0.2::double) / sum(n) over () as exact, ceil(sum(n) over () * 0.2::double) as wanted from sized),
 ordered as (
   select *, floor(exact) + case when row_number() over (order by exact - floor(exact) desc, n desc, class)
                                 <= wanted - sum(floor(exact)) over () then 1 else 0 end as take from quota),
 split as (
-  select id, tx.class as is_fraud,
-         case when row_number() over (partition by tx.class order by ('0x' || substr(md5('42:' || cast(id as varchar)), 1, 8))::bigint, id)
+  select {key}, s.{label} as is_fraud,
+         case when row_number() over (partition by s.{label} order by ('0x' || substr(md5('42:' || cast({key} as varchar)), 1, 8))::bigint, {key})
                    <= take then 'test' else 'train' end as fold
-  from tx join ordered on tx.class = ordered.class)"""
+  from {source} s join ordered on s.{label} = ordered.class)"""
+
+
+_SPLIT = f"{Q.CORE}, {split_sql('tx', 'id', 'class')}"
 
 
 def _split(spark, sf_dir):

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from txquality import schema as S
 from txquality.catalog import sql as Q
+from txquality.catalog.evaluation_queries import split_sql
 from txquality.catalog.registry import query
 from txquality.functions import columns as C
 from txquality.plans import marts, resample, splits, training
-from txquality.sources import star_tables as st
+from txquality.sources import files, star_tables as st
 
 SEED = 7
 
@@ -96,3 +97,59 @@ def model_metrics(spark, sf_dir):
     """Run rows of the logistic baseline; the forest goes through the same call."""
     _, run = training.train_and_evaluate("logreg_baseline", _split(spark, sf_dir))
     return run.drop("params", "tags")
+
+
+def _score_checks(name: str) -> str:
+    return (
+        f"with {Q.CORE}, {Q.FEATS}, {split_sql('feats', 'transaction_id', 'is_fraud')} "
+        f"select '{name}' as model, transaction_id, is_fraud, true as in_range, true as decided from split where fold = 'test'"
+    )
+
+
+def _checked_scores(spark, sf_dir, name):
+    """Test rows with a probability within 0 and 1 and a decision that follows the served threshold."""
+    model, run = training.train_and_evaluate(name, _split(spark, sf_dir))
+    threshold = run.first()["threshold"]
+    p = F.col("probability_fraud")
+    scored = files.rounded_predictions(training.score(model, _split(spark, sf_dir).filter("fold = 'test'")), threshold)
+    return scored.select(
+        F.lit(name).alias("model"),
+        "transaction_id",
+        "is_fraud",
+        ((p >= 0) & (p <= 1)).alias("in_range"),
+        (F.col("decision") == (p >= threshold)).alias("decided"),
+    )
+
+
+@query("lr_score_checks", _score_checks("logreg_baseline"))
+def lr_score_checks(spark, sf_dir):
+    return _checked_scores(spark, sf_dir, "logreg_baseline")
+
+
+@query("rf_score_checks", _score_checks("rf_balanced_v1"))
+def rf_score_checks(spark, sf_dir):
+    return _checked_scores(spark, sf_dir, "rf_balanced_v1")
+
+
+@query(
+    "model_run_checks",
+    f"""with {Q.CORE}, {Q.FEATS}, {split_sql('feats', 'transaction_id', 'is_fraud')}
+    select 'logreg_baseline' as model, count(*) filter (where fold = 'train') as n_train, count(*) filter (where fold = 'test') as n_test,
+      true as counts_add_up, true as metrics_in_range, '1000' as max_iter, 12 as version_length from split""",
+)
+def model_run_checks(spark, sf_dir):
+    """Run row: fold sizes, consistent counts, metrics within 0 and 1, the parameters really used and the code version."""
+    _, run = training.train_and_evaluate("logreg_baseline", _split(spark, sf_dir))
+    inside = F.lit(True)
+    for key in S.METRIC_KEYS:
+        inside = inside & (F.col(key) >= 0) & (F.col(key) <= 1)
+    total = F.col("true_positives") + F.col("false_positives") + F.col("false_negatives") + F.col("true_negatives")
+    return run.select(
+        "model",
+        "n_train",
+        "n_test",
+        (total == F.col("n_test")).alias("counts_add_up"),
+        inside.alias("metrics_in_range"),
+        F.col("params")["maxIter"].alias("max_iter"),
+        F.length(F.col("tags")["code_version"]).alias("version_length"),
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from txquality.functions import columns as C
+from txquality import schema as S
 from txquality.operators import admission, psi
 from txquality.plans import drift, runs, training
 from txquality.sources import files
@@ -64,9 +65,18 @@ def pending_state(spark: SparkSession, target: str, threshold: int) -> DataFrame
     return runs.volume_trigger(batches, "dataset", "batch_id", "row_count", threshold)
 
 
+def unscorable(rows: DataFrame):
+    """Condition of rows in which a monitored feature is NULL."""
+    empty = F.lit(False)
+    for name in S.MONITORED:
+        empty = empty | F.col(name).isNull()
+    return empty
+
+
 def score_stream(rows: DataFrame, model: PipelineModel, threshold: float, version: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Score and log every row: JSON lines of the prediction log."""
-    records = files.prediction_records(training.score(model, rows), version, threshold)
+    """Score and log every row that has all features: JSON lines of the prediction log. Rows with a NULL feature cannot be
+    scored; ``unscorable`` selects them for a sink of their own."""
+    records = files.prediction_records(training.score(model, rows.filter(~unscorable(rows))), version, threshold)
     return (
         records.writeStream.format("json")
         .option("path", target)
