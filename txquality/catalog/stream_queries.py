@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from txquality import schema as S
 from txquality.catalog import sql as Q
 from txquality.catalog.drift_queries import _BY_LOAD
+from txquality.catalog.quality_queries import _JUDGED
 from txquality.catalog.registry import query
 from txquality.functions import columns as C
 from txquality.operators import psi
@@ -23,10 +24,26 @@ def _folders(spark, name):
     return f"{root}/out", f"{root}/checkpoint"
 
 
-def _event_stream(spark, sf_dir):
-    """Events as a stream of contract rows. The start of the clock is a fact of the dataset, read once."""
-    events, start = st.table(spark, sf_dir, "events"), st.clock_start(spark, sf_dir)
-    stream = jobs.file_stream(spark, sf_dir, events.schema, "events.parquet")
+PARTS = 3
+
+
+def _arrivals(spark, sf_dir, name, part, run):
+    """Let a table arrive in parts. After each, ``run`` goes on from its checkpoint, so every part is a batch of its own."""
+    folder, rows = _folders(spark, f"{name}-files")[0], st.table(spark, sf_dir, name)
+    for k in range(PARTS):
+        rows.filter(part == k).write.mode("append").parquet(folder)
+        run(jobs.file_stream(spark, folder, rows.schema)).awaitTermination()
+
+
+def _events_arrive(spark, sf_dir, run):
+    """Events in three parts by time, as contract rows. The start of the clock is a fact of the dataset, read once."""
+    start = st.clock_start(spark, sf_dir)
+    end = st.table(spark, sf_dir, "events").agg(F.max(C.micros(F.col("ts")))).first()[0]
+    part = F.floor((C.micros(F.col("ts")) - F.lit(start)) * PARTS / F.lit(end - start + 1))
+    _arrivals(spark, sf_dir, "events", part, lambda stream: run(_contract_rows(stream, start)))
+
+
+def _contract_rows(stream, start):
     return stream.select(
         "ts",
         F.col("event_id").cast("string").alias("transaction_id"),
@@ -44,10 +61,13 @@ def _event_stream(spark, sf_dir):
 )
 def stream_hourly(spark, sf_dir):
     out, checkpoint = _folders(spark, "hourly")
-    rows = _event_stream(spark, sf_dir).filter(F.col("amount") >= 0)
-    feats = rows.withColumn("hour_of_day", C.hour_of_day(F.col("time_seconds")))
-    jobs.hourly_summary(feats, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+
+    def run(rows):
+        feats = rows.filter(F.col("amount") >= 0).withColumn("hour_of_day", C.hour_of_day(F.col("time_seconds")))
+        return jobs.hourly_summary(feats, out, checkpoint)
+
+    _events_arrive(spark, sf_dir, run)
+    return jobs.newest(spark, out)
 
 
 @query(
@@ -61,8 +81,11 @@ def stream_hourly(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """Hours the watermark has closed."""
     out, checkpoint = _folders(spark, "windows")
-    rows = _event_stream(spark, sf_dir).withColumn("ts", F.timestamp_micros(C.micros(F.col("ts"))))
-    jobs.windowed_summary(rows, out, checkpoint).awaitTermination()
+
+    def run(rows):
+        return jobs.windowed_summary(rows.withColumn("ts", F.timestamp_micros(C.micros(F.col("ts")))), out, checkpoint)
+
+    _events_arrive(spark, sf_dir, run)
     return spark.read.parquet(out).withColumn("window_start", F.unix_seconds("window_start"))
 
 
@@ -75,48 +98,47 @@ def stream_psi(spark, sf_dir):
     batch = st.raw_core(spark, sf_dir, st.clock_start(spark, sf_dir)).select(F.col("time").alias("time_seconds"), "amount")
     reference = drift.split_sides(drift.drift_features(batch)).reference
     edges = psi.bin_edges(reference, S.MONITORED)
-    jobs.drift_counts(_event_stream(spark, sf_dir), edges, "load_id", out, checkpoint).awaitTermination()
-    indexes = jobs.drift_from_counts(spark.read.parquet(out), reference, edges, "load_id")
+    _events_arrive(spark, sf_dir, lambda rows: jobs.drift_counts(rows, edges, "load_id", out, checkpoint))
+    indexes = jobs.drift_from_counts(jobs.newest(spark, out), reference, edges, "load_id")
     return indexes.withColumn("psi", C.rounded(F.col("psi"), 9))
 
 
-_VALID = " and ".join(f"{v} is not null" for v in Q.V)
-
-
 def _ingested(spark, sf_dir):
+    """Order lines in three parts, offered for ingestion and judged."""
     out, checkpoint = _folders(spark, "ingest")
-    item = st.table(spark, sf_dir, "lineitem")
-    stream = jobs.file_stream(spark, sf_dir, item.schema, "lineitem.parquet")
-    rows = stream.select(
-        (F.col("l_orderkey") - F.lit(3)).cast("double").alias("time"),
-        *[(F.col("l_quantity") / F.lit(float(i))).alias(f"v{i}") for i in range(1, 29)],
-        (F.col("l_extendedprice") - F.lit(950.0)).alias("amount"),
-        F.when(F.col("l_linenumber") == 5, F.lit(2)).otherwise(F.lit(0)).cast("long").alias("is_fraud"),
-        "l_orderkey",
-        "l_linenumber",
-    )
-    jobs.ingest(rows, out, checkpoint).awaitTermination()
+    _arrivals(spark, sf_dir, "lineitem", F.col("l_orderkey") % PARTS, lambda stream: jobs.ingest(st.inbound(stream), out, checkpoint))
     return out
 
 
 @query(
     "stream_ingest",
-    "select l_orderkey, l_linenumber, l_extendedprice - 950.0::double as amount from lineitem "
-    "where l_orderkey >= 3 and l_extendedprice >= 950 and l_linenumber <> 5",
+    f"with {Q.INBOUND}, {_JUDGED} select (order_key % {PARTS})::integer as batch_id, order_key, line_number, part_key, supp_key, amount, reasons, "
+    "reasons = '' as is_valid from judged",
 )
 def stream_ingest(spark, sf_dir):
-    accepted = jobs.admitted(spark, _ingested(spark, sf_dir))
-    return accepted.select("l_orderkey", "l_linenumber", "amount")
+    """Admitted and refused rows with their reasons, and the batch that brought them."""
+    rows = jobs.ingested(spark, _ingested(spark, sf_dir))
+    keys = ["batch_id", "order_key", "line_number", "part_key", "supp_key", "amount"]
+    return rows.select(*keys, F.concat_ws(",", "reasons").alias("reasons"), "is_valid")
 
 
 @query(
     "stream_trigger",
-    "with n as (select count(*) as row_count from lineitem where l_orderkey >= 3 and l_extendedprice >= 950 and l_linenumber <> 5) "
-    "select 'transactions' as dataset, 0::integer as batch_id, row_count, 0::bigint as pending_before, "
-    "case when row_count >= 100 then 0 else row_count end as pending_after, row_count >= 100 as triggered from n",
+    f"""with recursive {Q.INBOUND}, {_JUDGED}, t as (select count(*) // 8 as threshold from lineitem),
+    sizes as (select (order_key % {PARTS})::integer as batch_id, count(*) filter (where reasons = '') as n from judged group by 1),
+    folded as (
+      select batch_id, n as row_count, 0::bigint as pending_before, n >= threshold as triggered, case when n >= threshold then 0 else n end as pending_after
+      from sizes, t where batch_id = 0
+      union all
+      select s.batch_id, s.n, f.pending_after, f.pending_after + s.n >= threshold,
+             case when f.pending_after + s.n >= threshold then 0 else f.pending_after + s.n end
+      from folded f join sizes s on s.batch_id = f.batch_id + 1, t)
+    select 'transactions' as dataset, batch_id, row_count, pending_before, pending_after, triggered from folded""",
 )
 def stream_trigger(spark, sf_dir):
-    return jobs.pending_state(spark, _ingested(spark, sf_dir), S.DEFAULT_UPDATE_THRESHOLD)
+    """Pending rows carried from batch to batch; an eighth of all lines is the threshold."""
+    threshold = st.table(spark, sf_dir, "lineitem").count() // 8
+    return jobs.pending_state(spark, _ingested(spark, sf_dir), threshold)
 
 
 @query("stream_scores")
@@ -127,6 +149,9 @@ def stream_scores(spark, sf_dir):
         F.col("time").alias("time_seconds"), "amount", F.col("class").alias("is_fraud")
     )
     model, _ = training.fit("logreg_baseline", drift.drift_features(batch), S.MONITORED)
-    rows = drift.drift_features(_event_stream(spark, sf_dir))
-    jobs.score_stream(rows, model, S.DEFAULT_SCORE_THRESHOLD, "v1", out, checkpoint).awaitTermination()
+
+    def run(rows):
+        return jobs.score_stream(drift.drift_features(rows), model, S.DEFAULT_SCORE_THRESHOLD, "v1", out, checkpoint)
+
+    _events_arrive(spark, sf_dir, run)
     return spark.read.schema(S.PREDICTION_SCHEMA).json(out).drop("timestamp")

@@ -74,7 +74,11 @@ def raw_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inbound_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows offered for ingestion, some of them bad, from ``lineitem``: one batch per ship date."""
-    item = table(spark, sf_dir, "lineitem")
+    return inbound(table(spark, sf_dir, "lineitem"))
+
+
+def inbound(item: DataFrame) -> DataFrame:
+    """The mapping of order lines, from a table or a stream of them, to rows offered for ingestion."""
     v = {
         1: F.col("l_tax"),
         2: F.when(F.col("l_linenumber") < 7, F.col("l_discount")),

@@ -96,16 +96,24 @@ def hourly_summary(feats: DataFrame, target: str, checkpoint: str) -> StreamingQ
         C.rounded(F.try_divide(fraud.cast("double"), total.cast("double")), 6).alias("fraud_rate"),
         C.rounded(F.avg("amount"), 2).alias("avg_amount"),
     )
-    return _start(summary, checkpoint, "complete", _overwrite(target))
+    return _start(summary, checkpoint, "complete", _state_per_batch(target))
 
 
-def _overwrite(target: str) -> Callable[[DataFrame, int], None]:
+def _state_per_batch(target: str) -> Callable[[DataFrame, int], None]:
+    """Write the state after every batch into a folder of the batch's name; readers take the newest."""
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(target)
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return handle
 
 
+def newest(spark: SparkSession, target: str) -> DataFrame:
+    """State after the last batch that was written to its end."""
+    states = spark.read.parquet(target)
+    return states.filter(F.col("batch_id") == states.agg(F.max("batch_id")).scalar()).drop("batch_id")
+
+
 def windowed_summary(events: DataFrame, target: str, checkpoint: str, ts: str = "ts", lateness: str = "1 hour") -> StreamingQuery:
     """Tumbling hours by event time; a window is written once the watermark has passed it, later rows are dropped."""
     windows = (
@@ -125,20 +133,12 @@ def windowed_summary(events: DataFrame, target: str, checkpoint: str, ts: str =
 
 
 def drift_counts(rows: DataFrame, edges: psi.Edges, group: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Bin counts per group against frozen edges. State: one row per group and combination of bins."""
+    """Bin counts per group against frozen edges. State: one row per group, feature and bin, whatever the rows of a batch."""
     usable = {c: e for c, e in edges.items() if e}
-    bins = [psi.bin_of(F.col(c), e).alias(f"_bin_{c}") for c, e in usable.items()]
-    names = [f"_bin_{c}" for c in usable]
-    counts = (
-        drift.drift_features(rows).select(group, *bins).groupBy(group, *names).agg(F.count(F.lit(1)).alias("n"))
-    )
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        long = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_bin_{c}").alias("bin")) for c in usable])
-        flat = batch.select(group, "n", F.inline(long)).groupBy(group, "feature", "bin").agg(F.sum("n").alias("n"))
-        flat.write.mode("overwrite").parquet(target)
-
-    return _start(counts, checkpoint, "complete", handle)
+    long = F.array(*[F.struct(F.lit(c).alias("feature"), psi.bin_of(F.col(c), e).alias("bin")) for c, e in usable.items()])
+    binned = drift.drift_features(rows).select(group, F.inline(long))
+    counts = binned.groupBy(group, "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return _start(counts, checkpoint, "complete", _state_per_batch(target))
 
 
 def drift_from_counts(counts: DataFrame, reference: DataFrame, edges: psi.Edges, group: str) -> DataFrame:
