@@ -13,7 +13,7 @@ from txquality.catalog.quality_queries import _JUDGED
 from txquality.catalog.registry import query
 from txquality.functions import columns as C
 from txquality.operators import psi
-from txquality.plans import drift, training
+from txquality.plans import continuous, drift, jobs as plan_jobs, training
 from txquality.session import shared_dir
 from txquality.sources import star_tables as st
 from txquality.streaming import jobs
@@ -141,6 +141,37 @@ def stream_trigger(spark, sf_dir):
     return jobs.pending_state(spark, _ingested(spark, sf_dir), threshold)
 
 
+@query(
+    "continuous_training",
+    f"""with recursive {Q.INBOUND}, {_JUDGED}, t as (select count(*) // 8 as threshold from lineitem),
+    sizes as (select (order_key % {PARTS})::integer as batch_id, count(*) as offered, count(*) filter (where reasons = '') as n from judged group by 1),
+    folded as (
+      select batch_id, offered, n, n as counted, n as every, n >= threshold as reached from sizes, t where batch_id = 0
+      union all
+      select s.batch_id, s.offered, s.n, case when f.reached then 0 else f.counted end + s.n, f.every + s.n,
+             case when f.reached then 0 else f.counted end + s.n >= threshold
+      from folded f join sizes s on s.batch_id = f.batch_id + 1, t)
+    select batch_id, 1 as step_no, 'admit' as step, 'completed' as status, offered as row_count from folded
+    union all select batch_id, 2, 'append', 'completed', n from folded
+    union all select batch_id, 3, 'count', case when reached then 'reached' else 'pending' end, counted from folded
+    union all select batch_id, 4, 'version', 'completed', every from folded where reached
+    union all select batch_id, 5, 'drift', 'completed', every from folded where reached""",
+)
+def continuous_training(spark, sf_dir):
+    """Three batches of order lines through the chain; from an eighth of all lines on a version is made and drift checked."""
+    root, item = _folders(spark, "chain")[0], st.table(spark, sf_dir, "lineitem")
+
+    def check(rows):
+        plan_jobs.drift_job(rows.withColumn("time_seconds", F.col("time")), root, "continuous")
+
+    chain = continuous.Chain(spark, root, item.count() // 8, [("drift", check)])
+    out = None
+    for k in range(PARTS):
+        steps = chain.run(st.inbound(item.filter(F.col("l_orderkey") % PARTS == k)), k)
+        out = steps if out is None else out.unionByName(steps)
+    return out
+
+
 @query("stream_scores")
 def stream_scores(spark, sf_dir):
     """Score every event with a model trained on the plain features, and read the prediction log back."""
