@@ -72,14 +72,18 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, first, last) of every chunk; character positions."""
+    """(doc_id, hash, first, last) of every chunk; positions are bytes of the text in UTF-8."""
 
     def cut(batches):
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for key, text in zip(values_of(batch, "doc_id"), texts_of(batch)):
+                at = byte = 0
                 for h, a, b in chunks(text):
-                    for column, value in zip(out, (key, h, a, b)):
+                    first = byte + (a - at if text.isascii() else len(text[at:a].encode()))
+                    byte = first + (b - a if text.isascii() else len(text[a:b].encode()))
+                    at = b
+                    for column, value in zip(out, (key, h, first, byte)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=CHUNKS)
 
@@ -95,11 +99,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     table = stored(chunk_table(texts), "chunks")
     twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
     marked = table.join(twice, "hash").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "hash"))).alias("spans"))
-    spans = marked.join(texts, "doc_id").select("doc_id", "text", F.explode("spans").alias("s"))
-    bytes_of = F.expr("substring(text, cast(s.first + 1 as int), cast(s.last - s.first as int))")
-    candidates = stored(
-        spans.select("doc_id", F.col("s.hash").alias("hash"), F.col("s.first").alias("first"), F.col("s.last").alias("last"), bytes_of.alias("part")), "candidates"
-    )
+    raw = F.col("text").cast("binary")  # bytes are found at once, characters by counting from the start
+
+    def with_bytes(s):
+        part = F.substring(raw, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int"))
+        return F.struct(s["hash"].alias("hash"), s["first"].alias("first"), s["last"].alias("last"), part.alias("part"))
+
+    candidates = stored(marked.join(texts, "doc_id").select("doc_id", F.inline(F.transform("spans", with_bytes))), "candidates")
     stays = candidates.groupBy("hash", "part").agg(F.min(F.struct("doc_id", "first")).alias("stays"), F.count("*").alias("n")).where("n > 1")
     stays = stored(stays, "stays")  # a table of its own, so that a hot chunk's side of the join can be split
     joined = candidates.join(stays, ["hash", "part"])
@@ -114,14 +120,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id are passed through untouched.
     """
     cuts = repeated_chunks(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_cuts"))
-    gaps = F.transform(
-        F.sequence(F.lit(0), F.size("_cuts")),
-        lambda i: F.substring(
-            "text",
-            F.when(i == 0, 1).otherwise(F.get("_cuts", i - 1)["last"] + 1).cast("int"),
-            (F.when(i == F.size("_cuts"), F.length("text")).otherwise(F.get("_cuts", i)["first"]) - F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["last"])).cast("int"),
-        ),
-    )
+    raw = F.col("text").cast("binary")
+
+    def gap(i):
+        """Bytes between cut i - 1 and cut i."""
+        start = F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["last"])
+        end = F.when(i == F.size("_cuts"), F.octet_length("text").cast("bigint")).otherwise(F.get("_cuts", i)["first"])
+        return F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+
+    gaps = F.transform(F.sequence(F.lit(0), F.size("_cuts")), gap)
     has = F.size("_cuts") > 0
     return (
         docs.drop("removed_chunks", "removed_chars")
