@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -23,10 +24,18 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives the loss of executors."""
-    path = new_folder(df.sparkSession, kind)
+    """Write to the shared folder and read again: cuts the lineage and survives the loss of executors.
+
+    The shuffles behind the table are not needed any more; Spark removes their files once the driver has collected its
+    garbage, which is asked for here, as a driver with little to do may not collect for long.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, kind)
+    schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def id_remainder(modulus: int, doc_id: str = "doc_id"):
