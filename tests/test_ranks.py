@@ -46,12 +46,12 @@ def test_dense_index_closes_gaps(spark):
     assert [r["n"] for r in got] == list(range(len(got)))
 
 
-@pytest.mark.parametrize("cells", [4096, 16, 4])
-def test_exact_quantiles_equal_numpy(skewed, monkeypatch, cells):
-    """Same numbers however many rounds it takes to narrow the column down."""
+@pytest.mark.parametrize("order_rows, cells", [(10**6, 1024), (500, 16), (0, 64)])
+def test_exact_quantiles_equal_numpy(skewed, monkeypatch, order_rows, cells):
+    """Same numbers whether the column is ordered at once or narrowed down to single values."""
     monkeypatch.setattr(ranks, "CELLS", cells)
     df = skewed.withColumn("w", F.ln(F.col("v") + 1)).withColumn("none", F.lit(None).cast("double"))
-    got = ranks.exact_quantiles(df, ["v", "w", "none"], psi.quantile_levels())
+    got = ranks.exact_quantiles(df, ["v", "w", "none"], psi.quantile_levels(), order_rows)
     pdf = df.toPandas()
     for c in ("v", "w"):
         assert np.array_equal(got[c], pd.Series(pdf[c]).quantile(np.linspace(0, 1, 11)).values)
@@ -68,14 +68,14 @@ def test_close_gaps_equals_dense_index(spark):
 def test_quantiles_leave_out_nan_and_bear_infinity(spark):
     values = [float(i) for i in range(40)] + [float("nan"), float("inf"), None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = ranks.exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 1.0])
+    got = ranks.exact_quantiles(df, ["v"], [0.0, 0.25, 0.5, 1.0], order_rows=5)
     assert got["v"] == [0.0, 10.0, 20.0, float("inf")]
     assert ranks.running_totals(df.filter("v is not null").withColumn("n", F.lit(1)), "v", ["n"], buckets=4).count() == 42
 
 
 def test_quantiles_of_values_over_many_magnitudes(spark):
     df = spark.range(4000).select(F.exp((F.col("id") - 2000) / 3.0).alias("v"), (-F.col("id") % 5 * 0.0).alias("zero"))
-    got = ranks.exact_quantiles(df, ["v", "zero"], [0.0, 0.3, 0.5, 0.9, 1.0])
+    got = ranks.exact_quantiles(df, ["v", "zero"], [0.0, 0.3, 0.5, 0.9, 1.0], order_rows=3)
     want = np.sort(df.toPandas()["v"].to_numpy())
     assert got["v"] == [ranks.lerp(want[a], want[b], t) for a, b, t in (ranks.quantile_ranks(4000, p) for p in (0.0, 0.3, 0.5, 0.9, 1.0))]
     assert got["zero"] == [0.0] * 5

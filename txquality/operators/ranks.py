@@ -2,7 +2,7 @@
 
 A window ordered over a whole table runs in one task. These operators order rows inside bounded buckets only and add
 an offset per bucket. Values are cut at doubles that lie evenly in the order of their 64-bit forms, so every round of
-counting fixes twelve more bits and six rounds reach single values, whatever the distribution.
+counting fixes some more bits and a few rounds reach single values, whatever the distribution.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_ROWS = 1_000_000
-CELLS = 4096
+CELLS = 1024  # per column and round; they are handed over to the JVM one by one
 
 
 def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
@@ -52,7 +52,7 @@ def _cell_counts(df: DataFrame, intervals: dict[str, list[tuple[float, float]]],
     for name, spans in intervals.items():
         bounds: list[tuple[float, int]] = [(-math.inf, -1)]
         for i, (low, high) in sorted(enumerate(spans), key=lambda s: s[1]):
-            bounds += [(cut, i) for cut in _cuts(low, high, cells)]
+            bounds += [(cut, i) for cut in _cuts(low, high, max(16, cells // len(spans)))]
             if high < math.inf:
                 bounds.append((math.nextafter(high, math.inf), -1))
         # A span that starts where another ends takes the cut over. Infinity lies in the cell of the largest finite cut.
@@ -116,7 +116,7 @@ def with_key_buckets(df: DataFrame, key: str, buckets: int, name: str = "_bucket
     if not cuts:
         return df.withColumn(name, F.when(value.isNotNull(), F.lit(0)))
     filled = df.withColumn("_key", F.when(F.isnan(value), F.lit(math.inf)).otherwise(value + F.lit(0.0)))
-    bucketizer = Bucketizer(splits=[-math.inf, *[c for c in cuts if c > -math.inf], math.inf], inputCol="_key", outputCol=name, handleInvalid="keep")
+    bucketizer = Bucketizer(splits=[-math.inf, *[c for c in cuts if math.isfinite(c)], math.inf], inputCol="_key", outputCol=name, handleInvalid="keep")
     return bucketizer.transform(filled).withColumn(name, F.when(F.col(key).isNotNull(), F.col(name).cast("int"))).drop("_key")
 
 
@@ -264,11 +264,14 @@ def lerp(a: float, b: float, t: float) -> float:
     return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
+def exact_quantiles(
+    df: DataFrame, columns: list[str], probabilities: list[float], order_rows: int = BUCKET_ROWS
+) -> dict[str, list[float]]:
     """Exact linear quantiles of several columns; only counts and the quantiles reach the driver.
 
-    A column is narrowed down to the cells that hold the wanted ranks by counting rows per cell, until each of them holds
-    a single value, however many rows share it. NULL and NaN have no rank; infinities have.
+    A column is narrowed down to the cells that hold the wanted ranks by counting rows per cell, for as many rounds as it
+    takes until the cells with more than one value hold ``order_rows`` rows at most; the distinct values of these are then
+    ordered. A value that very many rows share needs no ordering. NULL and NaN have no rank; infinities have.
     """
     df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     facts = df.agg(
@@ -280,7 +283,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     ranks = {c: sorted({r for p in probabilities for r in quantile_ranks(sizes[c], p)[:2]}) for c in columns if sizes[c]}
     # Spans per column: (low, high, rows below, rows inside), the parts of the column that hold wanted ranks.
     spans = {c: [(facts[f"lo_{c}"], facts[f"hi_{c}"], 0, sizes[c])] for c in ranks}
-    while wide := {c: found for c, parts in spans.items() if (found := [s for s in parts if _splits(*s[:2])])}:
+
+    def open_parts() -> dict[str, list]:
+        """Per column the spans with several values, if they hold too many rows to be ordered."""
+        parts = {c: [s for s in own if _splits(s[0], s[1])] for c, own in spans.items()}
+        return {c: own for c, own in parts.items() if sum(s[3] for s in own) > order_rows}
+
+    while wide := open_parts():
         counted = _cell_counts(df, {c: [(s[0], s[1]) for s in parts] for c, parts in wide.items()}, CELLS)
         for c, parts in wide.items():
             kept = [s for s in spans[c] if not _splits(*s[:2])]
@@ -290,10 +299,51 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                         kept.append((low, high, below, n))
                     below += n
             spans[c] = kept
+    found = _order_statistics(df, spans, ranks)
     result: dict[str, list[float]] = {c: [] for c in columns}
     for c in ranks:
-        value = {r: low for low, _, below, n in spans[c] for r in ranks[c] if below <= r < below + n}
         for p in probabilities:
             low, high, t = quantile_ranks(sizes[c], p)
-            result[c].append(lerp(value[low], value[high], t))
+            result[c].append(lerp(found[c][low], found[c][high], t))
     return result
+
+
+def _order_statistics(df: DataFrame, spans: dict, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """Values at the wanted ranks, from the rows inside the spans that hold more than one value."""
+    found: dict[str, dict[int, float]] = {c: {} for c in spans}
+    open_spans: dict[str, list] = {}
+    for c, parts in spans.items():
+        for low, high, below, n in parts:
+            if low == high:
+                found[c].update({r: low for r in ranks[c] if below <= r < below + n})
+            elif any(below <= r < below + n for r in ranks[c]):
+                open_spans.setdefault(c, []).append((low, high, below))
+    if not open_spans:
+        return found
+    parts = []
+    for c, bounds in open_spans.items():
+        value = F.col(c).cast("double")
+        offset = F.lit(None).cast("long")
+        for low, high, below in bounds:
+            offset = F.when((value >= F.lit(low)) & (value <= F.lit(high)), F.lit(below).cast("long")).otherwise(offset)
+        parts.append(F.struct(F.lit(c).alias("feature"), offset.alias("below"), value.alias("value")))
+    table = (
+        df.select(F.inline(F.array(*parts)))
+        .filter(F.col("below").isNotNull())
+        .groupBy("feature", "below", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    inner = Window.partitionBy("feature", "below").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = table.withColumn("cum", F.sum("n").over(inner) + F.col("below"))
+    wanted = F.lit(False)
+    for c in open_spans:
+        # Wanted ranks r with cum - n <= r < cum: the distinct value that holds the row of that rank.
+        at = F.exists(
+            F.array(*[F.lit(r).cast("long") for r in ranks[c]]),
+            lambda r: (F.col("cum") > r) & (F.col("cum") - F.col("n") <= r),
+        )
+        wanted = wanted | ((F.col("feature") == c) & at)
+    for row in ranked.filter(wanted).select("feature", "value", "n", "cum").collect():  # one row per wanted rank at most
+        c = row["feature"]
+        found[c].update({r: row["value"] for r in ranks[c] if row["cum"] - row["n"] <= r < row["cum"]})
+    return found
