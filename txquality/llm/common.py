@@ -23,18 +23,19 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/llm-{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str = "table") -> DataFrame:
+def stored(df: DataFrame, kind: str = "table", release: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives the loss of executors.
 
     The shuffles behind the table are not needed any more; Spark removes their files once the driver has collected its
-    garbage, which is asked for here, as a driver with little to do may not collect for long.
+    garbage. ``release`` asks for that, for shuffles of whole texts, as a driver with little to do may not collect for long.
     """
     spark = df.sparkSession
     path = new_folder(spark, kind)
     schema = df.schema
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

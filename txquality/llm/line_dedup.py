@@ -96,8 +96,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     doc_id is the key: of rows that repeat an id with one text only one is looked at, and all get the same cuts.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    table = stored(chunk_table(texts), "chunks")
-    twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
+    table = stored(chunk_table(texts), "chunks", release=True)
+    twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes", release=True)
     marked = table.join(twice, "hash").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "hash"))).alias("spans"))
     raw = F.col("text").cast("binary")  # bytes are found at once, characters by counting from the start
 
@@ -105,9 +105,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         part = F.substring(raw, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int"))
         return F.struct(s["hash"].alias("hash"), s["first"].alias("first"), s["last"].alias("last"), part.alias("part"))
 
-    candidates = stored(marked.join(texts, "doc_id").select("doc_id", F.inline(F.transform("spans", with_bytes))), "candidates")
-    stays = candidates.groupBy("hash", "part").agg(F.min(F.struct("doc_id", "first")).alias("stays"), F.count("*").alias("n")).where("n > 1")
-    stays = stored(stays, "stays")  # a table of its own, so that a hot chunk's side of the join can be split
+    candidates = stored(marked.join(texts, "doc_id").select("doc_id", F.inline(F.transform("spans", with_bytes))), "candidates", release=True)
+    stays = candidates.groupBy("hash", "part").agg(F.min(F.struct("doc_id", "first")).alias("stays", release=True), F.count("*").alias("n")).where("n > 1")
+    stays = stored(stays, "stays", release=True)  # a table of its own, so that a hot chunk's side of the join can be split
     joined = candidates.join(stays, ["hash", "part"])
     return joined.where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("first") != F.col("stays.first"))).select("doc_id", "first", "last")
 
