@@ -85,3 +85,24 @@ def test_odd_rows_and_names(make_docs, spark):
     assert by[1].text is None and by[2].text == "" and by[None].text == by[3].text == "x y z a b c d e f" and by[4].n_chars == len("s. " * 8) - 1
     assert line_dedup.dedup(make_docs([])).count() == 0
     assert line_dedup.without_repeats(make_docs(rows)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_planted_passages_are_cut_whole(make_docs):
+    """Passages of 51 to 60 words between foreign sentences of any length: the first copy stays, of the others no sentence is left."""
+    rng, rows, planted = random.Random(11), [], []
+    for _ in range(25):
+        lengths = []
+        while sum(lengths) < 51:
+            lengths.append(rng.randrange(2, 14))
+        lengths[-1] -= max(0, sum(lengths) - 60)
+        passage, first = [sentence(rng, n) for n in lengths], len(rows)
+        for _ in range(4):
+            own = [sentence(rng, rng.randrange(1, 14)) for _ in range(12)]
+            at = rng.randrange(13)
+            rows.append((len(rows), " ".join(own[:at] + passage + own[at:]), own))
+        planted.append((first, passage))
+    found = {r.doc_id: r.text for r in line_dedup.dedup(make_docs([r[:2] for r in rows])).collect()}
+    for first, passage in planted:
+        assert found[first] == rows[first][1]
+        for i in range(first + 1, first + 4):
+            assert found[i].split() == " ".join(rows[i][2]).split()

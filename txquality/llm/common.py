@@ -39,6 +39,17 @@ def stored(df: DataFrame, kind: str = "table", release: bool = False) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` has returned and that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if not folder.rsplit("/", 1)[1].startswith("llm-"):
+                raise ValueError(f"not a stored table: {folder}")
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_remainder(modulus: int, doc_id: str = "doc_id"):
     """crc32 of the id written as text, modulo ``modulus``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)

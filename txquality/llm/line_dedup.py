@@ -1,10 +1,13 @@
 """Line dedup by content-defined chunks of lines.
 
-A line ends at a line break or at the end of a sentence followed by white space, so long paragraphs have several. A rolling hash over the
-hashes of ``WIDTH`` consecutive lines closes a chunk where it falls under a threshold; inserting or deleting lines moves no other
-boundary. A line of ``LONG_WORDS`` words or more is a chunk of its own, and
-no hash closes a chunk of fewer than ``MIN_WORDS`` words. Chunks whose hash occurs more than once are compared
-byte by byte; of equal ones the first by (doc_id, position) stays and the others are cut out.
+A line ends at a line break or at the end of a sentence followed by white space, so long paragraphs have several. A chunk is a shortest
+run of whole lines with ``MIN_WORDS`` words: one is taken from every line onwards and one from every line back, so a line of that many words is
+a chunk of its own and short lines lie in chunks with their neighbours on either side. Whether a run is a chunk depends on its own lines
+alone, not on what stands before or behind it. Chunks overlap, and every line of a passage that repeats in whole lines, ``MIN_WORDS``
+words at least, lies in a chunk inside the passage: the union of the repeated chunks is what extending each of them line by line to both
+sides would reach. Equal chunks of one text that overlap (a line said over and over) are taken one behind the other, and what is
+left of the lines behind the last one is a chunk too, however short. Chunks whose hash occurs more than once are compared byte by
+byte; of equal ones the first by (doc_id, position) stays and the others are cut out.
 
 Texts are not shuffled by chunk: hashes are counted first, then only chunks with a repeated hash travel with their bytes. A chunk
 that a third of the documents share is counted with partial aggregates, and only its verdicts, not its copies, meet.
@@ -20,15 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txquality.llm.common import stored, texts_of, values_of
+from txquality.llm.common import discard, stored, texts_of, values_of
 
-WIDTH = 2
-CUT_SHARE = 0.625
-LONG_WORDS = 25
 MIN_WORDS = 8
 SEED = 23
 LINE_END = re.compile(r"\n+|(?<=[.!?])[^\S\n]+")
-CHUNKS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+CHUNKS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32())])
+CUTS = pa.schema([("doc_id", pa.int64()), ("_chunks", pa.int32()), ("_cuts", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
 
 
 def lines_of(text: str) -> list[tuple[int, int]]:
@@ -39,87 +40,153 @@ def lines_of(text: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends)) if text else []
 
 
-def chunks(text: str) -> list[tuple[int, int, int]]:
-    """(hash, start, end) of the chunks that can repeat: those with MIN_WORDS words or more, without white space at the ends."""
+def words_in(lines: list[str]) -> list[int]:
+    return [len(line.split()) for line in lines]
+
+
+def runs_of(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the shortest runs of MIN_WORDS words from each line onwards and from each line back, in order."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    own = np.flatnonzero(words)
+    onwards = np.searchsorted(total, total[own] + MIN_WORDS, "left") - 1
+    back = np.searchsorted(total, total[own + 1] - MIN_WORDS, "right") - 1
+    pairs = np.concatenate([(own * n + onwards)[onwards < n], (back * n + own)[back >= 0]])
+    return np.divmod(np.unique(pairs), n)
+
+
+def one_behind_another(begins: list[int], ends: list[int], hashed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs without those that overlap an equal one before them, and the lines that only those left out had reached."""
+    kept, taken, reach = [], {}, {}
+    for a, b, h in zip(begins, ends, hashed):
+        end = taken.get(h, -1)
+        if a <= end:
+            reach[h] = b
+            continue
+        if end < reach.get(h, -1) < a:
+            kept.append((end + 1, reach[h]))
+        kept.append((a, b))
+        taken[h] = b
+    kept += [(taken[h] + 1, b) for h, b in reach.items() if b > taken[h]]
+    found = np.array(sorted(set(kept)), np.int64)
+    return found[:, 0], found[:, 1]
+
+
+def byte_chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of the chunks, without white space at the ends, in bytes of the text in UTF-8; then first and last in characters."""
     spans = lines_of(text)
-    if not spans:
-        return []
-    lines = [text[a:b].strip() for a, b in spans]
-    words = np.array([line.count(" ") + 1 if line else 0 for line in lines])
-    h = np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"), SEED) for line in lines], np.uint64)
-    rolled = np.zeros(len(h), np.uint64)
-    for back in range(WIDTH):
-        rolled[back:] = rolled[back:] + h[: len(h) - back] * np.uint64(0x9E3779B97F4A7C15 ^ (2 * back * 0x632BE59B))
-    rolled ^= rolled >> np.uint64(29)
-    rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    closes = (rolled >> np.uint64(32)).astype(np.float64) < CUT_SHARE * 2**32
-    long = words >= LONG_WORDS
-    forced = long.copy()
-    forced[:-1] |= long[1:]
-    forced[-1] = True
-    out, first, n = [], 0, 0
-    for last, (more, by_hash, must) in enumerate(zip(words.tolist(), closes.tolist(), forced.tolist())):
-        n += more
-        if must or by_hash and n >= MIN_WORDS:
-            if n >= MIN_WORDS:
-                a, b = spans[first][0], spans[last][1]
-                part = text[a:b]
-                a += len(part) - len(part.lstrip())
-                part = part.strip()
-                out.append((xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), SEED + 1) - (1 << 63), a, a + len(part)))
-            first, n = last + 1, 0
-    return out
+    parts = [text[a:b] for a, b in spans]
+    bare = [part.strip() for part in parts]
+    begins, ends = runs_of(words_in(bare)) if spans else (np.zeros(0, np.int64),) * 2
+    if not len(begins):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    starts = np.array([a for a, _ in spans], np.int64)
+    lead = np.array([len(part) - len(part.lstrip()) if part[0].isspace() else 0 for part in parts], np.int64)
+    from_char = starts + lead
+    to_char = from_char + np.array([len(own) for own in bare], np.int64)
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) == len(text):
+        from_byte, to_byte = from_char, to_char
+    else:
+        sizes = np.array([len(part.encode("utf-8", "surrogatepass")) for part in parts], np.int64)
+        before = np.array([len(part[:k].encode("utf-8", "surrogatepass")) if k else 0 for part, k in zip(parts, lead.tolist())], np.int64)
+        from_byte = np.cumsum(sizes) - sizes + before
+        to_byte = from_byte + np.array([len(own.encode("utf-8", "surrogatepass")) for own in bare], np.int64)
+
+    def hashes():
+        return [xxhash.xxh3_64_intdigest(raw[a:b], SEED) for a, b in zip(from_byte[begins].tolist(), to_byte[ends].tolist())]
+
+    hashed = hashes()
+    if len(set(hashed)) < len(hashed):
+        begins, ends = one_behind_another(begins.tolist(), ends.tolist(), hashed)
+        hashed = hashes()
+    return np.array(hashed, np.uint64).view(np.int64), from_byte[begins], to_byte[ends], from_char[begins], to_char[ends]
+
+
+def chunks(text: str) -> list[tuple[int, int, int]]:
+    """(hash, start, end) of the chunks in order of their start; start and end count characters."""
+    hashed, _, _, start, end = byte_chunks(text)
+    return list(zip(hashed.tolist(), start.tolist(), end.tolist()))
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, first, last) of every chunk; positions are bytes of the text in UTF-8."""
+    """(doc_id, hash, first, size) of every chunk; positions are bytes of the text in UTF-8."""
 
     def cut(batches):
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for key, text in zip(values_of(batch, "doc_id"), texts_of(batch)):
-                at = byte = 0
-                for h, a, b in chunks(text):
-                    first = byte + (a - at if text.isascii() else len(text[at:a].encode()))
-                    byte = first + (b - a if text.isascii() else len(text[a:b].encode()))
-                    at = b
-                    for column, value in zip(out, (key, h, first, byte)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=CHUNKS)
+            keys, texts = values_of(batch, "doc_id"), texts_of(batch)
+            for at in range(0, len(texts), 256):
+                found = [byte_chunks(text)[:3] for text in texts[at : at + 256]]
+                key = np.repeat(np.array(keys[at : at + 256], np.int64), [len(h) for h, _, _ in found])
+                hashed, first, last = (np.concatenate(c) for c in zip(*found))
+                columns = (key, hashed, first.astype(np.int32), (last - first).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, CHUNKS)], schema=CHUNKS)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(cut, "doc_id bigint, hash bigint, first bigint, last bigint")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(cut, "doc_id bigint, hash bigint, first int, size int")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last) of the chunks to cut out: all but the first of those with equal bytes.
+    """(doc_id, _chunks, _cuts) of the chunks to cut out, all but the first of those with equal bytes; see ``joined_cuts``.
 
-    doc_id is the key: of rows that repeat an id with one text only one is looked at, and all get the same cuts.
+    doc_id is the key: of rows that repeat an id with one text only one is looked at, and all get the same cuts. Tables are stored
+    step by step and deleted once the next one is written, so that chunks, texts and copies are not on disk together.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     table = stored(chunk_table(texts), "chunks", release=True)
     twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes", release=True)
-    marked = table.join(twice, "hash").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last", "hash"))).alias("spans"))
+    marked = table.join(twice, "hash").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "size", "hash"))).alias("spans"))
+    marked = stored(marked, "marked", release=True)
+    discard(table, twice)
     raw = F.col("text").cast("binary")  # bytes are found at once, characters by counting from the start
 
     def with_bytes(s):
-        part = F.substring(raw, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int"))
-        return F.struct(s["hash"].alias("hash"), s["first"].alias("first"), s["last"].alias("last"), part.alias("part"))
+        return F.struct(s["hash"].alias("hash"), s["first"].alias("first"), F.substring(raw, s["first"] + 1, s["size"]).alias("part"))
 
     candidates = stored(marked.join(texts, "doc_id").select("doc_id", F.inline(F.transform("spans", with_bytes))), "candidates", release=True)
+    discard(marked)
     stays = candidates.groupBy("hash", "part").agg(F.min(F.struct("doc_id", "first")).alias("stays"), F.count("*").alias("n")).where("n > 1")
     stays = stored(stays, "stays", release=True)  # a table of its own, so that a hot chunk's side of the join can be split
     joined = candidates.join(stays, ["hash", "part"])
-    return joined.where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("first") != F.col("stays.first"))).select("doc_id", "first", "last")
+    again = joined.where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("first") != F.col("stays.first")))
+    first = F.col("first").cast("bigint")
+    cuts = again.select("doc_id", first.alias("first"), (first + F.octet_length("part")).alias("last"))
+    cuts = stored(joined_cuts(cuts), "cuts", release=True)
+    discard(candidates, stays)
+    return cuts
+
+
+def joined_cuts(cuts: DataFrame) -> DataFrame:
+    """(doc_id, _chunks, _cuts): how many chunks are cut out of a document, and their bytes as ranges that neither overlap nor touch."""
+    found = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_found"))
+
+    def join(batches):
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            spans = batch.column(1)
+            flat = spans.flatten()
+            first, last = (flat.field(k).to_numpy() for k in (0, 1))
+            at = 0
+            for key, n in zip(values_of(batch, "doc_id"), [len(s) for s in spans]):
+                a, reach = first[at : at + n], np.maximum.accumulate(last[at : at + n])
+                new = np.concatenate([[True], a[1:] > reach[:-1]])
+                close = reach[np.concatenate([new[1:], [True]])]
+                for column, value in zip(out, (key, n, [{"first": x, "last": y} for x, y in zip(a[new].tolist(), close.tolist())])):
+                    column.append(value)
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, CUTS)], schema=CUTS)
+
+    return found.mapInArrow(join, "doc_id bigint, _chunks int, _cuts array<struct<first: bigint, last: bigint>>")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated chunks cut out of ``text``, and n_chars, removed_chunks and removed_chars.
 
     Other columns stay as they are; input columns of the names n_chars, removed_chunks and removed_chars are replaced. Null text stays
-    null (n_chars null), empty text empty; a text that consists of repeated chunks only becomes empty. Rows with a null
-    doc_id are passed through untouched.
+    null (n_chars null), empty text empty; a text that consists of repeated chunks only becomes empty. Chunks overlap, and each one counts
+    in removed_chunks. Rows with a null doc_id are passed through untouched.
     """
-    cuts = repeated_chunks(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_cuts"))
+    cuts = repeated_chunks(docs)
     raw = F.col("text").cast("binary")
 
     def gap(i):
@@ -136,7 +203,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         .withColumn("_old", F.length("text"))
         .withColumn("text", F.when(has, F.trim(F.concat_ws("", gaps))).otherwise(F.col("text")))
         .withColumn("n_chars", F.length("text").cast("bigint"))
-        .withColumn("removed_chunks", F.greatest(F.size("_cuts"), F.lit(0)))
+        .withColumn("removed_chunks", F.coalesce("_chunks", F.lit(0)))
         .withColumn("removed_chars", F.coalesce(F.col("_old") - F.col("n_chars"), F.lit(0)))
         .select(*[c for c in docs.columns if c not in ("n_chars", "removed_chunks", "removed_chars")], "n_chars", "removed_chunks", "removed_chars")
     )
