@@ -106,3 +106,12 @@ def test_planted_passages_are_cut_whole(make_docs):
         assert found[first] == rows[first][1]
         for i in range(first + 1, first + 4):
             assert found[i].split() == " ".join(rows[i][2]).split()
+
+
+def test_own_words_stay_and_text_without_spaces_is_counted(make_docs):
+    license_line = "this text may be copied by anyone who likes it."
+    unspaced = "".join(chr(0x4E00 + 37 * i) for i in range(30)) + "。"
+    rows = [(1, license_line), (2, "four words of mine\n" + license_line), (3, license_line + "\n\u00a0"), (4, unspaced + "一二三"), (5, unspaced + "四五")]
+    rows += [(6, "q" * 300), (7, "q" * 300 + "\nown")]
+    found = {r.doc_id: r.text.strip() for r in line_dedup.without_repeats(make_docs(rows)).collect()}
+    assert found == {1: rows[0][1], 2: "four words of mine", 4: rows[3][1], 5: "四五", 6: rows[5][1], 7: "own"}

@@ -27,7 +27,12 @@ from txquality.llm.common import discard, stored, texts_of, values_of
 
 MIN_WORDS = 8
 SEED = 23
-LINE_END = re.compile(r"\n+|(?<=[.!?])[^\S\n]+")
+LINE_END = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|(?<=[。！？])[^\S\n]*")
+#: Letters of scripts written without spaces count as a word each; of other runs without white space, each LONG_RUN characters.
+LONG_RUN = 24
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
+TOKEN = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,{LONG_RUN}}}")
 CHUNKS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32())])
 CUTS = pa.schema([("doc_id", pa.int64()), ("_chunks", pa.int32()), ("_cuts", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
 
@@ -41,7 +46,12 @@ def lines_of(text: str) -> list[tuple[int, int]]:
 
 
 def words_in(lines: list[str]) -> list[int]:
-    return [len(line.split()) for line in lines]
+    """Words by white space; by TOKEN in lines with long runs without it or letters of scripts that have none."""
+    counts = [len(line.split()) for line in lines]
+    for i, (line, n) in enumerate(zip(lines, counts)):
+        if len(line) > LONG_RUN * n or not line.isascii() and UNSPACED_LETTER.search(line):
+            counts[i] = len(TOKEN.findall(line))
+    return counts
 
 
 def runs_of(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +220,6 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with its own columns and the repeated chunks cut out; rows of which fewer than MIN_WORDS words are left are dropped."""
-    done = dedup(docs).where((F.col("removed_chunks") == 0) | (F.regexp_count("text", F.lit(r"\S+")) >= MIN_WORDS))
+    """``docs`` with its own columns and the repeated chunks cut out; rows of which only white space is left are dropped."""
+    done = dedup(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"(?U)\S"))
     return done.select(*docs.columns)
