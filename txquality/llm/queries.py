@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txquality.llm.common import id_remainder, table
+from txquality.llm.sql import MERKLE
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering lower-cases the letters A to Z of texts whose id has a crc32 that 5 divides."""
+    from txquality.llm import merkle
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    made = merkle.manifest(table(spark, sf_dir, "documents"), F.when(id_remainder(5) == 0, lowered))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -90,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op13_merkle": op13_merkle,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_merkle": MERKLE}
