@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first, last) of consecutive rows with about ``limit`` bytes of text together; a longer text stands alone."""
+    return runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), limit)
+
+
 def values_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -80,6 +80,35 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of documents whose id has a crc32 that ten divides, the words from some place on are repeated periodically first."""
+    from txquality.llm import word_runs
+
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    first = (g % n).cast("int")
+    period = (F.lit(1) + F.floor((n - first) / (F.lit(3) + g % 8))).cast("int")
+    times = F.ceil((n - first) / period).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice(words, first + 1, period), times)), F.lit(1), n - first)
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), first), repeated), " ")
+    found = word_runs.find_runs(docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering lower-cases the letters A to Z of texts whose id has a crc32 that 5 divides."""
     from txquality.llm import merkle
@@ -100,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op12_word_runs": op12_word_runs,
     "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {"op13_merkle": MERKLE}
