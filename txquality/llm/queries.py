@@ -80,6 +80,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txquality.llm import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of documents whose id has a crc32 that ten divides, the words from some place on are repeated periodically first."""
     from txquality.llm import word_runs
@@ -129,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_byte_bpe": op11_byte_bpe,
     "op12_word_runs": op12_word_runs,
     "op13_merkle": op13_merkle,
 }
