@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 
 from txquality import schema as S
-from txquality.plans import jobs, versions
+from txquality.plans import jobs, quality, versions
 from txquality.sources import files
 
 
@@ -37,6 +39,43 @@ def test_columns_go_by_name(spark, two_files, tmp_path):
     assert report["a.csv"] == (0, "") and report["b.csv"] == (29, ",".join(["time", *S.V_COLUMNS]))
 
 
+def test_one_folder_of_shuffled_headers(spark, tmp_path):
+    """Every file by its own header, with further columns, other line ends, quotes, empty lines and a byte order mark."""
+    rng, rows, folder = random.Random(3), [], tmp_path / "raw"
+    folder.mkdir()
+    for k in range(7):
+        names = [*S.REQUIRED_RAW_COLUMNS, *[f"note {i}" for i in range(k)]]
+        rng.shuffle(names)
+        own = [{c: i + 100 * k + 0.5 for i, c in enumerate(S.REQUIRED_RAW_COLUMNS)} | {"class": r % 2, "time": float(len(rows) + r)} for r in range(5)]
+        lines = [["\ufeff" * (k == 2) + names[0].upper(), *[f' {n.upper()}' if k == 3 else f'"{n}"' for n in names[1:]]]]
+        lines += [[f'"a, ""{r["time"]}"""' if n.startswith("note") else f'"{r[n]}"' if k % 2 else r[n] for n in names] for r in own]
+        end = ("\n", "\r\n", "\n\n")[k % 3]
+        text = end.join(",".join(map(str, x)) for x in lines) + (end if k % 2 else "")
+        (folder / f"f{k}.csv").write_text(text, newline="", encoding="utf-8")
+        rows += own
+    (folder / "f8.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")  # several blocks a file
+    try:
+        raw = jobs.load_raw(spark, str(folder / "*.csv"), str(tmp_path / "w"), "load-1")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = raw.orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(35)) and all(r["bad_columns"] == [] for r in got)
+    assert [{c: r[c] for c in S.REQUIRED_RAW_COLUMNS} for r in got] == rows
+    assert [r["source_file"][-6:] for r in got] == [f"f{i // 5}.csv" for i in range(35)]
+
+
+def test_files_that_lack_a_column_are_refused_by_name(spark, two_files, tmp_path):
+    header = [c for c in S.REQUIRED_RAW_COLUMNS if c not in ("v3", "amount")]
+    write(tmp_path / "c.csv", header, [[1.0] * len(header)])
+    write(tmp_path / "d.csv", [*S.REQUIRED_RAW_COLUMNS, "Time"], [[1.0] * 32])
+    with pytest.raises(quality.QualityError) as refused:
+        jobs.load_raw(spark, str(tmp_path / "*.csv"), str(tmp_path / "w"), "load-1")
+    text = str(refused.value)
+    assert "c.csv: missing ['v3', 'amount']" in text and "d.csv: missing [], repeated ['time']" in text and "a.csv" not in text
+    assert not (tmp_path / "w").exists()
+
+
 def test_only_a_missing_path_is_empty(spark, tmp_path):
     assert files.read_or_empty(spark, "parquet", str(tmp_path / "none"), "a int").count() == 0
     store = versions.Snapshots(spark, str(tmp_path / "v"))

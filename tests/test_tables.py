@@ -31,7 +31,7 @@ def csv_path(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def tx(spark, csv_path):
-    return files.with_file_position(files.read_raw_csv(spark, csv_path)).withColumnRenamed("class", "is_fraud").cache()
+    return files.read_raw_csv(spark, csv_path).withColumnRenamed("class", "is_fraud").cache()
 
 
 def test_csv_positions_follow_the_files(tx):

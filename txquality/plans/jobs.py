@@ -5,8 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txquality import schema as S
@@ -15,6 +13,9 @@ from txquality.plans import drift, marts, quality, registry, training
 from txquality.session import checkpointed
 from txquality.sources import files
 
+#: Refused files that an error message names; all of them are in ``RawFiles.unfit``.
+NAMED_FILES = 20
+
 
 def build_marts(spark: SparkSession, raw: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Staging as a view, marts as Parquet tables; each mart is read back by the next one."""
@@ -35,23 +36,23 @@ def build_marts(spark: SparkSession, raw: DataFrame, folder: str) -> dict[str, D
 def load_raw(spark: SparkSession, csv_paths: str | list[str], folder: str, load_id: str) -> DataFrame:
     """Replace-load of the raw table with row numbers and lineage; blocked by the gate.
 
-    Files are read in the order given, each by its own header; what was no number is counted in ``load_report``.
+    Files may differ in the order of their columns; rows are numbered in order of path and line. Files without a required column are
+    refused by name before anything is written. The table keeps the file and the columns whose text was no number;
+    ``load_report`` has one row per file.
     """
-    parts, rows = [], 0
-    for path in [csv_paths] if isinstance(csv_paths, str) else csv_paths:
-        text = files.read_csv_as_is(spark, path)
-        missing = quality.missing_columns(text)
-        if missing:
-            raise quality.QualityError(f"required columns are missing in {path}: {missing}")
-        numbered = files.with_file_position(files.read_raw_csv(spark, path))
-        parts.append(numbered.withColumn("id", F.col("id") + F.lit(rows)))
-        report = files.bad_fields(text).first().asDict()  # one row
-        rows += report.pop("row_count")
-        line = [(load_id, path, sum(report.values()), ",".join(c for c, n in report.items() if n))]
-        files.append_jsonl(spark.createDataFrame(line, "load_id string, path string, bad_fields long, columns string"), f"{folder}/load_report")
-    every = reduce(DataFrame.unionByName, parts)
-    files.replace_table(files.with_lineage(every, load_id), f"{folder}/transactions_raw")
+    source = files.RawFiles(spark, csv_paths)
+    unfit = source.unfit().orderBy("path").limit(NAMED_FILES).collect()
+    if unfit:
+        named = "; ".join(f"{r['path']}: missing {list(r['missing'])}, repeated {list(r['repeated'])}" for r in unfit)
+        raise quality.QualityError(f"required columns are missing or named twice, first {len(unfit)} files: {named}")
+    rows = source.rows().withColumnsRenamed({"position": "id", "path": "source_file"})
+    files.replace_table(files.with_lineage(rows, load_id), f"{folder}/transactions_raw")
     raw = spark.read.parquet(f"{folder}/transactions_raw")
+    bad = F.explode_outer("bad_columns").alias("column")
+    per_file = raw.select("source_file", bad).groupBy("source_file").agg(F.count("column").alias("bad_fields"), F.collect_set("column").alias("names"))
+    listed = F.array_join(F.array_intersect(F.array(*[F.lit(c) for c in S.RAW_TYPES]), "names"), ",")
+    report = per_file.select(F.lit(load_id).alias("load_id"), F.col("source_file").alias("path"), "bad_fields", listed.alias("columns"))
+    files.append_jsonl(report, f"{folder}/load_report")
     quality.enforce_gate(raw)
     return raw
 

@@ -2,38 +2,77 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from txquality import schema as S
 from txquality.functions import columns as C
+from txquality.session import checkpointed
 
 
-def read_raw_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw transaction files, every one read by its own header, whatever the order of its columns.
+class RawFiles:
+    """Raw transaction files of one load, each read by its own header, whatever the order of its columns, in one scan.
 
-    The raw columns come as their types, in contract order; text that is no number is NULL (``bad_fields`` counts it), and
-    so is a column that a file lacks. Paths are read one by one; files of one folder must share a header.
+    A first pass counts the lines of every file block and takes the first line of every file, the header; both are one row per
+    block. From the headers comes a table with the place of each raw column in each file, and the second pass looks the columns of a
+    row up there. Lines may end in LF, CRLF or CR, fields may be quoted, empty lines are skipped; names go by lower case. A file may have
+    further columns. ``position`` numbers the rows from 0 in order of path and line.
     """
-    parts = []
-    for path in [paths] if isinstance(paths, str) else paths:
-        text = read_csv_as_is(spark, path)
-        parts.append(text.select(*[F.col(c) if c in text.columns else F.lit(None).cast("string").alias(c) for c in S.RAW_TYPES]))
-    return typed(reduce(DataFrame.unionByName, parts))
-
 
-def bad_fields(text: DataFrame) -> DataFrame:
-    """One row: rows, and per raw column the fields whose text is no number, from a file read as it is."""
-    known = [(c, t) for c, t in S.RAW_TYPES.items() if c in text.columns]
-    lost = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c) for c, t in known]
-    return text.agg(F.count(F.lit(1)).alias("row_count"), *lost)
+    def __init__(self, spark: SparkSession, paths: str | list[str]):
+        text = spark.read.text([paths] if isinstance(paths, str) else paths)
+        self.lines = text.filter(F.trim("value") != "").select(
+            "value",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("mid"),
+        )
+        blocks = self.lines.groupBy("path", "block").agg(
+            F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"), F.min_by("value", "mid").alias("line")
+        )
+        self.blocks = checkpointed(blocks, spark)
+        line = F.regexp_replace(F.min_by("line", "block"), "^\ufeff", "")
+        heads = self.blocks.groupBy("path").agg(line.alias("line"), F.min("block").alias("block"))
+        self.width = heads.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
+        names = F.transform(self._cells("line"), lambda c: F.lower(F.trim(c)))
+        self.headers = heads.select("path", "block", F.filter(names, lambda c: c.isNotNull()).alias("names"))
+
+    def _cells(self, line: str) -> Column:
+        """The fields of a line as text, padded with NULL up to the widest header."""
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(self.width)])
+        parsed = F.from_csv(line, schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+        return F.array(*[parsed[f"c{i}"] for i in range(self.width)])
+
+    def unfit(self) -> DataFrame:
+        """(path, missing, repeated) of the files that lack a required column or name one more than once."""
+        required = F.array(*[F.lit(c) for c in S.REQUIRED_RAW_COLUMNS])
+        repeated = F.filter(required, lambda c: F.size(F.filter("names", lambda n: n == c)) > 1)
+        judged = self.headers.select("path", F.array_except(required, "names").alias("missing"), repeated.alias("repeated"))
+        return judged.filter((F.size("missing") > 0) | (F.size("repeated") > 0))
+
+    def rows(self) -> DataFrame:
+        """(position, path, raw columns in contract order, bad_columns): text that is no number is NULL and its column is listed.
+
+        A column that a file lacks is NULL.
+        """
+        before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per file block
+        head = F.when(F.col("block") == F.col("head_block"), 1).otherwise(0)
+        starts = self.blocks.join(self.headers.withColumnRenamed("block", "head_block"), "path").select("path", "block", "first", "n", "names", head.alias("head"))
+        start = F.coalesce(F.sum(F.col("n") - F.col("head")).over(before), F.lit(0))
+        places = F.transform(F.array(*[F.lit(c) for c in S.RAW_TYPES]), lambda c: F.array_position("names", c).cast("int"))
+        shift, first = start - F.col("first") - F.col("head"), F.col("first") + F.col("head")
+        offsets = starts.select("path", "block", shift.alias("shift"), first.alias("from"), places.alias("places"))
+        placed = self.lines.join(offsets, ["path", "block"]).filter(F.col("mid") >= F.col("from"))
+        cells = placed.select((F.col("mid") + F.col("shift")).alias("position"), "path", "places", self._cells("value").alias("cells"))
+        texts = {c: F.get("cells", F.col("places")[i] - 1) for i, c in enumerate(S.RAW_TYPES)}
+        named = cells.select("position", "path", *[text.alias(c) for c, text in texts.items()])
+        bad = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(c)) for c, t in S.RAW_TYPES.items()]))
+        return named.select("position", "path", *[F.col(c).try_cast(t).alias(c) for c, t in S.RAW_TYPES.items()], bad.alias("bad_columns"))
 
 
-def read_csv_as_is(spark: SparkSession, path: str) -> DataFrame:
-    """All columns of the file by its own header, as text: for the column check before types are applied."""
-    return normalised(spark.read.option("header", True).csv(path))
+def read_raw_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Raw transaction files as (id, raw columns in contract order); see ``RawFiles``."""
+    return RawFiles(spark, paths).rows().select(F.col("position").alias("id"), *S.RAW_TYPES)
 
 
 def read_or_empty(spark: SparkSession, kind: str, path: str, schema) -> DataFrame:
@@ -46,37 +85,11 @@ def read_or_empty(spark: SparkSession, kind: str, path: str, schema) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def normalised(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lower() for c in df.columns])
-
-
 def typed(df: DataFrame) -> DataFrame:
     """Cast the raw columns to their types; text that is no number becomes NULL instead of failing the job."""
     return df.select(*[F.col(c).try_cast(S.RAW_TYPES[c]).alias(c) if c in S.RAW_TYPES else F.col(c) for c in df.columns])
 
 
-def with_file_position(df: DataFrame, name: str = "id") -> DataFrame:
-    """Dense 0-based row number in file order (path, then position) for a file scan.
-
-    Rows of one file block are read in order by one task. A small table of block sizes gives every block its offset;
-    the number inside the block comes from the running id of the task. Store the result: it is valid for these files.
-    """
-    numbered = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    blocks = numbered.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per file block
-    offsets = blocks.select("_path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (
-        numbered.join(offsets, ["_path", "_block"])
-        .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
-        .drop("_path", "_block", "_mid", "_first", "_off")
-    )
-
-
 def with_lineage(df: DataFrame, load_id: str | Column, row_id: str = "id") -> DataFrame:
     """Stamp load id and a row key that is the same whenever the same load is repeated."""
     load = F.lit(load_id) if isinstance(load_id, str) else load_id
