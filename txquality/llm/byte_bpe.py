@@ -31,7 +31,7 @@ OVERLAP = 1_024
 #: Characters at the end of a chunk in which a boundary may depend on what follows: the pattern looks three characters ahead.
 MARGIN = 4
 #: Bytes of pre-tokens and ids that a task remembers; the results do not depend on it.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 96 << 20
 ENTRY_BYTES = 200
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 ENCODED_SQL = "doc_id bigint, n_tokens bigint, ids binary"
@@ -46,19 +46,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Ids of text as little-endian unsigned 32-bit integers. The dictionary remembers pre-tokens up to ``cache_bytes``."""
+    """Ids of text as little-endian unsigned 32-bit integers.
+
+    The dictionary remembers pre-tokens up to half of ``cache_bytes``; when it is full it becomes ``older``, from which those that are
+    met again come back, so frequent pre-tokens stay.
+    """
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, cache_bytes: int = CACHE_BYTES):
         super().__init__()
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.cache_bytes, self.kept_bytes = cache_bytes, 0
+        self.cache_bytes, self.kept_bytes, self.older = cache_bytes, 0, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
             self.kept_bytes += ENTRY_BYTES + len(piece) + len(ids)
-            if self.kept_bytes > self.cache_bytes:
+            if 2 * self.kept_bytes > self.cache_bytes:
+                self.older = dict(self)
                 self.clear()
                 self.kept_bytes = 0
             self[piece] = ids
