@@ -6,13 +6,32 @@ import corpus_pipeline
 import public_tokenizers
 from test_decontaminate import overlaps as window_overlap
 from test_jaccard_join import all_pairs
-from test_line_dedup import plain
 
 from txquality.llm import line_dedup, packing
 
 SF = "/root/testdata/sf0.001"
 
 
+def in_order(texts):
+    """doc_id -> (text, chunks cut), document by document; the chunks themselves are tested in test_line_dedup."""
+    first, out = {}, {}
+    for key in sorted(texts):
+        raw, cuts = texts[key].encode(), []
+        for _, a, size, before, behind, further in zip(*(c.tolist() for c in line_dedup.chunks_of(texts[key]))):
+            b = a + size
+            beside = [raw[a - before : a], raw[b : b + behind], raw[b + behind : b + behind + further]]
+            old = first.setdefault(raw[a:b], beside)
+            if old is not beside:
+                more = behind + further * (beside[2] == old[2]) if beside[1] == old[1] else 0
+                cuts.append((a - before * (beside[0] == old[0]), b + more))
+        left, at = [], 0
+        for a, b in sorted(cuts):
+            left.append(raw[at:a])
+            at = max(at, b)
+        out[key] = (b"".join([*left, raw[at:]]).decode().strip(" ") if cuts else texts[key], len(cuts))
+    return out
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, states = docs.columns, [{r.doc_id: r.text for r in docs.collect()}]
@@ -25,13 +44,12 @@ def test_stages(spark):
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     right = [(i in good) == bool(q) for i, q in quality.items()]
     assert sum(right) >= 0.9 * len(right) and all(start[i] == t for i, t in good.items())
-    expected = {i: t for i, (t, cut) in plain(list(good.items())).items() if not cut or len(t.split()) >= line_dedup.MIN_WORDS}
-    assert deduped == expected
+    assert deduped == {i: t for i, (t, cut) in in_order(good).items() if not cut or t.strip()}
     assert single == {i: deduped[i] for i, (root, _) in all_pairs(list(deduped.items())).items() if i == root}
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert clean == {i: t for i, t in single.items() if not any(window_overlap(t, x) for x in items)}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    ids = packing.document_ids(list(clean.values()), public_tokenizers.path("word_bpe_49k.json"))
+    ids = packing.document_ids(list(clean.values()), packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")))
     assert sum(r.length for r in packed) == sum(len(x) // 4 for x in ids) and {r.doc_id for r in packed} == set(clean)
 
 
@@ -40,7 +58,7 @@ def test_run_is_registered(spark):
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -24,19 +23,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/llm-{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str = "table", release: bool = False) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives the loss of executors.
-
-    The shuffles behind the table are not needed any more; Spark removes their files once the driver has collected its
-    garbage. ``release`` asks for that, for shuffles of whole texts, as a driver with little to do may not collect for long.
-    """
+def stored(df: DataFrame, kind: str = "table") -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = new_folder(spark, kind)
     schema = df.schema
     df.write.parquet(path)
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -86,6 +78,34 @@ def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     return runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), limit)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, so that a task turns no more than that into Python strings at a time."""
+    for batch in batches:
+        for a, b in slices(batch.column(batch.schema.get_field_index(name)), limit):
+            yield batch.slice(a, b - a)
+
+
+class WordCache(dict):
+    """What a task remembers of words: ``entries`` at most, in two halves, so that frequent words stay. Results do not depend on it.
+
+    It belongs to the generator of the task that made it and ends with it.
+    """
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.half, self.older = make, entries // 2, {}
+
+    def __missing__(self, word: str):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
 def values_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

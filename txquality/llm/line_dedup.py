@@ -1,16 +1,18 @@
 """Line dedup by content-defined chunks of lines.
 
-A line ends at a line break or at the end of a sentence followed by white space, so long paragraphs have several. A chunk is a shortest
-run of whole lines with ``MIN_WORDS`` words: one is taken from every line onwards and one from every line back, so a line of that many words is
-a chunk of its own and short lines lie in chunks with their neighbours on either side. Whether a run is a chunk depends on its own lines
-alone, not on what stands before or behind it. Chunks overlap, and every line of a passage that repeats in whole lines, ``MIN_WORDS``
-words at least, lies in a chunk inside the passage: the union of the repeated chunks is what extending each of them line by line to both
-sides would reach. Equal chunks of one text that overlap (a line said over and over) are taken one behind the other, and what is
-left of the lines behind the last one is a chunk too, however short. Chunks whose hash occurs more than once are compared byte by
-byte; of equal ones the first by (doc_id, position) stays and the others are cut out.
-
-Texts are not shuffled by chunk: hashes are counted first, then only chunks with a repeated hash travel with their bytes. A chunk
-that a third of the documents share is counted with partial aggregates, and only its verdicts, not its copies, meet.
+A line ends at a line break or at the end of a sentence followed by white space. A line of more than ``LONG_LINE`` words ends behind commas,
+semicolons and colons as well, and where that is not enough, behind words whose hash is less than those of their neighbours. Lines are
+hashed, and a rolling hash runs over the line hashes: the one of a line covers the shortest run of lines from it on that has two
+lines and ``MIN_WORDS`` words. Where it is the least of ``WINDOW`` neighbouring ones, a boundary is set, and the run that begins there is a
+chunk. A boundary depends on a few lines around it and on no count from the start of the text, so text that is shifted has
+the same chunks, and of any ``WINDOW`` runs side by side one is a chunk. In a passage that repeats in whole lines chunks therefore cover
+all but a line or two at either end.
+
+Chunks whose hash occurs more than once are compared byte by byte; of equal ones the first by (doc_id, hash of the text, position) stays and
+the others are cut out. A chunk that is cut out is extended line by line to both sides while the bytes agree with those beside the
+copy that stays. A line that is cut has an equal one before it, so one copy of every line stays. Texts are not shuffled by chunk: hashes
+are counted first, then only chunks with a repeated hash travel with their bytes and the lines beside them. A chunk that a third of the
+documents share is counted with partial aggregates, and only its verdicts, not its copies, meet.
 """
 
 from __future__ import annotations
@@ -20,173 +22,228 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txquality.llm.common import discard, stored, texts_of, values_of
+from txquality.llm.common import discard, mix, slices, stored, values_of
 
 MIN_WORDS = 8
+LONG_LINE = 16
+WINDOW = 2
 SEED = 23
 LINE_END = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|(?<=[。！？])[^\S\n]*")
+CLAUSE_END = re.compile(r"(?<=[,;:])\s+|(?<=[，、；：])\s*")
 #: Letters of scripts written without spaces count as a word each; of other runs without white space, each LONG_RUN characters.
 LONG_RUN = 24
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
 TOKEN = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,{LONG_RUN}}}")
-CHUNKS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32())])
-CUTS = pa.schema([("doc_id", pa.int64()), ("_chunks", pa.int32()), ("_cuts", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
+TOKEN_WITH_SPACE = re.compile(rf"(?:{TOKEN.pattern})\s*")
+#: A chunk in bytes of its text, and the bytes of the line before it and of the two lines behind it.
+CHUNK = [("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("before", pa.int32()), ("behind", pa.int32()), ("further", pa.int32())]
+CHUNKS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *CHUNK])
+CHUNKS_SQL = "doc_id bigint, text_hash bigint, hash bigint, first int, size int, before int, behind int, further int"
+CUTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("cuts", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
+NO_CHUNKS = tuple(np.zeros(0, np.int64) for _ in CHUNK)
 
 
-def lines_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the lines, each with the break that ends it; together they are the whole text."""
-    ends = [m.end() for m in LINE_END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return list(zip([0, *ends], ends)) if text else []
-
-
-def words_in(lines: list[str]) -> list[int]:
+def words_in(line: str) -> int:
     """Words by white space; by TOKEN in lines with long runs without it or letters of scripts that have none."""
-    counts = [len(line.split()) for line in lines]
-    for i, (line, n) in enumerate(zip(lines, counts)):
-        if len(line) > LONG_RUN * n or not line.isascii() and UNSPACED_LETTER.search(line):
-            counts[i] = len(TOKEN.findall(line))
-    return counts
+    n = len(line.split())
+    if len(line) > LONG_RUN * n or not line.isascii() and UNSPACED_LETTER.search(line):
+        return len(TOKEN.findall(line))
+    return n
+
+
+def split_behind(text: str, end: re.Pattern) -> list[str]:
+    at = [0, *(m.end() for m in end.finditer(text))]
+    if at[-1] < len(text):
+        at.append(len(text))
+    return [text[a:b] for a, b in zip(at, at[1:])]
+
+
+def split_long(line: str) -> list[str]:
+    """A line cut behind words whose hash is less than those of the two words on either side."""
+    tokens = TOKEN_WITH_SPACE.findall(line)
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(t.strip().encode("utf-8", "surrogatepass"), SEED) for t in tokens), np.uint64, len(tokens))
+    least = np.ones(len(hashed), bool)
+    for k in (1, 2):
+        least[k:] &= hashed[k:] < hashed[:-k]
+        least[:-k] &= hashed[:-k] < hashed[k:]
+    least[:2] = least[-2:] = False  # not decided by this line alone
+    cuts = (np.flatnonzero(least) + 1).tolist()
+    parts = ["".join(tokens[a:b]) for a, b in zip([0, *cuts], [*cuts, len(tokens)])]
+    parts[0] = line[: len(line) - sum(map(len, tokens))] + parts[0]
+    return parts
+
+
+def lines_of(text: str) -> tuple[list[str], list[int]]:
+    """The lines, each with the white space that ends it, and their words; together they are the whole text."""
+    lines, words = [], []
+    for line in split_behind(text, LINE_END):
+        n = words_in(line)
+        if n <= LONG_LINE:
+            lines.append(line)
+            words.append(n)
+            continue
+        for clause in split_behind(line, CLAUSE_END):
+            n = words_in(clause)
+            parts = split_long(clause) if n > LONG_LINE else [clause]
+            lines += parts
+            words += [n] if len(parts) == 1 else [words_in(p) for p in parts]
+    return lines, words
 
 
-def runs_of(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the shortest runs of MIN_WORDS words from each line onwards and from each line back, in order."""
-    total = np.concatenate([[0], np.cumsum(words)])
+def boundaries(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rolling hash, first line, line behind the last) of the runs at which a boundary is set; every line has words."""
     n = len(words)
-    own = np.flatnonzero(words)
-    onwards = np.searchsorted(total, total[own] + MIN_WORDS, "left") - 1
-    back = np.searchsorted(total, total[own + 1] - MIN_WORDS, "right") - 1
-    pairs = np.concatenate([(own * n + onwards)[onwards < n], (back * n + own)[back >= 0]])
-    return np.divmod(np.unique(pairs), n)
-
-
-def one_behind_another(begins: list[int], ends: list[int], hashed: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The runs without those that overlap an equal one before them, and the lines that only those left out had reached."""
-    kept, taken, reach = [], {}, {}
-    for a, b, h in zip(begins, ends, hashed):
-        end = taken.get(h, -1)
-        if a <= end:
-            reach[h] = b
-            continue
-        if end < reach.get(h, -1) < a:
-            kept.append((end + 1, reach[h]))
-        kept.append((a, b))
-        taken[h] = b
-    kept += [(taken[h] + 1, b) for h, b in reach.items() if b > taken[h]]
-    found = np.array(sorted(set(kept)), np.int64)
-    return found[:, 0], found[:, 1]
-
-
-def byte_chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last) of the chunks, without white space at the ends, in bytes of the text in UTF-8; then first and last in characters."""
-    spans = lines_of(text)
-    parts = [text[a:b] for a, b in spans]
-    bare = [part.strip() for part in parts]
-    begins, ends = runs_of(words_in(bare)) if spans else (np.zeros(0, np.int64),) * 2
-    if not len(begins):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    starts = np.array([a for a, _ in spans], np.int64)
-    lead = np.array([len(part) - len(part.lstrip()) if part[0].isspace() else 0 for part in parts], np.int64)
-    from_char = starts + lead
-    to_char = from_char + np.array([len(own) for own in bare], np.int64)
-    raw = text.encode("utf-8", "surrogatepass")
-    if len(raw) == len(text):
-        from_byte, to_byte = from_char, to_char
+    total = np.concatenate([[0], np.cumsum(words)])
+    first = np.arange(n)
+    stop = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS, "left"), first + 2)
+    fits = stop <= n
+    first, stop = first[fits], stop[fits]
+    if not len(first):
+        return np.zeros(0, np.uint64), first, stop
+    # a polynomial over the line hashes by prefix sums, scaled so that it does not depend on where the run begins
+    base = 0x9E3779B97F4A7C15
+    powers = np.cumprod(np.full(n, base, np.uint64))
+    scale = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+    rolled = mix((sums[stop] - sums[first]) * scale[first])
+    chosen = np.zeros(len(rolled), bool)
+    if len(rolled) < WINDOW:
+        chosen[np.argmin(rolled)] = True
     else:
-        sizes = np.array([len(part.encode("utf-8", "surrogatepass")) for part in parts], np.int64)
-        before = np.array([len(part[:k].encode("utf-8", "surrogatepass")) if k else 0 for part, k in zip(parts, lead.tolist())], np.int64)
-        from_byte = np.cumsum(sizes) - sizes + before
-        to_byte = from_byte + np.array([len(own.encode("utf-8", "surrogatepass")) for own in bare], np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(rolled, WINDOW)[:, ::-1]  # of equal ones the last
+        chosen[np.arange(len(windows)) + WINDOW - 1 - np.argmin(windows, axis=1)] = True
+    return rolled[chosen], first[chosen], stop[chosen]
 
-    def hashes():
-        return [xxhash.xxh3_64_intdigest(raw[a:b], SEED) for a, b in zip(from_byte[begins].tolist(), to_byte[ends].tolist())]
 
-    hashed = hashes()
-    if len(set(hashed)) < len(hashed):
-        begins, ends = one_behind_another(begins.tolist(), ends.tolist(), hashed)
-        hashed = hashes()
-    return np.array(hashed, np.uint64).view(np.int64), from_byte[begins], to_byte[ends], from_char[begins], to_char[ends]
+def apart(hashes: list[int], first: list[int], stop: list[int]) -> np.ndarray:
+    """Which runs to keep so that equal ones of one text do not overlap, the earlier first."""
+    taken: dict[int, int] = {}
+    kept = np.ones(len(hashes), bool)
+    for i, (h, a, b) in enumerate(zip(hashes, first, stop)):
+        if taken.get(h, -1) > a:
+            kept[i] = False
+        else:
+            taken[h] = b
+    return kept
 
 
-def chunks(text: str) -> list[tuple[int, int, int]]:
-    """(hash, start, end) of the chunks in order of their start; start and end count characters."""
-    hashed, _, _, start, end = byte_chunks(text)
-    return list(zip(hashed.tolist(), start.tolist(), end.tolist()))
+def chunks_of(text: str) -> tuple[np.ndarray, ...]:
+    """(hash, first, size, before, behind, further) of the chunks, in bytes of the text in UTF-8, without white space at their ends.
+
+    The last three are the bytes from the start of the line before the chunk, to the end of the line behind it and from there to
+    the end of the next; 0 where there is none.
+    """
+    lines, words = lines_of(text)
+    raw = [line.encode("utf-8", "surrogatepass") for line in lines]
+    own = [i for i, n in enumerate(words) if n]
+    if len(own) < 2:
+        return NO_CHUNKS
+    at = np.cumsum([0, *map(len, raw)])[own]
+    left = [raw[i].lstrip() for i in own]
+    begin = at + np.array([len(raw[i]) for i in own]) - np.array([len(x) for x in left])
+    bare = [x.rstrip() for x in left]
+    end = begin + np.array([len(x) for x in bare])
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in bare), np.uint64, len(bare))
+    rolled, first, stop = boundaries(hashed, np.array(words)[own])
+    if len(set(rolled.tolist())) < len(rolled):
+        kept = apart(rolled.tolist(), first.tolist(), stop.tolist())
+        rolled, first, stop = rolled[kept], first[kept], stop[kept]
+    last = len(own) - 1
+    from_, to = begin[first], end[stop - 1]
+    before = from_ - begin[np.maximum(first - 1, 0)]
+    behind = end[np.minimum(stop, last)]
+    further = end[np.minimum(stop + 1, last)] - behind
+    return rolled.view(np.int64), from_, to - from_, before, behind - to, further
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, first, size) of every chunk; positions are bytes of the text in UTF-8."""
+    """(doc_id, text_hash, hash, first, size, before, behind, further) of every chunk of (doc_id, text_hash, text)."""
 
     def cut(batches):
         for batch in batches:
-            keys, texts = values_of(batch, "doc_id"), texts_of(batch)
-            for at in range(0, len(texts), 256):
-                found = [byte_chunks(text)[:3] for text in texts[at : at + 256]]
-                key = np.repeat(np.array(keys[at : at + 256], np.int64), [len(h) for h, _, _ in found])
-                hashed, first, last = (np.concatenate(c) for c in zip(*found))
-                columns = (key, hashed, first.astype(np.int32), (last - first).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, CHUNKS)], schema=CHUNKS)
+            texts = batch.column(2)
+            keys, hashes = (np.array(values_of(batch, c), np.int64) for c in ("doc_id", "text_hash"))
+            for a, b in slices(texts, 1 << 20):
+                found = [chunks_of(text) for text in texts.slice(a, b - a).to_pylist()]
+                counts = [len(f[0]) for f in found]
+                columns = [np.repeat(keys[a:b], counts), np.repeat(hashes[a:b], counts), *(np.concatenate(c) for c in zip(*found))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), type=f.type) for c, f in zip(columns, CHUNKS)], schema=CHUNKS)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(cut, "doc_id bigint, hash bigint, first int, size int")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(cut, CHUNKS_SQL)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, _chunks, _cuts) of the chunks to cut out, all but the first of those with equal bytes; see ``joined_cuts``.
+    """(doc_id, text_hash, n, cuts) of the chunks to cut out, all but the first of those with equal bytes; see ``joined_cuts``.
 
-    doc_id is the key: of rows that repeat an id with one text only one is looked at, and all get the same cuts. Tables are stored
+    Rows are told apart by id and text: of rows that repeat both only one is looked at, and all get the same cuts. Tables are stored
     step by step and deleted once the next one is written, so that chunks, texts and copies are not on disk together.
     """
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    table = stored(chunk_table(texts), "chunks", release=True)
-    twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes", release=True)
-    marked = table.join(twice, "hash").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "size", "hash"))).alias("spans"))
-    marked = stored(marked, "marked", release=True)
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    table = stored(chunk_table(texts), "chunks")
+    twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
+    spans = F.array_sort(F.collect_set(F.struct("first", "size", "hash", "before", "behind", "further")))
+    marked = stored(table.join(twice, "hash").groupBy("doc_id", "text_hash").agg(spans.alias("spans")), "marked")
     discard(table, twice)
     raw = F.col("text").cast("binary")  # bytes are found at once, characters by counting from the start
 
     def with_bytes(s):
-        return F.struct(s["hash"].alias("hash"), s["first"].alias("first"), F.substring(raw, s["first"] + 1, s["size"]).alias("part"))
-
-    candidates = stored(marked.join(texts, "doc_id").select("doc_id", F.inline(F.transform("spans", with_bytes))), "candidates", release=True)
+        last = s["first"] + s["size"]
+        return F.struct(
+            s["hash"].alias("hash"),
+            s["first"].alias("first"),
+            F.substring(raw, s["first"] + 1, s["size"]).alias("part"),
+            F.substring(raw, s["first"] - s["before"] + 1, s["before"]).alias("before"),
+            F.substring(raw, last + 1, s["behind"]).alias("behind"),
+            F.substring(raw, last + s["behind"] + 1, s["further"]).alias("further"),
+        )
+
+    # of rows that repeat an id and a text, one has its bytes looked up
+    once = marked.join(texts, ["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline(F.transform("spans", with_bytes)))
+    candidates = stored(once, "candidates")
     discard(marked)
-    stays = candidates.groupBy("hash", "part").agg(F.min(F.struct("doc_id", "first")).alias("stays"), F.count("*").alias("n")).where("n > 1")
-    stays = stored(stays, "stays", release=True)  # a table of its own, so that a hot chunk's side of the join can be split
+    beside = F.struct("doc_id", "text_hash", "first", "before", "behind", "further")
+    stays = candidates.groupBy("hash", "part").agg(F.min(beside).alias("stays"), F.count("*").alias("n")).where("n > 1")
+    stays = stored(stays, "stays")  # a table of its own, so that a hot chunk's side of the join can be split
     joined = candidates.join(stays, ["hash", "part"])
-    again = joined.where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("first") != F.col("stays.first")))
-    first = F.col("first").cast("bigint")
-    cuts = again.select("doc_id", first.alias("first"), (first + F.octet_length("part")).alias("last"))
-    cuts = stored(joined_cuts(cuts), "cuts", release=True)
+    same = [F.col(c) == F.col(f"stays.{c}") for c in ("doc_id", "text_hash", "first")]
+    again = joined.where(~(same[0] & same[1] & same[2]))
+
+    def agreeing(name: str) -> Column:
+        return F.when(F.col(name) == F.col(f"stays.{name}"), F.octet_length(name)).otherwise(0)
+
+    further = F.when(F.col("behind") == F.col("stays.behind"), agreeing("further")).otherwise(0)
+    first = F.col("first").cast("bigint") - agreeing("before")
+    last = F.col("first").cast("bigint") + F.octet_length("part") + agreeing("behind") + further
+    cuts = stored(joined_cuts(again.select("doc_id", "text_hash", first.alias("first"), last.alias("last"))), "cuts")
     discard(candidates, stays)
     return cuts
 
 
 def joined_cuts(cuts: DataFrame) -> DataFrame:
-    """(doc_id, _chunks, _cuts): how many chunks are cut out of a document, and their bytes as ranges that neither overlap nor touch."""
-    found = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_found"))
+    """(doc_id, text_hash, n, cuts): how many chunks are cut out of a text, and their bytes as ranges that neither overlap nor touch."""
+    found = cuts.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("found"))
 
     def join(batches):
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            spans = batch.column(1)
+            out: tuple[list, ...] = ([], [], [], [])
+            spans = batch.column(2)
             flat = spans.flatten()
             first, last = (flat.field(k).to_numpy() for k in (0, 1))
             at = 0
-            for key, n in zip(values_of(batch, "doc_id"), [len(s) for s in spans]):
+            for key, text, n in zip(values_of(batch, "doc_id"), values_of(batch, "text_hash"), [len(s) for s in spans]):
                 a, reach = first[at : at + n], np.maximum.accumulate(last[at : at + n])
                 new = np.concatenate([[True], a[1:] > reach[:-1]])
                 close = reach[np.concatenate([new[1:], [True]])]
-                for column, value in zip(out, (key, n, [{"first": x, "last": y} for x, y in zip(a[new].tolist(), close.tolist())])):
+                for column, value in zip(out, (key, text, n, [{"first": x, "last": y} for x, y in zip(a[new].tolist(), close.tolist())])):
                     column.append(value)
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, CUTS)], schema=CUTS)
 
-    return found.mapInArrow(join, "doc_id bigint, _chunks int, _cuts array<struct<first: bigint, last: bigint>>")
+    return found.mapInArrow(join, "doc_id bigint, text_hash bigint, n int, cuts array<struct<first: bigint, last: bigint>>")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -194,32 +251,35 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Other columns stay as they are; input columns of the names n_chars, removed_chunks and removed_chars are replaced. Null text stays
     null (n_chars null), empty text empty; a text that consists of repeated chunks only becomes empty. Chunks overlap, and each one counts
-    in removed_chunks. Rows with a null doc_id are passed through untouched.
+    in removed_chunks. Rows that repeat an id and a text are one document and stay or lose the same; rows that repeat an id with
+    different texts are documents of their own. Rows with a null doc_id are passed through untouched. An empty table gives no rows.
     """
+    new = ("n_chars", "removed_chunks", "removed_chars")
+    kept = [c for c in docs.columns if c not in new]
     cuts = repeated_chunks(docs)
-    raw = F.col("text").cast("binary")
+    # input columns travel in one struct, so their names cannot clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    text = F.col("row.text")
+    raw = text.cast("binary")
 
     def gap(i):
         """Bytes between cut i - 1 and cut i."""
-        start = F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["last"])
-        end = F.when(i == F.size("_cuts"), F.octet_length("text").cast("bigint")).otherwise(F.get("_cuts", i)["first"])
+        start = F.when(i == 0, 0).otherwise(F.get("cuts", i - 1)["last"])
+        end = F.when(i == F.size("cuts"), F.octet_length(text).cast("bigint")).otherwise(F.get("cuts", i)["first"])
         return F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
 
-    gaps = F.transform(F.sequence(F.lit(0), F.size("_cuts")), gap)
-    has = F.size("_cuts") > 0
-    return (
-        docs.drop("removed_chunks", "removed_chars")
-        .join(cuts, "doc_id", "left")
-        .withColumn("_old", F.length("text"))
-        .withColumn("text", F.when(has, F.trim(F.concat_ws("", gaps))).otherwise(F.col("text")))
-        .withColumn("n_chars", F.length("text").cast("bigint"))
-        .withColumn("removed_chunks", F.coalesce("_chunks", F.lit(0)))
-        .withColumn("removed_chars", F.coalesce(F.col("_old") - F.col("n_chars"), F.lit(0)))
-        .select(*[c for c in docs.columns if c not in ("n_chars", "removed_chunks", "removed_chars")], "n_chars", "removed_chunks", "removed_chars")
+    gaps = F.transform(F.sequence(F.lit(0), F.size("cuts")), gap)
+    left = F.when(F.size("cuts") > 0, F.trim(F.concat_ws("", gaps))).otherwise(text)
+    done = rows.join(cuts, ["doc_id", "text_hash"], "left").select("row", left.alias("left"), F.coalesce("n", F.lit(0)).alias("n"))
+    return done.select(
+        *[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept],
+        F.length("left").cast("bigint").alias("n_chars"),
+        F.col("n").alias("removed_chunks"),
+        F.coalesce(F.length(text) - F.length("left"), F.lit(0)).alias("removed_chars"),
     )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with its own columns and the repeated chunks cut out; rows of which only white space is left are dropped."""
     done = dedup(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"(?U)\S"))
-    return done.select(*docs.columns)
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
