@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
 from txquality.llm import packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,7 +30,7 @@ TEXTS = [
 
 
 def test_ids_are_the_tokenizers(encoder):
-    for text, ids in zip(TEXTS, packing.document_ids([t or "" for t in TEXTS], VOCABULARY)):
+    for text, ids in zip(TEXTS, packing.document_ids([t or "" for t in TEXTS], packing.WordTokenizer(VOCABULARY))):
         assert np.frombuffer(ids, "<u4").tolist() == encoder.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -84,5 +85,22 @@ def test_sequences_hold_the_ids(make_docs):
     assert {r.padding for r in packing.padding(packed, 8).collect()} <= {0, 1, 2, 3, 5}
 
 
+def test_full_windows_are_sequences_of_their_own(make_docs):
+    long = " ".join(f"word{i % 37}" for i in range(60_000))
+    rows = packing.pack(make_docs([(1, long), (2, "a b"), (None, long), (3, "")]).withColumn("sequence_id", F.lit(0)), shard_pieces=2).collect()
+    full = [r for r in rows if r.length == packing.WINDOW]
+    assert len(full) > 20 and len({r.sequence_id for r in full}) == len(full) and all(r.sequence_id < 0 and r.offset == 0 for r in full)
+    rest = [r for r in rows if r.length < packing.WINDOW]
+    assert len(rest) == 4 and all(r.sequence_id >= 0 for r in rest)
+    for key in (1, None):
+        own = [r for r in rows if r.doc_id == key]
+        assert sum(r.length for r in own) == own[0].doc_tokens
+
+
+def test_the_words_kept_do_not_change_the_ids():
+    texts = [" ".join(f"w{i * k % 91}" for i in range(300)) for k in range(9)]
+    assert packing.document_ids(texts, packing.WordTokenizer(VOCABULARY, 8)) == packing.document_ids(texts, packing.WordTokenizer(VOCABULARY))
+
+
 def test_empty_table(make_docs, spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string, sequence_id int, shard string")).count() == 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txquality.llm.common import mix, runs, texts_of, values_of
+from txquality.llm.common import mix, runs, sliced, texts_of, values_of
 
 #: 1 = the token counts. Five tokens each; the first is contiguous.
 MASKS = ("11111", "1101011", "11001011", "110100101", "1010010011")
@@ -176,7 +176,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
         index = SeedIndex(items, window, share)
 
         def search(batches, index=index):
-            for batch in batches:
+            for batch in sliced(batches):
                 keys, found = values_of(batch, "doc_id"), list(found_in(texts_of(batch), index))
                 columns = list(zip(*found)) if found else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
@@ -194,7 +194,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
         index = SeedIndex(items, window, share)
 
         def keep(batches, index=index):
-            for batch in batches:
+            for batch in sliced(batches):
                 hit = np.zeros(batch.num_rows, bool)
                 hit[[i for i, *_ in found_in(texts_of(batch), index)]] = True
                 yield batch.filter(pa.array(~hit))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txquality.llm.common import batch_of, mix, runs, stored, texts_of, values_of
+from txquality.llm.common import WordCache, batch_of, mix, runs, sliced, stored, texts_of, values_of
 from txquality.llm.components import components, star_edges
 
 SHINGLE = 5
@@ -30,9 +30,8 @@ TREES, DEPTH = 20, 8
 TARGET = 0.9995
 BLOCK = 256
 CHUNK_CHARS = 1 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 SEED = 17
-_word_hashes: dict[str, int] = {}
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
@@ -45,21 +44,17 @@ def prefix_length(threshold: float, target: float = TARGET, trees: int = TREES,
     return k
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    known = _word_hashes
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"), SEED)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), SEED)
 
 
-def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
+def shingles(text: str, n: int = SHINGLE, known: WordCache | None = None) -> np.ndarray:
     """Sorted distinct fingerprints of the runs of ``n`` lower-case words. A text of fewer words is one shingle; none has none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = word_hashes(words)
+    known = WordCache(word_hash, CACHE_WORDS) if known is None else known
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(n, len(h))
     rolled = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -96,10 +91,11 @@ def signed(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
     hasher = Hasher(trees, depth)
 
     def sign(batches):
-        for batch in batches:
+        known = WordCache(word_hash, CACHE_WORDS)
+        for batch in sliced(batches):
             ids, texts = values_of(batch, "doc_id"), texts_of(batch)
             for a, b in runs([len(t) for t in texts], CHUNK_CHARS):
-                sets = [shingles(t, n) for t in texts[a:b]]
+                sets = [shingles(t, n, known) for t in texts[a:b]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * (b - a)
                 if full:
@@ -133,7 +129,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
-def compare(trie: int, same: bool, left: dict, right: dict, n: int, threshold: float):
+def compare(trie: int, same: bool, left: dict, right: dict, n: int, threshold: float, known: WordCache):
     """Links between the texts of two blocks that first meet in this trie: a boolean matrix."""
     need = np.ones((len(left["texts"]), len(right["texts"])), bool)
     if same:
@@ -143,7 +139,7 @@ def compare(trie: int, same: bool, left: dict, right: dict, n: int, threshold: f
     rows, columns = np.flatnonzero(need.any(1)), np.flatnonzero(need.any(0))
     links = np.zeros(need.shape, bool)
     if len(rows):
-        a, b = [shingles(left["texts"][i], n) for i in rows], [shingles(right["texts"][i], n) for i in columns]
+        a, b = [shingles(left["texts"][i], n, known) for i in rows], [shingles(right["texts"][i], n, known) for i in columns]
         common = intersections(a, b)
         union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common
         links[np.ix_(rows, columns)] = (common >= threshold * union) & need[np.ix_(rows, columns)]
@@ -182,7 +178,7 @@ def found_links(classes: DataFrame, docs: DataFrame, n: int, threshold: float, b
         side = [np.flatnonzero(own == low), np.flatnonzero(own == high)]
         if len(side[0]) and len(side[1]):
             of = [{"keys": keys[s], "texts": [texts[i] for i in s]} for s in side]
-            links = compare(trie, low == high, *of, n, threshold)
+            links = compare(trie, low == high, *of, n, threshold, WordCache(word_hash, CACHE_WORDS))
             total = np.zeros(len(ids), np.int64)
             np.add.at(total, side[0], links @ weight[side[1]])
             np.add.at(total, side[1], links.T @ weight[side[0]])

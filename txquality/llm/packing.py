@@ -1,8 +1,8 @@
 """Packing of tokenised documents into windows by best-fit decreasing.
 
-Documents are tokenised where they lie; a document longer than the window is first cut into full windows, which need no
-search. What is left of each document goes to a shard by a hash, and every shard packs its remainders by best-fit
-decreasing: longest first, each into the open window with the least room that still holds it. Open windows are kept as
+Documents are tokenised where they lie. A document that is not shorter than the window is first cut into full windows, which are sequences
+of their own and go through no search and no shuffle. What is left of each document, one piece at most, goes to a shard by a hash, and every
+shard packs its remainders by best-fit decreasing: longest first, each into the open window with the least room that still holds it. Open windows are kept as
 stacks by room, and a segment tree over the rooms 1..window answers "the least room >= length that has a window" in
 logarithmic time. Shards hold about ``shard_pieces`` remainders whatever the size of the corpus, so the padding lost at
 the end of a shard stays a small constant part and no task grows with the input.
@@ -21,15 +21,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from txquality.llm.common import batch_of, texts_of, values_of
+from txquality.llm.common import WordCache, batch_of, sliced, stored, texts_of, values_of
 
 END_ID = 2
 WINDOW = 4096
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 120_000
 #: Characters for which splitting by the pattern below is the tokenizer's own; others go through the library whole.
 UNUSUAL = re.compile("[^\t\n\v\f\r -~\u00a0-\u024f]|[\u00b2\u00b3\u00b9\u00bc-\u00be\u00b5\u0130\u0149\u01f0]")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_loaded: dict[str, "WordTokenizer"] = {}
 
 PIECE_SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
@@ -37,15 +36,15 @@ PIECE_SCHEMA = pa.schema(
 PIECE_SQL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-class WordTokenizer(dict):
-    """Ids of a text as bytes (little-endian unsigned 32-bit). The dictionary keeps the ids of words seen before.
+class WordTokenizer:
+    """Ids of a text as bytes (little-endian unsigned 32-bit). Ids of words seen before are kept, a bounded number of them.
 
     The vocabulary splits a text at white space and further into words before it merges, so the ids of a text are those
     of its words one after another. A text with characters outside the Latin blocks is encoded as a whole.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, entries: int = CACHE_WORDS):
+        self.known = WordCache(self.ids_of, entries)
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.model = self.encoder.model
@@ -54,33 +53,23 @@ class WordTokenizer(dict):
         printable = {b for b in letters if b < 256}
         self.byte_letters = [letters[b] if b in printable else letters[next(spare)] for b in range(256)]
 
-    def __missing__(self, chunk: str) -> bytes:
+    def ids_of(self, chunk: str) -> bytes:
         found = [
             token.id
             for word in PIECES.findall(chunk)
             for token in self.model.tokenize("".join([self.byte_letters[b] for b in word.encode()]))
         ]
-        self[chunk] = ids = np.asarray(found, dtype="<u4").tobytes()
-        return ids
+        return np.asarray(found, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if UNUSUAL.search(text):
             ids = self.encoder.encode(text, add_special_tokens=False).ids
             return np.asarray(ids, dtype="<u4").tobytes()
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
-
-
-def document_ids(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
+def document_ids(texts: list[str], encode: WordTokenizer, end_id: int = END_ID) -> list[bytes]:
     end = np.asarray([end_id], dtype="<u4").tobytes()
-    encode = word_tokenizer(path)
     return [encode(text) + end for text in texts]
 
 
@@ -93,18 +82,15 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: boo
     schema = PIECE_SCHEMA.append(pa.field("ids", pa.binary())) if with_ids else PIECE_SCHEMA
 
     def cut(batches):
-        for batch in batches:
-            keys, texts = values_of(batch, "doc_id"), texts_of(batch)
-            for at in range(0, len(texts), 256):
-                out: dict[str, list] = {f.name: [] for f in schema}
-                for key, ids in zip(keys[at : at + 256], document_ids(texts[at : at + 256], vocabulary)):
-                    for start in range(0, len(ids), 4 * window):
-                        part = ids[start : start + 4 * window]
-                        for name, value in zip(
-                            schema.names, (key, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)
-                        ):
-                            out[name].append(value)
-                yield batch_of(schema, **out)
+        encode = WordTokenizer(vocabulary)
+        for batch in sliced(batches):
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for key, ids in zip(values_of(batch, "doc_id"), document_ids(texts_of(batch), encode)):
+                for start in range(0, len(ids), 4 * window):
+                    part = ids[start : start + 4 * window]
+                    for name, value in zip(schema.names, (key, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)):
+                        out[name].append(value)
+            yield batch_of(schema, **out)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SQL + (", ids binary" if with_ids else ""))
 
@@ -160,13 +146,15 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, s
     """Pieces with ``sequence_id`` and ``offset``: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]).
 
     Every id of every document lies in exactly one piece; a sequence holds at most ``window`` ids without gaps from
-    offset 0. An empty table gives no rows. Equal lengths are taken by (doc_id, start), so the result does not depend on how
+    offset 0. Sequences of one full window have negative ids. An empty table gives no rows. Equal lengths are taken by (doc_id, start), so the result does not depend on how
     rows arrive, unless rows repeat an id with different texts of one length.
     """
     vocabulary = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-    shards = max(1, -(-docs.count() // shard_pieces))
-    cut = pieces(docs, vocabulary, window, with_ids)
-    sharded = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    cut = stored(pieces(docs, vocabulary, window, with_ids), "pieces")
+    full = F.col("length") == window
+    rest = cut.where(~full)
+    shards = max(1, -(-rest.count() // shard_pieces))
+    sharded = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
     names = cut.columns
 
     def place(key, group):
@@ -177,7 +165,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, s
         return group[[*names, "sequence_id", "offset"]]
 
     schema = PIECE_SQL + (", ids binary" if with_ids else "") + ", sequence_id bigint, offset bigint"
-    return sharded.groupBy("shard").applyInPandas(place, schema)
+    alone = cut.where(full).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return alone.unionByName(sharded.groupBy("shard").applyInPandas(place, schema))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

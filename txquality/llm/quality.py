@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txquality.llm.common import batch_of, bounded_sample, stored, texts_of, values_of
+from txquality.llm.common import batch_of, bounded_sample, sliced, stored, texts_of, values_of
 
 TRAIN_ROWS = 40_000
 FEATURES = 160
@@ -68,7 +68,7 @@ def document_statistics(docs: DataFrame, mark) -> DataFrame:
     """(doc_id, _mark, stats) per row, written to the shared folder. Null text counts as empty."""
 
     def describe(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             stats = [statistics(t) for t in texts_of(batch)]
             yield batch_of(STATS_SCHEMA, doc_id=values_of(batch, "doc_id"), _mark=values_of(batch, "_mark"), stats=stats)
 
@@ -206,7 +206,7 @@ def accept(docs: DataFrame, model: KernelRidge, threshold: float = 0.7) -> DataF
         return docs
 
     def keep(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 stats = np.array([statistics(t) for t in texts_of(batch)], np.float32).astype(np.float64)
                 yield batch.filter(pa.array(model.score(stats) >= threshold))
