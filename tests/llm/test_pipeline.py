@@ -17,13 +17,19 @@ def in_order(texts):
     first, out = {}, {}
     for key in sorted(texts):
         raw, cuts = texts[key].encode(), []
-        for _, a, size, before, behind, further in zip(*(c.tolist() for c in line_dedup.chunks_of(texts[key]))):
-            b = a + size
-            beside = [raw[a - before : a], raw[b : b + behind], raw[b + behind : b + behind + further]]
-            old = first.setdefault(raw[a:b], beside)
+        for _, a, size, *steps in zip(*(c.tolist() for c in line_dedup.chunks_of(texts[key]))):
+            low, high, beside = a, a + size, []
+            for n in steps[: line_dedup.STEPS]:
+                low -= n
+                beside.append(raw[low : low + n])
+            for n in steps[line_dedup.STEPS :]:
+                beside.append(raw[high : high + n])
+                high += n
+            old = first.setdefault(raw[a : a + size], beside)
             if old is not beside:
-                more = behind + further * (beside[2] == old[2]) if beside[1] == old[1] else 0
-                cuts.append((a - before * (beside[0] == old[0]), b + more))
+                agree = [x == y for x, y in zip(beside, old)]
+                more = [sum(n for k, n in enumerate(side) if all(same[: k + 1])) for side, same in ((steps[:3], agree[:3]), (steps[3:], agree[3:]))]
+                cuts.append((a - more[0], a + size + more[1]))
         left, at = [], 0
         for a, b in sorted(cuts):
             left.append(raw[at:a])

@@ -3,10 +3,10 @@
 A line ends at a line break or at the end of a sentence followed by white space. A line of more than ``LONG_LINE`` words ends behind commas,
 semicolons and colons as well, and where that is not enough, behind words whose hash is less than those of their neighbours. Lines are
 hashed, and a rolling hash runs over the line hashes: the one of a line covers the shortest run of lines from it on that has two
-lines and ``MIN_WORDS`` words. Where it is the least of ``WINDOW`` neighbouring ones, a boundary is set, and the run that begins there is a
-chunk. A boundary depends on a few lines around it and on no count from the start of the text, so text that is shifted has
-the same chunks, and of any ``WINDOW`` runs side by side one is a chunk. In a passage that repeats in whole lines chunks therefore cover
-all but a line or two at either end.
+lines and ``MIN_WORDS`` words. Where it is the least of the lines that begin within ``WINDOW_WORDS`` words, or of two lines side by side if
+they are longer, a boundary is set, and the run that begins there is a chunk. A boundary depends on a few lines around it and
+on no count from the start of the text, so text that is shifted has the same chunks, and every passage of some 50 words that repeats in
+whole lines holds one. In such a passage chunks follow one another closely and cover all but a line or two at either end.
 
 Chunks whose hash occurs more than once are compared byte by byte; of equal ones the first by (doc_id, hash of the text, position) stays and
 the others are cut out. A chunk that is cut out is extended line by line to both sides while the bytes agree with those beside the
@@ -27,95 +27,115 @@ from pyspark.sql import functions as F
 
 from txquality.llm.common import discard, mix, slices, stored, values_of
 
-MIN_WORDS = 8
-LONG_LINE = 16
-WINDOW = 2
+MIN_WORDS = 16
+LONG_LINE = 24
+WINDOW_WORDS = 24
+#: Steps by which a chunk may be extended to either side, each of whole lines with so many words at least.
+STEPS, STEP_WORDS = 3, 8
 SEED = 23
-LINE_END = re.compile(r"\n+|(?<=[.!?])[^\S\n]+|(?<=[。！？])[^\S\n]*")
-CLAUSE_END = re.compile(r"(?<=[,;:])\s+|(?<=[，、；：])\s*")
-#: Letters of scripts written without spaces count as a word each; of other runs without white space, each LONG_RUN characters.
+#: Of words without white space, each LONG_RUN bytes count as a word; of scripts written without spaces, each letter.
 LONG_RUN = 24
+SPACES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+STOPS, COMMAS = (np.isin(np.arange(256), list(marks)) for marks in (b".!?", b",;:"))
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
-TOKEN = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,{LONG_RUN}}}")
-TOKEN_WITH_SPACE = re.compile(rf"(?:{TOKEN.pattern})\s*")
-#: A chunk in bytes of its text, and the bytes of the line before it and of the two lines behind it.
-CHUNK = [("hash", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("before", pa.int32()), ("behind", pa.int32()), ("further", pa.int32())]
+TOKEN = re.compile(rf"[{UNSPACED}]|[^ \t\n\v\f\r{UNSPACED}]+")
+WIDE_STOP = re.compile("[。！？]")
+WIDE_COMMA = re.compile("[，、；：]")
+#: A chunk in bytes of its text, and the bytes of the steps before and behind it, from the chunk outwards.
+SIDES = [f"{side}{k}" for side in ("before", "behind") for k in range(STEPS)]
+CHUNK = [("hash", pa.int64()), *((c, pa.int32()) for c in ("first", "size", *SIDES))]
 CHUNKS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *CHUNK])
-CHUNKS_SQL = "doc_id bigint, text_hash bigint, hash bigint, first int, size int, before int, behind int, further int"
+CHUNKS_SQL = "doc_id bigint, text_hash bigint, hash bigint" + "".join(f", {c} int" for c in ("first", "size", *SIDES))
 CUTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("cuts", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
 NO_CHUNKS = tuple(np.zeros(0, np.int64) for _ in CHUNK)
 
 
-def words_in(line: str) -> int:
-    """Words by white space; by TOKEN in lines with long runs without it or letters of scripts that have none."""
-    n = len(line.split())
-    if len(line) > LONG_RUN * n or not line.isascii() and UNSPACED_LETTER.search(line):
-        return len(TOKEN.findall(line))
-    return n
-
-
-def split_behind(text: str, end: re.Pattern) -> list[str]:
-    at = [0, *(m.end() for m in end.finditer(text))]
-    if at[-1] < len(text):
-        at.append(len(text))
-    return [text[a:b] for a, b in zip(at, at[1:])]
-
-
-def split_long(line: str) -> list[str]:
-    """A line cut behind words whose hash is less than those of the two words on either side."""
-    tokens = TOKEN_WITH_SPACE.findall(line)
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(t.strip().encode("utf-8", "surrogatepass"), SEED) for t in tokens), np.uint64, len(tokens))
-    least = np.ones(len(hashed), bool)
+def words_of(text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, stop, comma) of the words in bytes of ``raw``; stop and comma say whether a sentence or a clause ends with the word."""
+    data = np.frombuffer(raw, np.uint8)
+    if UNSPACED_LETTER.search(text):
+        spans = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+        wide = [np.zeros(len(text) + 1, bool) for _ in range(2)]
+        for marks, pattern in zip(wide, (WIDE_STOP, WIDE_COMMA)):
+            marks[[m.end() for m in pattern.finditer(text)]] = True
+        # a mark that follows a letter directly is a token of its own and ends the sentence or clause there
+        stop, comma = (marks[spans[:, 1]] for marks in wide)
+        at = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])])
+        start, end = at[spans[:, 0]], at[spans[:, 1]]
+    else:
+        space = SPACES[data]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+        start, end = edge[0::2], edge[1::2]
+        stop, comma = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    if len(start):
+        last, spaced = data[end - 1], end < np.concatenate([start[1:], [len(data) + 1]])
+        stop |= STOPS[last] & spaced
+        comma |= COMMAS[last] & spaced
+    return start, end, stop, comma
+
+
+def split_long(words: list[bytes]) -> np.ndarray:
+    """Words before which a long line is cut: those behind a word whose hash is less than those of the two words on either side."""
+    if len(words) < 6:
+        return np.zeros(0, np.int64)
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    least = np.ones(len(words), bool)
     for k in (1, 2):
         least[k:] &= hashed[k:] < hashed[:-k]
         least[:-k] &= hashed[:-k] < hashed[k:]
     least[:2] = least[-2:] = False  # not decided by this line alone
-    cuts = (np.flatnonzero(least) + 1).tolist()
-    parts = ["".join(tokens[a:b]) for a, b in zip([0, *cuts], [*cuts, len(tokens)])]
-    parts[0] = line[: len(line) - sum(map(len, tokens))] + parts[0]
-    return parts
-
-
-def lines_of(text: str) -> tuple[list[str], list[int]]:
-    """The lines, each with the white space that ends it, and their words; together they are the whole text."""
-    lines, words = [], []
-    for line in split_behind(text, LINE_END):
-        n = words_in(line)
-        if n <= LONG_LINE:
-            lines.append(line)
-            words.append(n)
-            continue
-        for clause in split_behind(line, CLAUSE_END):
-            n = words_in(clause)
-            parts = split_long(clause) if n > LONG_LINE else [clause]
-            lines += parts
-            words += [n] if len(parts) == 1 else [words_in(p) for p in parts]
-    return lines, words
+    return np.flatnonzero(least) + 1
+
+
+def lines_of(text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words) of the lines with words, in bytes of ``raw``, without the white space around them."""
+    start, end, stop, comma = words_of(text, raw)
+    if not len(start):
+        return start, end, start
+    breaks = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) == 10)])
+    ends = np.concatenate([stop[:-1] | (breaks[start[1:]] > breaks[end[:-1]]), [True]])
+    weights = -(-(end - start) // LONG_RUN)
+    first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
+    size = np.add.reduceat(weights, first)
+    long = size > LONG_LINE
+    if long.any():
+        inside = np.repeat(long, np.diff(np.concatenate([first, [len(start)]])))
+        ends[:-1] |= (comma & inside)[:-1]
+        first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
+        size = np.add.reduceat(weights, first)
+    if (size > LONG_LINE).any():
+        cuts = [first]
+        after = np.concatenate([first[1:], [len(start)]])
+        for a, b in zip(first[size > LONG_LINE].tolist(), after[size > LONG_LINE].tolist()):
+            cuts.append(a + split_long([raw[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())]))
+        first = np.unique(np.concatenate(cuts))
+        size = np.add.reduceat(weights, first)
+    return start[first], end[np.concatenate([first[1:], [len(start)]]) - 1], size
 
 
 def boundaries(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rolling hash, first line, line behind the last) of the runs at which a boundary is set; every line has words."""
     n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
-    first = np.arange(n)
-    stop = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS, "left"), first + 2)
-    fits = stop <= n
-    first, stop = first[fits], stop[fits]
-    if not len(first):
+    stop = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS, "left"), np.arange(n) + 2)
+    m = int((stop <= n).sum())  # the runs of the first m lines lie in the text
+    first, stop = np.arange(m), stop[:m]
+    if not m:
         return np.zeros(0, np.uint64), first, stop
     # a polynomial over the line hashes by prefix sums, scaled so that it does not depend on where the run begins
     base = 0x9E3779B97F4A7C15
     powers = np.cumprod(np.full(n, base, np.uint64))
-    scale = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
+    scale = np.cumprod(np.full(m, pow(base, -1, 1 << 64), np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
-    rolled = mix((sums[stop] - sums[first]) * scale[first])
-    chosen = np.zeros(len(rolled), bool)
-    if len(rolled) < WINDOW:
-        chosen[np.argmin(rolled)] = True
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(rolled, WINDOW)[:, ::-1]  # of equal ones the last
-        chosen[np.arange(len(windows)) + WINDOW - 1 - np.argmin(windows, axis=1)] = True
+    rolled = mix((sums[stop] - sums[first]) * scale)
+    close = np.maximum(np.searchsorted(total, total[:m] + WINDOW_WORDS, "left"), first + 2)
+    whole = int((close <= m).sum())
+    windows = np.stack([first[:whole], close[:whole]], 1) if whole else np.array([[0, m]])
+    order = m - 1 - np.argsort(rolled[::-1], kind="stable")  # of equal ones the last
+    rank = np.empty(m + 1, np.int64)
+    rank[order], rank[m] = np.arange(m), m
+    chosen = np.unique(order[np.minimum.reduceat(rank, windows.ravel())[::2]])
     return rolled[chosen], first[chosen], stop[chosen]
 
 
@@ -132,36 +152,32 @@ def apart(hashes: list[int], first: list[int], stop: list[int]) -> np.ndarray:
 
 
 def chunks_of(text: str) -> tuple[np.ndarray, ...]:
-    """(hash, first, size, before, behind, further) of the chunks, in bytes of the text in UTF-8, without white space at their ends.
+    """(hash, first, size, *SIDES) of the chunks, in bytes of the text in UTF-8, without white space at their ends.
 
-    The last three are the bytes from the start of the line before the chunk, to the end of the line behind it and from there to
-    the end of the next; 0 where there is none.
+    A step has whole lines of ``STEP_WORDS`` words at least, and fewer only at the end of the text; 0 bytes where there is no line.
     """
-    lines, words = lines_of(text)
-    raw = [line.encode("utf-8", "surrogatepass") for line in lines]
-    own = [i for i, n in enumerate(words) if n]
-    if len(own) < 2:
+    raw = text.encode("utf-8", "surrogatepass")
+    begin, end, words = lines_of(text, raw)
+    if len(words) < 2:
         return NO_CHUNKS
-    at = np.cumsum([0, *map(len, raw)])[own]
-    left = [raw[i].lstrip() for i in own]
-    begin = at + np.array([len(raw[i]) for i in own]) - np.array([len(x) for x in left])
-    bare = [x.rstrip() for x in left]
-    end = begin + np.array([len(x) for x in bare])
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in bare), np.uint64, len(bare))
-    rolled, first, stop = boundaries(hashed, np.array(words)[own])
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
+    rolled, first, stop = boundaries(hashed, words)
     if len(set(rolled.tolist())) < len(rolled):
         kept = apart(rolled.tolist(), first.tolist(), stop.tolist())
         rolled, first, stop = rolled[kept], first[kept], stop[kept]
-    last = len(own) - 1
-    from_, to = begin[first], end[stop - 1]
-    before = from_ - begin[np.maximum(first - 1, 0)]
-    behind = end[np.minimum(stop, last)]
-    further = end[np.minimum(stop + 1, last)] - behind
-    return rolled.view(np.int64), from_, to - from_, before, behind - to, further
+    n, total = len(words), np.concatenate([[0], np.cumsum(words)])
+    sides, low, high = [[], []], first, stop
+    for _ in range(STEPS):
+        lower = np.maximum(np.minimum(np.searchsorted(total, total[low] - STEP_WORDS, "right") - 1, low - 1), 0)
+        higher = np.minimum(np.maximum(np.searchsorted(total, total[np.minimum(high, n)] + STEP_WORDS, "left"), high + 1), n)
+        sides[0].append(begin[low] - begin[lower])
+        sides[1].append(end[higher - 1] - end[high - 1])
+        low, high = lower, higher
+    return rolled.view(np.int64), begin[first], end[stop - 1] - begin[first], *sides[0], *sides[1]
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, hash, first, size, before, behind, further) of every chunk of (doc_id, text_hash, text)."""
+    """(doc_id, text_hash, hash, first, size, *SIDES) of every chunk of (doc_id, text_hash, text)."""
 
     def cut(batches):
         for batch in batches:
@@ -185,39 +201,41 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     table = stored(chunk_table(texts), "chunks")
     twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
-    spans = F.array_sort(F.collect_set(F.struct("first", "size", "hash", "before", "behind", "further")))
+    spans = F.array_sort(F.collect_set(F.struct("first", "size", "hash", *SIDES)))
     marked = stored(table.join(twice, "hash").groupBy("doc_id", "text_hash").agg(spans.alias("spans")), "marked")
     discard(table, twice)
     raw = F.col("text").cast("binary")  # bytes are found at once, characters by counting from the start
 
     def with_bytes(s):
-        last = s["first"] + s["size"]
-        return F.struct(
-            s["hash"].alias("hash"),
-            s["first"].alias("first"),
-            F.substring(raw, s["first"] + 1, s["size"]).alias("part"),
-            F.substring(raw, s["first"] - s["before"] + 1, s["before"]).alias("before"),
-            F.substring(raw, last + 1, s["behind"]).alias("behind"),
-            F.substring(raw, last + s["behind"] + 1, s["further"]).alias("further"),
-        )
+        low, high, steps = s["first"], s["first"] + s["size"], []
+        for name in SIDES[:STEPS]:
+            low = low - s[name]
+            steps.append(F.substring(raw, low + 1, s[name]).alias(name))
+        for name in SIDES[STEPS:]:
+            steps.append(F.substring(raw, high + 1, s[name]).alias(name))
+            high = high + s[name]
+        return F.struct(s["hash"].alias("hash"), s["first"].alias("first"), F.substring(raw, s["first"] + 1, s["size"]).alias("part"), *steps)
 
     # of rows that repeat an id and a text, one has its bytes looked up
     once = marked.join(texts, ["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline(F.transform("spans", with_bytes)))
     candidates = stored(once, "candidates")
     discard(marked)
-    beside = F.struct("doc_id", "text_hash", "first", "before", "behind", "further")
+    beside = F.struct("doc_id", "text_hash", "first", *SIDES)
     stays = candidates.groupBy("hash", "part").agg(F.min(beside).alias("stays"), F.count("*").alias("n")).where("n > 1")
     stays = stored(stays, "stays")  # a table of its own, so that a hot chunk's side of the join can be split
     joined = candidates.join(stays, ["hash", "part"])
     same = [F.col(c) == F.col(f"stays.{c}") for c in ("doc_id", "text_hash", "first")]
     again = joined.where(~(same[0] & same[1] & same[2]))
 
-    def agreeing(name: str) -> Column:
-        return F.when(F.col(name) == F.col(f"stays.{name}"), F.octet_length(name)).otherwise(0)
+    def agreeing(names: list[str]) -> Column:
+        """Bytes of the steps to one side that agree, up to the first that does not."""
+        if not names:
+            return F.lit(0)
+        name, *rest = names
+        return F.when(F.col(name) == F.col(f"stays.{name}"), F.octet_length(name) + agreeing(rest)).otherwise(0)
 
-    further = F.when(F.col("behind") == F.col("stays.behind"), agreeing("further")).otherwise(0)
-    first = F.col("first").cast("bigint") - agreeing("before")
-    last = F.col("first").cast("bigint") + F.octet_length("part") + agreeing("behind") + further
+    first = F.col("first").cast("bigint") - agreeing(SIDES[:STEPS])
+    last = F.col("first").cast("bigint") + F.octet_length("part") + agreeing(SIDES[STEPS:])
     cuts = stored(joined_cuts(again.select("doc_id", "text_hash", first.alias("first"), last.alias("last"))), "cuts")
     discard(candidates, stays)
     return cuts
