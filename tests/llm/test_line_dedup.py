@@ -125,10 +125,10 @@ def corpus(seed=1):
 def test_lines_hold_all_words():
     for text in ("", "one", "a. b\n\nc! d?  e", "\n\nx", "é ç. Ñ", "no end\n", " " + "long words, in " * 40, "w " * 90, "一二三，" * 30 + "。x", "q" * 99):
         raw = text.encode()
-        start, end, words = line_dedup.lines_of(text, raw)
+        _, _, start, end, words = line_dedup.lines_of([text])
         assert b"".join(raw[a:b] for a, b in zip(start, end)).split() == b"".join(raw.split()).split() or b"".join(b"".join(raw[a:b] for a, b in zip(start, end)).split()) == b"".join(raw.split())
         assert len(words) == len(start) and all(words) and all(raw[a:b].strip() == raw[a:b] for a, b in zip(start, end))
-    cut = [len(line_dedup.lines_of(t, t.encode())[0]) for t in ("a. b\n\nc! d?  e", "long words, in " * 40, "x.y z", "一二三，" * 30 + "。x")]
+    cut = [len(line_dedup.lines_of([t])[2]) for t in ("a. b\n\nc! d?  e", "long words, in " * 40, "x.y z", "一二三，" * 30 + "。x")]
     assert cut[0] == 5 and cut[1] >= 40 and cut[2] == 1 and cut[3] > 5
 
 
@@ -136,14 +136,21 @@ def test_chunks_are_those_of_the_plain_version():
     for _, text in corpus(9)[0]:
         spans = own_lines(text)
         expected = [(spans[a][0], spans[b - 1][1] - spans[a][0]) for a, b in plain_chunks(text)]
-        _, first, size, *_ = line_dedup.chunks_of(text)
+        _, _, first, size, *_ = line_dedup.chunks_of([text])
         assert list(zip(first.tolist(), size.tolist())) == expected
 
 
+def test_texts_side_by_side_have_the_chunks_of_each():
+    texts = ["", *(t for _, t in corpus(4)[0]), " \n", "一二三，四五。" * 9, "é ü. " * 40, "x", "s. " * 90, ""]
+    together = [c.tolist() for c in line_dedup.chunks_of(texts)]
+    alone = [(i, *row) for i, text in enumerate(texts) for row in zip(*(c.tolist() for c in line_dedup.chunks_of([text])[1:]))]
+    assert list(zip(*together)) == alone and len(alone) > 100
+
+
 def test_boundaries_resist_shifts():
     rng = random.Random(5)
     tail = " ".join(sentence(rng) for _ in range(40))
-    first, second = (set(line_dedup.chunks_of(t)[0].tolist()) for t in (tail, sentence(rng) + " " + sentence(rng) + " " + tail))
+    first, second = (set(line_dedup.chunks_of([t])[1].tolist()) for t in (tail, sentence(rng) + " " + sentence(rng) + " " + tail))
     assert len(first & second) >= len(first) - 1
 
 

@@ -17,7 +17,7 @@ def in_order(texts):
     first, out = {}, {}
     for key in sorted(texts):
         raw, cuts = texts[key].encode(), []
-        for _, a, size, *steps in zip(*(c.tolist() for c in line_dedup.chunks_of(texts[key]))):
+        for _, _, a, size, *steps in zip(*(c.tolist() for c in line_dedup.chunks_of([texts[key]]))):
             low, high, beside = a, a + size, []
             for n in steps[: line_dedup.STEPS]:
                 low -= n

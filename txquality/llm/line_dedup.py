@@ -51,28 +51,37 @@ CUTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.in
 NO_CHUNKS = tuple(np.zeros(0, np.int64) for _ in CHUNK)
 
 
-def words_of(text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, stop, comma) of the words in bytes of ``raw``; stop and comma say whether a sentence or a clause ends with the word."""
+def words_of(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, start of each text, then per word start, end, stop, comma), in bytes of the first.
+
+    stop and comma say whether a sentence or a clause ends with the word. A line break stands between two texts.
+    """
+    raws = [text.encode("utf-8", "surrogatepass") for text in texts]
+    raw = b"\n".join(raws) + b"\n"
+    starts = np.cumsum([0, *(len(r) + 1 for r in raws)])[:-1]
     data = np.frombuffer(raw, np.uint8)
-    if UNSPACED_LETTER.search(text):
-        spans = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
-        wide = [np.zeros(len(text) + 1, bool) for _ in range(2)]
-        for marks, pattern in zip(wide, (WIDE_STOP, WIDE_COMMA)):
-            marks[[m.end() for m in pattern.finditer(text)]] = True
-        # a mark that follows a letter directly is a token of its own and ends the sentence or clause there
-        stop, comma = (marks[spans[:, 1]] for marks in wide)
-        at = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])])
-        start, end = at[spans[:, 0]], at[spans[:, 1]]
-    else:
-        space = SPACES[data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-        start, end = edge[0::2], edge[1::2]
-        stop, comma = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], SPACES[data], [True]]).view(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    stop, comma = np.zeros(len(start), bool), np.zeros(len(start), bool)
+    unspaced = [i for i, text in enumerate(texts) if not text.isascii() and UNSPACED_LETTER.search(text)]
+    if unspaced:
+        kept = ~np.isin(np.searchsorted(starts, start, "right") - 1, unspaced)
+        found = [(start[kept], end[kept], stop[kept], comma[kept])]
+        for i in unspaced:
+            text, wide = texts[i], [np.zeros(len(texts[i]) + 1, bool) for _ in range(2)]
+            spans = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+            for marks, pattern in zip(wide, (WIDE_STOP, WIDE_COMMA)):
+                marks[[m.end() for m in pattern.finditer(text)]] = True
+            at = starts[i] + np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])])
+            found.append((at[spans[:, 0]], at[spans[:, 1]], wide[0][spans[:, 1]], wide[1][spans[:, 1]]))
+        start, end, stop, comma = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(start, kind="stable")
+        start, end, stop, comma = start[order], end[order], stop[order], comma[order]
     if len(start):
         last, spaced = data[end - 1], end < np.concatenate([start[1:], [len(data) + 1]])
         stop |= STOPS[last] & spaced
         comma |= COMMAS[last] & spaced
-    return start, end, stop, comma
+    return raw, starts, start, end, stop, comma
 
 
 def split_long(words: list[bytes]) -> np.ndarray:
@@ -88,55 +97,65 @@ def split_long(words: list[bytes]) -> np.ndarray:
     return np.flatnonzero(least) + 1
 
 
-def lines_of(text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words) of the lines with words, in bytes of ``raw``, without the white space around them."""
-    start, end, stop, comma = words_of(text, raw)
+def lines_of(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, start of each text, then per line with words start, end, words), without white space around the lines."""
+    raw, starts, start, end, stop, comma = words_of(texts)
     if not len(start):
-        return start, end, start
+        return raw, starts, start, end, start
     breaks = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) == 10)])
     ends = np.concatenate([stop[:-1] | (breaks[start[1:]] > breaks[end[:-1]]), [True]])
     weights = -(-(end - start) // LONG_RUN)
-    first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
-    size = np.add.reduceat(weights, first)
+
+    def firsts():
+        first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
+        return first, np.concatenate([first[1:], [len(start)]]), np.add.reduceat(weights, first)
+
+    first, after, size = firsts()
     long = size > LONG_LINE
     if long.any():
-        inside = np.repeat(long, np.diff(np.concatenate([first, [len(start)]])))
-        ends[:-1] |= (comma & inside)[:-1]
-        first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
-        size = np.add.reduceat(weights, first)
-    if (size > LONG_LINE).any():
-        cuts = [first]
-        after = np.concatenate([first[1:], [len(start)]])
+        ends |= comma & np.repeat(long, after - first)
+        first, after, size = firsts()
         for a, b in zip(first[size > LONG_LINE].tolist(), after[size > LONG_LINE].tolist()):
-            cuts.append(a + split_long([raw[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())]))
-        first = np.unique(np.concatenate(cuts))
-        size = np.add.reduceat(weights, first)
-    return start[first], end[np.concatenate([first[1:], [len(start)]]) - 1], size
+            ends[a - 1 + split_long([raw[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())])] = True
+        first, after, size = firsts()
+    return raw, starts, start[first], end[after - 1], size
+
 
+def boundaries(hashes: np.ndarray, words: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rolling hash, first line, line behind the last) of the runs at which a boundary is set.
 
-def boundaries(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rolling hash, first line, line behind the last) of the runs at which a boundary is set; every line has words."""
+    Every line has words; ``bound`` is the line behind the last of its text, which no run and no window passes.
+    """
     n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
-    stop = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS, "left"), np.arange(n) + 2)
-    m = int((stop <= n).sum())  # the runs of the first m lines lie in the text
-    first, stop = np.arange(m), stop[:m]
-    if not m:
-        return np.zeros(0, np.uint64), first, stop
+    line = np.arange(n)
+    stop = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS, "left"), line + 2)
+    first = np.flatnonzero(stop <= bound)  # in each text the lines up to some one
+    if not len(first):
+        return np.zeros(0, np.uint64), first, first
     # a polynomial over the line hashes by prefix sums, scaled so that it does not depend on where the run begins
     base = 0x9E3779B97F4A7C15
     powers = np.cumprod(np.full(n, base, np.uint64))
-    scale = np.cumprod(np.full(m, pow(base, -1, 1 << 64), np.uint64))
+    scale = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
-    rolled = mix((sums[stop] - sums[first]) * scale)
-    close = np.maximum(np.searchsorted(total, total[:m] + WINDOW_WORDS, "left"), first + 2)
-    whole = int((close <= m).sum())
-    windows = np.stack([first[:whole], close[:whole]], 1) if whole else np.array([[0, m]])
-    order = m - 1 - np.argsort(rolled[::-1], kind="stable")  # of equal ones the last
-    rank = np.empty(m + 1, np.int64)
-    rank[order], rank[m] = np.arange(m), m
+    stop = stop[first]
+    rolled = mix((sums[stop] - sums[first]) * scale[first])
+    order = first[::-1][np.argsort(rolled[::-1], kind="stable")]  # of equal ones the last
+    rank = np.full(n + 1, n, np.int64)
+    rank[order] = np.arange(len(order))
+    texts, text = np.unique(bound[first], return_inverse=True)
+    last = np.zeros(len(texts), np.int64)
+    np.maximum.at(last, text, first + 1)  # behind the last run that lies in the text
+    close = np.maximum(np.searchsorted(total, total[first] + WINDOW_WORDS, "left"), first + 2)
+    whole = close <= last[text]
+    alone = np.ones(len(texts), bool)
+    alone[text[whole]] = False  # texts shorter than a window are one
+    begin = np.full(len(texts), n, np.int64)
+    np.minimum.at(begin, text, first)
+    windows = np.concatenate([np.stack([first[whole], close[whole]], 1), np.stack([begin[alone], last[alone]], 1)])
     chosen = np.unique(order[np.minimum.reduceat(rank, windows.ravel())[::2]])
-    return rolled[chosen], first[chosen], stop[chosen]
+    place = np.searchsorted(first, chosen)
+    return rolled[place], chosen, stop[place]
 
 
 def apart(hashes: list[int], first: list[int], stop: list[int]) -> np.ndarray:
@@ -151,29 +170,36 @@ def apart(hashes: list[int], first: list[int], stop: list[int]) -> np.ndarray:
     return kept
 
 
-def chunks_of(text: str) -> tuple[np.ndarray, ...]:
-    """(hash, first, size, *SIDES) of the chunks, in bytes of the text in UTF-8, without white space at their ends.
+def chunks_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(number of the text, hash, first, size, *SIDES) of the chunks, in bytes of their text in UTF-8, without white space at their ends.
 
     A step has whole lines of ``STEP_WORDS`` words at least, and fewer only at the end of the text; 0 bytes where there is no line.
     """
-    raw = text.encode("utf-8", "surrogatepass")
-    begin, end, words = lines_of(text, raw)
-    if len(words) < 2:
-        return NO_CHUNKS
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
-    rolled, first, stop = boundaries(hashed, words)
-    if len(set(rolled.tolist())) < len(rolled):
-        kept = apart(rolled.tolist(), first.tolist(), stop.tolist())
+    raw, starts, begin, end, words = lines_of(texts)
+    n = len(words)
+    if not n:
+        return (np.zeros(0, np.int64), *NO_CHUNKS)
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, n)
+    text = np.searchsorted(starts, begin, "right") - 1
+    from_, bound = np.searchsorted(text, text, "left"), np.searchsorted(text, text, "right")
+    rolled, first, stop = boundaries(hashed, words, bound)
+    _, same, count = np.unique(np.stack([text[first], rolled.view(np.int64)]), axis=1, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(count[same.ravel()] > 1)
+    if len(again):
+        kept = np.ones(len(first), bool)
+        kept[again] = apart(same.ravel()[again].tolist(), first[again].tolist(), stop[again].tolist())
         rolled, first, stop = rolled[kept], first[kept], stop[kept]
-    n, total = len(words), np.concatenate([[0], np.cumsum(words)])
+    total = np.concatenate([[0], np.cumsum(words)])
+    low_bound, high_bound = from_[first], bound[first]
     sides, low, high = [[], []], first, stop
     for _ in range(STEPS):
-        lower = np.maximum(np.minimum(np.searchsorted(total, total[low] - STEP_WORDS, "right") - 1, low - 1), 0)
-        higher = np.minimum(np.maximum(np.searchsorted(total, total[np.minimum(high, n)] + STEP_WORDS, "left"), high + 1), n)
+        lower = np.maximum(np.minimum(np.searchsorted(total, total[low] - STEP_WORDS, "right") - 1, low - 1), low_bound)
+        higher = np.minimum(np.maximum(np.searchsorted(total, total[high] + STEP_WORDS, "left"), high + 1), high_bound)
         sides[0].append(begin[low] - begin[lower])
         sides[1].append(end[higher - 1] - end[high - 1])
         low, high = lower, higher
-    return rolled.view(np.int64), begin[first], end[stop - 1] - begin[first], *sides[0], *sides[1]
+    owner = text[first]
+    return owner, rolled.view(np.int64), begin[first] - starts[owner], end[stop - 1] - begin[first], *sides[0], *sides[1]
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
@@ -184,9 +210,8 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             texts = batch.column(2)
             keys, hashes = (np.array(values_of(batch, c), np.int64) for c in ("doc_id", "text_hash"))
             for a, b in slices(texts, 1 << 20):
-                found = [chunks_of(text) for text in texts.slice(a, b - a).to_pylist()]
-                counts = [len(f[0]) for f in found]
-                columns = [np.repeat(keys[a:b], counts), np.repeat(hashes[a:b], counts), *(np.concatenate(c) for c in zip(*found))]
+                owner, *chunks = chunks_of(texts.slice(a, b - a).to_pylist())
+                columns = [keys[a:b][owner], hashes[a:b][owner], *chunks]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), type=f.type) for c, f in zip(columns, CHUNKS)], schema=CHUNKS)
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(cut, CHUNKS_SQL)
