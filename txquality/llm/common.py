@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -23,12 +24,20 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/llm-{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives the loss of executors."""
+def stored(df: DataFrame, kind: str = "table", release: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage and survives the loss of executors.
+
+    Spark removes the files of the shuffles behind the table once the driver has collected its garbage; ``release`` asks for that
+    behind shuffles of whole texts, as a driver with little to do may not collect for long.
+    """
     spark = df.sparkSession
     path = new_folder(spark, kind)
     schema = df.schema
     df.write.parquet(path)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 

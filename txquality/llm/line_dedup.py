@@ -9,9 +9,9 @@ on no count from the start of the text, so text that is shifted has the same chu
 whole lines holds one. In such a passage chunks follow one another closely and cover all but a line or two at either end.
 
 Chunks whose hash occurs more than once are compared byte by byte; of equal ones the first by (doc_id, hash of the text, position) stays and
-the others are cut out. A chunk that is cut out is extended line by line to both sides while the bytes agree with those beside the
-copy that stays. A line that is cut has an equal one before it, so one copy of every line stays. Texts are not shuffled by chunk: hashes
-are counted first, then only chunks with a repeated hash travel with their bytes and the lines beside them. A chunk that a third of the
+the others are cut out. A chunk that is cut out is extended by whole lines to both sides while size and 64-bit hash of their bytes agree with
+those beside the copy that stays. A line that is cut has an equal one before it, so one copy of every line stays. Texts are not shuffled by chunk: hashes
+are counted first, then only chunks with a repeated hash travel with their bytes and the hashes of the lines beside them. A chunk that a third of the
 documents share is counted with partial aggregates, and only its verdicts, not its copies, meet.
 """
 
@@ -227,27 +227,30 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     table = stored(chunk_table(texts), "chunks")
     twice = stored(table.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
     spans = F.array_sort(F.collect_set(F.struct("first", "size", "hash", *SIDES)))
-    marked = stored(table.join(twice, "hash").groupBy("doc_id", "text_hash").agg(spans.alias("spans")), "marked")
+    marked = stored(table.join(twice, "hash").groupBy("doc_id", "text_hash").agg(spans.alias("spans")), "marked", release=True)
     discard(table, twice)
     raw = F.col("text").cast("binary")  # bytes are found at once, characters by counting from the start
 
     def with_bytes(s):
+        def step(name, start):
+            return F.struct(s[name].alias("size"), F.xxhash64(F.substring(raw, start + 1, s[name])).alias("hash")).alias(name)
+
         low, high, steps = s["first"], s["first"] + s["size"], []
         for name in SIDES[:STEPS]:
             low = low - s[name]
-            steps.append(F.substring(raw, low + 1, s[name]).alias(name))
+            steps.append(step(name, low))
         for name in SIDES[STEPS:]:
-            steps.append(F.substring(raw, high + 1, s[name]).alias(name))
+            steps.append(step(name, high))
             high = high + s[name]
         return F.struct(s["hash"].alias("hash"), s["first"].alias("first"), F.substring(raw, s["first"] + 1, s["size"]).alias("part"), *steps)
 
     # of rows that repeat an id and a text, one has its bytes looked up
     once = marked.join(texts, ["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline(F.transform("spans", with_bytes)))
-    candidates = stored(once, "candidates")
+    candidates = stored(once, "candidates", release=True)
     discard(marked)
     beside = F.struct("doc_id", "text_hash", "first", *SIDES)
     stays = candidates.groupBy("hash", "part").agg(F.min(beside).alias("stays"), F.count("*").alias("n")).where("n > 1")
-    stays = stored(stays, "stays")  # a table of its own, so that a hot chunk's side of the join can be split
+    stays = stored(stays, "stays", release=True)  # a table of its own, so that a hot chunk's side of the join can be split
     joined = candidates.join(stays, ["hash", "part"])
     same = [F.col(c) == F.col(f"stays.{c}") for c in ("doc_id", "text_hash", "first")]
     again = joined.where(~(same[0] & same[1] & same[2]))
@@ -257,7 +260,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         if not names:
             return F.lit(0)
         name, *rest = names
-        return F.when(F.col(name) == F.col(f"stays.{name}"), F.octet_length(name) + agreeing(rest)).otherwise(0)
+        return F.when(F.col(name) == F.col(f"stays.{name}"), F.col(f"{name}.size") + agreeing(rest)).otherwise(0)
 
     first = F.col("first").cast("bigint") - agreeing(SIDES[:STEPS])
     last = F.col("first").cast("bigint") + F.octet_length("part") + agreeing(SIDES[STEPS:])
