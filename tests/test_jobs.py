@@ -61,8 +61,11 @@ def test_train_register_score_and_drift(spark, built, folder):
 
 def test_metric_samples_of_a_stream(spark, tmp_path):
     rows = resample.fixture_rows(spark, 50).withColumnRenamed("class", "is_fraud").withColumn("load_id", F.lit("a"))
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.col("time").cast("long")))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = streams.file_stream(spark, str(tmp_path / "in"), rows.schema)
     streams.metric_samples(stream, "load_id", str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     got = {r["metric"]: r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["batch_rows"] == 50 and got["batch_frauds"] == 2
+    last = rows.agg(F.max("ts")).first()[0]
+    assert {r["ts"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {last}

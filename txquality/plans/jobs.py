@@ -92,6 +92,37 @@ def train_job(
     return {"best": best, "path": f"{folder}/models/{run_id}", **decision}
 
 
+def learning_steps(
+    spark: SparkSession, folder: str, name: str = "logreg_baseline", model_name: str = "fraud-classifier", promote: bool = True, **params
+) -> list[tuple]:
+    """Steps of ``continuous.Chain``: train on the rows of a version, check drift, register the model that was trained.
+
+    The model lies in a folder named after the batch, and a registered run is found by that name, so a repeat adds nothing.
+    """
+
+    def features(rows: DataFrame) -> DataFrame:
+        staged = rows.withColumn("time_seconds", F.col("time"))
+        return marts.with_features(staged)
+
+    def train(rows: DataFrame, batch: str) -> float:
+        split = checkpointed(training.split_features(features(rows), "id"))
+        model, run = training.train_and_evaluate(name, split, tags={"batch": batch}, **params)
+        training.save_model(model, run, f"{folder}/models/{batch}")
+        return spark.read.parquet(f"{folder}/models/{batch}/run").first()["pr_auc"]
+
+    def check(rows: DataFrame, batch: str) -> bool:
+        return drift_job(features(rows), folder, batch)
+
+    def register(rows: DataFrame, batch: str) -> str:
+        table = registry.ModelTable(spark, f"{folder}/model_versions")
+        there = table.versions().filter((F.col("model") == model_name) & (F.col("run_id") == batch)).agg(F.max("version")).first()[0]
+        if there is None:
+            there = table.register(spark.read.parquet(f"{folder}/models/{batch}/run"), model_name, batch, promote)["version"]
+        return f"version {there}"
+
+    return [("train", train), ("drift", check), ("register", register)]
+
+
 def drift_job(feats: DataFrame, folder: str, source: str, new_data_after: float | None = None) -> bool:
     """Check drift of the current version and add it to the history once per version."""
     rows = feats.select("time_seconds", "amount")

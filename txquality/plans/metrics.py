@@ -102,8 +102,8 @@ def alert_conditions() -> dict[str, Column]:
     }
 
 
-def all_alerts(samples: DataFrame, series: list[str]) -> DataFrame:
-    """States of every declared rule whose columns are present: (series, second, alert, state)."""
+def rule_rows(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, alert, on, hold) for every declared rule whose columns are present."""
     needs = {
         "drift_high": ["max_psi", "psi_threshold"],
         "drift_moderate": ["max_psi", "psi_threshold"],
@@ -121,7 +121,17 @@ def all_alerts(samples: DataFrame, series: list[str]) -> DataFrame:
             for n in active
         ]
     )
-    long = samples.select(*series, "second", F.inline(rows))
+    return samples.select(*keys, F.inline(rows))
+
+
+def active_rules(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, alert, hold) for every sample and rule whose condition holds."""
+    return rule_rows(samples, keys).filter("on").drop("on")
+
+
+def all_alerts(samples: DataFrame, series: list[str]) -> DataFrame:
+    """States of every declared rule whose columns are present: (series, second, alert, state)."""
+    long = rule_rows(samples, [*series, "second"])
     marked = sequences.islands(long, [*series, "alert"], "second", F.col("on"))
     state = (
         F.when(~F.col("active"), F.lit("inactive"))

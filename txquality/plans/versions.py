@@ -28,9 +28,9 @@ class Refused(RuntimeError):
 
 
 def unknown_ids(row_count: int, updates: DataFrame, deletes: DataFrame) -> DataFrame:
-    """Ids outside 0..row_count-1. Ids are dense, so a comparison finds them and no join is needed."""
+    """Ids outside 0..row_count-1, NULL among them. Ids are dense, so a comparison finds them and no join is needed."""
     ids = updates.select("id").unionByName(deletes.select("id"))
-    return ids.filter((F.col("id") < 0) | (F.col("id") >= row_count)).distinct()
+    return ids.filter(F.col("id").isNull() | (F.col("id") < 0) | (F.col("id") >= row_count)).distinct()
 
 
 def folded_updates(updates: DataFrame, fields: list[str], pos: str = "pos") -> DataFrame:
@@ -141,7 +141,7 @@ def known_version(versions: DataFrame, prefix: str) -> DataFrame:
 
 _MANIFEST = (
     "version long, snapshot long, epoch long, kind string, user string, rows_changed long, rows_total long, "
-    "checksum string, summary string"
+    "checksum string, summary string, batch string"
 )
 
 
@@ -168,9 +168,16 @@ class Snapshots:
 
     def publish(
         self, df: DataFrame, kind: str, user: str | None = None, rows_changed: int | None = None, summary: str | None = None,
-        bump_epoch: bool = False,
+        bump_epoch: bool = False, batch: str | None = None,
     ) -> int:
-        """Write a snapshot, then its manifest row; returns the version number."""
+        """Write a snapshot, then its manifest row; returns the version number.
+
+        ``batch`` names what the version was made for: published again, it gives the version that is there.
+        """
+        if batch is not None:
+            there = self.manifest().filter(F.col("batch") == batch).agg(F.max("version")).first()[0]
+            if there is not None:
+                return there
         last = self.current()
         version = last["version"] + 1 if last else 1
         epoch = (last["epoch"] if last else 0) + int(bump_epoch)
@@ -187,6 +194,7 @@ class Snapshots:
             rows_total=mark["row_count"],
             checksum=f"{mark['digest_xor']}-{mark['digest_sum']}",
             summary=summary,
+            batch=batch,
         )
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -207,9 +215,9 @@ class Snapshots:
         if last is None or last["epoch"] != base_epoch:
             raise Refused("epoch", "another batch was applied since the rows were read")
         wrong = unknown_ids(last["rows_total"], updates, deletes)
-        found = wrong.agg(F.count("id"), F.min("id"), F.max("id")).first()
+        found = wrong.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
         if found[0]:
-            raise Refused("ids", f"{found[0]} unknown ids, from {found[1]} to {found[2]}", wrong)
+            raise Refused("ids", f"{found[0]} unknown or missing ids, from {found[1]} to {found[2]}", wrong)
         counts = change_counts(updates, deletes, creates).first().asDict()
         changed = counts["rows_created"] + counts["rows_updated"] + counts["rows_deleted"]
         after = apply_changes(self.read(), updates, deletes, creates, fields)
@@ -235,6 +243,7 @@ class Snapshots:
             rows_total=target["rows_total"],
             checksum=target["checksum"],
             summary=f"rollback to version {version}",
+            batch=None,
         )
 
 
