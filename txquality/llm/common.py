@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator, Sequence
@@ -88,10 +89,24 @@ def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``limit`` bytes of text, so that a task turns no more than that into Python strings at a time."""
-    for batch in batches:
-        for a, b in slices(batch.column(batch.schema.get_field_index(name)), limit):
-            yield batch.slice(a, b - a)
+    """The batches in slices of about ``limit`` bytes of text, so that a task turns no more than that into Python strings at a time.
+
+    Behind the last batch the worker gives free memory back to the system, as it may wait long for its next task.
+    """
+    try:
+        for batch in batches:
+            for a, b in slices(batch.column(batch.schema.get_field_index(name)), limit):
+                yield batch.slice(a, b - a)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for later use; without effect where the C library cannot."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class WordCache(dict):
