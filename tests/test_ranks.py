@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -146,3 +148,63 @@ def test_counter_with_reset(spark):
     got = sequences.counter_with_reset(df, "s", "b", "n", 100).orderBy("b").collect()
     assert [r["triggered"] for r in got] == [False, False, True, False, True, True]
     assert [r["pending_after"] for r in got] == [40, 90, 0, 99, 0, 0]
+
+
+def _folded(sizes, threshold):
+    pending, out = 0, []
+    for n in sizes:
+        before, pending = pending, pending + n
+        fired = pending >= threshold
+        pending = 0 if fired else pending
+        out.append((before, pending, fired))
+    return out
+
+
+def test_counter_with_reset_equals_a_fold(spark):
+    draw = random.Random(3)
+    series = {"a": [draw.choice([0, 0, 1, 7, 40, 250]) for _ in range(300)], None: [0, 0, 5], "c": [1000] * 20, "d": [1] * 64}
+    rows = [(s, i, n) for s, sizes in series.items() for i, n in enumerate(sizes)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, b long, n int").repartition(5)
+    for threshold, bucket_rows in ((100, 50), (1, 1000), (3, 60), (10_000, 100)):
+        got = {}
+        for r in sorted(sequences.counter_with_reset(df, "s", "b", "n", threshold, bucket_rows).collect(), key=lambda r: r["b"]):
+            got.setdefault(r["s"], []).append((r["pending_before"], r["pending_after"], r["triggered"]))
+        assert got == {s: _folded(sizes, threshold) for s, sizes in series.items()}
+    assert all(r["triggered"] for r in sequences.counter_with_reset(df, "s", "b", "n", 0).collect())
+    assert sequences.counter_with_reset(df.limit(0), "s", "b", "n", 5).collect() == []
+
+
+def test_islands_across_segments(spark):
+    draw = random.Random(5)
+    rows = [(s, t, draw.choice([True, True, False, None])) for s in ("x", None) for t in draw.sample(range(0, 500), 120)]
+    df = spark.createDataFrame(rows, "s string, t long, hot boolean")
+    want, last = {}, {}
+    for s, t, hot in sorted(rows, key=lambda r: r[1]):
+        last[s] = (last.get(s) if last.get(s) is not None else t) if hot else None
+        want[s, t] = last[s]
+    for span in (7, 100, 86_400):
+        got = sequences.islands(df, ["s"], "t", F.col("hot"), span)
+        assert got.columns == ["s", "t", "hot", "active", "active_since"]
+        assert {(r["s"], r["t"]): r["active_since"] for r in got.collect()} == want
+
+
+def test_row_before_across_segments(spark):
+    df = spark.createDataFrame([("x", t, v) for t, v in [(1, 5), (9, None), (40, 7), (41, 8)]], "s string, t long, v long")
+    for span in (5, 1000):
+        got = sequences.row_before(df, ["s"], "t", ["v"], "p", span).orderBy("t").collect()
+        assert [r["p"] and r["p"]["v"] for r in got] == [None, 5, None, 7] and got[2]["p"] is not None
+
+
+def test_value_at_rank(spark):
+    draw = random.Random(1)
+    values = [draw.choice([0.0, 1.5, -2.0, draw.uniform(-1e6, 1e6), float("inf"), float("nan"), None]) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for down in (False, True):
+        order = F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_last()
+        ordered = [repr(r["v"]) for r in df.orderBy(order).collect()]
+        for rank in (0, 57, 200, 333, 399):
+            for order_rows in (10, 1000):
+                value, before = ranks.value_at_rank(df, "v", rank, down, order_rows)
+                assert repr(value) == ordered[rank] and before == ordered.index(ordered[rank])
+    assert ranks.value_at_rank(df, "v", 400) is None

@@ -309,3 +309,36 @@ def test_fixture_and_bootstrap(spark):
     std = noise.agg(F.stddev(F.col("v1") - F.col("w1"))).first()[0]
     assert math.isclose(std, 2.5, rel_tol=0.1)
     assert noise.agg(F.avg("is_fraud")).first()[0] == pytest.approx(0.4, abs=0.05)
+
+
+def test_deep_pages_equal_pages(spark):
+    rows = [(i, [None, float("nan"), 1.0, 1.0, -0.0, 5.5, float(i)][i % 7], i % 3 == 0) for i in range(0, 300, 2)]
+    df = spark.createDataFrame(rows, "id long, amount double, odd boolean")
+    for sort, order in (("amount", "asc"), ("amount", "desc"), ("id", "desc")):
+        for page_no in (1, 4, 9, 14, 15, 16, 40):
+            want = [r["id"] for r in search.page(df, page_no, 10, sort, order).collect()]
+            assert [r["id"] for r in search.deep_page(df, page_no, 10, sort, order).collect()] == want
+    assert search.deep_page(df.limit(0), 1).collect() == []
+
+
+def test_diff_joins_only_ranges_that_differ(spark):
+    rows = [(i, None if i % 5 == 0 else "a", "a" if i % 5 == 0 else None) for i in range(400)]
+    before = spark.createDataFrame([*rows, (None, "n", "n")], "id long, f string, g string")
+    # Row 10 swaps the places of value and NULL, row 399 goes, row 900 comes; NULL equals nothing.
+    edited = [(i, g, f) if i == 10 else (i, f, g) for i, f, g in rows if i != 399]
+    after = spark.createDataFrame([*edited, (900, "x", "x"), (None, "n", "n")], "id long, f string, g string")
+    want = [(None, "added"), (None, "removed"), (10, "changed"), (399, "removed"), (900, "added")]
+    for key in ("id", "name"):
+        sides = [d.withColumn("name", F.col("id").cast("string")) for d in (before, after)]
+        got = versions.diff(*sides, key, ["f", "g"], 20).collect()
+        assert sorted((str(r[0]), r[1]) for r in got) == sorted((str(k), c) for k, c in want)
+    marks = [versions.range_digests(d, "id", ["f", "g"], 20) for d in (before, after)]
+    wrong = versions.differing_ranges(*marks).collect()
+    assert sorted((r[0] is None, r[0]) for r in wrong if r[0] is not None) == [(False, 0), (False, 19), (False, 45)] and len(wrong) == 4
+    assert versions.diff(before, before.limit(0), "id", ["f", "g"]).count() == 401
+
+
+def test_draws_survive_gaps(spark):
+    base = resample.fixture_rows(spark, 200).withColumnRenamed("class", "is_fraud").filter(F.col("id") % 3 != 0)
+    draws = spark.range(500).withColumnRenamed("id", "draw_id")
+    assert resample.synthetic_rows(base, draws, "none", 1).count() == 500

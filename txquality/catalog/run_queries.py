@@ -146,12 +146,13 @@ VOLUME_THRESHOLD = 1000
     select dataset, strftime(batch, '%Y-%m-%d %H') as batch, row_count, pending_before, pending_after, triggered from folded""",
 )
 def volume_trigger(spark, sf_dir):
-    """Hourly batches per dataset; the fold runs over batches, which are bounded by the hours covered."""
+    """Hourly batches per dataset."""
     events = st.table(spark, sf_dir, "events")
     batches = events.groupBy(
-        F.col("event_type").alias("dataset"), F.date_format(F.date_trunc("hour", F.col("ts")), "yyyy-MM-dd HH").alias("batch")
+        F.col("event_type").alias("dataset"), F.date_trunc("hour", F.col("ts")).alias("batch")
     ).agg(F.count(F.lit(1)).alias("row_count"))
-    return runs.volume_trigger(batches, "dataset", "batch", "row_count", VOLUME_THRESHOLD)
+    judged = runs.volume_trigger(batches, "dataset", "batch", "row_count", VOLUME_THRESHOLD)
+    return judged.withColumn("batch", F.date_format("batch", "yyyy-MM-dd HH"))
 
 
 @query(

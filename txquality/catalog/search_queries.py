@@ -33,6 +33,29 @@ def search_page_fraud(spark, sf_dir):
     return search.page(_tx(spark, sf_dir), 1, 1000, "time", "asc", limits={"is_fraud": search.Between(1, 1)})
 
 
+def _deep(order_by: str) -> str:
+    return f"""with {_TX}, placed as (
+      select *, row_number() over (order by {order_by}) - 1 as place, count(*) over () // 100 * 50 as half from t)
+    select * exclude (place, half) from placed where place >= half and place < half + 50"""
+
+
+def _half_way(spark, sf_dir, sort, order):
+    rows = _tx(spark, sf_dir)
+    return search.deep_page(rows, search.total(rows).first()[0] // 100 + 1, 50, sort, order)
+
+
+@query("search_page_deep", _deep("amount desc nulls last, id"))
+def search_page_deep(spark, sf_dir):
+    """The page at half the table, largest amounts first."""
+    return _half_way(spark, sf_dir, "amount", "desc")
+
+
+@query("search_page_deep_ties", _deep("is_fraud nulls last, id"))
+def search_page_deep_ties(spark, sf_dir):
+    """The page at half the table in the order of the label: the offset lies among rows that share one value."""
+    return _half_way(spark, sf_dir, "is_fraud", "asc")
+
+
 @query("search_page_components", f"with {Q.FULL} select id, time, {', '.join(Q.V)}, amount, class as is_fraud from tx order by v1 desc, id limit 100 offset 100")
 def search_page_components(spark, sf_dir):
     rows = st.raw_full(spark, sf_dir).withColumnRenamed("class", "is_fraud").select(*S.SORTABLE_COLUMNS)

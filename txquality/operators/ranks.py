@@ -308,6 +308,42 @@ def exact_quantiles(
     return result
 
 
+def value_at_rank(
+    df: DataFrame, column: str, rank: int, descending: bool = False, order_rows: int = BUCKET_ROWS
+) -> tuple[float | None, int] | None:
+    """Value of the row at the 0-based ``rank`` in the order of a numeric column, and the rows that come before that value.
+
+    Cells are counted until the one that holds the rank has ``order_rows`` rows or a single value; only its distinct values are
+    ordered. NaN is the largest value and NULL comes last in both directions; past the last row the result is None. Whole
+    numbers beyond 2^53 are compared as doubles.
+    """
+    value = F.col(column).cast("double")
+    number = F.nanvl(value, F.lit(None).cast("double"))
+    nan = F.count_if(F.coalesce(F.isnan(value), F.lit(False)))
+    rows, nans, n, low, high = df.agg(F.count(F.lit(1)), nan, F.count(number), F.min(number), F.max(number)).first()
+    if rank >= rows:
+        return None
+    if rank >= n + nans:
+        return None, n + nans
+    ahead = nans if descending else 0
+    if not ahead <= rank < ahead + n:
+        return math.nan, 0 if descending else n
+    wanted = n - 1 - (rank - ahead) if descending else rank
+    values, below, inside = df.select(number.alias("v")), 0, n
+    while inside > order_rows and _splits(low, high):
+        for size, first, last in _cell_counts(values, {"v": [(low, high)]}, CELLS)[("v", 0)]:
+            if wanted < below + size:
+                low, high, inside = first, last, size
+                break
+            below += size
+    if low != high:
+        counts = values.filter((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # the values of one cell
+        low, inside, reached = counts.withColumn("cum", upto).filter(F.col("cum") > wanted - below).orderBy("v").first()
+        below += reached - inside
+    return low, ahead + n - below - inside if descending else below
+
+
 def _order_statistics(df: DataFrame, spans: dict, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
     """Values at the wanted ranks, from the rows inside the spans that hold more than one value."""
     found: dict[str, dict[int, float]] = {c: {} for c in spans}

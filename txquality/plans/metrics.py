@@ -77,7 +77,7 @@ def exposition_lines(gauge_rows: DataFrame) -> DataFrame:
 def alert_states(samples: DataFrame, series: list[str], second: str, active: Column, hold: int) -> DataFrame:
     """Alert state at every sample: inactive, pending, or firing once active for ``hold`` seconds without a break.
 
-    One row per series and scrape interval is expected, so a series is bounded by time, not by traffic.
+    One row per series and scrape interval is expected; a series is scanned day by day, what a day hands on is one row.
     """
     marked = sequences.islands(samples, series, second, active)
     state = (
@@ -167,12 +167,12 @@ def error_rate(requests: DataFrame, window_minutes: int = 5) -> DataFrame:
 
 def counter_increase(samples: DataFrame, series: list[str], second: str, value: str) -> DataFrame:
     """Increase and rate between neighbouring samples of a counter; a drop means it restarted from zero."""
-    w = Window.partitionBy(*series).orderBy(second)
-    before, at = F.lag(value).over(w), F.lag(second).over(w)
+    known = sequences.row_before(samples, series, second, [value, second], "_last")
+    before, at = F.col("_last")[value], F.col("_last")[second]
     increase = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return samples.withColumns(
+    return known.withColumns(
         {"increase": increase, "rate": F.try_divide(increase.cast("double"), (F.col(second) - at).cast("double"))}
-    )
+    ).drop("_last")
 
 
 def latency_histogram(requests: DataFrame, bounds: list[float] | None = None) -> DataFrame:

@@ -15,12 +15,14 @@ from txquality.operators import ranks
 
 
 def bootstrap(base: DataFrame, draws: DataFrame, base_rows: int, seed: int) -> DataFrame:
-    """One baseline row, drawn with replacement, per ``draw_id``. ``base`` is numbered 0..base_rows-1 by ``id``.
+    """One baseline row, drawn with replacement, per ``draw_id``. ``base`` has ``base_rows`` rows with distinct ids of zero or more.
 
-    Drawn ids are uniform, so the join is even however skewed the data are.
+    Rows are numbered in the order of their ids first, so gaps in the ids lose no draw. Drawn numbers are uniform, so the join
+    is even however skewed the data are.
     """
     pick = F.floor(C.uniform(seed, "pick", F.col("draw_id")) * F.lit(float(base_rows)))
-    return draws.select("draw_id", pick.alias("id")).join(base, "id")
+    numbered = ranks.dense_index(base, "id", "_number")
+    return draws.select("draw_id", pick.alias("_number")).join(numbered, "_number").drop("_number")
 
 
 def drifted(

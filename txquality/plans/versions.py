@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from txquality import schema as S
 from txquality.functions import columns as C
 from txquality.operators import ranks, sequences
+from txquality.session import checkpointed
 from txquality.sources import files
 
+RANGE_KEYS = 16_384
+BROADCAST_RANGES = 500_000  # numbers of eight bytes
+
 
 class Refused(RuntimeError):
     """A batch was refused as a whole. ``reason``: ``epoch`` (the data changed meanwhile) or ``ids`` (unknown rows, in ``ids``)."""
@@ -100,10 +104,51 @@ def changed_fields(before: DataFrame, after: DataFrame, key: str, fields: list[s
     return before.join(right, key).select(key, names.alias("changed")).filter(F.size("changed") > 0)
 
 
-def diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, change) with change in added, removed, changed; equal rows are left out."""
-    left = before.select(key, F.struct(*columns).alias("_l"))
-    right = after.select(key, F.struct(*columns).alias("_r"))
+def _key_range(df: DataFrame, key: str, width: int) -> Column:
+    """Number of the range of keys: ``width`` whole numbers, or for other types one of 65,536 ranges of the key's hash."""
+    if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        return F.floor(F.col(key) / F.lit(width)).cast("long")
+    return F.when(F.col(key).isNotNull(), F.shiftrightunsigned(F.xxhash64(key), 48))
+
+
+def range_digests(df: DataFrame, key: str, columns: list[str], width: int = RANGE_KEYS) -> DataFrame:
+    """(key_range, digest): rows per range of keys with the exclusive or and the sum of their 64-bit marks.
+
+    Does not depend on the order of rows; rows that repeat a key count. NULL and its place enter a mark. One small row per range
+    and task is shuffled.
+    """
+    mark = F.xxhash64(key, *columns, *[F.col(c).isNull() for c in columns])
+    marked = df.select(_key_range(df, key, width).alias("key_range"), mark.alias("_mark"))
+    digest = F.struct(
+        F.count(F.lit(1)).alias("row_count"), F.bit_xor("_mark").alias("marks_xor"), F.sum(F.col("_mark").cast("decimal(20,0)")).alias("marks_sum")
+    )
+    return marked.groupBy("key_range").agg(digest.alias("digest"))
+
+
+def differing_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(key_range) of two ``range_digests`` that are not equal. The range of NULL keys always counts, as NULL equals nothing."""
+    other = after.select(F.col("key_range").alias("_range"), F.col("digest").alias("_digest"))
+    both = before.join(other, F.col("key_range").eqNullSafe(F.col("_range")), "full_outer")
+    null_range = F.col("key_range").isNull() & F.col("_range").isNull()
+    differs = ~F.col("digest").eqNullSafe(F.col("_digest")) | null_range
+    return both.filter(differs).select(F.coalesce("key_range", "_range").alias("key_range"))
+
+
+def diff(before: DataFrame, after: DataFrame, key: str, columns: list[str], width: int = RANGE_KEYS) -> DataFrame:
+    """(key, change) with change in added, removed, changed; equal rows are left out.
+
+    Digests per range of keys are compared first; only rows of ranges that differ are joined. Their list is broadcast if it has
+    ``BROADCAST_RANGES`` numbers at most, beyond that it is joined. Two different ranges pass for equal only if count, exclusive or
+    and sum of their 64-bit marks all agree.
+    """
+    wrong = checkpointed(differing_ranges(range_digests(before, key, columns, width), range_digests(after, key, columns, width)))
+    listed = F.broadcast(wrong) if wrong.count() <= BROADCAST_RANGES else wrong
+
+    def suspect(df: DataFrame) -> DataFrame:
+        return df.withColumn("_of", _key_range(df, key, width)).join(listed, F.col("_of").eqNullSafe(F.col("key_range")), "left_semi")
+
+    left = suspect(before.select(key, *columns)).select(key, F.struct(*columns).alias("_l"))
+    right = suspect(after.select(key, *columns)).select(key, F.struct(*columns).alias("_r"))
     change = (
         F.when(F.col("_l").isNull(), F.lit("added"))
         .when(F.col("_r").isNull(), F.lit("removed"))
