@@ -117,6 +117,7 @@ def counter_with_reset(
     if threshold < 1:
         added = sized.groupBy(series, order).agg(F.sum(size).cast(kind).alias(size))
         return added.withColumns({"pending_before": F.lit(0).cast("long"), "pending_after": F.lit(0).cast("long"), "triggered": F.lit(True)})
+    sized = checkpointed(sized)  # what the batches are counted from is read once
     buckets = ranks.bucket_count(sized.count(), bucket_rows)
     totals = ranks.running_totals(sized, order, [size], [series], buckets=buckets)
     sums = checkpointed(totals.select(series, order, size, F.col(f"cum_{size}").alias("_sum"), F.monotonically_increasing_id().alias("_row")))
