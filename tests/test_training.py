@@ -57,6 +57,37 @@ def test_forest(split):
     assert run.first()["pr_auc"] > 0.5
 
 
+def test_skill_checks_refuse_a_constant_model(split):
+    train = split.filter("fold = 'train'")
+    model, _ = training.fit("logreg_baseline", train)
+    fine = training.skill(model, train).first()
+    assert fine["above_share"] and fine["ranks_better"]
+    row = training.logistic_gradient(model, train).first()
+    assert row["largest_gradient"] < 1e-2 and abs(row["weighted_probability"] - train.count() / 2) < 0.05
+
+    class Constant(training.BalancedForest):
+        def score(self, df):
+            return df.withColumn("probability_fraud", F.lit(0.5))
+
+    row = training.skill(Constant([], None), train).first()
+    assert not row["above_share"] and not row["ranks_better"]
+
+
+def test_balanced_forest_weights_each_bootstrap(split):
+    train = split.filter("fold = 'train'")
+    weighted, totals = training.tree_weights(train, "transaction_id", 3, 5)
+    for k in range(3):
+        mass = {r["is_fraud"]: r["w"] for r in weighted.groupBy("is_fraud").agg(F.sum(f"_w{k}").alias("w")).collect()}
+        drawn = sum(r[f"d{k}"] for r in totals.collect())
+        assert mass[0] == pytest.approx(drawn / 2) and mass[1] == pytest.approx(drawn / 2)
+    forest = training.fit_balanced_forest(train, "transaction_id", trees=4, depth=4, seed=5)
+    test = split.filter("fold = 'test'")
+    scored = forest.score(test)
+    assert scored.columns == [*test.columns, "probability_fraud"]
+    row = training.skill(forest, test).first()
+    assert row["above_share"] and row["ranks_better"]
+
+
 def test_unknown_model(split):
     with pytest.raises(ValueError):
         training.fit("svm", split)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from txquality import schema as S
@@ -153,3 +155,73 @@ def model_run_checks(spark, sf_dir):
         F.col("params")["maxIter"].alias("max_iter"),
         F.length(F.col("tags")["code_version"]).alias("version_length"),
     )
+
+
+_TRAIN = f"with {Q.CORE}, {Q.FEATS}, {split_sql('feats', 'transaction_id', 'is_fraud')}"
+
+
+@query(
+    "lr_fit_checks",
+    _TRAIN + """ select 'logreg_baseline' as model, count(*) as n_train, count(*) filter (where is_fraud = 1) as positives, true as above_share,
+      true as ranks_better, true as at_optimum, round(count(*) / 2.0::double, 1) as weighted_probability from split where fold = 'train'""",
+)
+def lr_fit_checks(spark, sf_dir):
+    """A model that is not the optimum of its loss fails: gradient, calibrated weight of the positive class, skill on its rows."""
+    train = _split(spark, sf_dir).filter("fold = 'train'")
+    model, _ = training.fit("logreg_baseline", train)
+    optimum = training.logistic_gradient(model, train).first()
+    return training.skill(model, train).select(
+        F.lit("logreg_baseline").alias("model"),
+        "*",
+        F.lit(optimum["largest_gradient"] < 1e-2).alias("at_optimum"),
+        F.lit(round(optimum["weighted_probability"], 1)).alias("weighted_probability"),
+    )
+
+
+@query(
+    "rf_fit_checks",
+    _TRAIN + """ select 'rf_balanced_v1' as model, count(*) as n_train, count(*) filter (where is_fraud = 1) as positives, true as above_share,
+      true as ranks_better from split where fold = 'train'""",
+)
+def rf_fit_checks(spark, sf_dir):
+    """The forest with few trees: a constant or reversed score fails."""
+    train = _split(spark, sf_dir).filter("fold = 'train'")
+    model, _ = training.fit("rf_balanced_v1", train, trees=10, depth=8)
+    return training.skill(model, train).select(F.lit("rf_balanced_v1").alias("model"), "*")
+
+
+BALANCED_TREES = 6
+
+
+def _poisson(tree: str) -> str:
+    u = f"((('0x' || substr(md5('{SEED}:tree' || {tree} || ':' || transaction_id), 1, 13))::bigint)::double + 0.5::double) / 4503599627370496.0::double"
+    below, steps = 0.0, []
+    for k in range(training.POISSON_STEPS):
+        below += math.exp(-1) / math.factorial(k)
+        steps.append(f"(u >= {below!r}::double)::bigint")
+    return f"(select {' + '.join(steps)} from (select {u} as u))"
+
+
+@query(
+    "rf_balanced_checks",
+    _TRAIN + f""", drawn as (select tree, is_fraud, {_poisson('tree::varchar')} as n from split, range({BALANCED_TREES}) as r(tree) where fold = 'train')
+      select tree::bigint as tree, sum(n)::bigint as drawn, (sum(n) filter (where is_fraud = 1))::bigint as drawn_positive, 0.5::double as positive_weight,
+        true as above_share, true as ranks_better from drawn group by tree""",
+)
+def rf_balanced_checks(spark, sf_dir):
+    """Draws of every tree, the share of its weight that the positive class has, and the skill of the forest."""
+    train = _split(spark, sf_dir).filter("fold = 'train'")
+    weighted, _ = training.tree_weights(train, "transaction_id", BALANCED_TREES, SEED)
+    per_tree = [
+        F.struct(
+            F.lit(k).cast("long").alias("tree"),
+            F.sum(training.draws_of(k, "transaction_id", SEED)).cast("long").alias("drawn"),
+            F.sum(F.when(F.col("is_fraud") == 1, training.draws_of(k, "transaction_id", SEED))).cast("long").alias("drawn_positive"),
+            C.rounded(F.sum(F.when(F.col("is_fraud") == 1, F.col(f"_w{k}"))) / F.sum(f"_w{k}"), 9).alias("positive_weight"),
+        )
+        for k in range(BALANCED_TREES)
+    ]
+    forest = training.fit_balanced_forest(train, "transaction_id", trees=BALANCED_TREES, depth=6, seed=SEED)
+    skill = training.skill(forest, train).first()
+    rows = weighted.agg(F.array(*per_tree).alias("rows")).select(F.inline("rows"))
+    return rows.withColumns({"above_share": F.lit(skill["above_share"]), "ranks_better": F.lit(skill["ranks_better"])})

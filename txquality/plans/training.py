@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import pathlib
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from txquality import schema as S
+from txquality.functions import columns as C
 from txquality.plans import evaluation, splits
 
+
 def given_params(estimator) -> dict[str, str]:
     """Kind of an estimator and the values it was given, as text for the run log."""
     columns = ("featuresCol", "labelCol", "weightCol")
@@ -115,3 +119,117 @@ def save_model(model: PipelineModel, run: DataFrame, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, float]:
     threshold = spark.read.parquet(f"{path}/run").first()["threshold"]
     return PipelineModel.load(f"{path}/model"), threshold
+
+
+# ---- checks that a model without skill fails ------------------------------------------------------------------------
+
+
+def logistic_gradient(model: PipelineModel, train: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """(largest_gradient, weighted_probability): one aggregate over the training rows.
+
+    ``largest_gradient`` is the largest entry of the gradient of the balanced sum of losses with penalty 1/2 |w|^2 at the fitted
+    weights. ``weighted_probability`` is the sum of weight times probability; at the optimum it equals the weight of the positive rows.
+    """
+    features = features or S.FEATURES
+    scored = score(model, with_balanced_weights(train.select(*features, S.TARGET)))
+    residual = F.col("weight") * (F.col("probability_fraud") - F.col(S.TARGET))
+    stats = {r["feature"]: r for r in evaluation.scaler_stats(train, features).collect()}  # one row per feature
+    slopes = []
+    for name, w in zip(features, model.stages[-1].coefficients.toArray()):
+        scaled = (F.col(name) - F.lit(stats[name]["mean"])) / F.lit(stats[name]["std"] or 1.0)
+        slopes.append(F.abs(F.sum(residual * scaled) + F.lit(float(w))))
+    return scored.agg(
+        F.greatest(*slopes, F.abs(F.sum(residual))).alias("largest_gradient"),
+        F.sum(F.col("weight") * F.col("probability_fraud")).alias("weighted_probability"),
+    )
+
+
+def skill(model, train: DataFrame) -> DataFrame:
+    """(n_train, positives, above_share, ranks_better): PR-AUC against the share of positive rows and ROC-AUC against a half.
+
+    Both are strict, so a constant score fails them.
+    """
+    scored = model.score(train) if isinstance(model, BalancedForest) else score(model, train)
+    measured = evaluation.areas(evaluation.curve(scored, "probability_fraud", S.TARGET)).first()
+    counts = train.agg(F.count(F.lit(1)).alias("n_train"), F.count_if(F.col(S.TARGET) == 1).alias("positives"))
+    return counts.select(
+        "n_train",
+        "positives",
+        (F.lit(measured["pr_auc"]) > F.col("positives") / F.col("n_train")).alias("above_share"),
+        (F.lit(measured["roc_auc"]) > 0.5).alias("ranks_better"),
+    )
+
+
+# ---- forest whose trees balance the classes of their own draws -------------------------------------------------------
+
+POISSON_STEPS = 12  # the chance of more than 12 draws of a row is below 1e-10
+
+
+def draws_of(tree: int, row_id: str, seed: int) -> Column:
+    """How often a row is drawn for a tree: Poisson with mean one, a function of seed, tree and row id alone."""
+    u = C.uniform(seed, f"tree{tree}", F.col(row_id))
+    below, steps = 0.0, F.lit(0)
+    for k in range(POISSON_STEPS):
+        below += math.exp(-1) / math.factorial(k)
+        steps = steps + (u >= F.lit(below)).cast("int")
+    return steps
+
+
+@dataclass
+class BalancedForest:
+    trees: list
+    assembler: VectorAssembler
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add ``probability_fraud``, the mean over the trees."""
+        scored = self.assembler.transform(df)
+        marks = [f"_p{k}" for k in range(len(self.trees))]
+        for tree, mark in zip(self.trees, marks):
+            scored = tree.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(mark).transform(scored)
+        votes = [vector_to_array(m)[1] for m in marks]
+        total = votes[0]
+        for v in votes[1:]:
+            total = total + v
+        return scored.withColumn("probability_fraud", total / len(votes)).drop("_features", *marks)
+
+
+def tree_weights(train: DataFrame, row_id: str, trees: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with a weight column ``_w<k>`` per tree, totals): both classes of a tree's draws get the same total weight.
+
+    ``totals`` has one row per class with the number of draws of every tree, from one aggregate for all trees.
+    """
+    drawn = train.withColumns({f"_w{k}": draws_of(k, row_id, seed) for k in range(trees)})
+    totals = drawn.groupBy(S.TARGET).agg(*[F.sum(f"_w{k}").alias(f"d{k}") for k in range(trees)])
+    found = totals.collect()  # one row per class
+    weights = {}
+    for k in range(trees):
+        all_drawn = sum(r[f"d{k}"] for r in found)
+        factor = F.lit(0.0)
+        for r in found:
+            if r[f"d{k}"]:
+                factor = F.when(F.col(S.TARGET) == r[S.TARGET], F.lit(all_drawn / (len(found) * r[f"d{k}"]))).otherwise(factor)
+        weights[f"_w{k}"] = F.col(f"_w{k}") * factor
+    return drawn.withColumns(weights), totals
+
+
+def fit_balanced_forest(
+    train: DataFrame, row_id: str, features: list[str] | None = None, trees: int = 200, depth: int = 12, seed: int = 42
+) -> BalancedForest:
+    """A forest whose trees weight the classes within their own bootstrap, not over all rows.
+
+    MLlib's forest has one weight column for all its trees, so each tree is a forest of one on its own weights; candidates at a node
+    are the square root of the features. The rows are assembled once and kept in memory and on disk meanwhile.
+    """
+    features = features or S.FEATURES
+    assembler = VectorAssembler(inputCols=features, outputCol="_features")
+    weighted, _ = tree_weights(train.select(row_id, *features, S.TARGET), row_id, trees, seed)
+    kept = assembler.transform(weighted).select("_features", S.TARGET, *[f"_w{k}" for k in range(trees)]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        common = {"featuresCol": "_features", "labelCol": S.TARGET, "numTrees": 1, "featureSubsetStrategy": "sqrt", "bootstrap": False}
+        grown = [
+            RandomForestClassifier(**common, weightCol=f"_w{k}", maxDepth=depth, seed=seed + k).fit(kept.filter(F.col(f"_w{k}") > 0))
+            for k in range(trees)
+        ]
+        return BalancedForest(grown, assembler)
+    finally:
+        kept.unpersist()
