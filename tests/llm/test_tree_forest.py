@@ -75,3 +75,45 @@ def test_odd_rows(spark):
     assert all(by[i] == (0, i, True) for i in (1, 2, 3, 4, 5, 6, 10, 11))
     assert by[7] == (2, 7, True) and by[8] == (2, 7, False) and by[9] == (2, 7, False) and by[None] == (0, None, True)
     assert tree_forest.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_each_length_has_its_own_forest(spark):
+    long, short = cloud(6, 80, 16), cloud(7, 60, 5)
+    rows = [(2 * i, v.tolist(), 0) for i, v in enumerate(long)] + [(2 * i + 1, v.tolist(), 0) for i, v in enumerate(short)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in tree_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=32).collect()}
+    for x, shift in ((long, 0), (short, 1)):
+        n, label = all_pairs(x)
+        assert [found[2 * i + shift] for i in range(len(x))] == [(int(n[i]), int(2 * label[i] + shift)) for i in range(len(x))]
+
+
+def test_spill_grows_with_the_depth_until_the_recall():
+    spills = [tree_forest.spill_for(d) for d in (1, 10, 20, 40)]
+    assert spills == sorted(spills) and spills[0] < spills[-1]
+    for d, spill in zip((1, 10, 20, 40), spills):
+        assert (1 - (1 - tree_forest.parted(spill)) ** d) ** tree_forest.TREES <= 1 - tree_forest.RECALL
+    rng = np.random.default_rng(2)
+    for spill in (0.5, 0.8):  # the bound against pairs at the threshold and splits at the middle of the data
+        d = 64
+        a = tree_forest.unit(rng.normal(size=(200_000, d)))
+        other = rng.normal(size=a.shape)
+        other -= (other * a).sum(1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(1 - 0.81) * tree_forest.unit(other)
+        margin = spill * np.sqrt(0.2 / d)
+        p, q = a[:, 0], b[:, 0]
+        measured = np.mean((np.minimum(p, q) < -margin) & (np.maximum(p, q) >= margin))
+        assert measured <= tree_forest.parted(spill) * 1.05
+
+
+def test_recall_of_a_deep_forest(spark):
+    """Vectors whose id 20 divides against all vectors, with leaves that are small for the table."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1500, 32))
+    near = base.repeat(2, 0) + rng.normal(size=(3000, 32)) * 0.3
+    x = np.concatenate([base, near]).astype(np.float32)
+    u = tree_forest.unit(x)
+    asked = np.arange(0, len(x), 20)
+    want = (u[asked] @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    found = {r.vec_id: r.n_links for r in tree_forest.near_duplicates(df, leaf_rows=40).collect()}
+    got = np.array([found[i] for i in asked])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 100

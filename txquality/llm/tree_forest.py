@@ -1,7 +1,9 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Every tree splits the vectors again and again by a random direction; vectors within ``spill`` of a split's threshold go to both
-sides. Of several random splits of a node the one that leaves the least comparing work is taken, which also keeps dense groups
+Vectors of each length get a forest of their own. Every tree splits the vectors again and again by a random direction; vectors within ``spill`` of a split's threshold go to both
+sides. The spill is chosen before the trees are grown, so that the forest meets ``RECALL`` of the pairs at the threshold: a split with
+spill m parts a pair whose projected difference has deviation s only where the difference exceeds 2m, and the chance of
+that, over the depth that the row count asks for and over all trees, is known (``spill_for``). Deeper forests spill more. Of several random splits of a node the one that leaves the least comparing work is taken, which also keeps dense groups
 whole: a node that no split thins out becomes a leaf of any size. The trees are fitted in the driver on a bounded sample
 (``sample_rows``); every vector is then sent down all trees.
 
@@ -13,10 +15,12 @@ compared block by block in many tasks. Equal vectors are one class with a weight
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +28,12 @@ from txquality.llm.common import bounded_sample, stored
 from txquality.llm.components import components, star_edges
 
 THRESHOLD = 0.9
+RECALL = 0.999
 TREES = 5
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 1024
 BLOCK = 512
-SPILL = 0.5  # in standard deviations of a projected difference at the threshold
+LEAST_SPILL = 0.5  # in standard deviations of a projected difference at the threshold
 TRIED_SPLITS = 12
 SEED = 29
 
@@ -46,6 +51,7 @@ class Forest:
     roots: list[Node]
     margin: float
     leaves: int
+    first: int = 0  # number of the first leaf
 
     def leaves_of(self, x: np.ndarray) -> list[list[int]]:
         """Leaf numbers, ascending, of each row of unit vectors; numbers are unique over all trees."""
@@ -58,7 +64,7 @@ class Forest:
                     continue
                 if node.leaf >= 0:
                     for r in rows.tolist():
-                        out[r].append(node.leaf)
+                        out[r].append(self.first + node.leaf)
                     continue
                 side = x[rows] @ node.direction - node.threshold
                 stack.append((node.children[0], rows[side < self.margin]))
@@ -66,10 +72,39 @@ class Forest:
         return [sorted(o) for o in out]
 
 
-def grow(sample: np.ndarray, leaf_rows: float, threshold: float = THRESHOLD, trees: int = TREES, seed: int = SEED) -> Forest:
+def parted(spill: float) -> float:
+    """Bound of the chance that a split parts a pair at the threshold.
+
+    The projected difference z of the pair is taken as normal with deviation one. The pair is parted where z is longer than two spills
+    and its middle lies in the |z| - 2 * spill around the split that no overlap covers; values near the split have a density of
+    0.4 a deviation of the data at most, and a deviation of the data is sqrt(1 / (2 - 2 * 0.9)) of the difference's, about 2.2.
+    """
+    x = 2 * spill
+    tail = math.erfc(x / math.sqrt(2)) / 2
+    excess = 2 * (math.exp(-x * x / 2) / math.sqrt(2 * math.pi) - x * tail)  # mean of max(|z| - x, 0)
+    return min(1.0, 0.4 * excess / math.sqrt(5))
+
+
+def spill_for(depth: int, recall: float = RECALL, trees: int = TREES) -> float:
+    """Least spill, in steps of a twentieth, at which a pair at the threshold shares a leaf of some tree with probability ``recall``."""
+    for step in range(61):
+        spill = LEAST_SPILL + step / 20
+        if (1 - (1 - parted(spill)) ** depth) ** trees <= 1 - recall:
+            return spill
+    return spill
+
+
+def depth_of(rows: int, leaf_rows: int) -> int:
+    """Splits above a leaf when each leaves two thirds of its rows on a side, spill included."""
+    return max(1, math.ceil(math.log(max(rows / max(leaf_rows, 1), 1)) / math.log(1.5)))
+
+
+def grow(
+    sample: np.ndarray, leaf_rows: float, threshold: float = THRESHOLD, trees: int = TREES, seed: int = SEED, spill: float = LEAST_SPILL
+) -> Forest:
     """Trees over unit vectors; a node of ``leaf_rows`` sample rows or fewer is a leaf."""
     rng = np.random.default_rng(seed)
-    margin = SPILL * np.sqrt(max(2 - 2 * threshold, 0) / max(sample.shape[1], 1))
+    margin = spill * np.sqrt(max(2 - 2 * threshold, 0) / max(sample.shape[1], 1))
     count = 0
 
     def leaf() -> Node:
@@ -112,29 +147,41 @@ def rows_of(column) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) of vectors that can link: no null, no non-finite component, not zero, of the commonest length."""
+    """(vec_id, embedding as doubles) of vectors that can link: no null, no non-finite component, not zero."""
     x = vectors.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    x = x.where(F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)))
-    sizes = x.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return x.where(F.size("embedding") == (sizes["d"] if sizes else 0))
+    return x.where(F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)))
 
 
-def fit(classes: DataFrame, threshold: float, sample_rows: int, leaf_rows: int) -> Forest:
-    n = classes.count()
-    sample = bounded_sample(classes, "vec_id", sample_rows, SEED).select("vec_id", "embedding").toArrow()
-    x = rows_of(sample.column("embedding")) if sample.num_rows else np.zeros((0, 1))
-    order = np.argsort(sample.column("vec_id").to_numpy())
-    return grow(unit(x[order]), leaf_rows * len(x) / max(n, 1), threshold)
+def fit(classes: DataFrame, threshold: float, sample_rows: int, leaf_rows: int, recall: float = RECALL) -> dict[int, Forest]:
+    """Forest of each vector length. Lengths are taken to be few: one small sample and one count per length reach the driver.
 
-
-def found_links(classes: DataFrame, forest: Forest, threshold: float, block: int) -> DataFrame:
+    ``sample_rows`` bounds the sample of all lengths together, shared out by the rows that each has.
+    """
+    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
+    total, forests, first = sum(sizes.values()), {}, 0
+    sample = bounded_sample(classes, "vec_id", sample_rows, SEED).select("vec_id", F.size("embedding").alias("d"), "embedding").toArrow() if total else None
+    for d in sorted(sizes):
+        rows = sample.filter(pc.equal(sample.column("d"), d))
+        x = rows_of(rows.column("embedding")) if rows.num_rows else np.zeros((0, d))
+        x = unit(x[np.argsort(rows.column("vec_id").to_numpy())])
+        share = leaf_rows * len(x) / max(sizes[d], 1)
+        forest = grow(x, share, threshold, spill=spill_for(depth_of(sizes[d], leaf_rows), recall))
+        forest.first, first = first, first + forest.leaves
+        forests[d] = forest
+    return forests
+
+
+def found_links(classes: DataFrame, forests: dict[int, Forest], threshold: float, block: int) -> DataFrame:
     """(id, other, n): link counts of classes (other null), and edges of spanning forests (n null)."""
+    numbered = sum(f.leaves for f in forests.values())
 
     def descend(batches):
-        for batch in batches:
-            if batch.num_rows:
-                leaves = forest.leaves_of(unit(rows_of(batch.column(1))))
+        for whole in batches:
+            lengths = pc.list_value_length(whole.column(1))
+            for d in pc.unique(lengths).to_pylist():
+                batch = whole.filter(pc.equal(lengths, d))
+                leaves = forests[d].leaves_of(unit(rows_of(batch.column(1))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "embedding", "copies", "leaves"])
 
     placed = stored(
@@ -143,7 +190,7 @@ def found_links(classes: DataFrame, forest: Forest, threshold: float, block: int
     sizes = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
     crowded = sizes.where("count > 1").select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     blocks = {r["leaf"]: r["blocks"] for r in crowded.collect()}  # one number per leaf of a forest fitted on a bounded sample
-    of_leaf = F.lit([blocks.get(i, 0) for i in range(forest.leaves)] or [0])
+    of_leaf = F.lit([blocks.get(i, 0) for i in range(numbered)] or [0])
     spread = (
         placed.withColumn("leaf", F.explode("leaves"))
         .withColumn("blocks", F.get(of_leaf, F.col("leaf")))
@@ -189,17 +236,17 @@ def found_links(classes: DataFrame, forest: Forest, threshold: float, block: int
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, block: int = BLOCK
+    vectors: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, block: int = BLOCK, recall: float = RECALL
 ) -> DataFrame:
     """One row per vector: (vec_id, n_links, component_id, kept).
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing. vec_id is
+    Vectors of different lengths do not link; each length has its own forest. Vectors that are null, zero or hold null or non-finite components link with nothing. vec_id is
     the key: rows that repeat one with the same vector are one vector and give one row each; a null vec_id links with nothing
     and has a null component.
     """
     good = usable(vectors)
     classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count_distinct("vec_id").alias("copies")), "vectors")
-    found = stored(found_links(classes, fit(classes, threshold, sample_rows, leaf_rows), threshold, block), "links")
+    found = stored(found_links(classes, fit(classes, threshold, sample_rows, leaf_rows, recall), threshold, block), "links")
     parts = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = stored(found.where("other is null").groupBy("id").agg(F.sum("n").alias("n")), "counts")
     own = stored(
