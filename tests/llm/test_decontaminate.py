@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -71,3 +72,28 @@ def test_query_finds_whole_items(spark):
     docs = {r.doc_id: norm(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     whole = {i for i, t in docs.items() if any(x in t for x in items)}
     assert whole and whole <= {r.doc_id for r in QUERIES["op10_decontaminate"](spark, sf).collect()}
+
+
+@pytest.mark.parametrize("words", range(1, 14))
+def test_no_allowed_pattern_is_missed(words):
+    need = d.needed(words, d.WINDOW, d.SHARE)
+    masks = d.masks_for(words, d.WINDOW, d.SHARE)
+    for kept in itertools.combinations(range(words), need):
+        assert any(all(p + s in kept for p in m) for m in masks for s in range(words - m[-1])), kept
+
+
+@pytest.mark.parametrize("words", [8, 9, 12, 13])
+def test_substitutions_in_short_items_are_found(spark, make_docs, words):
+    item = [f"b{i}" for i in range(words)]
+    allowed = words - d.needed(words, d.WINDOW, d.SHARE)
+    patterns = list(itertools.combinations(range(words), allowed))
+    rows = [(i, " ".join(filler(9) + ["zzz" if k in e else w for k, w in enumerate(item)] + filler(9))) for i, e in enumerate(patterns)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in d.overlaps(make_docs(rows), bench).collect()) == list(range(len(patterns)))
+
+
+def test_clashing_columns_stay(spark, make_docs):
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    docs = make_docs([(1, ITEMS[9][1]), (2, "x")]).selectExpr("*", "1 as item_id", "'a' as matched_words", "doc_id as _mark")
+    assert [r.doc_id for r in d.clean(docs, bench).collect()] == [2] and d.clean(docs, bench).columns == docs.columns
+    assert {(r.doc_id, r.item_id) for r in d.overlaps(docs, bench).collect()} == {(1, 9)}

@@ -75,3 +75,19 @@ def test_loser_tree():
 
 def test_empty_table(spark, pages):
     assert warc.archive(pages.limit(0)).count() == 0
+
+
+def test_times_are_utc_in_every_session_zone(spark):
+    rows = [(1, "http://a.org/", "x", "1600000000"), (2, "http://a.org/", "x", None), (3, "http://a.org/", "x", "soon"), (4, "http://a.org/", "x", "1604210400"),
+            (5, "http://a.org/", "x", "1604214000"), (6, "http://a.org/", "x", "-5"), (7, "http://a.org/", "x", "99999999999999")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, captured string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        named = {r.page_id: r.captured for r in warc.archive(pages, captured="captured").collect()}
+        clash = {r.page_id: r.captured for r in warc.archive(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    default = {i: warc.EPOCH + i for i in range(1, 8)}
+    assert clash == default
+    assert named == {**default, 1: 1600000000, 4: 1604210400, 5: 1604214000}

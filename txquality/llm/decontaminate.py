@@ -3,7 +3,10 @@
 Fixed masks choose some token positions of a window and ignore the rest; the hash of the chosen tokens is the seed. Seeds of the
 benchmark, a stated small set, meet those of every position of every document. Around each hit both texts are compared
 token by token on the same diagonal: a window of ``window`` tokens (or the whole item, if shorter) that holds the hit and
-agrees in at least ``share`` of its tokens is an overlap, so substituted words neither hide it from all masks nor break it.
+agrees in at least ``share`` of its tokens is an overlap. The masks for a window length are MASKS and what else it takes until every
+pattern of allowed substitutions leaves all chosen positions of some mask equal (``masks_for``, by enumeration), so substituted words
+neither hide a window from all masks nor break it. Items of fewer than eight words must be found whole: of so few words
+three quarters agree by chance in clean texts.
 
 The benchmark goes to the tasks in blocks of ``block_words`` words, one scan per block, so what a task holds is bounded
 whatever the benchmark's size. Documents are not shuffled.
@@ -13,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,37 @@ def needed(words: int, window: int, share: float) -> int:
     return words if words < 8 else math.ceil(share * min(window, words))
 
 
+LARGEST_WINDOW = 16  # patterns are enumerated
+
+
+def places_of(mask: str) -> tuple[int, ...]:
+    return tuple(i for i, c in enumerate(mask) if c == "1")
+
+
+def patterns_met(mask: tuple[int, ...], patterns: list[tuple[int, ...]], width: int) -> set[tuple[int, ...]]:
+    """The patterns (positions of substituted words) that leave the mask's positions alone at some shift."""
+    shifted = [{p + s for p in mask} for s in range(width - mask[-1])]
+    return {e for e in patterns if any(not m.intersection(e) for m in shifted)}
+
+
+@lru_cache
+def masks_for(words: int, window: int, share: float) -> tuple[tuple[int, ...], ...]:
+    """Masks that together meet every window that is allowed for items of ``words`` words; those of MASKS that fit come first."""
+    width, allowed = min(words, window), min(words, window) - needed(words, window, share)
+    if width > LARGEST_WINDOW:
+        raise ValueError(f"windows have {LARGEST_WINDOW} words at most")
+    weight = min(5, width - allowed)
+    chosen = [places_of(m) for m in MASKS if len(m) <= width] if width >= 5 else [tuple(range(width))]
+    patterns = list(combinations(range(width), allowed))
+    left = set(patterns).difference(*[patterns_met(m, patterns, width) for m in chosen])
+    candidates = [(0, *rest) for rest in combinations(range(1, width), weight - 1)]
+    while left:
+        best = max(candidates, key=lambda m: (len(patterns_met(m, list(left), width)), -m[-1]))
+        left -= patterns_met(best, list(left), width)
+        chosen.append(best)
+    return tuple(chosen)
+
+
 class SeedIndex:
     """Seeds of benchmark items, sorted by hash, with their place in one long token array."""
 
@@ -66,13 +102,16 @@ class SeedIndex:
         for i, (start, n) in enumerate(begins):
             self.item_of[start : start + n] = i
         self.needed, self.full = np.array(self.needed, np.int32), np.array(self.full, np.int32)
-        short = sorted({n for _, n in begins if n < 5})
-        self.masks = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS] + [np.arange(n) for n in short]
-        self.seeds = []
-        for k, mask in enumerate(self.masks):
-            at = np.flatnonzero(self.tokens[: len(self.tokens) - mask[-1]] > 0)
-            if k >= len(MASKS):  # items of exactly this length
-                at = np.array([s for s, n in begins if n == len(mask)], np.int64)
+        lengths: dict[tuple[int, ...], set[int]] = {}
+        for n in sorted({min(n, window) for _, n in begins}):
+            for mask in masks_for(n, window, share):
+                lengths.setdefault(mask, set()).add(n)
+        length_at = np.zeros(len(tokens), np.int32)
+        for start, n in begins:
+            length_at[start : start + n] = min(n, window)
+        self.masks, self.seeds = [np.array(m) for m in lengths], []
+        for k, (mask, of) in enumerate(zip(self.masks, lengths.values())):
+            at = np.flatnonzero(np.isin(length_at[: len(tokens) - mask[-1]], list(of)))
             at = at[(self.tokens[at[:, None] + mask] > 0).all(1)] if len(at) else at
             hashed = self.hash(self.tokens, at, mask, k)
             order = np.argsort(hashed, kind="stable")

@@ -6,7 +6,8 @@ read back, records are framed by their Content-Length and digests are recomputed
 
 Index: each archive file gives one locally sorted run of captures. Runs are dealt out by ranges of (URL key, timestamp,
 page), each range is merged from its runs by a loser tree, and the ranges in order are the capture histories in global order.
-A hot URL or host is split by timestamp and page, as these belong to the range key.
+The runs of a range reach its task one after another, each sorted by Spark; the task keeps them as Arrow batches and turns
+``MERGE_ROWS`` rows of a run at a time into Python values. A hot URL or host is split by timestamp and page, as these belong to the range key.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from txquality.llm.common import batch_of, new_folder, stored, values_of
 MIN_PAYLOAD = 1000  # bytes from which equal payloads are kept once
 FILE_BYTES = 32 << 20  # payload bytes of an archive file, about
 RANGE_ROWS = 200_000  # captures of a range of the merge, about
+MERGE_ROWS = 64  # rows of a run that the merge has unpacked
+LAST_SECOND = 253402300799  # the end of the year 9999
 EPOCH = 1577836800  # 2020-01-01: dates of pages that bring none
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,14 +49,18 @@ def url_key(url) -> F.Column:
     return F.concat(F.array_join(F.reverse(F.split(host, "[.]")), ","), F.lit(")"), tail)
 
 
-def classified(pages: DataFrame) -> DataFrame:
+def classified(pages: DataFrame, captured: str | None = None) -> DataFrame:
     """(page_id, url, captured, payload, payload_bytes, payload_digest, record_type, refers_to).
 
     Of records with equal payloads of MIN_PAYLOAD bytes or more the one with the largest page_id is the response and others
-    revisit it; rows that repeat that page_id are all responses. A null page_id is never a response of others.
+    revisit it; rows that repeat that page_id are all responses. A null page_id is never a response of others. ``captured`` names a column with the seconds since
+    1970 in UTC; without one, and where its value is null, no number or not within the years 1970 to 9999, the time follows from the page_id.
+    Other columns of ``pages`` are not read, whatever their names.
     """
-    captured = F.col("captured").cast("bigint") if "captured" in pages.columns else F.lit(EPOCH) + F.coalesce(F.pmod("page_id", F.lit(10**9)), F.lit(0))
-    base = pages.select("page_id", "url", captured.alias("captured"), F.coalesce("html", F.lit("")).alias("payload"))
+    default = F.lit(EPOCH) + F.coalesce(F.pmod("page_id", F.lit(10**9)), F.lit(0))
+    given = F.lit(None).cast("bigint") if captured is None else F.col(captured).try_cast("bigint")
+    when = F.coalesce(F.when(given.between(0, LAST_SECOND), given), default)
+    base = pages.select("page_id", "url", when.alias("captured"), F.coalesce("html", F.lit("")).alias("payload"))
     raw = F.encode("payload", "UTF-8")
     base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha1(raw)})
     big = base.where(F.col("payload_bytes") >= MIN_PAYLOAD).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
@@ -62,11 +70,19 @@ def classified(pages: DataFrame) -> DataFrame:
     return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("keeper"))}).drop("keeper")
 
 
+def utc_text(seconds) -> F.Column:
+    """Seconds since 1970 as a WARC date, whatever the time zone of the session."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")).cast("string")
+    rest = F.pmod(seconds, F.lit(86_400))
+    clock = [F.lpad(F.floor(rest / size % limit).cast("string"), 2, "0") for size, limit in ((3600, 24), (60, 60), (1, 60))]
+    return F.concat(day, F.lit("T"), F.concat_ws(":", *clock), F.lit("Z"))
+
+
 def record_text() -> F.Column:
     """One record without its end mark. Line breaks in the url are percent-encoded."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     target = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    date = F.date_format(F.timestamp_seconds("captured"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = utc_text(F.col("captured"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     revisit = F.col("record_type") == "revisit"
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
@@ -85,12 +101,12 @@ def record_text() -> F.Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> str:
+def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, captured: str | None = None) -> str:
     """Write one record per row of ``pages`` into gzip-compressed WARC files under ``folder``; records of a file are sorted.
 
     Null html is an empty payload, a null url an empty target. An empty table writes an empty archive.
     """
-    records = classified(pages)
+    records = classified(pages, captured)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
     dealt = records.withColumn("key", url_key(F.col("url"))).repartition(files, F.xxhash64("page_id", "url", "payload_digest"))
@@ -199,22 +215,30 @@ def merged(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """
     ranges = max(1, -(-captures.count() // range_rows))
     dealt = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "position").withColumn("range", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions("run", "url_key", "captured", "page_id", "position")
     schema = RECORDS.append(pa.field("range", pa.int32())).append(pa.field("place", pa.int64()))
+    names = [f.name for f in schema][:-1]
+    at = [names.index(n) for n in ORDER]
+
+    def stream(parts):
+        """(key, row) of a run; no more than MERGE_ROWS rows are unpacked."""
+        for part in parts:
+            for first in range(0, part.num_rows, MERGE_ROWS):
+                few = part.slice(first, MERGE_ROWS)
+                for row in zip(*[values_of(few, n) for n in names]):
+                    yield tuple((row[i] is not None, row[i]) if row[i] is not None else (False, 0) for i in at), row
 
     def merge(batches):
-        own: dict[str, list[tuple]] = {}
-        names = [f.name for f in schema][:-1]
+        own: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            columns = [values_of(batch, n) for n in names]
-            at = [names.index(n) for n in ORDER]
-            for row in zip(*columns):
-                key = tuple((row[i] is not None, row[i]) if row[i] is not None else (False, 0) for i in at)
-                own.setdefault(row[0], []).append((key, row))
-        for run in own.values():  # rows of a run may arrive in several blocks
-            if any(a[0] > b[0] for a, b in zip(run, run[1:])):
-                run.sort(key=lambda r: r[0])
+            run = batch.column(0).dictionary_encode()
+            codes = run.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    own.setdefault(run[a].as_py(), []).append(batch.slice(a, b - a))
         out: list[tuple] = []
-        for place, (_, row) in enumerate(LoserTree(list(own.values())) if own else []):
+        for place, (_, row) in enumerate(LoserTree([stream(parts) for parts in own.values()]) if own else []):
             out.append((*row, place))
             if len(out) == 8192:
                 yield rows(out)
@@ -235,8 +259,8 @@ def histories(captures: DataFrame) -> DataFrame:
     )
 
 
-def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def archive(pages: DataFrame, folder: str | None = None, captured: str | None = None) -> DataFrame:
     """Write ``pages`` to an archive, read it back and return its captures in the merged global order."""
     spark = pages.sparkSession
-    folder = write(pages, folder or new_folder(spark, "warc"))
+    folder = write(pages, folder or new_folder(spark, "warc"), captured=captured)
     return merged(stored(read(spark, folder), "captures"))
