@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from txquality.llm import jaccard_join
 from txquality.llm.components import components, star_edges
@@ -71,11 +72,61 @@ def test_odd_rows(make_docs):
     assert jaccard_join.join(make_docs([])).count() == 0
 
 
-def test_prefix_is_shortened_until_the_target():
-    k = jaccard_join.prefix_length(0.8)
-    met = lambda k: 1 - (1 - 0.8**k) ** jaccard_join.TREES
-    assert met(k) >= jaccard_join.TARGET > met(k + 1)
-    assert jaccard_join.prefix_length(0.99) == jaccard_join.DEPTH and jaccard_join.prefix_length(0.3) < k
+def test_prefixes_are_shortened_until_the_target():
+    j = jaccard_join
+    plain = j.lengths_for([0] * j.TREES, 0.8, j.TARGET)
+    assert len(set(plain)) == 1 and j.missed(plain, 0.8) <= 1 - j.TARGET < j.missed([plain[0] + 1] * j.TREES, 0.8)
+    some = j.lengths_for([8] * 5 + [0] * 15, 0.8, j.TARGET)
+    assert some == [8] * 5 + [4] * 15 and j.missed(some, 0.8) <= 1 - j.TARGET
+    rng = random.Random(3)
+    for _ in range(200):
+        own = j.lengths_for([rng.choice([0, 0, 4, 6, 8]) for _ in range(j.TREES)], 0.8, j.TARGET)
+        assert j.missed(own, 0.8) <= 1 - j.TARGET
+    assert j.lengths_for([0] * j.TREES, 0.99, j.TARGET)[0] == j.DEPTH and j.least_depth(0.3, j.TARGET) < j.LEAST_DEPTH
+
+
+def test_chosen_equals_the_plain_form(spark):
+    j, rng = jaccard_join, random.Random(4)
+    cases = [[rng.choice([0, 0, 4, 6, 7, 8]) for _ in range(j.TREES)] for _ in range(60)] + [[8] * j.TREES, [0] * j.TREES]
+    df = spark.createDataFrame([(c,) for c in cases], "c array<int>")
+    found = df.select("c", j.chosen(F.col("c"), 0.8, j.TARGET, j.DEPTH, j.LEAST_DEPTH).alias("ks")).collect()
+    assert all(r.ks == j.lengths_for(r.c, 0.8, j.TARGET) for r in found)
+
+
+def test_crowded_nodes_lose_no_link(make_docs):
+    """Texts that share two thirds of boilerplate, and a group of near copies, with nodes that count as crowded from three documents."""
+    rng = random.Random(6)
+    plate = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join(plate + [f"u{rng.randrange(10**6)}" for _ in range(25)])) for i in range(60)]
+    base = [f"b{i}" for i in range(120)]
+    for i in range(30):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((100 + i, " ".join(w)))
+    want = all_pairs(rows)
+    assert any(n for _, n in want.values())
+    for crowd in (2, 1000):
+        found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.join(make_docs(rows), block=8, crowd=crowd).collect()}
+        assert found == want, crowd
+
+
+def test_clashing_columns_stay(make_docs):
+    docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "z")]).selectExpr("*", "1 as class_id", "2 as copy", "3 as trie", "4 as kept", "5 as heads")
+    left = jaccard_join.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
+def test_recall_on_the_given_documents(spark):
+    """Documents whose id 20 divides against all documents, by all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: jaccard_join.shingles(t or "") for i, t in texts.items()}
+    found = {r.doc_id: r.n_links for r in jaccard_join.join(docs).collect()}
+    asked = [i for i in sets if i % 20 == 0 and len(sets[i])]
+    common = jaccard_join.intersections([sets[i] for i in asked], list(sets.values()))
+    sizes = np.array([len(s) for s in sets.values()])
+    want = [(common[k] >= 0.8 * (len(sets[i]) + sizes - common[k])).sum() - 1 for k, i in enumerate(asked)]
+    assert [found[i] for i in asked] == want
 
 
 def test_intersections():

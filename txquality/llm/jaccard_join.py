@@ -1,19 +1,27 @@
 """Jaccard self-join of documents on word n-grams by a MinHash LSH forest.
 
-Each of ``TREES`` prefix tries holds the documents under a label of up to ``DEPTH`` MinHash values. Two documents are compared
-where their labels share a prefix in some trie. The prefix starts at full length and is shortened until a pair at the threshold
-is met with the target probability; deeper matches are contained in it. A pair that meets in several tries is counted in the
-first one only, which every task can tell from the prefix keys that travel with each document, so no pairs are written and
+Each of ``TREES`` prefix tries holds the documents under a label of ``DEPTH`` MinHash values. A document starts at its full label in
+every trie and its prefix is shortened value by value, in all tries at once, until a partner at the threshold s has met it somewhere with the
+target probability: 1 - prod(1 - s**k) over the lengths k of its prefixes. Nodes with more than ``crowd`` documents, such as
+boilerplate that many texts share, are passed over: there the prefix stays longer, and other tries make up for it with prefixes down to
+``LEAST_DEPTH`` values. Only a document that these cannot bring to the target is shortened in its crowded nodes too. So the target
+holds for every document, and none is dropped. A node that one document is shortened to is open for all documents under it, so both sides
+of a pair agree on it; a document is compared under the shortest open node of its path, once a trie.
+
+A pair that meets in several tries is counted in the
+first one only, which every task can tell from the node keys that travel with each document, so no pairs are written and
 no pair list is made distinct: a task emits one row of link counts per document and a spanning forest of its links.
 
-Exact copies are one class: only its smallest doc_id takes part, with the class size as weight. Prefix groups larger than
-``block`` documents are split into pairs of blocks, so a hot group is compared by many tasks. Links are verified on the
+Exact copies are one class: only its smallest doc_id takes part, with the class size as weight. Nodes larger than
+``block`` documents are split into pairs of blocks, so a hot node is compared by many tasks. Links are verified on the
 sets of 64-bit shingle fingerprints.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +34,46 @@ from txquality.llm.components import components, star_edges
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 8
+TREES, DEPTH, LEAST_DEPTH = 20, 8, 4
 TARGET = 0.9995
+CROWD = 64
 BLOCK = 256
 CHUNK_CHARS = 1 << 20
 CACHE_WORDS = 100_000
 SEED = 17
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("heads", pa.list_(pa.int64())), ("tails", pa.list_(pa.int64()))])
 
 
-def prefix_length(threshold: float, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Longest prefix at which a pair of similarity ``threshold`` meets in some trie with probability ``target``."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < target:
+def missed(lengths, threshold: float) -> float:
+    """Chance that a pair at the threshold meets under none of the prefixes of these lengths."""
+    out = 1.0
+    for k in lengths:
+        out *= 1 - threshold**k
+    return out
+
+
+def least_depth(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
+    """Shortest prefix that is tried: LEAST_DEPTH, or less where even that would not meet the target in all tries."""
+    k = min(LEAST_DEPTH, depth)
+    while k > 1 and missed([k] * trees, threshold) > 1 - target:
         k -= 1
     return k
 
 
+def lengths_for(crowded, threshold: float, target: float, depth: int = DEPTH, least: int = LEAST_DEPTH) -> list[int]:
+    """Prefix lengths of one document; ``crowded`` has for each trie the longest prefix whose node is crowded, or 0. The plain form of ``chosen``."""
+    for k in range(depth, least - 1, -1):
+        own = [max(k, min(depth, c + 1)) for c in crowded]
+        if missed(own, threshold) <= 1 - target:
+            return own
+    for k in range(depth, least - 1, -1):
+        short = [min(k, x) for x in own]
+        if missed(short, threshold) <= 1 - target:
+            break
+    return short
+
+
 def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), SEED)
 
@@ -63,32 +93,51 @@ def shingles(text: str, n: int = SHINGLE, known: WordCache | None = None) -> np.
 
 
 class Hasher:
-    """Prefix keys of the tries: MinHash by multiply-shift functions, ``depth`` of them mixed into one key per trie."""
+    """Labels of the tries by multiply-shift functions. The first ``least`` values of a label are mixed into its head.
+
+    The others are kept in its tail as 60 // (depth - least) bits each (15 at most), the value nearest to the head in the highest bits: two
+    labels that agree in some values agree in the tail's bits above, and others do so by chance at most, which opens more pairs and loses none.
+    """
 
-    def __init__(self, trees: int, depth: int):
+    def __init__(self, trees: int, depth: int, least: int):
         rng = np.random.default_rng(SEED)
-        self.trees, self.depth = trees, depth
+        self.trees, self.depth, self.least = trees, depth, least
         self.a = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, trees * depth, dtype=np.uint64)
 
-    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
-        """(len(sets), trees); every set has an element."""
+    def labels(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Heads and tails, (len(sets), trees) each; every set has an element."""
         flat = np.concatenate(sets)
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-        out = np.empty((len(sets), self.trees), np.uint64)
+        heads, tails = np.empty((len(sets), self.trees), np.uint64), np.zeros((len(sets), self.trees), np.uint64)
+        bits = value_bits(self.depth, self.least)
         for t in range(self.trees):
-            key = np.full(len(sets), t + 1, np.uint64)
-            for j in range(t * self.depth, (t + 1) * self.depth):
-                h = flat * self.a[j] + self.b[j]
+            head, tail = np.full(len(sets), t + 1, np.uint64), np.zeros(len(sets), np.uint64)
+            for j in range(self.depth):
+                h = flat * self.a[t * self.depth + j] + self.b[t * self.depth + j]
                 h ^= h >> np.uint64(32)
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, starts))
-            out[:, t] = key
-        return out.view(np.int64)
+                least = np.minimum.reduceat(h, starts)
+                if j < self.least:
+                    head = mix(head * np.uint64(0x9E3779B97F4A7C15) + least)
+                else:
+                    tail = (tail << np.uint64(bits)) | (mix(least) >> np.uint64(64 - bits))
+            heads[:, t], tails[:, t] = head, tail
+        return heads.view(np.int64), tails.view(np.int64)
 
 
-def signed(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, copy, keys): a digest of the text and the prefix keys; keys are null where the text has no word."""
-    hasher = Hasher(trees, depth)
+def value_bits(depth: int, least: int) -> int:
+    return min(15, 60 // max(1, depth - least))
+
+
+def node_key(length, depth: int, least: int):
+    """Key of the node at ``length`` above a label (columns head and tail): the head and the values of the tail up to the length."""
+    shift = (F.lit(depth) - length) * value_bits(depth, least)
+    return F.xxhash64("head", F.call_function("shiftright", F.col("tail"), shift.cast("int")), length.cast("int"))
+
+
+def signed(docs: DataFrame, n: int, trees: int, depth: int, least: int) -> DataFrame:
+    """(doc_id, copy, heads, tails): a digest of the text and the labels; these are null where the text has no word."""
+    hasher = Hasher(trees, depth, least)
 
     def sign(batches):
         known = WordCache(word_hash, CACHE_WORDS)
@@ -97,14 +146,51 @@ def signed(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
             for a, b in runs([len(t) for t in texts], CHUNK_CHARS):
                 sets = [shingles(t, n, known) for t in texts[a:b]]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys: list = [None] * (b - a)
+                heads, tails = [None] * (b - a), [None] * (b - a)
                 if full:
-                    for i, row in zip(full, hasher.keys([sets[i] for i in full])):
-                        keys[i] = row
+                    for i, head, tail in zip(full, *hasher.labels([sets[i] for i in full])):
+                        heads[i], tails[i] = head, tail
                 copies = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts[a:b]]
-                yield batch_of(SIGNED, doc_id=ids[a:b], copy=copies, keys=keys)
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sign, "doc_id bigint, copy binary, keys array<bigint>")
+                yield batch_of(SIGNED, doc_id=ids[a:b], copy=copies, heads=heads, tails=tails)
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sign, "doc_id bigint, copy binary, heads array<bigint>, tails array<bigint>")
+
+
+def chosen(crowded, threshold: float, target: float, depth: int, least: int):
+    """Prefix length of each trie as an array column, from an array of the longest crowded prefixes (see ``lengths_for``)."""
+    logs = F.lit([0.0, *[math.log(1 - threshold**k) if threshold < 1 else -50.0 for k in range(1, depth + 1)]])
+    reached = lambda own: F.aggregate(own, F.lit(0.0), lambda total, k: total + F.get(logs, k)) <= math.log(1 - target)
+    steps = range(depth, least - 1, -1)
+    around = {k: F.transform(crowded, partial(lambda k, c: F.greatest(F.lit(k), F.least(F.lit(depth), c + 1)), k)) for k in steps}
+    short = {k: F.transform(around[least], partial(lambda k, x: F.least(F.lit(k), x), k)) for k in steps}
+    found = [*[F.when(reached(around[k]), around[k]) for k in steps], *[F.when(reached(short[k]), short[k]) for k in steps], short[least]]
+    return F.coalesce(*found)
+
+
+def opened(classes: DataFrame, threshold: float, target: float, crowd: int, depth: int, least: int) -> DataFrame:
+    """(doc_id, trie, key): the node under which a document is compared, for the tries in which it shares its head with another one."""
+    every = classes.where("heads is not null").select("doc_id", F.posexplode(F.arrays_zip("heads", "tails")).alias("trie", "l"))
+    every = every.select("doc_id", "trie", F.col("l.heads").alias("head"), F.col("l.tails").alias("tail"))
+    heads = every.groupBy("trie", "head").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(every.join(heads, ["trie", "head"]), "labels")
+    # Sizes are wanted under crowded heads only: nodes get smaller with the length, so no other is crowded.
+    under = shared.where(F.col("m") > crowd).select("doc_id", "trie", "head", "tail", F.explode(F.lit(list(range(least, depth + 1)))).alias("k"))
+    under = under.withColumn("key", node_key(F.col("k"), depth, least))
+    full = under.groupBy("trie", "key").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("trie", "key")
+    longest = under.join(full, ["trie", "key"]).groupBy("doc_id", "trie").agg(F.max("k").alias("c"))
+    by_trie = longest.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("trie", "c"))).alias("cs"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("cs", t), F.lit(0)))
+    special = stored(by_trie.select("doc_id", chosen(filled, threshold, target, depth, least).alias("ks")), "lengths")
+    plain = lengths_for([0] * TREES, threshold, target, depth, least)[0]
+    rows = shared.join(special, "doc_id", "left").withColumn("k", F.coalesce(F.get("ks", F.col("trie")), F.lit(plain))).drop("ks", "m")
+    rows = stored(rows.withColumn("key", node_key(F.col("k"), depth, least)), "chosen")
+    mixed = stored(rows.groupBy("trie", "head").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high"), "mixed")
+    alike = rows.join(mixed, ["trie", "head"], "left_anti").select("doc_id", "trie", "key")
+    paths = rows.join(mixed, ["trie", "head"]).select("doc_id", "trie", "head", "tail", F.explode(F.sequence("low", "high")).alias("k"))
+    paths = paths.withColumn("key", node_key(F.col("k"), depth, least))
+    known = rows.join(mixed, ["trie", "head"], "left_semi").select("trie", "key").distinct()
+    shortest = paths.join(known, ["trie", "key"]).groupBy("doc_id", "trie").agg(F.min_by("key", "k").alias("key"))
+    return alike.unionByName(shortest)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -146,14 +232,16 @@ def compare(trie: int, same: bool, left: dict, right: dict, n: int, threshold: f
     return links
 
 
-def found_links(classes: DataFrame, docs: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+def found_links(classes: DataFrame, placed: DataFrame, docs: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
     """(id, other, n): link counts of representatives (other null), and edges of spanning forests (n null)."""
-    placed = classes.where("keys is not null").select("doc_id", F.posexplode("keys").alias("trie", "key"))
     crowded = placed.groupBy("trie", "key").agg(F.count("*").alias("m")).where("m > 1")
     crowded = stored(crowded.select("trie", "key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "crowded")
     member = placed.join(crowded, ["trie", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("trie", "key", "blocks")).alias("groups"))
+    # A trie in which a document meets nobody has a key of its own.
+    met = F.map_from_entries(F.transform("groups", lambda g: F.struct(g["trie"], g["key"])))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at(met, t), F.xxhash64("doc_id", t)))
     taking = stored(
-        member.join(classes.select("doc_id", "keys", "copies"), "doc_id").join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id"), "members"
+        member.withColumn("keys", keys).join(classes.select("doc_id", "copies"), "doc_id").join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id"), "members"
     )
     own = F.pmod(F.xxhash64("doc_id"), F.col("g.blocks")).cast("int")
     spread = (
@@ -196,7 +284,7 @@ def found_links(classes: DataFrame, docs: DataFrame, n: int, threshold: float, b
     return spread.groupBy("trie", "key", "low", "high").applyInArrow(verify, "id bigint, other bigint, n bigint")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, target: float = TARGET, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, target: float = TARGET, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """One row per document: (doc_id, class_id, copy_of, n_links, kept).
 
     ``copy_of`` is the smallest doc_id with the same text, ``n_links`` the number of other documents whose n-gram sets reach the
@@ -204,11 +292,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, target
     own. Texts without a word link with nothing, not even with each other; a text of fewer than ``n`` words is one shingle.
     doc_id is the key: rows that repeat one with the same text count as one document and give one row; rows with a null doc_id give none.
     """
-    depth = prefix_length(threshold, target)
-    base = stored(signed(docs, n, TREES, depth), "signed")
-    copies = base.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys"))
-    classes = stored(copies, "classes")
-    found = stored(found_links(classes, docs, n, threshold, block), "links")
+    least = least_depth(threshold, target)
+    base = stored(signed(docs, n, TREES, DEPTH, least), "signed")
+    label = F.struct("heads", "tails")
+    copies = base.groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("copies"), F.first(label).alias("l"))
+    classes = stored(copies.select("copy", "doc_id", "copies", "l.*"), "classes")
+    placed = stored(opened(classes, threshold, target, crowd, DEPTH, least), "placed")
+    found = stored(found_links(classes, placed, docs, n, threshold, block), "links")
     parts = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     own = (
@@ -219,7 +309,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, target
             F.col("doc_id").alias("copy_of"),
             F.coalesce("component", "doc_id").alias("class_id"),
             (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.col("keys").isNull().alias("wordless"),
+            F.col("heads").isNull().alias("wordless"),
         )
     )
     member = base.select("doc_id", "copy").distinct().join(own, "copy")
