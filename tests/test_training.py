@@ -113,3 +113,16 @@ def test_stream_restart_counts_a_batch_once(spark, tmp_path):
     assert jobs.refused(spark, out).first()["reasons"] == ["amount_negative"]
     states = jobs.pending_state(spark, out, 100).orderBy("batch_id").collect()
     assert [(r["row_count"], r["triggered"]) for r in states] == [(60, False), (59, True)]
+
+
+def test_rows_of_a_forest_are_dealt_to_tasks(spark, monkeypatch):
+    """Rows of one partition go to as many tasks as they need, each row once; few rows stay where they are, and a forest grows on what was dealt."""
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).alias("is_fraud"))
+    assert training.dealt(rows, 1000).rdd.getNumPartitions() == 1
+    spread = training.dealt(rows, 100)
+    sizes = [n for n, in spread.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 10 and max(sizes) <= 110 and sorted(spread.collect()) == sorted(rows.collect())
+    seen, plain = [], training.dealt
+    monkeypatch.setattr(training, "dealt", lambda df: seen.append(plain(df, 100)) or seen[-1])
+    training.fit("rf_balanced_v1", rows, ["x"], trees=2, depth=2)
+    assert seen[0].count() == 1000

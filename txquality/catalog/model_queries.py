@@ -12,6 +12,7 @@ from txquality.catalog.evaluation_queries import split_sql
 from txquality.catalog.registry import query
 from txquality.functions import columns as C
 from txquality.plans import marts, resample, splits, training
+from txquality.session import checkpointed
 from txquality.sources import files, star_tables as st
 
 SEED = 7
@@ -88,9 +89,9 @@ def lr_scores(spark, sf_dir):
 
 @query("rf_scores")
 def rf_scores(spark, sf_dir):
-    split = _split(spark, sf_dir)
+    split = checkpointed(_split(spark, sf_dir))
     model, _ = training.fit("rf_balanced_v1", split.filter("fold = 'train'"))
-    scored = training.score(model, split.filter("fold = 'test'"))
+    scored = training.score(model, training.dealt(split.filter("fold = 'test'")))
     return scored.select("transaction_id", "is_fraud", "probability_fraud")
 
 
@@ -110,10 +111,11 @@ def _score_checks(name: str) -> str:
 
 def _checked_scores(spark, sf_dir, name):
     """Test rows with a probability within 0 and 1 and a decision that follows the served threshold."""
-    model, run = training.train_and_evaluate(name, _split(spark, sf_dir))
+    split = checkpointed(_split(spark, sf_dir))
+    model, run = training.train_and_evaluate(name, split)
     threshold = run.first()["threshold"]
     p = F.col("probability_fraud")
-    scored = files.rounded_predictions(training.score(model, _split(spark, sf_dir).filter("fold = 'test'")), threshold)
+    scored = files.rounded_predictions(training.score(model, training.dealt(split.filter("fold = 'test'"))), threshold)
     return scored.select(
         F.lit(name).alias("model"),
         "transaction_id",

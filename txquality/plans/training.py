@@ -59,14 +59,30 @@ def estimator(name: str, weight_sum: float, trees: int = 200, depth: int = 12):
             **common, maxIter=1000, tol=1e-8, elasticNetParam=0.0, regParam=1.0 / weight_sum, standardization=False
         )
     if name == "rf_balanced_v1":
-        return RandomForestClassifier(**common, numTrees=trees, maxDepth=depth, seed=42, maxMemoryInMB=1024)
+        # The nodes of a row in all trees are kept from level to level, which changes no tree.
+        return RandomForestClassifier(**common, numTrees=trees, maxDepth=depth, seed=42, maxMemoryInMB=1024, cacheNodeIds=True)
     raise ValueError(f"unknown model {name}")
 
 
+#: Rows that a task takes through all trees of a forest, to grow them by a level or to score.
+FOREST_ROWS = 10_000
+
+
+def dealt(train: DataFrame, task_rows: int = FOREST_ROWS) -> DataFrame:
+    """The rows in as many partitions as they need, in an order that does not depend on how they arrive.
+
+    The work on a row is a path through every tree, far more than reading it, and the files of a small table are one partition. A
+    table of no more rows than a task takes is left as it is.
+    """
+    tasks = -(-train.count() // task_rows)
+    return train.repartition(tasks).sortWithinPartitions(*train.columns) if tasks > 1 else train
+
+
 def fit(name: str, train: DataFrame, features: list[str] | None = None, **params) -> tuple[PipelineModel, dict[str, str]]:
     """Fit scaler and classifier: (model, parameters used). The training rows are kept in memory and on disk meanwhile."""
     features = features or S.FEATURES
-    kept = with_balanced_weights(train.select(*features, S.TARGET)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*features, S.TARGET)
+    kept = with_balanced_weights(dealt(rows) if name.startswith("rf") else rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         scaler = scaler_stage(kept, features)
         assembler = VectorAssembler(inputCols=[f"s_{c}" for c in features], outputCol="features")
@@ -90,6 +106,8 @@ def train_and_evaluate(name: str, split: DataFrame, features: list[str] | None =
     """Fit on the train fold, choose the threshold and measure on the test fold: (model, run row as DataFrame)."""
     train, test = split.filter("fold = 'train'"), split.filter("fold = 'test'")
     model, logged = fit(name, train, features, **params)
+    if name.startswith("rf"):
+        test = dealt(test)
     result = evaluation.metrics(score(model, test), score="probability_fraud", label=S.TARGET)
     sizes = split.agg(F.count_if(F.col("fold") == "train"), F.count_if(F.col("fold") == "test")).first()
     tags = {"trained_by": "txquality", "code_version": code_version(), **(tags or {})}
