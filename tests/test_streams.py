@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from txquality import schema as S
@@ -91,3 +93,16 @@ def test_late_rows_are_kept_beside_the_windows(spark, tmp_path):
     got = {r["id"]: r["is_late"] for r in spark.read.parquet(out).collect()}
     # the watermark of the second batch is minute 140: windows that end at 60 and 120 are closed
     assert got == {0: False, 1: False, 2: False, 10: True, 11: True, 12: False, 13: False, 20: False}
+
+
+def test_state_is_written_by_a_task_for_each_of_its_partitions(spark, tmp_path):
+    """No task goes through the state of several partitions one after the other; the files are few all the same."""
+
+    def task(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().taskAttemptId()], pa.int64())})
+
+    batch = spark.range(0, 64, 1, 16).mapInArrow(task, "task bigint")
+    jobs._state_per_batch(str(tmp_path / "state"))(batch, 0)
+    assert jobs.newest(spark, str(tmp_path / "state")).distinct().count() == 16
+    assert len(list((tmp_path / "state").rglob("*.parquet"))) <= jobs.STATE_FILES

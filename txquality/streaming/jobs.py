@@ -130,11 +130,19 @@ def hourly_summary(feats: DataFrame, target: str, checkpoint: str) -> StreamingQ
     return _start(summary, checkpoint, "complete", _state_per_batch(target))
 
 
+#: Files that the state after a batch is written to.
+STATE_FILES = 8
+
+
 def _state_per_batch(target: str) -> Callable[[DataFrame, int], None]:
-    """Write the state after every batch into a folder of the batch's name; readers take the newest."""
+    """Write the state after every batch into a folder of the batch's name; readers take the newest.
+
+    The rows are dealt out before they are written, so that every partition of the state has a task of its own: fewer partitions
+    without a shuffle would give one task the tables in memory of all of them.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.repartition(STATE_FILES).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return handle
 
@@ -263,6 +271,6 @@ def metric_samples(rows: DataFrame, series: str, target: str, checkpoint: str, t
         names = ["batch_rows", "batch_frauds", "max_amount"]
         long = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
         samples = sizes.select("ts", "series", F.inline(long))
-        samples.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        samples.repartition(STATE_FILES).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return _start(rows, checkpoint, "append", handle)
