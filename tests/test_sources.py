@@ -6,8 +6,10 @@ import random
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from txquality import schema as S
+from txquality.catalog import source_queries
 from txquality.plans import jobs, quality, versions
 from txquality.sources import files
 
@@ -94,3 +96,13 @@ def test_a_snapshot_is_never_overwritten(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "v" / "version=1"))
     with pytest.raises(AnalysisException):
         store.publish(spark.range(5), "ingest")
+
+
+def test_raw_files_are_cut_by_size(spark, tmp_path):
+    """However few lines a file may have, each file has a header of its own and the rows come back in order of id."""
+    rows = spark.range(0, 200, 1, 3).select("id", *[(F.col("id") * (i + 1) % 97).cast(t).alias(c) for i, (c, t) in enumerate(S.RAW_TYPES.items())])
+    source_queries._write_csv(spark, rows, 200, str(tmp_path / "csv"), file_rows=20)
+    per_file = [len(f.read_text().splitlines()) - 1 for f in sorted((tmp_path / "csv").glob("file=*/*.txt"))]
+    assert sum(per_file) == 200 and max(per_file) <= 40 and len(per_file) >= 10
+    got = files.read_raw_csv(spark, str(tmp_path / "csv" / "file=*")).select("id", *S.RAW_TYPES)
+    assert sorted(got.collect()) == sorted(rows.collect())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from txquality import schema as S
 from txquality.catalog import sql as Q
 from txquality.catalog.registry import query
+from txquality.operators import ranks
 from txquality.plans import jobs, quality
 from txquality.session import shared_dir
 from txquality.sources import files, star_tables as st
@@ -18,6 +19,36 @@ def _folder(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lines of a raw file, about.
+FILE_ROWS = 100_000
+
+
+def _write_csv(spark, rows, count, folder, file_rows=FILE_ROWS):
+    """Files of lines in order of id, each under a header of its own: four kinds of headers, one for each quarter of the ids.
+
+    A file holds a range of ids with about ``file_rows`` lines, so that no task sorts more than a few files, whatever the number of rows.
+    Names of folders are numbers with as many digits each, so that the order of paths is that of ids.
+    """
+    quarter, buckets = -(-count // 4), ranks.bucket_count(count, file_rows)
+    names = [c.capitalize() for c in S.RAW_TYPES]
+    orders = [names[7 * k :] + names[: 7 * k] + ["Note"] * (k == 2) for k in range(4)]
+    placed = ranks.with_key_buckets(rows, "id", buckets).withColumn("part", F.least(F.floor(F.col("id") / quarter), F.lit(3)).cast("int"))
+    texts = placed.where(F.col("part").between(0, 3)).select(
+        "part", (10**9 + F.col("part") * buckets + F.col("_bucket")).alias("file"), "id", *[F.col(c).cast("string").alias(c) for c in S.RAW_TYPES]
+    )
+    line, head = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, order in enumerate(orders):
+        cells = [F.lit('"a, b"') if c == "Note" else F.col(c.lower()) for c in order]
+        quoted = [F.concat(F.lit('"'), c, F.lit('"')) if k == 1 else c for c in cells]
+        line = F.when(F.col("part") == k, F.concat(F.concat_ws(",", *quoted), F.lit("\r" if k == 3 else ""))).otherwise(line)
+        head = F.when(F.col("part") == k, F.lit(",".join(f'"{c}"' if k % 2 else c for c in order))).otherwise(head)
+    # the header of each file as a text row before its lines; of each kind there is a file, with lines or without
+    kinds = spark.createDataFrame([(k, 10**9 + k * buckets) for k in range(4)], "part int, file int")
+    heads = texts.select("part", "file").unionByName(kinds).distinct().select("file", F.lit(-1).cast("long").alias("id"), head.alias("line"))
+    lines = heads.unionByName(texts.select("file", "id", line.alias("line")))
+    lines.repartition(max(4, buckets), "file").sortWithinPartitions("file", "id").select("file", "line").write.partitionBy("file").text(folder)
+
+
 @query(
     "raw_csv_load",
     f"""with {Q.FULL} select id, time, {", ".join(Q.V)}, amount, class, 'load-csv' as load_id,
@@ -26,23 +57,9 @@ def _folder(spark, name):
 def raw_csv_load(spark, sf_dir):
     """Transactions written as one folder of CSV files with shuffled headers, quotes, further columns and other line ends, loaded in one scan."""
     rows = st.raw_full(spark, sf_dir).select("id", *S.RAW_TYPES)
-    quarter = -(-st.table(spark, sf_dir, "events").count() // 4)
     folder = _folder(spark, "csv")
-    names = [c.capitalize() for c in S.RAW_TYPES]
-    part = F.least(F.floor(F.col("id") / quarter), F.lit(3)).cast("int")
-    # a text row of each file: the header first, then the lines in order of id
-    lines = None
-    for k in range(4):
-        order = names[7 * k :] + names[: 7 * k] + ["Note"] * (k == 2)
-        cells = [F.lit('"a, b"') if c == "Note" else F.col(c.lower()).cast("string") for c in order]
-        quoted = [F.concat(F.lit('"'), c, F.lit('"')) if k == 1 else c for c in cells]
-        own = rows.filter(part == k).select(F.lit(k).alias("part"), "id", F.concat_ws(",", *quoted).alias("line"))
-        head = spark.createDataFrame([(k, -1, ",".join(f'"{c}"' if k % 2 else c for c in order))], "part int, id long, line string")
-        both = head.unionByName(own.withColumn("line", F.concat("line", F.lit("\r" if k == 3 else ""))))
-        lines = both if lines is None else lines.unionByName(both)
-    ordered = lines.repartitionByRange(4, "part").sortWithinPartitions("part", "id")
-    ordered.select("part", "line").write.partitionBy("part").text(folder)
-    raw = jobs.load_raw(spark, f"{folder}/part=*", f"{folder}-warehouse", "load-csv")
+    _write_csv(spark, rows, st.table(spark, sf_dir, "events").count(), folder)
+    raw = jobs.load_raw(spark, f"{folder}/file=*", f"{folder}-warehouse", "load-csv")
     return raw.select("id", *S.RAW_TYPES, "load_id", "row_uid")
 
 
