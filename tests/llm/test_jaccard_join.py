@@ -145,3 +145,13 @@ def test_components(spark):
     linked = np.zeros((4, 4), bool)
     linked[0, 2] = linked[2, 3] = True
     assert sorted(star_edges(np.array([9, 1, 5, 7]), linked)) == [(5, 7), (5, 9)]
+
+
+def test_paths_are_looked_up_without_a_row_for_every_document(spark):
+    """Whether a node is open is asked once a label; no join on node keys brings rows of both sides together."""
+    rows = [(i, [7] * jaccard_join.TREES, [i % 3] * jaccard_join.TREES) for i in range(40)]
+    classes = spark.createDataFrame(rows, "doc_id bigint, heads array<bigint>, tails array<bigint>")
+    placed = jaccard_join.opened(classes, 0.8, 0.9995, 4, jaccard_join.DEPTH, jaccard_join.LEAST_DEPTH)
+    plan = placed._jdf.queryExecution().analyzed().toString()
+    assert "Join LeftSemi" in plan and not [line for line in plan.splitlines() if "Join Inner" in line and "key#" in line]
+    assert placed.groupBy("doc_id", "trie").count().where("count > 1").isEmpty() and placed.count() == 40 * jaccard_join.TREES

@@ -174,10 +174,13 @@ def opened(classes: DataFrame, threshold: float, target: float, crowd: int, dept
     heads = every.groupBy("trie", "head").agg(F.count("*").alias("m")).where("m > 1")
     shared = stored(every.join(heads, ["trie", "head"]), "labels")
     # Sizes are wanted under crowded heads only: nodes get smaller with the length, so no other is crowded.
-    under = shared.where(F.col("m") > crowd).select("doc_id", "trie", "head", "tail", F.explode(F.lit(list(range(least, depth + 1)))).alias("k"))
-    under = under.withColumn("key", node_key(F.col("k"), depth, least))
-    full = under.groupBy("trie", "key").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("trie", "key")
-    longest = under.join(full, ["trie", "key"]).groupBy("doc_id", "trie").agg(F.max("k").alias("c"))
+    # Documents of one label have the same path, so a path is walked once a label however many documents share it.
+    label = ["trie", "head", "tail"]
+    under = shared.where(F.col("m") > crowd).groupBy(*label).agg(F.count("*").alias("n"))
+    under = under.select(*label, "n", F.explode(F.lit(list(range(least, depth + 1)))).alias("k")).withColumn("key", node_key(F.col("k"), depth, least))
+    full = under.groupBy("trie", "key").agg(F.sum("n").alias("m")).where(F.col("m") > crowd).select("trie", "key")
+    deepest = under.join(full, ["trie", "key"], "left_semi").groupBy(*label).agg(F.max("k").alias("c"))
+    longest = shared.join(deepest, label).groupBy("doc_id", "trie").agg(F.max("c").alias("c"))
     by_trie = longest.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("trie", "c"))).alias("cs"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("cs", t), F.lit(0)))
     special = stored(by_trie.select("doc_id", chosen(filled, threshold, target, depth, least).alias("ks")), "lengths")
@@ -186,10 +189,12 @@ def opened(classes: DataFrame, threshold: float, target: float, crowd: int, dept
     rows = stored(rows.withColumn("key", node_key(F.col("k"), depth, least)), "chosen")
     mixed = stored(rows.groupBy("trie", "head").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high"), "mixed")
     alike = rows.join(mixed, ["trie", "head"], "left_anti").select("doc_id", "trie", "key")
-    paths = rows.join(mixed, ["trie", "head"]).select("doc_id", "trie", "head", "tail", F.explode(F.sequence("low", "high")).alias("k"))
+    among = rows.join(mixed, ["trie", "head"])
+    paths = among.select(*label, "low", "high").distinct().select(*label, F.explode(F.sequence("low", "high")).alias("k"))
     paths = paths.withColumn("key", node_key(F.col("k"), depth, least))
-    known = rows.join(mixed, ["trie", "head"], "left_semi").select("trie", "key").distinct()
-    shortest = paths.join(known, ["trie", "key"]).groupBy("doc_id", "trie").agg(F.min_by("key", "k").alias("key"))
+    known = among.select("trie", "key").distinct()
+    open_ = paths.join(known, ["trie", "key"], "left_semi").groupBy(*label).agg(F.min("k").alias("k"), F.min_by("key", "k").alias("key"))
+    shortest = among.select("doc_id", *label).join(open_, label).groupBy("doc_id", "trie").agg(F.min_by("key", "k").alias("key"))
     return alike.unionByName(shortest)
 
 
