@@ -104,3 +104,25 @@ def test_the_words_kept_do_not_change_the_ids():
 
 def test_empty_table(make_docs, spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string, sequence_id int, shard string")).count() == 0
+
+
+def test_words_beside_marks_are_tokenized_once():
+    """A word is looked up by itself, whatever marks stand beside it; ids are those of the library."""
+    encode = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    model, asked = encode.model, []
+
+    class Counting:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return model.tokenize(letters)
+
+    encode.model = Counting()
+    text = "Abgrundtief, (abgrundtief) abgrundtief. it's 'some ''s .'s a_b x1y2 O'Neil's ª don't l'été"
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.encoder.encode(text, add_special_tokens=False).ids
+    assert asked.count("abgrundtief") == 1
+
+
+def test_unusual_characters_are_those_of_the_pattern():
+    for code in [*range(0x300), 0x212A, 0x2028, 0x4E2D, 0x1F600]:
+        for text in (chr(code), f"a {chr(code)}", f"ā{chr(code)}"):
+            assert packing.unusual(text) == bool(packing.UNUSUAL.search(text))

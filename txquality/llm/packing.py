@@ -11,6 +11,7 @@ the end of a shard stays a small constant part and no task grows with the input.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,9 +26,11 @@ from txquality.llm.common import WordCache, batch_of, sliced, stored, texts_of,
 
 END_ID = 2
 WINDOW = 4096
-CACHE_WORDS = 120_000
+CACHE_WORDS = 240_000
 #: Characters for which splitting by the pattern below is the tokenizer's own; others go through the library whole.
 UNUSUAL = re.compile("[^\t\n\v\f\r -~\u00a0-\u024f]|[\u00b2\u00b3\u00b9\u00bc-\u00be\u00b5\u0130\u0149\u01f0]")
+#: The usual ones among the first 256, for a check that costs less than the pattern.
+USUAL_BYTES = bytes(b for b in range(256) if not UNUSUAL.match(chr(b)))
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 PIECE_SCHEMA = pa.schema(
@@ -36,6 +39,14 @@ PIECE_SCHEMA = pa.schema(
 PIECE_SQL = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def unusual(text: str) -> bool:
+    """Whether ``UNUSUAL`` finds a character."""
+    try:
+        return len(text.encode("latin-1").translate(None, USUAL_BYTES)) > 0
+    except UnicodeEncodeError:
+        return UNUSUAL.search(text) is not None
+
+
 class WordTokenizer:
     """Ids of a text as bytes (little-endian unsigned 32-bit). Ids of words seen before are kept, a bounded number of them.
 
@@ -54,15 +65,16 @@ class WordTokenizer:
         self.byte_letters = [letters[b] if b in printable else letters[next(spare)] for b in range(256)]
 
     def ids_of(self, chunk: str) -> bytes:
-        found = [
-            token.id
-            for word in PIECES.findall(chunk)
-            for token in self.model.tokenize("".join([self.byte_letters[b] for b in word.encode()]))
-        ]
-        return np.asarray(found, dtype="<u4").tobytes()
+        """Ids of a chunk without white space. Its words are looked up one by one, as they also stand alone or beside other marks."""
+        words = [chunk] if chunk.isalpha() else PIECES.findall(chunk)
+        if len(words) != 1:
+            return b"".join(map(self.known.__getitem__, words))
+        letters = chunk if chunk.isascii() else "".join([self.byte_letters[b] for b in chunk.encode()])
+        found = [token.id for token in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def __call__(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if unusual(text):
             ids = self.encoder.encode(text, add_special_tokens=False).ids
             return np.asarray(ids, dtype="<u4").tobytes()
         return b"".join(map(self.known.__getitem__, text.lower().split()))
