@@ -126,3 +126,37 @@ def test_rows_of_a_forest_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(training, "dealt", lambda df: seen.append(plain(df, 100)) or seen[-1])
     training.fit("rf_balanced_v1", rows, ["x"], trees=2, depth=2)
     assert seen[0].count() == 1000
+
+
+def test_tasks_of_a_forest_follow_the_cores_where_rows_are_many(spark):
+    """Each task sends the statistics of all nodes, so tasks do not grow with the rows alone."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 100 * cores, 1, 1).withColumn("x", F.col("id") % 7)
+    for most, tasks in ((1000, cores), (30, 4 * cores)):
+        spread = training.dealt(rows, 10, most)
+        sizes = [n for n, in spread.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert spread.rdd.getNumPartitions() == len(sizes) == tasks and max(sizes) <= 1.2 * 100 * cores / tasks
+        assert sorted(spread.collect()) == sorted(rows.collect())
+
+
+def test_a_forest_grown_in_groups_holds_all_trees(spark, split, tmp_path, monkeypatch):
+    monkeypatch.setattr(training, "FOREST_ROWS", 100)
+    asked, plain = [], training.grown
+    monkeypatch.setattr(training, "grown", lambda forest, rows: asked.append(rows.count()) or plain(forest, rows, 2))
+    model, logged = training.fit("rf_balanced_v1", split.filter("fold = 'train'"), trees=5, depth=4)
+    forest = model.stages[-1]
+    assert asked == [480] and forest.getNumTrees == len(forest.trees) == 5 and logged["numTrees"] == "5" and logged["seed"] == "42"
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 5
+    test = split.filter("fold = 'test'")
+    scored = training.score(model, test).select("transaction_id", "probability_fraud")
+    assert scored.columns == ["transaction_id", "probability_fraud"] and scored.count() == 120
+    ready = model.stages[1].transform(model.stages[0].transform(test))
+    for tree in forest.trees:
+        tree.setFeaturesCol("features").setProbabilityCol("p")
+    votes = [{r["transaction_id"]: r["p"][1] for r in t.transform(ready).select("transaction_id", "p").collect()} for t in forest.trees]
+    assert all(r["probability_fraud"] == pytest.approx(sum(v[r["transaction_id"]] for v in votes) / 5) for r in scored.collect())
+    row = training.skill(model, test).first()
+    assert row["above_share"] and row["ranks_better"]
+    training.save_model(model, spark.range(1).withColumn("threshold", F.lit(0.5)), str(tmp_path / "m"))
+    loaded, _ = training.load_model(spark, str(tmp_path / "m"))
+    assert sorted(training.score(loaded, test).select("transaction_id", "probability_fraud").collect()) == sorted(scored.collect())

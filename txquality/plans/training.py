@@ -8,7 +8,7 @@ import pathlib
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +17,7 @@ from pyspark.storagelevel import StorageLevel
 from txquality import schema as S
 from txquality.functions import columns as C
 from txquality.plans import evaluation, splits
+from txquality.session import checkpointed
 
 
 def given_params(estimator) -> dict[str, str]:
@@ -64,20 +65,48 @@ def estimator(name: str, weight_sum: float, trees: int = 200, depth: int = 12):
     raise ValueError(f"unknown model {name}")
 
 
-#: Rows that a task takes through all trees of a forest, to grow them by a level or to score.
+#: Rows that a task takes through all trees of a forest, to grow them by a level or to score, where tasks are few.
 FOREST_ROWS = 10_000
+#: Rows that a task takes at most where there are many.
+MOST_FOREST_ROWS = 1_000_000
+#: Trees of a forest over more than ``FOREST_ROWS`` rows that grow at a time.
+TREES_TOGETHER = 25
 
 
-def dealt(train: DataFrame, task_rows: int = FOREST_ROWS) -> DataFrame:
+def dealt(train: DataFrame, task_rows: int = FOREST_ROWS, most_rows: int = MOST_FOREST_ROWS) -> DataFrame:
     """The rows in as many partitions as they need, in an order that does not depend on how they arrive.
 
     The work on a row is a path through every tree, far more than reading it, and the files of a small table are one partition. A
-    table of no more rows than a task takes is left as it is.
+    table of no more rows than a task takes is left as it is. Each task also sends the statistics of all nodes, whatever its rows, so that
+    beyond two tasks a core there is one a core, or as many rounds of those as ``most_rows`` asks for.
     """
-    tasks = -(-train.count() // task_rows)
+    rows, cores = train.count(), train.sparkSession.sparkContext.defaultParallelism
+    tasks = -(-rows // task_rows)
+    if tasks > 2 * cores:
+        tasks = min(tasks, cores * -(-rows // (cores * most_rows)))
     return train.repartition(tasks).sortWithinPartitions(*train.columns) if tasks > 1 else train
 
 
+def grown(forest: RandomForestClassifier, rows: DataFrame, together: int = TREES_TOGETHER) -> RandomForestClassificationModel:
+    """The forest, ``together`` trees at a time.
+
+    While trees grow, a row holds two numbers for each of them and a task the statistics of all their nodes of a level: 200 trees
+    at a time are kept on disk and read again for every level. The groups have seeds of their own.
+    """
+    trees, seed = forest.getNumTrees(), forest.getSeed()
+    if trees <= together:
+        return forest.fit(rows)
+    groups = [forest.copy({forest.numTrees: min(together, trees - k), forest.seed: seed + 1_000_003 * k}).fit(rows) for k in range(0, trees, together)]
+    context = rows.sparkSession.sparkContext
+    kind = context._jvm.org.apache.spark.ml.classification
+    joined = context._gateway.new_array(kind.DecisionTreeClassificationModel, trees)
+    for k, tree in enumerate(tree for group in groups for tree in group._java_obj.trees()):
+        joined[k] = tree
+    model = RandomForestClassificationModel(kind.RandomForestClassificationModel(forest.uid, joined, groups[0].numFeatures, groups[0].numClasses))
+    forest._copyValues(model)._transfer_params_to_java()
+    return model
+
+
 def fit(name: str, train: DataFrame, features: list[str] | None = None, **params) -> tuple[PipelineModel, dict[str, str]]:
     """Fit scaler and classifier: (model, parameters used). The training rows are kept in memory and on disk meanwhile."""
     features = features or S.FEATURES
@@ -88,7 +117,13 @@ def fit(name: str, train: DataFrame, features: list[str] | None = None, **params
         assembler = VectorAssembler(inputCols=[f"s_{c}" for c in features], outputCol="features")
         weight_sum = kept.agg(F.sum("weight")).first()[0]
         chosen = estimator(name, weight_sum, **params)
-        return Pipeline(stages=[scaler, assembler, chosen]).fit(kept), given_params(chosen)
+        if not name.startswith("rf") or kept.count() <= FOREST_ROWS:
+            return Pipeline(stages=[scaler, assembler, chosen]).fit(kept), given_params(chosen)
+        ready = assembler.transform(scaler.transform(kept)).select("features", S.TARGET, "weight").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return PipelineModel([scaler, assembler, grown(chosen, ready)]), given_params(chosen)
+        finally:
+            ready.unpersist()
     finally:
         kept.unpersist()
 
@@ -104,11 +139,17 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def train_and_evaluate(name: str, split: DataFrame, features: list[str] | None = None, tags: dict | None = None, **params):
     """Fit on the train fold, choose the threshold and measure on the test fold: (model, run row as DataFrame)."""
+    return evaluated(name, split, features, tags, **params)[:2]
+
+
+def evaluated(name: str, split: DataFrame, features: list[str] | None = None, tags: dict | None = None, **params):
+    """As ``train_and_evaluate``, with the scored test rows: (model, run row, rows). A forest's are stored, as each pass over them would go through all trees."""
     train, test = split.filter("fold = 'train'"), split.filter("fold = 'test'")
     model, logged = fit(name, train, features, **params)
+    scored = score(model, dealt(test) if name.startswith("rf") else test)
     if name.startswith("rf"):
-        test = dealt(test)
-    result = evaluation.metrics(score(model, test), score="probability_fraud", label=S.TARGET)
+        scored = checkpointed(scored)
+    result = evaluation.metrics(scored, score="probability_fraud", label=S.TARGET)
     sizes = split.agg(F.count_if(F.col("fold") == "train"), F.count_if(F.col("fold") == "test")).first()
     tags = {"trained_by": "txquality", "code_version": code_version(), **(tags or {})}
     text_map = F.create_map(*[F.lit(x) for pair in logged.items() for x in pair])
@@ -121,7 +162,7 @@ def train_and_evaluate(name: str, split: DataFrame, features: list[str] | None =
         text_map.alias("params"),
         tag_map.alias("tags"),
     )
-    return model, run
+    return model, run, scored
 
 
 def split_features(feats: DataFrame, row_id: str = "transaction_id") -> DataFrame:
