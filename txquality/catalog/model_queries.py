@@ -112,10 +112,10 @@ def _score_checks(name: str) -> str:
 def _checked_scores(spark, sf_dir, name):
     """Test rows with a probability within 0 and 1 and a decision that follows the served threshold."""
     split = checkpointed(_split(spark, sf_dir))
-    model, run = training.train_and_evaluate(name, split)
+    _, run, scored = training.evaluated(name, split)
     threshold = run.first()["threshold"]
     p = F.col("probability_fraud")
-    scored = files.rounded_predictions(training.score(model, training.dealt(split.filter("fold = 'test'"))), threshold)
+    scored = files.rounded_predictions(scored, threshold)
     return scored.select(
         F.lit(name).alias("model"),
         "transaction_id",
