@@ -117,3 +117,63 @@ def test_recall_of_a_deep_forest(spark):
     found = {r.vec_id: r.n_links for r in tree_forest.near_duplicates(df, leaf_rows=40).collect()}
     got = np.array([found[i] for i in asked])
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 100
+
+
+def test_leaves_are_compared_in_waves_that_change_nothing(spark, monkeypatch, tmp_path):
+    """Waves move a bounded number of rows, give what one wave gives, and leave no table of vectors behind."""
+    x = cloud(9)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    folder, ranges, links, plain = str(tmp_path / "shared"), [], tree_forest.found_links, tree_forest.waves
+    monkeypatch.setattr(tree_forest, "waves", lambda rows, limit: ranges.append((rows, limit, plain(rows, limit))) or ranges[-1][2])
+    monkeypatch.setattr("txquality.llm.common.shared_dir", lambda _: folder)
+    one = {tuple(r) for r in tree_forest.near_duplicates(df, leaf_rows=60).collect()}
+    monkeypatch.setattr(tree_forest, "found_links", lambda *a: links(*a, wave_rows=1))
+    many = {tuple(r) for r in tree_forest.near_duplicates(df, leaf_rows=60).collect()}
+    assert one == many and len(ranges[0][2]) == 1 < len(ranges[1][2])
+    rows, limit, parts = ranges[1]
+    assert limit <= len(x) and [n for a, b in parts for n in sorted(rows) if a <= n <= b] == sorted(rows)
+    assert all(sum(n for leaf, n in rows.items() if a <= leaf <= b) <= limit for a, b in parts)
+    left = {p.name.split("-")[1] for p in (tmp_path / "shared").iterdir()}
+    assert left and not left & {"vectors", "placed", "links"}
+
+
+def test_a_wave_is_kept_by_larger_leaves_alone():
+    assert tree_forest.waves({3: 5, 1: 4, 8: 20, 9: 2, 12: 8}, 10) == [(1, 3), (8, 8), (9, 12)]
+    assert tree_forest.waves({}, 10) == []
+
+
+def test_shape_meets_the_recall_with_few_leaves_a_vector():
+    for rows in (500, 50_000, 2_500_000, 15_000_000):
+        trees, spill = tree_forest.shape_for(rows, 1024)
+        side = tree_forest.side_of(spill)
+        depth = tree_forest.depth_of(rows, 1024, 1.1 * side)
+        assert trees >= tree_forest.TREES and (1 - (1 - tree_forest.parted(spill)) ** depth) ** trees <= 1 - tree_forest.RECALL
+        few = tree_forest.TREES
+        before = tree_forest.spill_for(tree_forest.depth_of(rows, 1024, 1.1 * tree_forest.side_of(0.75)))
+        assert trees * (2 * side) ** depth <= few * (2 * tree_forest.side_of(before)) ** tree_forest.depth_of(rows, 1024, 1.1 * tree_forest.side_of(before))
+
+
+def test_matches_decide_in_double_precision():
+    x = tree_forest.unit(cloud(10, 60))
+    cosines = x @ x.T
+    for threshold in np.sort(cosines.ravel())[-9000:-200:220]:
+        found = tree_forest.matches(x, x, float(threshold))
+        rough = cosines.astype(np.float32) >= np.float32(threshold)
+        assert np.abs(cosines[found != (cosines >= threshold)] - threshold).max(initial=0) < 1e-15
+        assert (found != rough).sum() <= 4
+
+
+def test_pairs_that_met_before_count_once():
+    rng = np.random.default_rng(4)
+    lists = [np.unique(rng.integers(0, 40, rng.integers(0, 6))) for _ in range(70)]
+    for share in (0.01, 0.9):
+        found = rng.random((30, 40)) < share
+        want = np.array([[found[i, j] and not set(lists[i]) & set(lists[30 + j]) for j in range(40)] for i in range(30)])
+        offsets = np.cumsum([0, *map(len, lists)])
+        assert (tree_forest.met_before(found.copy(), np.arange(30), np.arange(30, 70), np.concatenate(lists), offsets) == want).all()
+
+
+def test_signed_zeros_are_one_vector(spark):
+    rows = [(1, [0.0, 1.0], 0), (2, [-0.0, 1.0], 0), (3, [1.0, -0.0], 0)]
+    found = {tuple(r) for r in tree_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)}

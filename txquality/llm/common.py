@@ -42,6 +42,18 @@ def stored(df: DataFrame, kind: str = "table", release: bool = False) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def appended(tables: Iterator[DataFrame], schema: str, spark: SparkSession, kind: str = "table") -> DataFrame:
+    """Tables computed and written one after the other, read as one: the files of the shuffles behind one are removed before the next is computed."""
+    path = new_folder(spark, kind)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for df in tables:
+        df.write.mode("append").parquet(path)
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``stored`` has returned and that nothing reads any more."""
     for df in tables:

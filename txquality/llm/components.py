@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txquality.llm.common import stored
+from txquality.llm.common import discard, stored
 
 
 def star_edges(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
@@ -43,10 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct(), "edges")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        joined = large.join(low, "a")
+        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        before, edges = edges, stored(small.where("a <> b").distinct(), "edges")
+        discard(before, least, large, low)
         new = _state(edges)
         if new == state:
             break
